@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import chat, licenses, quality
+from sparkloom.llm import chat, licenses, quality, secrets, warc
+
+#: Payloads of at least 100 bytes that equal an earlier page's revisit it.
+OP9 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+     d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS h FROM p),
+     f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY h) ELSE page_id END AS first FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+       CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM f
+"""
 
 
 def queries() -> dict:
-    return {"op3_chat_format": chat.op3_chat_format, "op5_license_scan": licenses.op5_license_scan, "op8_quality_rules": quality.op8_quality_rules}
+    return {
+        "op3_chat_format": chat.op3_chat_format,
+        "op5_license_scan": licenses.op5_license_scan,
+        "op7_secret_scan": secrets.op7_secret_scan,
+        "op8_quality_rules": quality.op8_quality_rules,
+        "op9_warc": warc.op9_warc,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc": OP9}
