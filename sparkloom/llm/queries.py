@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import chat, licenses, quality, secrets, warc
+from sparkloom.llm import chat, licenses, packing, quality, secrets, topk, warc
 
 #: Payloads of at least 100 bytes that equal an earlier page's revisit it.
 OP9 = """
@@ -15,16 +15,28 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
 FROM f
 """
 
+#: Exact integer inner products; ties go to the smaller vec_id.
+OP4 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+           FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 
 def queries() -> dict:
     return {
         "op3_chat_format": chat.op3_chat_format,
+        "op4_exact_top_k": topk.op4_exact_top_k,
         "op5_license_scan": licenses.op5_license_scan,
         "op7_secret_scan": secrets.op7_secret_scan,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_warc": warc.op9_warc,
+        "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": OP9}
+    return {"op4_exact_top_k": OP4, "op9_warc": OP9}
