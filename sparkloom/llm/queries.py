@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import bpe, chat, licenses, packing, quality, secrets, topk, warc
+from sparkloom.llm import bpe, chat, jaccard, licenses, packing, quality, secrets, topk, warc
 
 #: Payloads of at least 100 bytes that equal an earlier page's revisit it.
 OP9 = """
@@ -32,6 +32,7 @@ def queries() -> dict:
         "op3_chat_format": chat.op3_chat_format,
         "op4_exact_top_k": topk.op4_exact_top_k,
         "op5_license_scan": licenses.op5_license_scan,
+        "op6_ngram_jaccard_join": jaccard.op6_ngram_jaccard_join,
         "op7_secret_scan": secrets.op7_secret_scan,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_warc": warc.op9_warc,
