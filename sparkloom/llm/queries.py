@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import bpe, chat, jaccard, licenses, packing, quality, secrets, topk, warc
+from sparkloom.llm import bpe, chat, jaccard, licenses, packing, quality, secrets, suffixes, topk, warc
 
 #: Payloads of at least 100 bytes that equal an earlier page's revisit it.
 OP9 = """
@@ -28,6 +28,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": suffixes.op1_suffix_dedup,
         "op2_bpe": bpe.op2_bpe,
         "op3_chat_format": chat.op3_chat_format,
         "op4_exact_top_k": topk.op4_exact_top_k,
