@@ -3,11 +3,12 @@
 Vectors are dealt into blocks by a hash of their id. Each block has its own index: for each
 dimension, postings of the vectors' components quantised into levels, so a segment is the list
 of vectors with one level in one dimension. A query counts what a vector has beyond the least
-possible score (for a negative weight the smallest components come first), so every impact is
-positive, and works through the segments of all dimensions by falling impact. A vector's score
-then lies between what it has got so far and that plus what is left: for each dimension the
-impact of the next segment. Processing stops only once that proves that no more than a few
-vectors can still be among the k best; those are scored exactly from their integers. Ties go
+possible score (for a negative weight the smallest components come first), so impacts are whole
+multiples of a unit, and works through the segments of all dimensions by falling impact. A
+vector's score then lies between what it has got so far and that plus what is left: for each
+dimension the impact of the next segment, or one level where none is left. Processing stops
+only once that proves that no more than a few vectors can still be among the k best; those are
+scored exactly from their integers. Ties go
 to the smaller id. Blocks give k candidates for each query, and the k best of those are exact.
 
 Queries travel in blocks of their own to each block of vectors. Vectors that are null or hold a
@@ -26,69 +27,54 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import table
 
-BLOCK, QUERIES, LEVELS, K = 4096, 1024, 16, 5
+BLOCK, QUERIES, LEVELS, K = 8192, 1024, 64, 5
+#: Shares of the segments after which the proof is tried.
+SHARES = (0.65, 0.8, 0.9, 1.0)
 
 
 class ImpactIndex:
-    """The postings of a block: for each dimension and level the vectors, levels rising."""
+    """The postings of a block. Dimension d has levels of one width; its postings are sorted by level, so segment (d, j), the vectors with level j, is docs[d, first[d, j] : first[d, j + 1]]."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, levels: int = LEVELS):
-        self.ids, self.vectors = ids, vectors
+        self.ids, self.vectors, self.levels = ids, vectors, levels
         n, dims = vectors.shape
-        self.low, self.high = vectors.min(0), vectors.max(0)
-        # Level bounds are quantiles of a dimension, so segments hold about as many vectors each.
-        cuts = np.sort(vectors, 0)[np.linspace(0, n - 1, levels + 1).astype(int)]
-        self.floor, self.top, self.docs, self.first = [], [], [], []
-        for d in range(dims):
-            bounds = np.unique(cuts[:, d])
-            level = np.clip(np.searchsorted(bounds, vectors[:, d], "right") - 1, 0, max(len(bounds) - 2, 0))
-            self.docs.append(np.argsort(level, kind="stable"))
-            self.first.append(np.searchsorted(level[self.docs[-1]], np.arange(max(len(bounds) - 1, 1) + 1)))
-            self.floor.append(bounds[:-1] if len(bounds) > 1 else bounds)
-            self.top.append(bounds[1:] if len(bounds) > 1 else bounds)
-
-    def segments(self, query: np.ndarray):
-        """(sure impact, greatest impact, dimension, vectors) of all segments, by falling greatest impact."""
-        for d in np.flatnonzero(query):
-            w = query[d]
-            base = w * (self.low[d] if w > 0 else self.high[d])
-            sure, most = (w * self.floor[d] - base, w * self.top[d] - base) if w > 0 else (w * self.top[d] - base, w * self.floor[d] - base)
-            for j in range(len(sure)):
-                yield sure[j], most[j], d, self.docs[d][self.first[d][j] : self.first[d][j + 1]]
+        self.low = vectors.min(0).astype(np.float64)
+        self.width = np.maximum(vectors.max(0) - self.low, 1.0) / levels
+        level = np.minimum(((vectors - self.low) / self.width).astype(np.int64), levels - 1).T
+        self.docs = np.argsort(level, 1, kind="stable")
+        self.level = np.take_along_axis(level, self.docs, 1).astype(np.float64)
+        self.first = np.stack([np.searchsorted(x, np.arange(levels + 1)) for x in self.level])
 
     def search(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The rows of the k best vectors with another id, and their scores."""
-        n, dims = self.vectors.shape
+        n, levels = len(self.ids), self.levels
+        unit = np.abs(query) * self.width  # what one level of a dimension is worth
+        used = np.flatnonzero(unit)
+        # The greatest impact of a segment is its level (from the top for negative weights) plus one, times the unit.
+        greatest = np.sort((unit[used][:, None] * np.arange(1, levels + 1)).ravel())[::-1]
         allowed = self.ids != own
-        few = max(4 * k, n // 16)
-        segments = sorted(self.segments(query), key=lambda s: -s[1])
-        got, slack = np.zeros(n), np.zeros(n)
-        by_dim: dict[int, list[float]] = {}
-        for _, most, d, _ in segments:
-            by_dim.setdefault(d, []).append(most)
-        at = dict.fromkeys(by_dim, 0)
-        step = max(1, len(segments) // 8)
-        members = np.flatnonzero(allowed)
-        if allowed.sum() <= few:
-            segments = []
-        for i in range(0, len(segments), step):
-            part = segments[i : i + step]
-            docs = np.concatenate([s[3] for s in part])
-            sizes = [len(s[3]) for s in part]
-            # Lower bounds grow by the sure impact; what a level leaves open is kept as slack of the vector.
-            got += np.bincount(docs, np.repeat([s[0] for s in part], sizes), n)
-            slack += np.bincount(docs, np.repeat([s[1] - s[0] for s in part], sizes), n)
-            for _, _, d, _ in part:
-                at[d] += 1
-            left = sum(m[at[d]] for d, m in by_dim.items() if at[d] < len(m))
-            if allowed.sum() >= k:
-                least = np.partition(got[allowed], -k)[-k]
-                members = np.flatnonzero(allowed & (got + slack + left >= least))
-                if len(members) <= few:
-                    break
+        members, few = np.flatnonzero(allowed), max(8 * k, n // 32)
+        got, done = np.zeros(n), np.full(len(unit), levels)
+        for share in SHARES if len(members) > few and len(used) else ():
+            floor = greatest[min(int(share * len(greatest)), len(greatest) - 1)] if share < 1 else 0.0
+            docs, impacts = [], []
+            for d in used:
+                # Segments of levels [to, done) have a greatest impact above the floor and come now.
+                to = min(int(floor / unit[d]), done[d])
+                a, b = (self.first[d, to], self.first[d, done[d]]) if query[d] > 0 else (self.first[d, levels - done[d]], self.first[d, levels - to])
+                docs.append(self.docs[d, a:b])
+                impacts.append((self.level[d, a:b] if query[d] > 0 else levels - 1 - self.level[d, a:b]) * unit[d])
+                done[d] = to
+            got += np.bincount(np.concatenate(docs), np.concatenate(impacts), n)
+            # What a vector may have beyond this: the next segment of a dimension that it has not been met in, and no more than a level where it has.
+            left = (np.maximum(done, 1) * unit).sum() * (1 + 1e-9)
+            least = np.partition(got[members], -k)[-k]
+            members = members[got[members] + left >= least]
+            if len(members) <= few:
+                break
         scores = self.vectors[members] @ query
-        order = np.lexsort((self.ids[members], -scores))[:k]
-        return members[order], scores[order]
+        best = np.lexsort((self.ids[members], -scores))[:k]
+        return members[best], scores[best]
 
 
 def integers(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
