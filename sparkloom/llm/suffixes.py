@@ -347,7 +347,19 @@ def _scan(group: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([b for b, _ in out], pa.int32()), "data": pa.array([d for _, d in out], pa.binary())})
 
 
-def _cut(group: pa.Table, places: pa.Table) -> pa.Table:
+def _cut(whole_chars: bool):
+    return lambda group, places: _cut_block(group, places, whole_chars)
+
+
+def _whole_chars(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """gone, without characters of which only some bytes are gone."""
+    if not len(data):
+        return gone
+    first = np.flatnonzero((data & 0xC0) != 0x80)
+    return np.repeat(np.minimum.reduceat(gone, first), np.diff(np.append(first, len(data))))
+
+
+def _cut_block(group: pa.Table, places: pa.Table, whole_chars: bool) -> pa.Table:
     data, bounds = _buffer(group["text"])
     ids = _ids(group["doc_id"])
     sections = Sections(data, bounds)
@@ -382,6 +394,8 @@ def _cut(group: pa.Table, places: pa.Table) -> pa.Table:
             np.add.at(starts, hit, 1)
             np.add.at(starts, hit + SPAN, -1)
     gone = np.cumsum(starts[:-1]) > 0
+    if whole_chars:
+        gone = _whole_chars(data, gone)
     edge = np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))
     # A run that reaches the end of one document and one at the start of the next are two.
     begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -394,21 +408,23 @@ def _cut(group: pa.Table, places: pa.Table) -> pa.Table:
     left = ~gone
     kept = [data[s:e][left[s:e]].tobytes() for s, e in zip(bounds, bounds[1:])]
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    return pa.table({"doc_id": group["doc_id"], "n_bytes": pa.array(np.diff(bounds)), "spans": pa.array(spans, span), "kept": pa.array(kept, pa.binary())})
+    return pa.table({"doc_id": group["doc_id"], "rest": group["rest"], "n_bytes": pa.array(np.diff(bounds)), "spans": pa.array(spans, span), "kept": pa.array(kept, pa.binary())})
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_bytes, spans (removed runs of bytes, end exclusive) and kept (the bytes that stay)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).cast("binary").alias("text"))
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, whole_chars: bool = False) -> DataFrame:
+    """doc_id, rest (a struct of all other columns), n_bytes, spans (removed runs of bytes, end exclusive) and kept (the bytes that stay); with whole_chars a character of which only some bytes would go stays."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)] or [F.lit(None).cast("string").alias("none")]
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).cast("binary").alias("text"), F.struct(*rest).alias("rest"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    dealt = texts.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
-    by_block = dealt.groupBy("block")
+    # One exchange deals texts to their blocks; all three passes over the texts read its files.
+    by_block = texts.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).groupBy("block")
     anchors = by_block.applyInArrow(_anchors(blocks), "bucket int, block int, data binary")
     shared = anchors.groupBy("bucket").applyInArrow(_shared, "block int, data binary")
     sections = by_block.cogroup(shared.groupBy("block")).applyInArrow(_sections(blocks), "bucket int, block int, data binary")
     places = sections.groupBy("bucket").applyInArrow(_scan, "block int, data binary")
-    return by_block.cogroup(places.groupBy("block")).applyInArrow(_cut, "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    kind = texts.schema["rest"].dataType.simpleString()
+    return by_block.cogroup(places.groupBy("block")).applyInArrow(_cut(whole_chars), f"doc_id bigint, rest {kind}, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
