@@ -112,6 +112,8 @@ def sweeps(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[int, int, i
 def pack(cut_pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
     """The pieces (doc_id, piece, length, ...) with sequence_id and offset."""
     keys = [F.col("length").desc(), F.col("doc_id"), F.col("piece")]
+    # Finding the ranges samples the pieces; they are written first, so that no text is encoded twice.
+    cut_pieces = cut(cut_pieces)
     # The order within a partition is part of what is written, so ranks hold whichever executor reads it again.
     ranked = cut(cut_pieces.repartitionByRange(*keys).sortWithinPartitions(*keys))
     ranked = ranked.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
