@@ -1,32 +1,36 @@
-"""Suffix-array dedup: a logarithmic family of sparse suffix arrays.
+"""Suffix-array dedup: logarithmic families of sparse suffix arrays.
 
 A byte is removed where a string of ``span`` bytes that covers it also starts in a document
 with a smaller id. To find these strings without an array over every suffix of the corpus,
 suffixes are sampled by content: of the ``span - GRAM + 1`` hashes of GRAM bytes in a string,
 the smallest names its anchor, so equal strings have equal anchors wherever they stand, and
-neighbouring strings mostly share theirs. A run of strings with one anchor is a *section*.
-
-1. Documents are dealt to blocks by a hash of their id. Each block lists its anchors.
-2. Anchors seen in two blocks, or in two documents of one block, go back to their blocks; all
-   other strings are unique and done with.
-3. Blocks send the sections of those anchors, each distinct one once with its smallest document;
-   its further copies in the block are settled there.
-4. For each bucket of anchors, sections come in order of document ids, in batches. A batch gets
-   the suffix array of its strings (sorted by their first bytes, then by a fingerprint of the
-   whole string), is merge-scanned against every existing level for strings that an earlier
-   document has, compared byte by byte, and then becomes a level itself; levels of about equal
-   size merge, so there are never more than a logarithm of them and each string is merged that
-   many times.
-5. Blocks meet the places that were found, mark the bytes and cut them out.
-
-Texts are shuffled once, to their blocks; anchors and sections travel as packed arrays. Sections
-of one text in a thousand documents travel once for each block, so hot passages are reduced
-before the shuffle. Blocks and buckets are bounded in bytes by the number of blocks.
+neighbouring strings mostly share theirs. A run of strings with one anchor is a *section*, and
+the suffix that starts there stands for all its strings.
+
+Documents are dealt to blocks by a hash of their id; what blocks find out about their texts goes
+to buckets of anchors, and buckets reply with bits in the order in which they were asked:
+
+1. Blocks list their anchors. Buckets reply which of them two documents share; all strings
+   without such an anchor are unique and done with.
+2. Blocks send the sections of shared anchors as fingerprints, each distinct one once with its
+   smallest document. A bucket takes them in order of documents, in batches. A batch gets its
+   suffix array (anchors, then fingerprints), is merge-scanned against every existing level for
+   whole sections that an earlier document has, and becomes a level itself; levels of about
+   equal size merge, so there are never more than a logarithm of them.
+3. Where sections of one anchor differ, strings must be looked at one by one: of each distinct
+   section the first document's block sends the bytes. The same family, over the suffixes of all
+   their strings (first bytes, then a fingerprint, equal ones compared byte by byte), finds those
+   that an earlier document has.
+4. Blocks mark the bytes of strings that were found and cut them out.
+
+Texts are shuffled once, to their blocks. A passage that any number of documents share travels
+as one fingerprint a block and as bytes at most once. Blocks and buckets are bounded in bytes by
+their number, arrays within a block by slices.
 
 Null texts are empty; documents shorter than ``span`` lose nothing; rows with one id never cut
 one another, and each repeated row is cut alike; rows without an id count as the largest one; an
-empty table gives an empty result; extra columns are left alone. Very long texts are one
-document in one block.
+empty table gives an empty result; extra columns travel along. A very long text is one document
+in one block.
 """
 
 from __future__ import annotations
@@ -40,7 +44,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import table, whole_text
 
 SPAN, GRAM = 50, 20
-BLOCK_BYTES, BATCH_STRINGS = 12 << 20, 1 << 20
+BLOCK_BYTES, BATCH = 8 << 20, 1 << 16
 NO_ID = np.iinfo(np.int64).max
 U64 = np.uint64
 
@@ -133,7 +137,7 @@ class Sections:
         return order[new], which
 
 
-def _slices(bounds: np.ndarray, most: int = 1 << 21):
+def _slices(bounds: np.ndarray, most: int = 1 << 20):
     """Ranges of whole documents of about that many bytes: first byte, last, first document, last."""
     d, n = 0, len(bounds) - 1
     while d < n:
@@ -171,7 +175,7 @@ def _by_bucket(key: np.ndarray, buckets: int):
 
 
 class Level:
-    """A suffix array of strings of ``span`` bytes: their first bytes as a number, their fingerprint, where they stand in the text, and the smallest document that has each."""
+    """A suffix array: two keys that order suffixes, where each stands in the text, and the smallest document that has each."""
 
     def __init__(self, head: np.ndarray, mark: np.ndarray, at: np.ndarray, doc: np.ndarray):
         self.head, self.mark, self.at, self.doc = head, mark, at, doc
@@ -181,35 +185,35 @@ class Level:
 
 
 class SuffixFamily:
-    """Levels whose sizes at least double from one to the next. Batches come in order of documents."""
+    """Levels whose sizes at least double from one to the next. Batches come in order of documents. With a text, suffixes of equal keys are compared byte by byte over their first ``span`` bytes."""
 
-    def __init__(self, text: np.ndarray, span: int = SPAN):
+    def __init__(self, text: np.ndarray | None = None, span: int = SPAN):
         self.text, self.span, self.levels = text, span, []
 
     def _sorted(self, parts: list[Level]) -> tuple[Level, np.ndarray, np.ndarray]:
-        """The strings of all parts in the order of one suffix array, which of them equal the one before, and their order."""
+        """The suffixes of all parts in the order of one array, which of them equal the one before, and their order."""
         head, mark, at, doc = (np.concatenate([getattr(p, k) for p in parts]) for k in ("head", "mark", "at", "doc"))
         order = np.lexsort((doc, mark, head))
         all_ = Level(head[order], mark[order], at[order], doc[order])
         same = np.zeros(len(order), bool)
         same[1:] = (all_.head[1:] == all_.head[:-1]) & (all_.mark[1:] == all_.mark[:-1])
-        some = np.flatnonzero(same)
-        for s in range(0, len(some), 1 << 16):
-            own = some[s : s + (1 << 16)]
-            a, b = self._strings(all_.at[own]), self._strings(all_.at[own - 1])
-            same[own] = (a == b).all(1)
+        if self.text is not None:
+            some = np.flatnonzero(same)
+            for s in range(0, len(some), 1 << 14):
+                own = some[s : s + (1 << 14)]
+                same[own] = (self._strings(all_.at[own]) == self._strings(all_.at[own - 1])).all(1)
         return all_, same, order
 
     def _strings(self, at: np.ndarray) -> np.ndarray:
         return np.lib.stride_tricks.sliding_window_view(self.text, self.span)[at]
 
     def scan(self, batch: Level) -> np.ndarray:
-        """For each string of the batch whether a document before its own has it, in a level or in the batch."""
+        """For each suffix of the batch whether a document before its own has it, in a level or in the batch."""
         found = np.zeros(len(batch), bool)
         for other in [None, *self.levels]:
             all_, same, order = self._sorted([batch] if other is None else [batch, other])
             group = np.cumsum(~same) - 1
-            least = all_.doc[np.flatnonzero(~same)][group]  # sorted by document within equal strings
+            least = all_.doc[np.flatnonzero(~same)][group]  # sorted by document within equal suffixes
             own = order < len(batch)
             found[order[own]] |= (least < all_.doc)[own]
         return found
@@ -225,29 +229,46 @@ class SuffixFamily:
         return Level(all_.head[keep], all_.mark[keep], all_.at[keep], all_.doc[keep])
 
 
-def _found_in(text: np.ndarray, doc: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """For all strings of sections (of ``size`` strings each, from ``begin`` in text) whether an earlier document has them. Sections are in order of documents."""
+def find_sections(anchor: np.ndarray, mark: np.ndarray, doc: np.ndarray, batch: int = BATCH) -> tuple[np.ndarray, np.ndarray]:
+    """For sections in order of documents: whether an earlier document has the same one; whether its anchor has several, of which this is the first of its kind."""
+    family, found = SuffixFamily(), np.zeros(len(doc), bool)
+    for s in range(0, len(doc), batch):
+        own = slice(s, s + batch)
+        level = Level(anchor[own], mark[own], np.arange(s, min(s + batch, len(doc))), doc[own])
+        found[own] = family.scan(level)
+        family.add(level)
+    several = np.zeros(len(doc), bool)
+    if family.levels:
+        whole = family._merged(family.levels)
+        near = np.zeros(len(whole), bool)
+        near[1:] = whole.head[1:] == whole.head[:-1]
+        near[:-1] |= near[1:]
+        several[whole.at[near]] = True
+    return found, several & ~found
+
+
+def find_strings(text: np.ndarray, doc: np.ndarray, size: np.ndarray, batch: int = 4 * BATCH) -> np.ndarray:
+    """For all strings of sections (``size`` strings each, one section's bytes behind the other's in text, in order of documents) whether an earlier document has them."""
     family, out = SuffixFamily(text), []
-    ends = np.cumsum(size)
+    length = size + SPAN - 1
+    begin, ends = np.cumsum(length) - length, np.cumsum(size)
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     s = 0
     while s < len(size):
-        e = int(np.searchsorted(ends, (ends[s - 1] if s else 0) + BATCH_STRINGS, "right"))
-        e = max(e, s + 1)
+        e = max(int(np.searchsorted(ends, (ends[s - 1] if s else 0) + batch, "right")), s + 1)
         n = size[s:e]
         at = np.repeat(begin[s:e] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        lo, hi = int(begin[s]), int(begin[e - 1] + size[e - 1] + SPAN - 1)
+        lo, hi = int(begin[s]), int(begin[e - 1] + length[e - 1])
         mark = Rolling(text[lo:hi], 3).all(SPAN)[at - lo]
         head = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[at]).view(">u8").ravel().astype(U64)
-        batch = Level(head, mark, at, np.repeat(doc[s:e], n))
-        out.append(family.scan(batch))
+        level = Level(head, mark, at, np.repeat(doc[s:e], n))
+        out.append(family.scan(level))
         if e < len(size):
-            family.add(batch)
+            family.add(level)
         s = e
     return np.concatenate(out) if out else np.zeros(0, bool)
 
 
-
 def _bytes(*arrays: np.ndarray) -> bytes:
     """Arrays one behind the other, each with its length before it."""
     return b"".join(len(x).to_bytes(8, "little") + x.tobytes() for x in arrays)
@@ -262,93 +283,166 @@ def _arrays(blob: pa.BinaryScalar, *kinds) -> list[np.ndarray]:
     return out
 
 
-def _anchors(buckets: int):
-    def run(group: pa.Table) -> pa.Table:
-        data, bounds = _buffer(group["text"])
-        ids = _ids(group["doc_id"])
-        sections = Sections(data, bounds, marks=False)
-        order = np.lexsort((ids[sections.doc], sections.anchor))
-        anchor, doc = sections.anchor[order], ids[sections.doc[order]]
+def _bits(flags: np.ndarray) -> np.ndarray:
+    return np.packbits(flags)
+
+
+def _flags(bits: np.ndarray, n: int) -> np.ndarray:
+    return np.unpackbits(bits, count=n).astype(bool)
+
+
+ASKED = "bucket int, block int, data binary"
+REPLIED = "block int, bucket int, data binary"
+
+
+def _asked(block: int, found: list[tuple[int, bytes]]) -> pa.Table:
+    return pa.table({"bucket": pa.array([b for b, _ in found], pa.int32()), "block": pa.array([block] * len(found), pa.int32()), "data": pa.array([d for _, d in found], pa.binary())})
+
+
+def _replied(group: pa.Table, replies: list[bytes]) -> pa.Table:
+    return pa.table({"block": group["block"].cast(pa.int32()), "bucket": group["bucket"].cast(pa.int32()), "data": pa.array(replies, pa.binary())})
+
+
+class Block:
+    """A block's sections, and what the buckets have replied about them so far."""
+
+    def __init__(self, group: pa.Table, replies: pa.Table | None, buckets: int, marks: bool = True):
+        self.block = group["block"][0].as_py()
+        self.data, self.bounds = _buffer(group["text"])
+        self.ids = _ids(group["doc_id"])
+        self.sections = Sections(self.data, self.bounds, marks)
+        self.buckets, self.replies = buckets, {}
+        if replies is not None:
+            for bucket, data in zip(replies["bucket"].to_pylist(), replies["data"].combine_chunks()):
+                self.replies[bucket] = data
+
+    def reply(self, bucket: int, k: int) -> np.ndarray:
+        """The k-th bits of a bucket's reply: shared anchors, found sections, open sections, found strings."""
+        return _arrays(self.replies[bucket], *[np.uint8] * (k + 1))[k]
+
+    def asks(self, key: np.ndarray, own_bytes, carried: int) -> pa.Table:
+        """A question for each bucket that has replied: what own_bytes makes of the places whose key falls in it, and the bits that its next reply carries along."""
+        by = dict(_by_bucket(key, self.buckets))
+        none = np.zeros(0, np.int64)
+        return _asked(self.block, [(k, own_bytes(by.get(k, none)) + _bytes(*_arrays(self.replies[k], *[np.uint8] * carried))) for k in sorted(self.replies)])
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct anchors, sorted, and which of them several documents of the block have."""
+        anchor, doc = self.sections.anchor, self.ids[self.sections.doc]
+        order = np.lexsort((doc, anchor))
+        anchor, doc = anchor[order], doc[order]
         new = np.ones(len(order), bool)
         new[1:] = anchor[1:] != anchor[:-1]
         first = np.flatnonzero(new)
         several = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first) if len(first) else np.zeros(0, bool)
-        anchor = anchor[first]
-        out = [(b, _bytes(anchor[own], several[own])) for b, own in _by_bucket(anchor, buckets)]
-        return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "block": pa.array([group["block"][0].as_py()] * len(out), pa.int32()), "data": pa.array([d for _, d in out], pa.binary())})
+        return anchor[first], several
+
+    def shared(self) -> np.ndarray:
+        """The anchors that two documents share, sorted."""
+        anchor = np.unique(self.sections.anchor)
+        keep = np.zeros(len(anchor), bool)
+        for bucket, own in _by_bucket(anchor, self.buckets):
+            keep[own] = _flags(self.reply(bucket, 0), len(own))
+        return anchor[keep]
+
+    def entries(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct sections of shared anchors (of each one in the smallest document), in order of fingerprints; and for every section which of these it is, or -1."""
+        one, which = self.sections.distinct(self.ids)
+        wanted = self.shared()
+        if not len(wanted):
+            return one[:0], np.full(len(which), -1)
+        at = np.minimum(np.searchsorted(wanted, self.sections.anchor[one]), len(wanted) - 1)
+        keep = wanted[at] == self.sections.anchor[one]
+        place = np.where(keep, np.cumsum(keep) - 1, -1)
+        return one[keep], place[which]
+
+    def judged(self, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of these sections which an earlier document has as a whole, and which are to be looked at string by string."""
+        found, open_ = np.zeros(len(one), bool), np.zeros(len(one), bool)
+        for bucket, own in _by_bucket(self.sections.anchor[one], self.buckets):
+            found[own], open_[own] = _flags(self.reply(bucket, 1), len(own)), _flags(self.reply(bucket, 2), len(own))
+        return found, open_
+
+
+def _ask_anchors(buckets: int):
+    def run(group: pa.Table) -> pa.Table:
+        b = Block(group, None, buckets, marks=False)
+        anchor, several = b.anchors()
+        return _asked(b.block, [(k, _bytes(anchor[own], _bits(several[own]))) for k, own in _by_bucket(anchor, buckets)])
 
     return run
 
 
-def _shared(group: pa.Table) -> pa.Table:
-    """The anchors of a bucket that two blocks or two documents share, for each block that has them."""
-    parts = [_arrays(x, U64, bool) for x in group["data"].combine_chunks()]
-    anchor, several = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-    owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-    values, which, n = np.unique(anchor, return_inverse=True, return_counts=True)
+def _reply_anchors(group: pa.Table) -> pa.Table:
+    parts = [_arrays(x, U64, np.uint8) for x in group["data"].combine_chunks()]
+    sizes = [len(p[0]) for p in parts]
+    _, which, n = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True, return_counts=True)
     many = n > 1
-    many[which[several]] = True
-    blocks = group["block"].to_numpy()
-    out = [(int(blocks[k]), _bytes(own)) for k in range(len(parts)) if len(own := anchor[(owner == k) & many[which]])] if len(parts) < 64 else _split_by(owner, anchor, many[which], blocks)
-    return pa.table({"block": pa.array([b for b, _ in out], pa.int32()), "data": pa.array([d for _, d in out], pa.binary())})
-
-
-def _split_by(owner: np.ndarray, anchor: np.ndarray, keep: np.ndarray, blocks: np.ndarray) -> list[tuple[int, bytes]]:
-    owner, anchor = owner[keep], anchor[keep]  # owners rise
-    cuts = np.searchsorted(owner, np.arange(len(blocks) + 1))
-    return [(int(blocks[k]), _bytes(anchor[s:e])) for k, (s, e) in enumerate(zip(cuts, cuts[1:])) if e > s]
-
-
-def _sections(buckets: int):
-    def run(group: pa.Table, shared: pa.Table) -> pa.Table:
-        out: list[tuple[int, bytes]] = []
-        if group.num_rows and shared.num_rows:
-            wanted = np.unique(np.concatenate([_arrays(x, U64)[0] for x in shared["data"].combine_chunks()]))
-            data, bounds = _buffer(group["text"])
-            ids = _ids(group["doc_id"])
-            sections = Sections(data, bounds)
-            one, _ = sections.distinct(ids)
-            at = np.minimum(np.searchsorted(wanted, sections.anchor[one]), len(wanted) - 1)
-            one = one[wanted[at] == sections.anchor[one]]
-            for b, own in _by_bucket(sections.anchor[one], buckets):
-                k = one[own]
-                size = sections.size[k]
-                length = size + SPAN - 1
-                take = np.repeat(sections.first[k] - (np.cumsum(length) - length), length) + np.arange(length.sum())
-                out.append((b, _bytes(ids[sections.doc[k]], size.astype(np.int32), sections.f1[k], sections.f2[k], data[take])))
-        block = group["block"][0].as_py() if group.num_rows else 0
-        return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "block": pa.array([block] * len(out), pa.int32()), "data": pa.array([d for _, d in out], pa.binary())})
+    many[which[np.concatenate([_flags(p[1], k) for p, k in zip(parts, sizes)])]] = True
+    cuts = np.cumsum([0, *sizes])
+    return _replied(group, [_bytes(_bits(many[which[s:e]])) for s, e in zip(cuts, cuts[1:])])
+
+
+def _ask_sections(buckets: int):
+    def run(group: pa.Table, replies: pa.Table) -> pa.Table:
+        if not group.num_rows or not replies.num_rows:
+            return _asked(0, [])
+        b = Block(group, replies, buckets)
+        one, _ = b.entries()
+        s = b.sections
+        return b.asks(s.anchor[one], lambda own: _bytes(s.anchor[one[own]], s.f1[one[own]], b.ids[s.doc[one[own]]]), 1)
 
     return run
 
 
-def _scan(group: pa.Table) -> pa.Table:
-    """For each block the fingerprints of its sections in which strings were found, and which strings."""
-    parts = [_arrays(x, np.int64, np.int32, U64, U64, np.uint8) for x in group["data"].combine_chunks()]
-    doc, size, f1, f2, text = (np.concatenate([p[i] for p in parts]) for i in range(5))
-    owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+def _reply_sections(group: pa.Table) -> pa.Table:
+    parts = [_arrays(x, U64, U64, np.int64, np.uint8) for x in group["data"].combine_chunks()]
+    anchor, mark, doc = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    order = np.argsort(doc, kind="stable")
+    found, open_ = np.empty(len(doc), bool), np.empty(len(doc), bool)
+    found[order], open_[order] = find_sections(anchor[order], mark[order], doc[order])
+    cuts = np.cumsum([0, *(len(p[0]) for p in parts)])
+    return _replied(group, [_bytes(p[3], _bits(found[s:e]), _bits(open_[s:e])) for p, s, e in zip(parts, cuts, cuts[1:])])
+
+
+def _ask_strings(buckets: int):
+    def run(group: pa.Table, replies: pa.Table) -> pa.Table:
+        if not group.num_rows or not replies.num_rows:
+            return _asked(0, [])
+        b = Block(group, replies, buckets)
+        one, _ = b.entries()
+        s, (_, open_) = b.sections, b.judged(one)
+        one = one[open_]
+
+        def content(own: np.ndarray) -> bytes:
+            i = one[own]
+            length = s.size[i] + SPAN - 1
+            take = np.repeat(s.first[i] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+            return _bytes(b.ids[s.doc[i]], s.size[i].astype(np.int32), b.data[take])
+
+        return b.asks(s.anchor[one], content, 3)
+
+    return run
+
+
+def _reply_strings(group: pa.Table) -> pa.Table:
+    parts = [_arrays(x, np.int64, np.int32, *[np.uint8] * 4) for x in group["data"].combine_chunks()]
+    doc, size, text = (np.concatenate([p[i] for p in parts]) for i in range(3))
     size = size.astype(np.int64)
     length = size + SPAN - 1
-    begin = np.cumsum(length) - length
     order = np.argsort(doc, kind="stable")
-    # Sections stand in the text in order of documents, as batches read it from front to back.
+    begin = np.cumsum(length) - length
     text = text[np.repeat(begin[order] - (np.cumsum(length[order]) - length[order]), length[order]) + np.arange(length.sum())]
-    begin = np.cumsum(length[order]) - length[order]
-    found = _found_in(text, doc[order], begin, size[order])
-    first = np.cumsum(size[order]) - size[order]
-    some = np.add.reduceat(found, first) > 0
-    blocks, out = group["block"].to_numpy(), []
-    for k in range(len(parts)):
-        own = np.flatnonzero(some & (owner[order] == k))
-        if len(own):
-            n = size[order][own]
-            flags = found[np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            out.append((int(blocks[k]), _bytes(f1[order][own], f2[order][own], n.astype(np.int32), np.packbits(flags))))
-    return pa.table({"block": pa.array([b for b, _ in out], pa.int32()), "data": pa.array([d for _, d in out], pa.binary())})
+    sorted_ = find_strings(text, doc[order], size[order])
+    first = np.cumsum(size) - size
+    found = np.empty(len(sorted_), bool)
+    found[np.repeat(first[order] - (np.cumsum(size[order]) - size[order]), size[order]) + np.arange(len(sorted_))] = sorted_
+    cuts = np.cumsum([0, *(int(p[1].sum()) for p in parts)])
+    return _replied(group, [_bytes(*p[3:], _bits(found[s:e])) for p, s, e in zip(parts, cuts, cuts[1:])])
 
 
-def _cut(whole_chars: bool):
-    return lambda group, places: _cut_block(group, places, whole_chars)
+def _cut(buckets: int, whole_chars: bool):
+    return lambda group, replies: _cut_block(group, replies, buckets, whole_chars)
 
 
 def _whole_chars(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
@@ -359,40 +453,45 @@ def _whole_chars(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
     return np.repeat(np.minimum.reduceat(gone, first), np.diff(np.append(first, len(data))))
 
 
-def _cut_block(group: pa.Table, places: pa.Table, whole_chars: bool) -> pa.Table:
-    data, bounds = _buffer(group["text"])
-    ids = _ids(group["doc_id"])
-    sections = Sections(data, bounds)
-    starts = np.zeros(len(data) + 1, np.int32)  # +1 where a run of removed bytes begins, -1 behind its end
-    one, which = sections.distinct(ids)
-    least = ids[sections.doc[one]][which]
-    # Copies of a section that an earlier document of this block has as well go as a whole.
-    whole = ids[sections.doc] > least
-    np.add.at(starts, sections.first[whole], 1)
-    np.add.at(starts, sections.first[whole] + sections.size[whole] + SPAN - 1, -1)
-    if places.num_rows:
-        for blob in places["data"].combine_chunks():
-            f1, f2, n, bits = _arrays(blob, U64, U64, np.int32, np.uint8)
-            n = n.astype(np.int64)
-            flags = np.unpackbits(bits, count=int(n.sum())).astype(bool)
-            first = np.cumsum(n) - n
-            # All sections with these fingerprints in the document with the smallest id; the rest are whole anyway.
-            lo = np.searchsorted(sections.f1[one], f1, "left")
-            for j in range(len(f1)):
-                i = lo[j]
-                while sections.f2[one[i]] != f2[j]:
-                    i += 1
-                lo[j] = i
-            place = np.full(len(one), -1)
-            place[lo] = np.arange(len(f1))
-            own = np.flatnonzero((place[which] >= 0) & ~whole)
-            p = place[which[own]]
-            size = n[p]
-            at = np.repeat(first[p] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            string = np.repeat(sections.first[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            hit = string[flags[at]]
-            np.add.at(starts, hit, 1)
-            np.add.at(starts, hit + SPAN, -1)
+def _marked(b: Block) -> np.ndarray:
+    """+1 where a run of removed bytes begins and -1 behind its end."""
+    s, starts = b.sections, np.zeros(len(b.data) + 1, np.int32)
+
+    def mark(first: np.ndarray, end: np.ndarray) -> None:
+        np.add.at(starts, first, 1)
+        np.add.at(starts, end, -1)
+
+    if not b.replies:
+        return starts
+    one, which = b.entries()
+    found, open_ = b.judged(one)
+    known = which >= 0
+    # Sections that a document before has as a whole, in another block or in this one.
+    whole = np.zeros(len(which), bool)
+    whole[known] = found[which[known]] | (b.ids[s.doc[known]] > b.ids[s.doc[one]][which[known]])
+    mark(s.first[whole], s.first[whole] + s.size[whole] + SPAN - 1)
+    # Single strings of the rest.
+    at = np.full(len(one), -1)
+    asked, flags, n = np.flatnonzero(open_), [], 0
+    for bucket, own in _by_bucket(s.anchor[one[asked]], b.buckets):
+        size = s.size[one[asked[own]]]
+        at[asked[own]] = n + np.cumsum(size) - size
+        flags.append(_flags(b.reply(bucket, 3), int(size.sum())))
+        n += int(size.sum())
+    if n:
+        flags = np.concatenate(flags)
+        own = np.flatnonzero(known & ~whole)
+        own = own[at[which[own]] >= 0]
+        size, first = s.size[own], at[which[own]]
+        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        hit = (np.repeat(s.first[own], size) + step)[flags[np.repeat(first, size) + step]]
+        mark(hit, hit + SPAN)
+    return starts
+
+
+def _cut_block(group: pa.Table, replies: pa.Table, buckets: int, whole_chars: bool) -> pa.Table:
+    b = Block(group, replies, buckets)
+    data, bounds, starts = b.data, b.bounds, _marked(b)
     gone = np.cumsum(starts[:-1]) > 0
     if whole_chars:
         gone = _whole_chars(data, gone)
@@ -417,14 +516,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).cast("binary").alias("text"), F.struct(*rest).alias("rest"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    # One exchange deals texts to their blocks; all three passes over the texts read its files.
+    # One exchange deals texts to their blocks; all passes over the texts read its files.
     by_block = texts.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).groupBy("block")
-    anchors = by_block.applyInArrow(_anchors(blocks), "bucket int, block int, data binary")
-    shared = anchors.groupBy("bucket").applyInArrow(_shared, "block int, data binary")
-    sections = by_block.cogroup(shared.groupBy("block")).applyInArrow(_sections(blocks), "bucket int, block int, data binary")
-    places = sections.groupBy("bucket").applyInArrow(_scan, "block int, data binary")
+    replies = by_block.applyInArrow(_ask_anchors(blocks), ASKED).groupBy("bucket").applyInArrow(_reply_anchors, REPLIED)
+    for ask, reply in ((_ask_sections, _reply_sections), (_ask_strings, _reply_strings)):
+        replies = by_block.cogroup(replies.groupBy("block")).applyInArrow(ask(blocks), ASKED).groupBy("bucket").applyInArrow(reply, REPLIED)
     kind = texts.schema["rest"].dataType.simpleString()
-    return by_block.cogroup(places.groupBy("block")).applyInArrow(_cut(whole_chars), f"doc_id bigint, rest {kind}, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    return by_block.cogroup(replies.groupBy("block")).applyInArrow(_cut(blocks, whole_chars), f"doc_id bigint, rest {kind}, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
