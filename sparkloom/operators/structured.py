@@ -31,11 +31,19 @@ def _values(m: Mapped) -> Column:
     return F.filter(parts, lambda x: x != "")
 
 
+def _entities(m: Mapped, k: int, confidence: float) -> Column:
+    return F.transform(_values(m), lambda v, i: F.struct(v.alias("name"), F.lit(m.entity_type).alias("type"), F.lit(confidence).alias("confidence"), (F.lit(k * 100_000) + i).cast("long").alias("at")))
+
+
+def _objects(m: Mapped, k: int) -> Column:
+    return F.transform(_values(m), lambda v, i: F.struct(v.alias("object"), F.lit(m.relation).alias("predicate"), (F.lit(k * 1000) + i).cast("long").alias("at")))
+
+
 def structured_entities(rows: DataFrame, mapping: list[Mapped]) -> DataFrame:
     """(seq, name, type, confidence) of id and reference columns, the first of equal (name, type). rows has a seq column; ids come before references in a row."""
     ids, refs = ([m for m in mapping if m.role == r] for r in ("id", "reference"))
     all_ = [(m, ID_CONFIDENCE) for m in ids] + [(m, REFERENCE_CONFIDENCE) for m in refs]
-    found = F.flatten(F.array(*(F.transform(_values(m), lambda v, i, m=m, k=k, c=c: F.struct(v.alias("name"), F.lit(m.entity_type).alias("type"), F.lit(c).alias("confidence"), (F.lit(k * 100_000) + i).cast("long").alias("at"))) for k, (m, c) in enumerate(all_))))
+    found = F.flatten(F.array(*(_entities(m, k, c) for k, (m, c) in enumerate(all_))))
     flat = rows.select("seq", F.explode(found).alias("e")).select((F.col("seq") * 10_000_000 + F.col("e.at")).alias("seq"), "e.name", "e.type", "e.confidence")
     return first_of(flat, name=F.col("name"), type=F.col("type"))
 
@@ -44,7 +52,7 @@ def structured_relations(rows: DataFrame, mapping: list[Mapped]) -> DataFrame:
     """(seq, subject, predicate, object, confidence, evidence) of each id with each reference of its row, the first of equal ones."""
     ids, refs = ([m for m in mapping if m.role == r] for r in ("id", "reference"))
     subjects = F.flatten(F.array(*map(_values, ids)))
-    objects = F.flatten(F.array(*(F.transform(_values(m), lambda v, i, m=m, k=k: F.struct(v.alias("object"), F.lit(m.relation).alias("predicate"), (F.lit(k * 1000) + i).cast("long").alias("at"))) for k, m in enumerate(refs) if m.relation)))
+    objects = F.flatten(F.array(*(_objects(m, k) for k, m in enumerate(refs) if m.relation)))
     source = F.col("_source") if "_source" in rows.columns else F.lit("")
     flat = rows.select("seq", source.alias("source"), subjects.alias("subjects"), F.explode(objects).alias("o")).select("seq", "source", F.posexplode("subjects").alias("s", "subject"), "o.*")
     flat = flat.filter("subject <> object")
