@@ -119,4 +119,4 @@ def gleaning_merge(existing: DataFrame, gleaned: DataFrame) -> DataFrame:
     b = first_of(gleaned, name=F.col("name"), type=F.col("type")).select("name", "type", F.col("description").alias("_d"), F.col("confidence").alias("_c"), F.col("seq").alias("_s"))
     both = existing.join(b, ["name", "type"], "full_outer")
     longer = F.length(F.coalesce("_d", F.lit(""))) > F.length(F.coalesce("description", F.lit("")))
-    return both.select("name", "type", F.when(longer, F.col("_d")).otherwise(F.col("description")).alias("description"), F.greatest("confidence", "_c").alias("confidence"), F.coalesce("seq", "_s").alias("seq"))
+    return both.select("name", "type", F.when(longer, F.col("_d")).otherwise(F.coalesce("description", "_d")).alias("description"), F.greatest("confidence", "_c").alias("confidence"), F.coalesce("seq", "_s").alias("seq"))

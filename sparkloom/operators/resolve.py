@@ -3,8 +3,9 @@
 Names that a level finds leave before the next, so the costly levels see only what is left, and
 only distinct names at that. Levels 1 and 2 are equi-joins. The others compare names with names:
 level 3 through blocks that share letters (below), 4 and 6 as theta joins. Entities are a
-dictionary of distinct names; it is broadcast only while it is smaller than ``most``, and cut
-into blocks of that size otherwise, each met by every name that is left.
+dictionary of distinct names. Spark broadcasts it where its measured size allows and sorts and
+merges otherwise; names left over are distinct and few by then. Each level is written before the
+next, so the plan stays as long as one level and a lost executor costs that at most.
 """
 
 from __future__ import annotations
@@ -18,13 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import normalize_name, strip
+from sparkloom.lineage import cut
 from sparkloom.operators.dedup import first_of
 
 #: Penalty and bounds of each level.
 PENALTY = {"exact": 0.0, "normalized": 0.05, "fuzzy": 0.10, "substring": 0.15, "char_overlap": 0.20}
 RATIO, SHORT, OVERLAP = 0.85, 15, 0.7
-#: Names of one block of the dictionary.
-BLOCK = 20_000
 
 
 def dictionary(entities: DataFrame) -> DataFrame:
@@ -87,10 +87,10 @@ def best_ratio(query: str, names: list[tuple[int, str, str]], threshold: float)
     return None if at is None else (best, at)
 
 
-def fuzzy(queries: DataFrame, names: DataFrame, threshold: float = RATIO, block: int = BLOCK) -> DataFrame:
+def fuzzy(queries: DataFrame, names: DataFrame, threshold: float = RATIO, parts: int = 64) -> DataFrame:
     """(query, ename) with difflib's greatest ratio above the threshold, the first of equals.
 
-    Names are put in blocks of at most ``block``; each block is one row that holds its names and
+    Names are dealt to blocks by length and hash; each block is one row that holds its names and
     meets the queries of its length band: a ratio above t needs lengths within t / (2 - t) of
     one another, so a query of normalised length n only meets names from n * t / (2 - t) to
     n * (2 - t) / t. Blocks are groups of one task each, queries stream in bounded batches.
@@ -98,11 +98,11 @@ def fuzzy(queries: DataFrame, names: DataFrame, threshold: float = RATIO, block:
     low = threshold / (2 - threshold)
     # Bands of lengths that grow by a fifth; a query's range meets few of them.
     band = lambda n: F.floor(F.log(1.2, F.greatest(n, F.lit(1)))).cast("int")
-    e = names.withColumn("band", band(F.length("enorm").cast("double"))).withColumn("part", F.pmod(F.xxhash64("ename"), F.lit(64)))
+    e = names.withColumn("band", band(F.length("enorm").cast("double"))).withColumn("part", F.pmod(F.xxhash64("ename"), F.lit(parts)))
     e = e.groupBy("band", "part").agg(F.collect_list(F.struct("eseq", "enorm", "ename", "etype")).alias("own"))
     n = F.length(normalize_name(F.col("query"))).cast("double")
     q = queries.withColumn("qnorm", normalize_name(F.col("query"))).withColumn("band", F.explode(F.sequence(band(n * low), band(n / low + 1))))
-    pairs = q.groupBy("band", F.pmod(F.xxhash64("query"), F.lit(64)).alias("qpart")).agg(F.collect_list(F.struct("query", "qnorm")).alias("asked")).join(e, "band")
+    pairs = q.groupBy("band", F.pmod(F.xxhash64("query"), F.lit(parts)).alias("qpart")).agg(F.collect_list(F.struct("query", "qnorm")).alias("asked")).join(e, "band")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -123,13 +123,14 @@ def fuzzy(queries: DataFrame, names: DataFrame, threshold: float = RATIO, block:
 
 def waterfall(queries: DataFrame, entities: DataFrame) -> DataFrame:
     """For each distinct query the entity name it resolves to, by the first level that finds one: query, ename, etype, penalty, method; null where none does."""
-    names = dictionary(entities)
+    # Each level's rest is the next one's input, twice; without a cut the plan doubles from level to level.
+    names = cut(dictionary(entities))
     left = queries.select(strip(F.col("query")).alias("query")).filter("query <> ''").distinct()
     found = None
     for method, level in (("exact", exact), ("normalized", normalized), ("fuzzy", fuzzy), ("substring", substring), ("char_overlap", char_overlap)):
-        hit = level(left, names).select("query", "ename", "etype", F.lit(PENALTY[method]).alias("penalty"), F.lit(method).alias("method"))
+        hit = cut(level(left, names).select("query", "ename", "etype", F.lit(PENALTY[method]).alias("penalty"), F.lit(method).alias("method")))
         found = hit if found is None else found.unionByName(hit)
-        left = left.join(hit, "query", "left_anti")
+        left = cut(left.join(hit, "query", "left_anti"))
     none = left.select("query", F.lit(None).cast("string").alias("ename"), F.lit(None).cast("string").alias("etype"), F.lit(0.0).alias("penalty"), F.lit("no_match").alias("method"))
     return found.unionByName(none)
 

@@ -181,7 +181,7 @@ def entity_dedup_fuzzy(spark, d):
 GLEAN_SQL = """
 WITH a AS (SELECT s_suppkey AS seq, s_name AS name, 'Supplier' AS type, 'in ' || s_nationkey AS description, 0.5 + s_suppkey % 5 / 10.0 AS confidence FROM supplier WHERE s_suppkey % 3 <> 0),
      b AS (SELECT s_suppkey + 100000 AS seq, s_name AS name, 'Supplier' AS type, CASE WHEN s_suppkey % 2 = 0 THEN 'a longer description' ELSE '' END AS description, 0.7::DOUBLE AS confidence FROM supplier WHERE s_suppkey % 3 <> 1)
-SELECT coalesce(a.name, b.name) AS name, coalesce(a.type, b.type) AS type, CASE WHEN length(coalesce(b.description, '')) > length(coalesce(a.description, '')) THEN b.description ELSE a.description END AS description,
+SELECT coalesce(a.name, b.name) AS name, coalesce(a.type, b.type) AS type, CASE WHEN length(coalesce(b.description, '')) > length(coalesce(a.description, '')) THEN b.description ELSE coalesce(a.description, b.description) END AS description,
        CASE WHEN a.confidence IS NULL THEN b.confidence WHEN b.confidence IS NULL THEN a.confidence ELSE greatest(a.confidence, b.confidence) END AS confidence, coalesce(a.seq, b.seq) AS seq
 FROM a FULL OUTER JOIN b ON a.name = b.name AND a.type = b.type
 """

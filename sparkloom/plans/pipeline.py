@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
+from sparkloom.lineage import cut
 from sparkloom.operators import dedup, graph
 from sparkloom.operators.ontology import Ontology
 
@@ -155,11 +156,11 @@ def answers_to_relations(answers: DataFrame) -> DataFrame:
     return rows.select(_seq().alias("seq"), "r.*")
 
 
-def run(spark: SparkSession, docs: DataFrame, ontology: Ontology, make: Callable[[], Backend], config: Config = Config(), canonical: DataFrame | None = None, rejected: DataFrame | None = None, corrections: DataFrame | None = None, write: Callable[[str, DataFrame], DataFrame] = lambda _, df: df.persist()) -> Result:
+def run(spark: SparkSession, docs: DataFrame, ontology: Ontology, make: Callable[[], Backend], config: Config = Config(), canonical: DataFrame | None = None, rejected: DataFrame | None = None, corrections: DataFrame | None = None, write: Callable[[str, DataFrame], DataFrame] = lambda _, df: cut(df)) -> Result:
     """The stages in order; ``write`` materialises what a model has said."""
     parts = chunks(docs, config)
-    entities = dedup.entities_exact(write("entities", extract_entities(parts, make)))
-    relations = dedup.relations_first(write("relations", extract_relations(parts, make))) if "relations" in config.stages else spark.createDataFrame([], f"{RELATION}, seq long")
+    entities = write("entities", dedup.entities_exact(extract_entities(parts, make)))
+    relations = write("relations", dedup.relations_first(extract_relations(parts, make))) if "relations" in config.stages else spark.createDataFrame([], f"{RELATION}, seq long")
     types = ontology.relation_frame(spark)
     if canonical is not None:
         relations = graph.canonicalize(relations, canonical).drop("original_predicate")
@@ -168,8 +169,8 @@ def run(spark: SparkSession, docs: DataFrame, ontology: Ontology, make: Callable
         pairs = graph.weighted(graph.cooccurrence(graph.mentions(graph.paragraphs(docs, config.paragraph_separator), named)))
         near = graph.top_pairs(graph.upgraded(pairs, types).select("subject", "predicate", "object", "confidence", "evidence"))
         near = near.withColumn("seq", F.lit(1 << 61) + F.monotonically_increasing_id())
-        relations = graph.backfill(relations, near, config.cooccurrence_least)
-    found = graph.triples(relations, entities, types)
+        relations = write("all_relations", graph.backfill(relations, near, config.cooccurrence_least))
+    found = write("triples", graph.triples(relations, entities, types))
     if rejected is not None and corrections is not None:
         entities = graph.qc_entities(entities, rejected, corrections)
         none = spark.createDataFrame([], "subject string, predicate string, object string")
