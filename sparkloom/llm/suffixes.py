@@ -100,7 +100,7 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
 
 
 class Sections:
-    """The sections of some documents: document (its row), first string, number of strings, anchor, fingerprint of two words."""
+    """The sections of some documents: document (its row), first string, number of strings, anchor, and mark, a fingerprint of its bytes. Anchor and mark together, 128 bits, tell sections apart."""
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray, marks: bool = True):
         parts = []
@@ -122,19 +122,11 @@ class Sections:
             ok = whole[first]
             first, size = first[ok], size[ok]
             last = first + size + SPAN - 1
-            f1, f2 = (roll.of(first, last), Rolling(piece, 2).of(first, last)) if marks else (anchor[first],) * 2
-            parts.append((doc[first], first + lo, size, anchor[first], f1 ^ size.astype(U64), f2))
-        empty = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U64),) * 3
-        self.doc, self.first, self.size, self.anchor, self.f1, self.f2 = (np.concatenate(x) for x in zip(*parts or [empty]))
-
-    def distinct(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each distinct section the one in the document with the smallest id; and for every section which distinct one it is."""
-        order = np.lexsort((self.first, ids[self.doc], self.f2, self.f1))
-        new = np.ones(len(order), bool)
-        new[1:] = (self.f1[order][1:] != self.f1[order][:-1]) | (self.f2[order][1:] != self.f2[order][:-1])
-        which = np.empty(len(order), np.int64)
-        which[order] = np.cumsum(new) - 1
-        return order[new], which
+            mark = roll.of(first, last) ^ size.astype(U64) if marks else anchor[first]
+            # The smallest of many hashes is small; mixed again, anchors spread evenly.
+            parts.append((doc[first], first + lo, size, _mix(anchor[first] * U64(0x9E3779B97F4A7C15)), mark))
+        empty = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U64),) * 2
+        self.doc, self.first, self.size, self.anchor, self.mark = (np.concatenate(x) for x in zip(*parts or [empty]))
 
 
 def _slices(bounds: np.ndarray, most: int = 1 << 20):
@@ -165,13 +157,12 @@ def _ids(col: pa.ChunkedArray) -> np.ndarray:
     return col.combine_chunks().fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _by_bucket(key: np.ndarray, buckets: int):
-    """Groups of places by the bucket that a hash falls in."""
-    bucket = (key % U64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1)) if len(order) else []
+def _by_bucket(anchor: np.ndarray, buckets: int):
+    """Buckets, which are ranges of anchors, and the part of the sorted anchors that falls in each."""
+    bucket = ((anchor >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)) if len(bucket) else []
     for s, e in zip(cuts, cuts[1:]):
-        yield int(bucket[order[s]]), order[s:e]
+        yield int(bucket[s]), slice(s, e)
 
 
 class Level:
@@ -323,51 +314,47 @@ class Block:
     def asks(self, key: np.ndarray, own_bytes, carried: int) -> pa.Table:
         """A question for each bucket that has replied: what own_bytes makes of the places whose key falls in it, and the bits that its next reply carries along."""
         by = dict(_by_bucket(key, self.buckets))
-        none = np.zeros(0, np.int64)
+        none = slice(0, 0)
         return _asked(self.block, [(k, own_bytes(by.get(k, none)) + _bytes(*_arrays(self.replies[k], *[np.uint8] * carried))) for k in sorted(self.replies)])
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct anchors, sorted, and which of them several documents of the block have."""
-        anchor, doc = self.sections.anchor, self.ids[self.sections.doc]
-        order = np.lexsort((doc, anchor))
-        anchor, doc = anchor[order], doc[order]
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The sections in order of anchors, where each distinct anchor begins in it, and the distinct anchors."""
+        order = np.argsort(self.sections.anchor)
+        anchor = self.sections.anchor[order]
         new = np.ones(len(order), bool)
         new[1:] = anchor[1:] != anchor[:-1]
         first = np.flatnonzero(new)
-        several = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first) if len(first) else np.zeros(0, bool)
-        return anchor[first], several
-
-    def shared(self) -> np.ndarray:
-        """The anchors that two documents share, sorted."""
-        anchor = np.unique(self.sections.anchor)
-        keep = np.zeros(len(anchor), bool)
-        for bucket, own in _by_bucket(anchor, self.buckets):
-            keep[own] = _flags(self.reply(bucket, 0), len(own))
-        return anchor[keep]
+        return order, first, anchor[first]
 
     def entries(self) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct sections of shared anchors (of each one in the smallest document), in order of fingerprints; and for every section which of these it is, or -1."""
-        one, which = self.sections.distinct(self.ids)
-        wanted = self.shared()
-        if not len(wanted):
-            return one[:0], np.full(len(which), -1)
-        at = np.minimum(np.searchsorted(wanted, self.sections.anchor[one]), len(wanted) - 1)
-        keep = wanted[at] == self.sections.anchor[one]
-        place = np.where(keep, np.cumsum(keep) - 1, -1)
-        return one[keep], place[which]
+        """The distinct sections of shared anchors (of each one in the smallest document), in order of anchors and marks; and for every section which of these it is, or -1."""
+        s, (order, first, anchor) = self.sections, self.anchors()
+        shared = np.zeros(len(anchor), bool)
+        for bucket, own in _by_bucket(anchor, self.buckets):
+            shared[own] = _flags(self.reply(bucket, 0), own.stop - own.start)
+        some = order[np.repeat(shared, np.diff(np.append(first, len(order))))]
+        some = some[np.lexsort((self.ids[s.doc[some]], s.mark[some], s.anchor[some]))]
+        new = np.ones(len(some), bool)
+        new[1:] = (s.anchor[some][1:] != s.anchor[some][:-1]) | (s.mark[some][1:] != s.mark[some][:-1])
+        which = np.full(len(order), -1)
+        which[some] = np.cumsum(new) - 1
+        return some[new], which
 
     def judged(self, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of these sections which an earlier document has as a whole, and which are to be looked at string by string."""
         found, open_ = np.zeros(len(one), bool), np.zeros(len(one), bool)
         for bucket, own in _by_bucket(self.sections.anchor[one], self.buckets):
-            found[own], open_[own] = _flags(self.reply(bucket, 1), len(own)), _flags(self.reply(bucket, 2), len(own))
+            n = own.stop - own.start
+            found[own], open_[own] = _flags(self.reply(bucket, 1), n), _flags(self.reply(bucket, 2), n)
         return found, open_
 
 
 def _ask_anchors(buckets: int):
     def run(group: pa.Table) -> pa.Table:
         b = Block(group, None, buckets, marks=False)
-        anchor, several = b.anchors()
+        order, first, anchor = b.anchors()
+        doc = b.ids[b.sections.doc[order]]
+        several = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first) if len(first) else np.zeros(0, bool)
         return _asked(b.block, [(k, _bytes(anchor[own], _bits(several[own]))) for k, own in _by_bucket(anchor, buckets)])
 
     return run
@@ -390,7 +377,7 @@ def _ask_sections(buckets: int):
         b = Block(group, replies, buckets)
         one, _ = b.entries()
         s = b.sections
-        return b.asks(s.anchor[one], lambda own: _bytes(s.anchor[one[own]], s.f1[one[own]], b.ids[s.doc[one[own]]]), 1)
+        return b.asks(s.anchor[one], lambda own: _bytes(s.anchor[one[own]], s.mark[one[own]], b.ids[s.doc[one[own]]]), 1)
 
     return run
 
