@@ -40,11 +40,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.llm.common import table, whole_text
 
 SPAN, GRAM = 50, 20
-BLOCK_BYTES, BATCH = 8 << 20, 1 << 16
+BLOCK_BYTES, BATCH = 4 << 20, 1 << 16
 NO_ID = np.iinfo(np.int64).max
 U64 = np.uint64
 
@@ -129,7 +130,7 @@ class Sections:
         self.doc, self.first, self.size, self.anchor, self.mark = (np.concatenate(x) for x in zip(*parts or [empty]))
 
 
-def _slices(bounds: np.ndarray, most: int = 1 << 20):
+def _slices(bounds: np.ndarray, most: int = 1 << 19):
     """Ranges of whole documents of about that many bytes: first byte, last, first document, last."""
     d, n = 0, len(bounds) - 1
     while d < n:
@@ -479,7 +480,7 @@ def _marked(b: Block) -> np.ndarray:
 def _cut_block(group: pa.Table, replies: pa.Table, buckets: int, whole_chars: bool) -> pa.Table:
     b = Block(group, replies, buckets)
     data, bounds, starts = b.data, b.bounds, _marked(b)
-    gone = np.cumsum(starts[:-1]) > 0
+    gone = np.cumsum(starts[:-1], dtype=np.int32) > 0
     if whole_chars:
         gone = _whole_chars(data, gone)
     edge = np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))
@@ -508,8 +509,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     replies = by_block.applyInArrow(_ask_anchors(blocks), ASKED).groupBy("bucket").applyInArrow(_reply_anchors, REPLIED)
     for ask, reply in ((_ask_sections, _reply_sections), (_ask_strings, _reply_strings)):
         replies = by_block.cogroup(replies.groupBy("block")).applyInArrow(ask(blocks), ASKED).groupBy("bucket").applyInArrow(reply, REPLIED)
-    kind = texts.schema["rest"].dataType.simpleString()
-    return by_block.cogroup(replies.groupBy("block")).applyInArrow(_cut(blocks, whole_chars), f"doc_id bigint, rest {kind}, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    # As a schema, for columns of the rest may be declared free of nulls, which a string of types can't say.
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("rest", texts.schema["rest"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("spans", span), T.StructField("kept", T.BinaryType())])
+    return by_block.cogroup(replies.groupBy("block")).applyInArrow(_cut(blocks, whole_chars), schema)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
