@@ -33,7 +33,7 @@ from sparkloom.llm.common import cut, table
 from sparkloom.llm.components import components
 
 N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
-BLOCK, SALTS = 1024, 8
+BLOCK, SALTS, WHOLE = 1024, 8, 2
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,7 +41,7 @@ def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, most: int =
     """(bands, rows): the most rows with which that many hashes find a pair at the threshold with the target recall."""
     best = None
     for rows in range(1, 33):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
+        bands = math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows)))
         if bands * rows <= most:
             best = (bands, rows)
     if best is None:
@@ -127,9 +127,11 @@ def bucket_links(rows: DataFrame) -> DataFrame:
 
 
 def linked(reps: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each text the documents it is linked to (copies counted), and the smallest text of its component. side: 0 or 1 where only pairs of different sides count, else 0 throughout."""
+    """For each text the documents it is linked to (copies counted), and the smallest text of its component. side: 0 or 1 where only pairs of different sides count, WHOLE where all do."""
     n = len(reps)
-    both = bool(side.any()) and not side.all()
+    both = bool(n) and side[0] != WHOLE
+    if both and (side.all() or not side.any()):
+        return np.zeros(n, np.int64), np.arange(n)  # one of the two blocks is empty
     size = np.array([len(s) for s in sets])
     left = np.flatnonzero(side == 0) if both else np.arange(n)
     owner = np.repeat(left, size[left])
@@ -188,7 +190,7 @@ def verify(members: DataFrame, texts: DataFrame, n: int, threshold: float, n_mem
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     task = F.when(F.col("blocks") == 1, F.struct(F.pmod(F.xxhash64("comp"), F.lit(bins)).alias("x"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))).otherwise(F.struct(F.xxhash64("comp").alias("x"), low.alias("i"), high.alias("j")))
-    rows = rows.withColumn("task", task).withColumn("side", F.when((F.col("blocks") > 1) & (low != high) & (F.col("own") == high), 1).otherwise(0))
+    rows = rows.withColumn("task", task).withColumn("side", F.when((F.col("blocks") == 1) | (low == high), WHOLE).otherwise((F.col("own") == high).cast("int")))
 
     def check(group: pa.Table) -> pa.Table:
         reps, copies, comp, side = (group[c].to_numpy() for c in ("rep", "copies", "comp", "side"))
