@@ -10,6 +10,8 @@ decompressing. (Members of other writers lack that field and are decompressed to
 Writing: each task writes one file under a name of its own and the driver commits the list of
 files in a manifest, so what a lost or repeated task left behind is never read.
 
+Spark keeps what was pushed down with the DataFrame of a ``load()``: load anew for another filter.
+
 Payloads are bytes. Null payloads are empty, null addresses leave their header out, line
 breaks in an address are percent-encoded; an empty table makes an archive without records.
 """
@@ -173,7 +175,8 @@ class WarcReader(DataSourceReader):
             else:
                 while not stream.eof and more(1 << 16):
                     text.clear()
-                at = f.tell() - len(left) - len(stream.unused_data)
+                # Behind the member's end stands what was read but not used; a member cut short ends the file.
+                at = f.tell() - len(stream.unused_data) if stream.eof else end
 
 
 def parse(block: bytes) -> dict[str, str]:
