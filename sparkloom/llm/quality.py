@@ -24,7 +24,7 @@ SYMBOLS = "#*$%&|<>"
 
 #: Feature: share beyond which a group's fence may lie at the lowest. A fence that adapts to a
 #: group of spotless documents would otherwise reject the first one with any symbol in it.
-FLOORS = {"symbol_share": 0.10, "dup_line_share": 0.30, "repeat_share": 0.30}
+FLOORS = {"symbol_share": 0.10, "dup_line_share": 0.50, "repeat_share": 0.30}
 FEATURES = (*FLOORS, "word_length")
 #: Bounds of the group's fence for the mean word length: never narrower than these.
 WORD_LENGTH = (2.0, 15.0)
