@@ -25,6 +25,16 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * C
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+#: The template's marks take 23 characters a turn; a control string grows by one backslash.
+OP3 = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+     e AS (SELECT *, regexp_replace(role, '([<\[])(\\*)(\||s>|/s>|INST\]|/INST\])', '\1\\\2\3', 'g') AS r2, regexp_replace(text, '([<\[])(\\*)(\||s>|/s>|INST\]|/INST\])', '\1\\\2\3', 'g') AS t2 FROM c),
+     g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, t2) AS turns,
+                  coalesce(string_agg(text, '' ORDER BY turn, role, t2) FILTER (role = 'assistant'), '') AS loss, CAST(sum(23 + length(r2) + length(t2)) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, 0 AS n_attachments, 0 AS expanded_tokens FROM g
+"""
+
 
 def queries() -> dict:
     return {
@@ -42,4 +52,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_top_k": OP4, "op9_warc": OP9}
+    return {"op3_chat_format": OP3, "op4_exact_top_k": OP4, "op9_warc": OP9}
