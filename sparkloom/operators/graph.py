@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import strip
+from sparkloom.lineage import cut
 from sparkloom.operators.dedup import entities_final, first_of, relations_best, triples_first
 from sparkloom.operators.resolve import waterfall
 
 #: Neighbours of a mention, shortest paragraph, most co-occurrences kept.
 NEIGHBOURS, PARAGRAPH, TOP = 9, 50, 5000
+#: Relation types that a schema may have where every group of documents meets all of them.
+SCHEMA_MOST = 10_000
 
 
 def paragraphs(docs: DataFrame, separator: str = r"\n\s*\n", least: int = PARAGRAPH) -> DataFrame:
@@ -22,8 +25,8 @@ def mentions(paras: DataFrame, names: DataFrame) -> DataFrame:
     """(doc_id, para, name, type, ord) of the names (name, type, ord) that a paragraph holds.
 
     A name of one word must be one of the paragraph's words; these meet in an equi-join on words.
-    Names with a space may stand anywhere; their first word's letters gate the paragraphs, and
-    only those names are compared with texts, in a join that streams paragraphs past the names.
+    Names with a space may stand anywhere in a text, within words as well, so only those are
+    compared with every paragraph, in a join that streams paragraphs past them.
     """
     one = names.filter(~F.contains("name", F.lit(" "))).withColumn("word", F.lower("name"))
     words = paras.select("doc_id", "para", F.explode(F.array_distinct(F.split(F.trim(F.lower("text"), F.lit(" \t\n\x0b\x0c\r")), r"\s+"))).alias("word"))
@@ -89,8 +92,7 @@ def backfill(relations: DataFrame, extra: DataFrame, least: int = 10) -> DataFra
 def doc_groups(docs: DataFrame, size: int = 8, chars: int = 4000) -> DataFrame:
     """(grp, text): every ``size`` documents in order of doc_id, each cut to ``chars`` and tagged with its place.
 
-    Places come from the ids' ranks within ranges of ids: partitions are sorted and counted and
-    each adds the counts of those before it, so no window holds all rows.
+    Places come from a range sort whose partitions are counted, so no window holds all rows.
     """
     placed = numbered(docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("text")), "doc_id")
     tagged = placed.withColumn("tag", F.concat(F.lit("[Doc "), F.col("place").cast("string"), F.lit("] "), F.col("text")))
@@ -99,18 +101,15 @@ def doc_groups(docs: DataFrame, size: int = 8, chars: int = 4000) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: str) -> DataFrame:
-    """With ``place`` from 0 in the given order, without a window over all rows: ranges of the order are counted, then numbered in themselves."""
-    buckets = 256
-    bounds = df.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10_000).alias("b")).first()["b"] or []
-    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda x: x < F.col(order))) if bounds else F.lit(0)
-    dealt = df.withColumn("_part", part)
-    counts = {r["_part"]: r["count"] for r in dealt.groupBy("_part").count().collect()}
+    """With ``place`` from 0 in the given order, without a window over all rows: a range sort is written, the rows of its partitions are counted (one number a partition reaches the driver), and each row adds those of the partitions before its own."""
+    ranged = cut(df.repartitionByRange(order).sortWithinPartitions(order))
+    ranged = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     before, total = [], 0
+    counts = {r["_part"]: r["count"] for r in ranged.groupBy("_part").count().collect()}
     for k in range(max(counts, default=0) + 1):
         before.append(total)
         total += counts.get(k, 0)
-    w = Window.partitionBy("_part").orderBy(order)
-    return dealt.withColumn("place", F.row_number().over(w) - 1 + F.get(F.array(*map(F.lit, before)), F.col("_part"))).drop("_part")
+    return ranged.withColumn("place", F.col("_row") + F.get(F.lit(before), F.col("_part"))).drop("_part", "_row")
 
 
 def entity_prefilter(groups: DataFrame, names: DataFrame, most: int = 100) -> DataFrame:
@@ -127,7 +126,9 @@ def relation_type_filter(groups: DataFrame, relation_types: DataFrame, seen_type
     typed = relation_types.withColumn("words", words)
     typed = typed.join(seen.select(F.col("type").alias("domain"), F.lit(True).alias("d")), "domain", "left").join(seen.select(F.col("type").alias("range"), F.lit(True).alias("g")), "range", "left")
     typed = typed.select("ord", "name", "words", (F.coalesce("d", F.lit(False)) | F.coalesce("g", F.lit(False))).alias("typed"))
-    # Each group sees every relation type: a schema is bounded and small, and is sent to the groups as it is.
+    # Each group sees every relation type. A schema is small, which is checked before it is sent to all tasks.
+    if relation_types.limit(SCHEMA_MOST + 1).count() > SCHEMA_MOST:
+        raise ValueError(f"more than {SCHEMA_MOST} relation types")
     pairs = groups.withColumn("low", F.lower("text")).join(F.broadcast(typed), F.lit(True))
     matched = F.col("typed") | F.exists("words", lambda w: F.contains(F.col("low"), w))
     ranked = pairs.select("grp", "ord", "name", matched.alias("m")).withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy(F.col("m").desc(), "ord")))

@@ -25,6 +25,8 @@ from sparkloom.operators.dedup import first_of
 #: Penalty and bounds of each level.
 PENALTY = {"exact": 0.0, "normalized": 0.05, "fuzzy": 0.10, "substring": 0.15, "char_overlap": 0.20}
 RATIO, SHORT, OVERLAP = 0.85, 15, 0.7
+#: Names, or queries, that one task holds at a time.
+BLOCK = 20_000
 
 
 def dictionary(entities: DataFrame) -> DataFrame:
@@ -87,22 +89,23 @@ def best_ratio(query: str, names: list[tuple[int, str, str]], threshold: float)
     return None if at is None else (best, at)
 
 
-def fuzzy(queries: DataFrame, names: DataFrame, threshold: float = RATIO, parts: int = 64) -> DataFrame:
+def fuzzy(queries: DataFrame, names: DataFrame, threshold: float = RATIO, block: int = BLOCK) -> DataFrame:
     """(query, ename) with difflib's greatest ratio above the threshold, the first of equals.
 
-    Names are dealt to blocks by length and hash; each block is one row that holds its names and
+    Names are dealt to blocks of about ``block`` by length and hash; each is one row that holds its names and
     meets the queries of its length band: a ratio above t needs lengths within t / (2 - t) of
     one another, so a query of normalised length n only meets names from n * t / (2 - t) to
     n * (2 - t) / t. Blocks are groups of one task each, queries stream in bounded batches.
     """
     low = threshold / (2 - threshold)
+    parts, qparts = (max(1, -(-d.count() // block)) for d in (names, queries))
     # Bands of lengths that grow by a fifth; a query's range meets few of them.
     band = lambda n: F.floor(F.log(1.2, F.greatest(n, F.lit(1)))).cast("int")
     e = names.withColumn("band", band(F.length("enorm").cast("double"))).withColumn("part", F.pmod(F.xxhash64("ename"), F.lit(parts)))
     e = e.groupBy("band", "part").agg(F.collect_list(F.struct("eseq", "enorm", "ename", "etype")).alias("own"))
     n = F.length(normalize_name(F.col("query"))).cast("double")
     q = queries.withColumn("qnorm", normalize_name(F.col("query"))).withColumn("band", F.explode(F.sequence(band(n * low), band(n / low + 1))))
-    pairs = q.groupBy("band", F.pmod(F.xxhash64("query"), F.lit(parts)).alias("qpart")).agg(F.collect_list(F.struct("query", "qnorm")).alias("asked")).join(e, "band")
+    pairs = q.groupBy("band", F.pmod(F.xxhash64("query"), F.lit(qparts)).alias("qpart")).agg(F.collect_list(F.struct("query", "qnorm")).alias("asked")).join(e, "band")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -16,6 +16,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.functions import text as X
 from sparkloom.lineage import cut
@@ -101,9 +102,11 @@ def chunks(docs: DataFrame, c: Config) -> DataFrame:
     return docs.select("doc_id", F.posexplode(cut(F.coalesce("text", F.lit("")))).alias("chunk_idx", "text"))
 
 
-def _seq():
-    """Documents, chunks and places in them, in one number that orders as they do."""
-    return F.col("doc_id").cast("long") * 100_000_000 + F.col("chunk_idx") * 100_000 + F.col("pos")
+def _seq(rows: DataFrame):
+    """Documents, chunks and places in them, in one number that orders as they do; documents with string ids in the order of a hash."""
+    named = isinstance(rows.schema["doc_id"].dataType, T.StringType)
+    doc = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 33)) if named else F.col("doc_id").cast("long")
+    return doc * 100_000_000 + F.col("chunk_idx") * 100_000 + F.col("pos")
 
 
 def extract_entities(parts: DataFrame, make: Callable[[], Backend]) -> DataFrame:
@@ -117,7 +120,7 @@ def extract_entities(parts: DataFrame, make: Callable[[], Backend]) -> DataFrame
 
     kind = parts.schema["doc_id"].dataType.simpleString()
     found = parts.mapInPandas(run, f"doc_id {kind}, chunk_idx int, pos int, {ENTITY}")
-    return found.withColumn("seq", _seq()).drop("doc_id", "chunk_idx", "pos")
+    return found.withColumn("seq", _seq(found)).drop("doc_id", "chunk_idx", "pos")
 
 
 def extract_relations(parts: DataFrame, make: Callable[[], Backend]) -> DataFrame:
@@ -131,7 +134,7 @@ def extract_relations(parts: DataFrame, make: Callable[[], Backend]) -> DataFram
 
     kind = parts.schema["doc_id"].dataType.simpleString()
     found = parts.mapInPandas(run, f"doc_id {kind}, chunk_idx int, pos int, {RELATION}")
-    return found.withColumn("seq", _seq()).drop("doc_id", "chunk_idx", "pos")
+    return found.withColumn("seq", _seq(found)).drop("doc_id", "chunk_idx", "pos")
 
 
 def model_answers(parts: DataFrame, make: Callable[[], ModelBackend], prompt: str) -> DataFrame:
@@ -148,12 +151,12 @@ def model_answers(parts: DataFrame, make: Callable[[], ModelBackend], prompt: st
 
 def answers_to_entities(answers: DataFrame) -> DataFrame:
     rows = answers.select("doc_id", "chunk_idx", F.posexplode(X.llm_entities(F.col("answer"))).alias("pos", "e"))
-    return rows.select(_seq().alias("seq"), "e.*")
+    return rows.select(_seq(rows).alias("seq"), "e.*")
 
 
 def answers_to_relations(answers: DataFrame) -> DataFrame:
     rows = answers.select("doc_id", "chunk_idx", F.posexplode(X.llm_relations(F.col("answer"))).alias("pos", "r"))
-    return rows.select(_seq().alias("seq"), "r.*")
+    return rows.select(_seq(rows).alias("seq"), "r.*")
 
 
 def run(spark: SparkSession, docs: DataFrame, ontology: Ontology, make: Callable[[], Backend], config: Config = Config(), canonical: DataFrame | None = None, rejected: DataFrame | None = None, corrections: DataFrame | None = None, write: Callable[[str, DataFrame], DataFrame] = lambda _, df: cut(df)) -> Result:

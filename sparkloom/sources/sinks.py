@@ -66,6 +66,16 @@ def write_jsonl(triples: DataFrame, path: str) -> None:
     jsonl_lines(triples).write.mode("overwrite").text(path)
 
 
+def write_ontology(spark: SparkSession, ontology, path: str) -> None:
+    """The schema as one JSON object and as text."""
+    import dataclasses
+    import json
+
+    shown = json.dumps(dataclasses.asdict(ontology), ensure_ascii=False)
+    for name, text in (("json", shown), ("markdown", ontology.raw or ontology.guide())):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}/{name}")
+
+
 class Snapshots:
     """Versions of a graph: folders build_id=... below a path, each written once; CURRENT names the one in use, so a rollback only moves that."""
 

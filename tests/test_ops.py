@@ -108,6 +108,7 @@ def test_clusters(spark):
 def test_pipeline(spark):
     docs = spark.createDataFrame([(0, "Ann lives in Paris. Bob knows Ann."), (1, "Paris is big.")], "doc_id long, text string")
     onto = Ontology("o", "", (EntityType("Person"), EntityType("City")), (RelationType("near", domain="Person", range="City"),))
+    docs = docs.withColumn("doc_id", docs["doc_id"].cast("string"))
     out = pipeline.run(spark, docs, onto, lambda: pipeline.GazetteerBackend({"Ann": "Person", "Bob": "Person", "Paris": "City"}, "near"))
     assert {(r["name"], r.type) for r in out.entities.collect()} == {("Ann", "Person"), ("Bob", "Person"), ("Paris", "City")}
     assert {(t.subj_name, t.predicate, t.obj_name) for t in out.triples.collect()} == {("Ann", "near", "Paris"), ("Bob", "near", "Ann")}
@@ -155,3 +156,21 @@ def test_windows_on_a_stream(spark, tmp_path):
 def test_catalogue():
     q, o = catalog.queries(), catalog.oracle_sql()
     assert len(q) > 70 and set(o) <= set(q)
+
+
+def test_presets(spark):
+    from sparkloom.plans import presets
+
+    lines = spark.createDataFrame([('{"relations": [{"predicate": {"surfaceform": "born in"}}, {"predicate": {"surfaceform": "born in"}}, {"predicate": {"surfaceform": ""}}]}',), ("broken {",), ('{"relations": [{"predicate": {"surfaceform": "a"}}]}',)], ["value"])
+    o = presets.from_predicates(presets.nested_predicates(lines), "p")
+    assert [(r.name, r.description) for r in o.relation_types] == [("a", "a (appears 1 times, 33.3%)"), ("born in", "born in (appears 2 times, 66.7%)")]
+    presets.register(presets.Preset("p", "P", "en", lambda: o))
+    assert presets.list_presets() == ["p"] and presets.build_ontology("p") == o and presets.get_preset("q") is None
+
+
+def test_ontology_export(spark, tmp_path):
+    from sparkloom.sources import sinks
+
+    sinks.write_ontology(spark, Ontology("o", "", (EntityType("A"),)), str(tmp_path / "o"))
+    assert json.loads(spark.read.text(str(tmp_path / "o" / "json")).first().value)["entity_types"][0]["name"] == "A"
+    assert "  - **A**: " in [r.value for r in spark.read.text(str(tmp_path / "o" / "markdown")).collect()]
