@@ -1,4 +1,4 @@
-"""Streams: windows over events, running token accounts, incremental builds. The reference set of operators has no streams; windows are an extension, accounts and builds the streaming form of batch operators."""
+"""Streams: windows over events, running token accounts, incremental builds. Windows are an extension; accounts and builds are the streaming form of batch operators."""
 
 from __future__ import annotations
 
