@@ -79,25 +79,26 @@ def _measured(df: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_group: int = 30, reach: float = 3.0) -> DataFrame:
-    """A row for each row of docs: id, the features, base_failed, the group's fences and kept."""
+    """A row for each row of docs: id, text_hash, the features, base_failed, the group's fences and kept."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"))
     n_lines = (F.length(whole_text("text")) - F.length(F.replace(whole_text("text"), F.lit("\n"), F.lit(""))) + 1).cast("long")
-    rows = features(rows.withColumn("_n_lines", n_lines)).drop("text")
+    rows = features(rows.withColumn("_n_lines", n_lines).withColumn("text_hash", F.xxhash64(whole_text("text")))).drop("text")
     rows = cut(_measured(rows))
     # Documents that the base rules reject would widen the fences of the rest.
     sound = rows.filter(~F.col("base_failed"))
-    sketch = [F.count(F.lit(1)).alias("_n"), *(F.percentile_approx(f, F.array(F.lit(0.25), F.lit(0.75)), ACCURACY).alias(f"_q_{f}") for f in FEATURES)]
-    fences = sound.groupBy("_lang", "_source").agg(*sketch).unionByName(sound.groupBy("_lang").agg(*sketch).withColumn("_source", F.lit(None).cast("string")).filter(F.col("_n") >= min_group).withColumn("_n", -F.col("_n")))
-    fences = fences.withColumn("_level", F.when(F.col("_n") < 0, 1).otherwise(2)).filter((F.col("_level") == 1) | (F.col("_n") >= min_group)).drop("_n")
-    whole = sound.agg(*sketch[1:]).select(*(F.col(f"_q_{f}").alias(f"_all_{f}") for f in FEATURES))
-    by_source = fences.filter(F.col("_level") == 2).drop("_level").withColumnsRenamed({"_lang": "_l", "_source": "_s", **{f"_q_{f}": f"_own_{f}" for f in FEATURES}})
-    by_lang = fences.filter(F.col("_level") == 1).drop("_level", "_source").withColumnsRenamed({"_lang": "_l2", **{f"_q_{f}": f"_lang_{f}" for f in FEATURES}})
-    at_all = whole.first()
-    out = rows.join(by_source, F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_s")), "left").join(by_lang, F.col("_lang").eqNullSafe(F.col("_l2")), "left")
+    quartiles = lambda f: F.percentile_approx(f, F.array(F.lit(0.25), F.lit(0.75)), ACCURACY)
+
+    def sketched(prefix: str, *keys: str) -> DataFrame:
+        """The quartiles of each group that is large enough, with its keys renamed for a join."""
+        groups = sound.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *(quartiles(f).alias(f"{prefix}_{f}") for f in FEATURES))
+        return groups.filter(F.col("_n") >= min_group).drop("_n").withColumnsRenamed({k: prefix + k for k in keys})
+
+    same = lambda prefix, k: F.col(k).eqNullSafe(F.col(prefix + k))
+    out = rows.join(sketched("_own", "_lang", "_source"), same("_own", "_lang") & same("_own", "_source"), "left").join(sketched("_tongue", "_lang"), same("_tongue", "_lang"), "left")
+    at_all = sound.agg(*(quartiles(f).alias(f) for f in FEATURES)).first()  # one row
     ok = F.lit(True)
     for f in FEATURES:
-        rest = at_all[f"_all_{f}"] or [0.0, 0.0]
-        q = F.coalesce(F.col(f"_own_{f}"), F.col(f"_lang_{f}"), F.array(*map(F.lit, rest)))
+        q = F.coalesce(F.col(f"_own_{f}"), F.col(f"_tongue_{f}"), F.array(*map(F.lit, at_all[f] or [0.0, 0.0])))
         spread = q[1] - q[0]
         top = q[1] + reach * spread
         if f in FLOORS:
@@ -108,7 +109,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         out = out.withColumn(f"max_{f}", top)
         ok = ok & (F.col(f) <= F.col(f"max_{f}"))
     out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(ok, F.lit(True)))
-    return out.drop("_l", "_s", "_l2", "_lang", "_source", "_n_lines", *(f"{p}_{f}" for p in ("_own", "_lang") for f in FEATURES))
+    return out.drop(*(c for c in out.columns if c.startswith("_")))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

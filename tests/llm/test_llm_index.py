@@ -403,3 +403,19 @@ def test_pipeline_stages(spark, tmp_path):
     assert "[secret]" in {r.doc_id: r.text for r in seen["secret scans"]}[27]
     assert sorted({r.doc_id for r in seen["best-fit packing"]}) == ids("secret scans")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["best-fit packing"])
+
+
+@pytest.mark.parametrize("some", [True, False])
+def test_pipeline_edges(spark, tmp_path, some):
+    """Null ids and texts, an empty table, and columns that clash with names the stages use."""
+    draw = random.Random(1)
+    prose = lambda n: " ".join("".join(draw.choices("abcdefghijkl", k=draw.randint(3, 8))) for _ in range(n))
+    rows = [(i, prose(90), "en", None, 1) for i in range(3)] + [(None, prose(90), None, "s", None), (None, None, "en", "s", 1), (7, None, "en", "s", 1), (8, "", "en", "s", 1)]
+    now = spark.createDataFrame(rows, DOCS).filter(F.lit(some))
+    now = now.withColumn("kept", F.lit(True)).withColumn("rest", F.struct(F.lit(1).alias("z"))).withColumn("spans", F.array(F.lit("q"))).withColumn("ids", F.lit(2)).withColumn("length", F.lit("L"))
+    columns = now.columns
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, now, str(tmp_path)).write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+        assert name == "best-fit packing" or now.columns == columns
+        assert now.count() == 4 * some
