@@ -19,9 +19,10 @@ from sparkloom.llm.suffixes import suffix_dedup
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the quality rules reject. Rows that repeat a doc_id stay or go together."""
-    rejected = quality_rules(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """Without the documents that the quality rules reject. Rows with one doc_id and one text stay or go together; a null id is an id like any other."""
+    rejected = quality_rules(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("_id")) & (own == F.col("_hash")), "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
