@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import cut
 
 
+SALTS = 16
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """edges (a, b) with m, the smallest of a and its neighbours. Minima are reduced before the shuffle and come back over salted keys, so a node may have any share of the edges."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(least, ["a", "salt"]).drop("salt")
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, label) for every node of edges (a, b): label is the smallest node of its component.
 
@@ -20,10 +29,9 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     before = None
     for _ in range(rounds):
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = F.least("a", F.min("b").over(Window.partitionBy("a")))
-        large = both.withColumn("m", least).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = F.min("b").over(Window.partitionBy("a"))
-        small = large.withColumn("m", least)
+        large = _with_least(both).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        # Every b is below its a now, so m is the smallest neighbour.
+        small = _with_least(large)
         small = small.select("a", F.col("m").alias("b")).unionByName(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
         now = cut(small)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -33,7 +33,7 @@ from sparkloom.llm.common import cut, table
 from sparkloom.llm.components import components
 
 N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
-BLOCK, SALTS, WHOLE = 1024, 8, 2
+BLOCK, SALTS, SHARES, WHOLE = 1024, 8, 64, 2
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -118,7 +118,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 def bucket_links(rows: DataFrame) -> DataFrame:
     """Links (a, b) that hold the members of each bucket (bucket, rep) together: to the smallest of their share of the bucket, and from there to the smallest of all. No task needs a whole bucket."""
     share = Window.partitionBy("bucket", "salt")
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SHARES)))
     first = rows.withColumn("hub", F.min("rep").over(share))
     hubs = rows.groupBy("bucket", "salt").agg(F.min("rep").alias("rep"))
     second = hubs.withColumn("hub", F.min("rep").over(Window.partitionBy("bucket")))
