@@ -7,7 +7,9 @@ latest first), which leaves a probabilistic automaton for each kind and one of o
 strings. Every candidate token of every text is then scored: the mean log-likelihood of its
 characters under the automaton that explains it best, and how much better that is than under
 the automaton of ordinary strings. Bounds for both come from labelled credentials that were
-held out. The base patterns are searched beside this and always reported.
+held out; neither length nor the characters a token holds rule it out beforehand. A candidate
+is a run of 16 or more characters of tokens; where the whole run is none, its parts are scored
+(see ``Grammars.parts``). The base patterns are searched beside this and always reported.
 
 The automata have a few dozen states, as the labelled set is a bounded parameter, and travel
 with the task; texts stream through ``mapInArrow`` and nothing is shuffled.
@@ -18,8 +20,8 @@ an empty table gives an empty result; extra columns are left alone.
 
 from __future__ import annotations
 
-import base64
 import math
+import os
 import random
 import re
 import string
@@ -37,23 +39,29 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_HINTS = ("passw", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # a greedy run of 16 or more
 HEX = re.compile(r"[0-9a-f]{32,}")
+SHORTEST = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-DIGIT = re.compile(r"[0-9]")
+SEPARATOR = re.compile(r"[+/_.=-]")
+SOFT = re.compile(r"[A-Za-z0-9+/=]{16,}")
 
 ALNUM, UPNUM, HEXES = string.ascii_letters + string.digits, string.ascii_uppercase + string.digits, "0123456789abcdef"
-#: Published token formats: kind, prefix, alphabet, length after the prefix.
+URL64 = ALNUM + "_-"
+#: Published token formats: kind, then literals and (alphabet, shortest, longest) in order. A kind may have several.
 FORMATS = (
-    ("aws", "AKIA", UPNUM, 16),
-    ("aws-session", "ASIA", UPNUM, 16),
-    ("github", "ghp_", ALNUM, 36),
-    ("github-app", "ghs_", ALNUM, 36),
-    ("gitlab", "glpat-", ALNUM + "_-", 20),
-    ("slack", "xoxb-", string.digits, 11),
-    ("stripe", "sk_live_", ALNUM, 24),
-    ("google", "AIza", ALNUM + "_-", 35),
-    ("sendgrid", "SG.", ALNUM + "_-", 22),
-    ("npm", "npm_", ALNUM, 36),
-    ("digest", "", HEXES, 40),
+    ("aws", "AKIA", (UPNUM, 16, 16)),
+    ("aws-session", "ASIA", (UPNUM, 16, 16)),
+    ("github", "ghp_", (ALNUM, 36, 36)),
+    ("github-app", "ghs_", (ALNUM, 36, 36)),
+    ("gitlab", "glpat-", (URL64, 20, 20)),
+    ("slack", "xoxb-", (string.digits, 10, 13), "-", (string.digits, 10, 13), "-", (ALNUM, 24, 24)),
+    ("slack", "xoxb-", (string.digits, 11, 11)),
+    ("stripe", "sk_live_", (ALNUM, 24, 24)),
+    ("google", "AIza", (URL64, 35, 35)),
+    ("sendgrid", "SG.", (URL64, 22, 22), ".", (URL64, 43, 43)),
+    ("sendgrid", "SG.", (URL64, 22, 22)),
+    ("npm", "npm_", (ALNUM, 36, 36)),
+    ("digest", (HEXES, 40, 40)),
+    *(("jwt", "eyJ", (URL64, 17, 120), ".eyJ", (URL64, 20, 600), ".", (URL64, n, n)) for n in (43, 64, 86, 342)),
 )
 LABELLED, HELD_OUT, SEED = 120, 40, 11
 
@@ -61,15 +69,16 @@ LABELLED, HELD_OUT, SEED = 120, 40, 11
 def labelled_credentials(each: int = LABELLED + HELD_OUT, seed: int = SEED) -> list[tuple[str, str]]:
     """(kind, credential) pairs drawn from FORMATS, the same at every call, and ordinary strings as kind ''."""
     draw = random.Random(seed)
-    found = [(kind, prefix + "".join(draw.choices(alphabet, k=n))) for kind, prefix, alphabet, n in FORMATS for _ in range(each)]
-    for _ in range(each):
-        head = base64.urlsafe_b64encode(b'{"alg":"HS256","typ":"JWT"}').decode().rstrip("=")
-        body, sign = ("".join(draw.choices(ALNUM + "_-", k=n)) for n in (48, 43))
-        found.append(("jwt", f"{head}.{body}.{sign}"))
+    fill = lambda x: x if isinstance(x, str) else "".join(draw.choices(x[0], k=draw.randint(*x[1:])))
+    found = []
+    for kind in dict.fromkeys(f[0] for f in FORMATS):
+        forms = [f[1:] for f in FORMATS if f[0] == kind]
+        found += [(kind, "".join(map(fill, forms[i % len(forms)]))) for i in range(each)]
     words = ["the", "and", "tion", "er", "con", "de", "re", "in", "ment", "www", "http", "index", "page", "item", "version", "chapter", "figure", "file", "data", "image"]
     for _ in range(6 * each):
         parts = ["".join(draw.choices(words, k=draw.randint(1, 4))) + (str(draw.randint(0, 2100)) if draw.random() < 0.4 else "") for _ in range(draw.randint(1, 4))]
         found.append(("", draw.choice("-_./=").join(parts)))
+    found += [("", fill((string.digits, 16, 24))) for _ in range(4 * each)]  # numbers of records, times
     return found
 
 
@@ -134,13 +143,18 @@ class Automaton:
     def _merge_all(self) -> None:
         red = [0]
         known = {0}
+        # What every string begins with stands once, at the beginning: a state seen once or twice deep in the tree is compatible with anything, and merged into one of these it would let strings go on without the beginning.
+        head, at = set(), 0
+        while len(self.next[at]) == 1 and not self.ends[at]:
+            head.add(at)
+            (at,) = self.next[at].values()
         while True:
             blue = min(((self.next[r][c], r, c) for r in red for c in self.next[r] if self.next[r][c] not in known), default=None)
             if blue is None:
                 break
             state, parent, symbol = blue
             for r in reversed(red):
-                if self._compatible(r, state):
+                if r not in head and self._compatible(r, state):
                     self.next[parent][symbol] = r
                     self._fold(r, state)
                     break
@@ -150,9 +164,9 @@ class Automaton:
         place = {s: i for i, s in enumerate(red)}
         self.next, self.took, self.ends, self.seen = [{c: place[t] for c, t in self.next[s].items()} for s in red], [self.took[s] for s in red], [self.ends[s] for s in red], [self.seen[s] for s in red]
 
-    def score(self, x: str, unseen: float = -12.0) -> float:
-        """Mean log-likelihood of the characters and the end; a character that the state has not met costs as much as ``unseen``."""
-        at, total = 0, 0.0
+    def score(self, x: str, unseen: float = -12.0, least: float = -math.inf) -> float:
+        """Mean log-likelihood of the characters and the end; a character that the state has not met costs as much as ``unseen``. Minus infinity as soon as the mean cannot reach ``least`` any more, since no term is above 0."""
+        at, total, floor = 0, 0.0, least * (len(x) + 1)
         for c in x:
             logs = self.logs[at][0]
             if c in logs:
@@ -160,6 +174,8 @@ class Automaton:
                 at = self.next[at][c]
             else:
                 total += unseen
+            if total < floor:
+                return -math.inf
         return (total + self.logs[at][1]) / (len(x) + 1)
 
 
@@ -174,19 +190,49 @@ class Grammars:
         self.kinds = {}
         for kind, xs in by.items():
             model, rest = Automaton(xs[held_out:]), xs[:held_out]
-            sizes = [len(x) for x in xs]
-            self.kinds[kind] = (model, min(map(model.score, rest)) - 0.15, min(model.score(x) - self.plain.score(x) for x in rest) * 0.5, 0.8 * min(sizes), 1.5 * max(sizes))
+            self.kinds[kind] = (model, min(map(model.score, rest)) - 0.15, min(model.score(x) - self.plain.score(x) for x in rest) * 0.5)
+        xs = [x for kind, own in by.items() for x in own]
+        held = set("".join(xs))
+        # What a run may hold and no labelled credential does ends a part for certain; dots do unless the formats have them.
+        self.hard = re.compile("[" + re.escape("".join(c for c in "=/+.-_" if c not in held)) + "]+") if not set("=/+.-_") <= held else None
+        self.fields = max((x.count(".") for x in xs), default=0) + 1
+        heads = {os.path.commonprefix(own) for own in by.values()}
+        heads = sorted((h for h in heads if len(h) >= 3), key=len, reverse=True)
+        self.heads = re.compile("(?<=[-_])(?:" + "|".join(map(re.escape, heads)) + ")") if heads else None
 
     def kind_of(self, x: str) -> str | None:
         """The kind that explains x best among those whose bounds x reaches."""
         plain, best = None, None
-        for kind, (model, least, gain, short, long) in self.kinds.items():
-            if short <= len(x) <= long and (s := model.score(x)) >= least:
+        for kind, (model, least, gain) in self.kinds.items():
+            if (s := model.score(x, least=least)) >= least:
                 plain = self.plain.score(x) if plain is None else plain
                 if s - plain >= max(gain, 0.5) and (best is None or s > best[0]):
                     best = (s, kind)
         return best and best[1]
 
+    def parts(self, run: str) -> Iterator[tuple[int, int]]:
+        """Parts of a run as (start, end), those that may hold others first: what stands between separators that no credential holds; so many neighbouring fields between dots as credentials have, then fewer; what stands behind '-' or '_' and begins as credentials of a kind do; what stands between '-' and '_'."""
+        at = 0
+        for m in [*(self.hard.finditer(run) if self.hard else ()), None]:
+            end = m.start() if m else len(run)
+            if end - at >= SHORTEST:
+                yield at, end
+                yield from self._within(run, at, end)
+            at = m.end() if m else end
+
+    def _within(self, run: str, at: int, end: int) -> Iterator[tuple[int, int]]:
+        cuts = [at - 1, *(m.start() for m in re.compile(r"\.").finditer(run, at, end)), end]
+        for n in range(min(self.fields, len(cuts) - 1), 0, -1):
+            for a, b in zip(cuts, cuts[n:]):
+                if b - a > SHORTEST:
+                    yield a + 1, b
+                    if self.heads:
+                        # Of several in one field each reaches to the next, the last to the end.
+                        starts = [m.start() for m in self.heads.finditer(run, a + 1, b if n == 1 else run.find(".", a + 1) + 1)]
+                        yield from zip(starts, [*(s - 1 for s in starts[1:]), b])
+        for a, b in zip(cuts, cuts[1:]):
+            yield from ((m.start(), m.end()) for m in SOFT.finditer(run, a + 1, b))
+
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, number of the kind, end) of the base patterns, sorted."""
@@ -206,11 +252,18 @@ def scan(text: str, grammars: Grammars) -> tuple[list[tuple[int, int, str]], lis
     spans = [(s, KINDS[k], e) for s, k, e in base]
     order = {k: i for i, k in enumerate((*KINDS, *grammars.kinds))}
     for m in CANDIDATE.finditer(text):
-        if DIGIT.search(m[0]):
-            token = m[0].strip(".=-")
-            start = m.start() + m[0].index(token) if token else m.start()
-            if len(token) >= 16 and not any(s <= start and start + len(token) <= e for s, _, e in base) and (kind := grammars.kind_of(token)):
-                spans.append((start, kind, start + len(token)))
+        found: list[tuple[int, int]] = []
+        for a, b in ((0, len(m[0])), *grammars.parts(m[0])) if SEPARATOR.search(m[0]) else ((0, len(m[0])),):
+            token = m[0][a:b].strip(".=-")
+            start = m.start() + a + m[0][a:b].index(token)
+            end = start + len(token)
+            if len(token) < SHORTEST or any(s <= start and end <= e for s, _, e in base) or any(s < end and start < e for s, e in found):
+                continue
+            if kind := grammars.kind_of(token):
+                spans.append((start, kind, end))
+                found.append((start, end))
+                if end - start == len(m[0].strip(".=-")):
+                    break
     spans.sort(key=lambda x: (x[0], order[x[1]], x[2]))
     return base, spans
 

@@ -1,8 +1,11 @@
 """Quality rules, licence scan, secrets, chat: against brute force."""
 
+import base64
+import functools
 import hashlib
 import random
 import re
+import string
 from collections import Counter
 
 import pytest
@@ -127,6 +130,43 @@ def test_grammars_on_held_out():
     assert len(g.kinds["github"][0].next) < 20  # random tails have merged into loops
 
 
+def drawn(kind, draw):
+    alnum, up, digits = secrets.ALNUM, secrets.UPNUM, "0123456789"
+    fill = lambda chars, n: "".join(draw.choices(chars, k=n))
+    jwt = lambda n: ".".join([base64.urlsafe_b64encode(x.encode()).decode().rstrip("=") for x in ('{"alg":"HS256","typ":"JWT"}', f'{{"sub":"1234567890","name":"{fill(alnum, n)}","iat":1516239022}}')] + [fill(alnum + "_-", 43)])
+    return {
+        "gitlab": lambda: "glpat-" + fill(string.ascii_letters, 20), "stripe": lambda: "sk_live_" + fill(string.ascii_letters, 24), "aws-session": lambda: "ASIA" + fill(string.ascii_uppercase, 16),
+        "slack": lambda: f"xoxb-{fill(digits, 12)}-{fill(digits, 13)}-{fill(alnum, 24)}", "sendgrid": lambda: f"SG.{fill(alnum + '_-', 22)}.{fill(alnum + '_-', 43)}",
+        "jwt": lambda: jwt(draw.choice([3, 60, 700])), "github": lambda: "ghp_" + fill(alnum, 36), "npm": lambda: "npm_" + fill(up, 36),
+    }[kind]()
+
+
+@pytest.mark.parametrize("kind", ["gitlab", "stripe", "aws-session", "slack", "sendgrid", "jwt", "github", "npm"])
+@pytest.mark.parametrize("around", ["{}", "key={}", "https://x.example.com/a/b_c/{}/d", "a.b={}", "id.{}", "my-{}", "{}.", "x/{}.git"])
+def test_secrets_of_every_length_and_place(kind, around):
+    """Whole published tokens, without digits as well, alone and behind separators in one run."""
+    g, draw = grammars(), random.Random(7)
+    found = []
+    for _ in range(40):
+        x = drawn(kind, draw)
+        text = around.format(x)
+        at = text.index(x)
+        found.append(any(s <= at and at + len(x) <= e for s, _, e in secrets.scan(text, g)[1]))
+    assert sum(found) >= 36
+
+
+@functools.cache
+def grammars():
+    return secrets.Grammars(secrets.labelled_credentials())
+
+
+def test_ordinary_tokens_are_no_secrets():
+    plain = ["internationalization", "Donaudampfschifffahrtsgesellschaft", "src/main/java/com/example/FooBarBaz.java", "some_long_snake_case_identifier", "1234567890123456", "2024-01-02T10-00-00Z", "550e8400-e29b-41d4-a716-446655440000", "-" * 40, "A" * 40]
+    assert [x for x in plain if secrets.scan(x, grammars())[1]] == []
+    for x in ("a.b-" * 20000, "xoxb-" * 10000, "eyJ." * 10000):  # many separators: the work grows with the length
+        assert secrets.scan(x, grammars())[0] == []
+
+
 def test_redaction(spark):
     out = secrets.redact(docs(spark, ["a password=b7db7aa4a5fcc78305, b", None, "clean"])).orderBy("doc_id").collect()
     assert [r.text for r in out] == ["a [secret], b", None, "clean"] and out[0].source == "s0"
