@@ -47,7 +47,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their sequences."""
-    return best_fit(docs)
+    return best_fit(docs, added_tokens=True)
 
 
 STAGES = [

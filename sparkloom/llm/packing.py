@@ -30,16 +30,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import cut, table
-from sparkloom.llm.tokens import encoder
+from sparkloom.llm.tokens import encode_whole, encoder
 
 LIMIT, END_ID = 2048, 0
 
 
-def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of all documents; only those over the limit are cut, the short piece first."""
+def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, end_id: int = END_ID, added_tokens: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of all documents; only those over the limit are cut, the short piece first. With ``added_tokens`` those of the vocabulary are found in texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode_ordinary
+        encode = (lambda text: encode_whole(vocabulary, text)) if added_tokens else encoder(vocabulary).encode_ordinary
         for b in batches:
             rows, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(b.column(1).to_pylist()):
@@ -147,9 +147,9 @@ def pack(cut_pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
     return ranked.mapInArrow(place, f"{kinds}, sequence_id bigint, offset bigint")
 
 
-def best_fit(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    return pack(pieces(docs, vocabulary or public_tokenizers.path("byte_bpe_50k.json")))
+def best_fit(docs: DataFrame, vocabulary: str | None = None, added_tokens: bool = False) -> DataFrame:
+    return pack(pieces(docs, vocabulary or public_tokenizers.path("byte_bpe_50k.json"), added_tokens=added_tokens))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit(table(spark, sf_dir, "documents"))
+    return best_fit(table(spark, sf_dir, "documents"), added_tokens=True)

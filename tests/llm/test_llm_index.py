@@ -99,6 +99,23 @@ def test_packing(spark):
     assert packing.best_fit(docs(spark, [(0, "a")]).filter("doc_id < 0")).count() == 0
 
 
+def test_packing_of_added_tokens(spark, tmp_path):
+    """The tokenizer as it is loaded finds its added tokens in texts."""
+    from tokenizers import Tokenizer
+
+    mark, t = "<|endoftext|>", Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|>b", mark, mark * 3, f" x {mark} y\n{mark}", "<|endoftext", f"<|endof{mark}text|>", f"it's{mark}'s é{mark}é", *filter(None, TEXTS)]
+    assert tokens.encode_whole(P.path("byte_bpe_50k.json"), texts[0]) == [64, 50256, 65]
+    docs(spark, enumerate(texts)).write.parquet(str(tmp_path / "documents.parquet"))
+    found = defaultdict(list)
+    for r in packing.op10_best_fit_packing(spark, str(tmp_path)).collect():
+        found[r.doc_id].append(r)
+    for i, x in enumerate(texts):
+        ids = np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4")
+        assert sum(r.length for r in found[i]) == len(ids), x[:30]
+        assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in found[i]), x[:30]
+
+
 def spec_best_fit(sizes, limit):
     gaps = []
     for s in sorted(sizes, reverse=True):
