@@ -6,7 +6,7 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,6 +116,15 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(shared.cast("double"), (F.size(a) + F.size(b) - shared)), F.lit(0.0))
 
 
+def similar_by_trigrams(names: DataFrame, col: str) -> DataFrame:
+    """(a, b, similarity) of all pairs a < b of distinct names that share a trigram, by joins on trigrams; any other pair's similarity is 0."""
+    g = names.filter(F.col(col).isNotNull()).select(F.col(col).alias("name")).distinct().withColumn("g", trigrams(F.col("name")))
+    each = g.select("name", F.size("g").alias("n"), F.explode("g").alias("gram"))
+    a, b = each.select(F.col("name").alias("a"), F.col("n").alias("na"), "gram"), each.select(F.col("name").alias("b"), F.col("n").alias("nb"), "gram")
+    shared = a.join(b, "gram").filter(F.col("a") < F.col("b")).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
+    return shared.select("a", "b", (F.col("shared").cast("double") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("similarity"))
+
+
 class _Text(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)

@@ -145,6 +145,13 @@ def trigram_similarity(spark, d):
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", X.trigram_similarity(F.col("ga"), F.col("gb")).alias("similarity"))
 
 
+@Q.add()
+def trigram_similarity_all(spark, d):
+    """All pairs of distinct names that share a trigram, over the whole table; that of any other pair is 0."""
+    names = table(spark, d, "part").select(F.concat_ws(" ", "p_brand", "p_type").alias("name")).distinct()
+    return X.similar_by_trigrams(names, "name")
+
+
 @Q.add()
 def noun_clusters(spark, d):
     names = table(spark, d, "part").select(F.col("p_name").alias("noun")).distinct()
