@@ -100,8 +100,10 @@ def llm_relations(text: Column) -> Column:
 
 
 def noun_matches(text: Column) -> Column:
-    """Candidate nouns without a language model: capitalised phrases, then lower-case words of three letters or more."""
-    return F.concat(F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b"), F.lit(1)), F.regexp_extract_all(text, F.lit(r"\b([a-z]{3,})\b"), F.lit(1)))
+    """Candidate nouns without a language model: capitalised phrases, then lower-case words of three letters or more. Ends of words and white space are those of Unicode, as in Python's re."""
+    whole = lambda p: F.regexp_extract_all(text, F.lit(rf"(?<![\p{{L}}\p{{N}}_])({p})(?![\p{{L}}\p{{N}}_])"), F.lit(1))
+    space = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+    return F.concat(whole(f"[A-Z][a-z]+(?:{space}+[A-Z][a-z]+)*"), whole("[a-z]{3,}"))
 
 
 def trigrams(text: Column) -> Column:

@@ -16,6 +16,6 @@ ONTOLOGY = Ontology("words", "two kinds of words", (EntityType("A"), EntityType(
 
 @Q.add()
 def kg_pipeline(spark, d):
-    docs = table(spark, d, "documents").filter("lang = 'en'").select("doc_id", "text")
+    docs = table(spark, d, "documents").select("doc_id", "text")
     out = pipeline.run(spark, docs, ONTOLOGY, lambda: pipeline.GazetteerBackend(NAMES, "near"), pipeline.Config(paragraph_separator="\n"))
     return out.triples.select("subj_name", "subj_type", "predicate", "obj_name", "obj_type", F.col("confidence"))

@@ -126,7 +126,16 @@ SELECT lower(w) AS noun, count(DISTINCT doc_id) AS n_docs FROM m GROUP BY 1
 
 @Q.add(NOUN_SQL)
 def noun_candidates(spark, d):
-    t = table(spark, d, "documents").filter("lang = 'en'").filter(F.col("text") == F.regexp_replace("text", r"[^\x00-\x7F]", ""))
+    return _nouns(table(spark, d, "documents").filter("lang = 'en'").filter(F.col("text") == F.regexp_replace("text", r"[^\x00-\x7F]", "")))
+
+
+@Q.add()
+def noun_candidates_all(spark, d):
+    """Of all documents, whatever their language and letters."""
+    return _nouns(table(spark, d, "documents"))
+
+
+def _nouns(t):
     words = t.select("doc_id", F.explode(F.array_distinct(F.transform(X.noun_matches(F.col("text")), F.lower))).alias("noun"))
     return words.groupBy("noun").agg(F.count(F.lit(1)).alias("n_docs"))
 

@@ -2,6 +2,8 @@
 
 import json
 import random
+import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -101,6 +103,30 @@ def test_trigram_pairs_of_the_whole_table(spark, tmp_path):
     assert {(r.a, r.b): r.similarity for r in text_queries.Q["trigram_similarity_all"][0](spark, str(tmp_path)).collect()} == want
 
 
+LETTERS = ["The Quick Fox ran home", "Le Café Noir près d'Été", "naïve words über “quoted nouns” it’s", None, "", "x_y abc_def Abc1 New\u00a0York ²abc", "中文 word中文 plain", "New\n York aé bcd"]
+
+
+def test_noun_candidates_of_all_documents(spark, tmp_path):
+    from sparkloom.plans import text_queries
+
+    rows = [(i, x, ["en", "de", None][i % 3]) for i, x in enumerate(LETTERS)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = Counter()
+    for x in filter(None, LETTERS):
+        want.update({w.lower() for w in re.findall(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b", x) + re.findall(r"\b([a-z]{3,})\b", x)})
+    assert {r.noun: r.n_docs for r in text_queries.Q["noun_candidates_all"][0](spark, str(tmp_path)).collect()} == want
+
+
+def test_kg_pipeline_reads_all_documents(spark, tmp_path):
+    """Every document's pairs of neighbours, whatever its language."""
+    from sparkloom.plans import pipeline_queries
+
+    texts = [("that from.", "en"), ("with this.", "de"), ("they from.", None), ("né that. they this.", "fr"), (None, "en")]
+    spark.createDataFrame([(i, x, lang) for i, (x, lang) in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.subj_name, r.obj_name) for r in pipeline_queries.Q["kg_pipeline"][0](spark, str(tmp_path)).collect()}
+    assert got == {("that", "from"), ("with", "this"), ("they", "from"), ("they", "this")}
+
+
 def test_nt_terms(spark):
     from urllib.parse import quote
 
