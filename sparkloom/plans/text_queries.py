@@ -79,7 +79,7 @@ def chunk_window(spark, d):
 @Q.add()
 def chunk_paragraph(spark, d):
     t = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"\.\n", ".\n\n").alias("text"))
-    return t.select("doc_id", F.posexplode(X.paragraph_chunks(1000, 100, 50)("text")).alias("chunk_idx", "text"))
+    return t.select("doc_id", F.posexplode(X.paragraph_chunks()("text")).alias("chunk_idx", "text"))
 
 
 GROUP_SQL = """

@@ -127,6 +127,16 @@ def test_kg_pipeline_reads_all_documents(spark, tmp_path):
     assert got == {("that", "from"), ("with", "this"), ("they", "from"), ("they", "this")}
 
 
+def test_chunk_paragraph_of_one_long_line(spark, tmp_path):
+    """Chunks as by the reference's defaults: 200 of 4000 characters, 300 of them shared."""
+    from sparkloom.plans import text_queries
+
+    text = "".join(random.Random(1).choices("abc ", k=700_000))
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [r.text for r in text_queries.Q["chunk_paragraph"][0](spark, str(tmp_path)).orderBy("chunk_idx").collect()]
+    assert got == [text[i : i + 4000] for i in range(0, len(text), 3700)]
+
+
 def test_nt_terms(spark):
     from urllib.parse import quote
 
