@@ -38,7 +38,7 @@ def _length_without(text: Column, chars) -> Column:
 
 
 def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; texts themselves are not needed further."""
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and _n_lines, the lines with a word (0 for a text of one line); texts themselves are not needed further."""
     text = whole_text(text_col)
     out = docs.withColumn("_text", text).withColumn("_words", F.filter(F.split("_text", SPACE), lambda w: w != ""))
     out = out.withColumn("n_words", F.size("_words").cast("long"))
@@ -46,6 +46,7 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     out = out.withColumn("n_symbols", F.length("_text").cast("long") - _length_without(F.col("_text"), SYMBOLS))
     lines = F.filter(F.split("_text", "\n"), lambda x: F.length(F.trim(x, F.lit("".join(SPACES)))) > 0)
     out = out.withColumn("_lines", F.when(F.contains("_text", F.lit("\n")), lines).otherwise(F.array().cast("array<string>")))
+    out = out.withColumn("_n_lines", F.size("_lines").cast("long"))
     out = out.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
     # Three words joined by a space, which no word holds, are equal where the words are.
     out = out.withColumn(
@@ -81,8 +82,7 @@ def _measured(df: DataFrame) -> DataFrame:
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_group: int = 30, reach: float = 3.0) -> DataFrame:
     """A row for each row of docs: id, text_hash, the features, base_failed, the group's fences and kept."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"))
-    n_lines = (F.length(whole_text("text")) - F.length(F.replace(whole_text("text"), F.lit("\n"), F.lit(""))) + 1).cast("long")
-    rows = features(rows.withColumn("_n_lines", n_lines).withColumn("text_hash", F.xxhash64(whole_text("text")))).drop("text")
+    rows = features(rows.withColumn("text_hash", F.xxhash64(whole_text("text")))).drop("text")
     rows = cut(_measured(rows))
     # Documents that the base rules reject would widen the fences of the rest.
     sound = rows.filter(~F.col("base_failed"))

@@ -99,6 +99,15 @@ def test_rules_are_sound():
         assert all(any(w in k.split() for w in gate) for k in r["keywords"])
 
 
+def test_repeated_lines_between_blank_ones(spark):
+    """Lines that repeat count against lines with a word; no run of three words repeats here."""
+    spam = "\n\n".join(f"same\n\nsame\n\nother{i}" for i in range(40))
+    plain = [" ".join(f"word{i}x{k}" for k in range(60)) for i in range(40)]
+    got = {r.doc_id: r for r in quality.quality_rules(docs(spark, [spam, *plain, spam.replace("same", "x\n\n")])).collect()}
+    assert got[0].dup_line_share == pytest.approx(79 / 120) and not got[0].base_failed and not got[0].kept
+    assert all(got[i].kept for i in range(1, 41))
+
+
 def spec_secrets(text):
     text = text or ""
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?a:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[1]) >= 8]
