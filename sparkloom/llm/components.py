@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,17 +19,20 @@ def _with_least(edges: DataFrame) -> DataFrame:
     return edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(least, ["a", "salt"]).drop("salt")
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, label) for every node of edges (a, b): label is the smallest node of its component.
 
     Each round links every node's neighbours to its smallest one, first those above it, then
     those below; the number of rounds grows with the logarithm of a component's diameter and the
-    number of edges never does. Only counts and sums of hashes reach the driver.
+    number of edges never does. Rounds go on until one changes nothing; where ``rounds`` are
+    not enough for that it is an error. Only counts and sums of hashes reach the driver.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
     now = cut(edges.filter("a <> b").select(low.alias("b"), high.alias("a")).distinct())
     before = None
-    for _ in range(rounds):
+    for n in itertools.count():
+        if n == rounds:
+            raise RuntimeError(f"labels have not settled after {rounds} rounds")
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _with_least(both).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         # Every b is below its a now, so m is the smallest neighbour.

@@ -116,6 +116,14 @@ def test_packing_of_added_tokens(spark, tmp_path):
         assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in found[i]), x[:30]
 
 
+def test_components_settle_or_fail(spark):
+    """Labels that have not settled are no result."""
+    chain = spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components.components(chain, rounds=1)
+    assert {r.label for r in components.components(chain).collect()} == {0}
+
+
 def spec_best_fit(sizes, limit):
     gaps = []
     for s in sorted(sizes, reverse=True):
