@@ -72,7 +72,7 @@ SIGNATURES = (
     ("bsd", "bsd license", "bsd", 40),
     ("bsd", "redistribution and use in source and binary forms with or without modification", "redistribution", 50),
     ("bsd-3-clause", "neither the name of .{1,80} nor the names of its contributors", "neither the name", 75),
-    ("0bsd", "(?:0bsd|zero clause bsd)", "bsd", 75),
+    ("0bsd", "(?:0bsd|zero clause bsd)", "bsd|0bsd", 75),
     ("zlib", "zlib(?: libpng)? license", "zlib", 60),
     ("unlicense", "(?:the unlicense|free and unencumbered software released into the public domain)", "unlicense|unencumbered", 80),
     ("wtfpl", "(?:wtfpl|do what the f\\S+ you want to public license)", "wtfpl|want to public", 80),
@@ -96,14 +96,14 @@ SIGNATURES = (
     ("curl", "curl license", "curl", 60),
     ("postgresql", "postgresql license", "postgresql", 60),
     ("json", "shall be used for good not evil", "not evil", 80),
-    ("beerware", "(?:beer ?ware|buy me a beer)", "beer", 80),
+    ("beerware", "(?:beer ?ware|buy me a beer)", "beer|beerware", 80),
     ("elastic", "elastic license(?: 2 0)?", "elastic", 60),
     ("sspl", "(?:sspl|server side public license)", "sspl|server side", 70),
     ("busl", "business source license(?: 1 1)?", "business", 70),
     ("unicode", "unicode license agreement", "unicode", 60),
     ("ncsa", "(?:ncsa|university of illinois)(?: ncsa)? open source license", "open source", 70),
     ("llama", "llama \\d(?: \\d)? community license", "community license", 70),
-    ("rail", "(?:open ?rail|responsible ai license)", "rail|responsible ai", 60),
+    ("rail", "(?:open ?rail|responsible ai license)", "rail|openrail|responsible ai", 60),
     ("cc", "creative commons", "creative commons", 10),
     ("license", "(?:licensed|released|distributed|available) under", "licensed under|released under|distributed under|available under", 5),
 )
