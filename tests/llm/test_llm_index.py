@@ -341,23 +341,82 @@ def test_families_against_brute_force():
                 first.setdefault(x[k : k + 50].tobytes(), d)
         for x, d, z in zip(texts, doc, size):
             want += [first[x[k : k + 50].tobytes()] < d for k in range(z)]
-        assert (suffixes.find_strings(np.concatenate(texts), doc, size, batch=200) == np.array(want)).all()
-        a, m = draw.integers(0, 20, n).astype(np.uint64), draw.integers(0, 3, n).astype(np.uint64)
-        found, open_ = suffixes.find_sections(a, m, doc, batch=32)
+        found, family = suffixes.find_strings(np.concatenate(texts), doc, size, batch=200)
+        assert (found == np.array(want)).all() and family.scanned > 10 and family.merged > 3
+        m, a = draw.integers(0, 20, (n, 2)).astype(np.uint64), draw.integers(0, 3, n).astype(np.uint32)
+        found, open_, _ = suffixes.find_sections(m, a, doc, batch=32)
         seen = {}
-        for x, y, d in zip(a, m, doc):
-            seen.setdefault((x, y), d)
-        assert (found == np.array([seen[x, y] < d for x, y, d in zip(a, m, doc)])).all()
+        for x, d in zip(map(tuple, m), doc):
+            seen.setdefault(x, d)
+        assert (found == np.array([seen[x] < d for x, d in zip(map(tuple, m), doc)])).all()  # most keys stand for several sections here
         assert not (found & open_).any()
 
 
 def test_levels_stay_few():
-    family = suffixes.SuffixFamily()
+    family = suffixes.SuffixFamily(lambda at: at[:, None])
     for i in range(40):
-        k = np.arange(i * 10, i * 10 + 10).astype(np.uint64)
-        family.add(suffixes.Level(k, k, k.astype(np.int64), np.full(10, i)))
+        k = np.arange(i * 10, i * 10 + 10)
+        assert not family.take(k.astype(np.uint64), k, np.full(10, i)).any()
     sizes = [len(x) for x in family.levels]
     assert sum(sizes) == 400 and len(sizes) <= 6 and all(a > 2 * b for a, b in zip(sizes, sizes[1:]))
+    assert all((np.diff(x.key.astype(int)) > 0).all() for x in family.levels)
+
+
+def test_suffix_dedup_of_patterns_that_cancel(spark):
+    """Changes in the order of a Thue-Morse word cancel in polynomials modulo 2 ** 64; these two documents have no string in common."""
+    bit = [bin(i).count("1") & 1 for i in range(1024)]
+    count = lambda i: "".join("ABCDEFGHIJK"[i // 11**k % 11] for k in range(3))
+    # Every string holds a part of the filling that names its anchor, so all are one section.
+    one, two = ("".join("zy"[b ^ k] + count(i) + "cdchbhhggdefcbbhdadhgabdch" for i, b in enumerate(bit)) for k in (0, 1))
+    rows = [(1, one), (2, two)]
+    assert all(k == t.encode() for (_, _, k), (_, t) in zip(spec_suffix(rows), rows))
+    got = {r.doc_id: bytes(r.kept).decode() for r in suffixes.suffix_dedup(docs(spark, rows)).collect()}
+    assert got == {i: k.decode() for i, _, k in spec_suffix(rows)}
+
+
+def test_suffix_dedup_hot_anchors(spark, monkeypatch):
+    """Very many sections of one anchor go to the buckets of their strings."""
+    draw = random.Random(5)
+    noise = lambda n: "".join(draw.choices("abcdefgh", k=n))
+    rows = [(i, noise(60) + "all rights reserved by the owner of this" + noise(60)) for i in range(150)]
+    rows += [(200 + i, rows[i][1][20:130] + noise(40)) for i in range(20)] + [(300, rows[0][1]), (300, rows[1][1])]
+    # Workers read the module anew, so the bound is set in what they are sent.
+    whole = suffixes._reply_anchors
+
+    def reply(group):
+        suffixes.HOT = 5
+        return whole(group)
+
+    monkeypatch.setattr(suffixes, "_reply_anchors", reply)
+    for block_bytes in (1 << 30, 4000):
+        got = suffixes.suffix_dedup(docs(spark, rows), block_bytes=block_bytes).collect()
+        assert sorted((r.doc_id, [(s.start, s.end) for s in r.spans], bytes(r.kept)) for r in got) == spec_suffix(rows)
+
+
+def test_suffix_rows_grow_with_the_input():
+    """Rows of an exchange are pairs of block and bucket: at most a row for every ROW_BYTES."""
+    for size in (0, 1, 10**6, 10**9, 10**11, 10**14):
+        assert suffixes.n_blocks(size) ** 2 <= max(1, 2 * size / suffixes.ROW_BYTES + 2 * suffixes.n_blocks(size))
+
+
+def test_suffix_family_on_the_query_path(spark, tmp_path):
+    """Over sf0.001 a bucket's levels are scanned and merged many times."""
+    data = b"".join((r.text or "").encode() for r in spark.read.parquet(SMALL + "/documents.parquet").select("text").collect())
+    data = np.frombuffer(data, np.uint8)
+    s = suffixes.Sections(data, np.array([0, len(data)]))
+    mark = suffixes.strong(data, s.first, s.first + s.size + 49, 1)
+    _, _, family = suffixes.find_sections(mark, s.anchor.astype(np.uint32), np.arange(len(s.first)))
+    assert family.merged > 2 and family.scanned > 5
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_suffix_query_against_brute_force(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(SMALL + "/documents.parquet").select("doc_id", "text").collect()]
+    want = {i: (len((t or "").encode()), len((t or "").encode()) - len(k), len(spans), sha(k)) for (i, spans, k), (_, t) in zip(spec_suffix(rows), sorted(rows))}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.op1_suffix_dedup(spark, SMALL).collect()}
+    assert got == want
 
 
 PAGES = [(1, "http://a/x", "<p>" + "é" * 60), (2, "http://a/y\r\nX: 1", "<p>" + "é" * 60), (3, None, None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (9, "u", "z" * 200000), (8, "u", "z" * 200000), (7, "http://a/%20é", "\r\n\r\nbody\x00" * 40)]
