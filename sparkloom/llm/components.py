@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut
+from sparkloom.llm.common import drop, written
 
 
 SALTS = 16
@@ -28,7 +28,7 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     not enough for that it is an error. Only counts and sums of hashes reach the driver.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
-    now = cut(edges.filter("a <> b").select(low.alias("b"), high.alias("a")).distinct())
+    now, path = written(edges.filter("a <> b").select(low.alias("b"), high.alias("a")).distinct())
     before = None
     for n in itertools.count():
         if n == rounds:
@@ -38,7 +38,9 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
         # Every b is below its a now, so m is the smallest neighbour.
         small = _with_least(large)
         small = small.select("a", F.col("m").alias("b")).unionByName(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        now = cut(small)
+        done = path
+        now, path = written(small)
+        drop(edges.sparkSession, done)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -228,17 +228,67 @@ def test_jaccard_join(spark):
     assert got == spec_join(texts)
 
 
+def test_jaccard_rows_not_ids(spark):
+    """Repeated rows are copies; rows of one id and different texts are documents of their own."""
+    draw = random.Random(4)
+    a, c = (" ".join(f"w{draw.randrange(999)}" for _ in range(100)) for _ in range(2))
+    b, d = a + " more", c + " more"
+    join = lambda rows: sorted(((r.doc_id, r.class_id, r.n_links, r.first) for r in jaccard.jaccard_join(docs(spark, rows)).collect()), key=str)
+    assert join([(1, a), (1, a), (3, b)]) == [(1, 1, 2, True), (1, 1, 2, True), (3, 1, 2, False)]
+    assert join([(1, a), (1, c), (4, d)]) == [(1, 1, 0, True), (1, 1, 1, True), (4, 1, 1, False)]
+    assert join([(None, a), (None, a), (2, b), (3, c), (None, d), (5, None), (5, "")]) == join([(5, ""), (None, d), (3, c), (2, b), (None, a), (None, a), (5, None)])
+    # One row of each class stays, whatever its id.
+    kept = lambda rows: sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs(spark, rows), "").collect()), key=str)
+    assert kept([(1, a), (1, a), (3, b)]) == [(1, a)]
+    assert kept([(1, a), (1, c), (4, d)]) == sorted([(1, a), (1, c)])
+    assert len(kept([(5, None), (5, None), (6, ""), (None, a), (None, a)])) == 4
+
+
+def test_jaccard_chain(spark, monkeypatch):
+    """Texts that only a chain holds together don't meet: rows of a large group grow with it, and links are those of brute force."""
+    draw = random.Random(2)
+    words = [f"w{i}" for i in range(5000)]
+    chain, now = [], draw.choices(words, k=60)
+    for _ in range(60):
+        chain.append(" ".join(now))
+        now = now[6:] + draw.choices(words, k=6)
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    sent = []
+    deal = jaccard.dealt
+
+    def counted(rows, bins):
+        out = deal(rows, bins)
+        sent.append(out)
+        return out
+
+    monkeypatch.setattr(jaccard, "dealt", counted)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.jaccard_join(docs(spark, enumerate(chain))).collect()}
+    assert got == spec_join(chain)
+    near = [c.rsplit(" ", 1)[0] + f" z{i}" for i, c in enumerate([chain[0]] * 100)]
+    assert {r.doc_id: (r.class_id, r.n_links) for r in jaccard.jaccard_join(docs(spark, enumerate(near))).collect()} == spec_join(near)
+    rows = [x.count() for x in sent]
+    assert rows[0] < 60 * 14 and rows[1] == 100 * 25, rows  # the whole group: 60 * 15
+
+
+def test_slots_of_a_long_chain(spark):
+    """20,000 texts in one group, each in a bucket with the next: some rows for each text, not a block for each block."""
+    n = 20_000
+    members = spark.range(n).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("comp"), F.array((F.col("id") / 2).cast("long"), ((F.col("id") + 1) / 2).cast("long") + n, *(F.col("id") + (k + 2) * n for k in range(22))).alias("bands"))
+    rows = jaccard.dealt(jaccard.slots(members), 20)
+    assert n < rows.count() <= 2 * n and rows.agg(F.max("band")).first()[0] == 1
+
+
 def test_jaccard_blocks():
     """A group in two blocks finds what it finds as a whole."""
     hashes, texts = jaccard.WordHashes(), [t for t in near_texts() if t and len(t.split()) > 5]
     sets = [jaccard.shingles(t.encode().split(), hashes) for t in texts]
     reps, copies = np.arange(len(sets)), np.ones(len(sets), np.int64)
-    whole, _ = jaccard.linked(reps, copies, sets, np.full(len(sets), jaccard.WHOLE), 0.8)
+    whole, _ = jaccard.linked(copies, sets, np.full(len(sets), jaccard.WHOLE), 0.8)
     half = (reps % 2).astype(int)
     parts = np.zeros(len(sets), np.int64)
     for own in (np.flatnonzero(half == 0), np.flatnonzero(half == 1), reps):
         side = half if len(own) == len(reps) else np.full(len(own), jaccard.WHOLE)
-        parts[own] += jaccard.linked(reps[own], copies[own], [sets[i] for i in own], side, 0.8)[0]
+        parts[own] += jaccard.linked(copies[own], [sets[i] for i in own], side, 0.8)[0]
     assert (parts == whole).all()
 
 
