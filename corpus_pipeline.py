@@ -26,11 +26,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class, that with the smallest doc_id; of rows that repeat a doc_id one stays. Rows without an id are not compared and stay."""
-    first = jaccard_join(docs.filter(F.col("doc_id").isNotNull())).filter("doc_id = class_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows"))
-    kept = docs.join(first, F.col("doc_id") == F.col("_id"))
-    once, again = kept.filter("_rows = 1"), kept.filter("_rows > 1").dropDuplicates(["doc_id"])
-    return once.unionByName(again).unionByName(docs.filter(F.col("doc_id").isNull()).withColumns({"_id": F.col("doc_id"), "_rows": F.lit(1).cast("long")})).select(*docs.columns)
+    """One document of each class, that with the smallest doc_id; of rows that repeat its id and text the smallest one. Rows of one id and different texts are different documents. Rows without an id are not compared and stay."""
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    first = jaccard_join(docs.filter(F.col("doc_id").isNotNull())).filter("first").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count(F.lit(1)).alias("_rows"))
+    kept = docs.join(first, (F.col("doc_id") == F.col("_id")) & (own == F.col("_hash")))
+    once, again = kept.filter("_rows = 1").select(*docs.columns), kept.filter("_rows > 1")
+    row = F.struct(*docs.columns)
+    again = again.groupBy("_id", "_hash").agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*")
+    return once.unionByName(again).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
