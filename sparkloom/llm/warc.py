@@ -8,18 +8,25 @@ gzip member carries its own length in a header field, so the reader seeks past i
 decompressing. (Members of other writers lack that field and are decompressed to their end.)
 
 Writing: each task writes one file under a name of its own and the driver commits the list of
-files in a manifest, so what a lost or repeated task left behind is never read.
+files in a manifest of this write, so what a lost or repeated task left behind is never read.
+``append`` adds a manifest; the manifest of an ``overwrite`` names those that it replaces. Files
+under other names (archives of other writers, compressed or not) are always read.
 
 Spark keeps what was pushed down with the DataFrame of a ``load()``: load anew for another filter.
 
-Payloads are bytes. Null payloads are empty, null addresses leave their header out, line
-breaks in an address are percent-encoded; an empty table makes an archive without records.
+Payloads are bytes: what follows the HTTP headers in blocks of HTTP, else the whole block. Null
+payloads are empty, headers without a value are left out; where a header's value can't be written
+as it is (line breaks, percent signs, other than ASCII) the record's headers are percent-encoded
+and marked so; headers of other writers are left as they are. A header that repeats has its
+values joined by line feeds. An empty table makes an archive without records; rows without a
+page_id are responses and have none when read back.
 """
 
 from __future__ import annotations
 
 import json
 import posixpath
+import re
 import struct
 import urllib.parse
 import uuid
@@ -40,7 +47,8 @@ ARROW = pa.schema([(n, pa.string()) for n in ("record_type", "record_id", "targe
 #: Columns on which predicates are pushed down, and their headers.
 PUSHED = {"record_type": "warc-type", "target_uri": "warc-target-uri", "record_id": "warc-record-id", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MANIFEST = "_files.json"
+MANIFEST, OWN, HTTP = re.compile(r"_files-[0-9a-f]{32}\.json"), re.compile(r"part-[0-9a-f]{32}\.warc\.gz"), "application/http"
+ENCODED = ("X-Header-Encoding", "percent")
 SPLIT_BYTES, BATCH_BYTES, BATCH_ROWS = 32 << 20, 8 << 20, 1000
 #: A gzip member's header with one extra field "SL": the length of the member.
 GZIP = struct.Struct("<2sBBIBBH2sHI")
@@ -59,14 +67,18 @@ def member(record: bytes, level: int = 6) -> bytes:
 
 
 def record(row: dict) -> bytes:
-    """One record: WARC headers, HTTP headers and, unless it is a revisit, the payload."""
-    payload = row["payload"] or b""
-    length = row["payload_length"] if row["payload_length"] is not None else len(payload)
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
-    block = http + (b"" if row["record_type"] == "revisit" else payload)
-    heads = [("WARC-Type", row["record_type"]), ("WARC-Record-ID", row["record_id"]), ("WARC-Target-URI", row["target_uri"]), ("WARC-Date", row["record_date"]), ("WARC-Payload-Digest", row["payload_digest"]), ("WARC-Refers-To", row["refers_to"]), ("WARC-Profile", REVISIT if row["record_type"] == "revisit" else None), ("Content-Type", "application/http; msgtype=response"), *(row["headers"] or ()), ("Content-Length", len(block))]
-    lines = [f"{k}: {urllib.parse.quote(str(v), safe=QUIET)}" for k, v in heads if v is not None]
-    return ("WARC/1.1\r\n" + "\r\n".join(lines) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+    """One record: WARC headers, HTTP headers and, unless it is a revisit, the payload; records of other types than exchanges have the payload alone."""
+    payload, kind = row["payload"] or b"", row["record_type"]
+    block = payload
+    if kind in ("response", "revisit", "request"):
+        length = row["payload_length"] if row["payload_length"] is not None else len(payload)
+        block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode() + (b"" if kind == "revisit" else payload)
+    heads = [("WARC-Type", kind), ("WARC-Record-ID", row["record_id"]), ("WARC-Target-URI", row["target_uri"]), ("WARC-Date", row["record_date"]), ("WARC-Payload-Digest", row["payload_digest"]), ("WARC-Refers-To", row["refers_to"]), ("WARC-Profile", REVISIT if kind == "revisit" else None), ("Content-Type", f"{HTTP}; msgtype=response" if block is not payload else None), *(row["headers"] or ()), ("Content-Length", len(block))]
+    heads = [(k, str(v)) for k, v in heads if v is not None]
+    coded = [(k, urllib.parse.quote(v, safe=QUIET)) for k, v in heads]
+    if coded != heads:
+        coded.append(ENCODED)
+    return ("WARC/1.1\r\n" + "\r\n".join(f"{k}: {v}" for k, v in coded) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
 #: Printable ASCII but %, which stay as they are in a header; what else it holds is percent-encoded.
@@ -93,13 +105,10 @@ class WarcReader(DataSourceReader):
 
     def partitions(self):
         fs, root = filesystem(self.path)
-        named = posixpath.join(root, MANIFEST)
-        if fs.get_file_info(named).type == pyarrow.fs.FileType.File:
-            with fs.open_input_stream(named) as f:
-                files = json.loads(f.read())
-        else:
-            found = fs.get_file_info(pyarrow.fs.FileSelector(root, recursive=True))
-            files = [[posixpath.relpath(x.path, root), x.size] for x in found if x.path.endswith((".warc", ".warc.gz"))]
+        files = [f for m in manifests(fs, root).values() for f in m["files"]]
+        for x in fs.get_file_info(pyarrow.fs.FileSelector(root, recursive=True)):
+            if x.path.endswith((".warc", ".warc.gz")) and not OWN.fullmatch(x.base_name):
+                files.append([posixpath.relpath(x.path, root), x.size])
         out, own, size = [], [], 0
         for name, n in sorted(files):
             if own and size + n > SPLIT_BYTES:
@@ -131,6 +140,49 @@ class WarcReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, ARROW)
 
     def _records(self, f) -> Iterator[dict]:
+        magic = f.read(2)
+        return self._members(f) if magic == b"\x1f\x8b" else self._plain(f)
+
+    def _row(self, heads: dict, block: bytes) -> dict:
+        """A record from its headers and as much of its block as was read: all of it, or the HTTP headers at least."""
+        length = int(heads.get("content-length") or 0)
+        gap, own = -4, None
+        if heads.get("content-type", "").startswith(HTTP):
+            gap = block.find(b"\r\n\r\n")
+            own = parse(block[: gap if gap >= 0 else len(block)]).get("content-length")
+        payload = block[gap + 4 :] if self.payload and gap != -1 else None
+        size = int(own) if own and own.isdigit() else length - gap - 4 if gap != -1 else None
+        return {"record_type": heads.get("warc-type"), "record_id": heads.get("warc-record-id"), "target_uri": heads.get("warc-target-uri"), "record_date": heads.get("warc-date"), "payload_digest": heads.get("warc-payload-digest"), "refers_to": heads.get("warc-refers-to"), "payload_length": size, "headers": list(heads.items()), "payload": payload}
+
+    def _needs_block(self, heads: dict) -> bool:
+        return self.payload or heads.get("content-type", "").startswith(HTTP)
+
+    def _plain(self, f) -> Iterator[dict]:
+        """Records that are not compressed, one behind the other; unwanted blocks are seeked past."""
+        at, end = 0, f.size()
+        while at < end:
+            f.seek(at)
+            text = f.read(4096)
+            skip = len(text) - len(text.lstrip(b"\r\n"))
+            if skip:
+                at += skip
+                continue
+            while (cut := text.find(b"\r\n\r\n")) < 0 and (chunk := f.read(1 << 16)):
+                text += chunk
+            if cut < 0:
+                return
+            heads = parse(text[:cut])
+            first, length = at + cut + 4, int(heads.get("content-length") or 0)
+            if self._passes(heads):
+                want = length if self.payload else min(length, 1 << 16) if self._needs_block(heads) else 0
+                block = text[cut + 4 : cut + 4 + want]
+                if len(block) < want:
+                    f.seek(first + len(block))
+                    block += f.read(want - len(block))
+                yield self._row(heads, block)
+            at = first + length
+
+    def _members(self, f) -> Iterator[dict]:
         at, end = 0, f.size()
         while at < end:
             f.seek(at)
@@ -151,25 +203,33 @@ class WarcReader(DataSourceReader):
                 left = stream.unconsumed_tail
                 return bool(chunk)
 
-            while (cut := text.find(b"\r\n\r\n")) < 0 and more(8192):
-                pass
-            heads = parse(text[:cut])
-            wanted = self._passes(heads)
-            length = int(heads.get("content-length", 0))
-            if wanted:
+            # A member holds one record, or in some archives many.
+            while True:
+                while not (text := text.lstrip(b"\r\n")) and more(8192):
+                    pass
+                while (cut := text.find(b"\r\n\r\n")) < 0 and more(8192):
+                    pass
+                if cut < 0:
+                    break
+                heads = parse(text[:cut])
                 block = cut + 4
-                full = block + length
-                if self.payload:
-                    while len(text) < full and more(max(8192, full - len(text))):
-                        pass
-                else:
-                    while (gap := text.find(b"\r\n\r\n", block)) < 0 and len(text) < full and more(8192):
-                        pass
-                gap = text.find(b"\r\n\r\n", block, full)
-                http = parse(text[block : gap if gap >= 0 else full])
-                payload = bytes(text[gap + 4 : full]) if self.payload and gap >= 0 else None
-                own = http.get("content-length")
-                yield {"record_type": heads.get("warc-type"), "record_id": heads.get("warc-record-id"), "target_uri": heads.get("warc-target-uri"), "record_date": heads.get("warc-date"), "payload_digest": heads.get("warc-payload-digest"), "refers_to": heads.get("warc-refers-to"), "payload_length": int(own) if own else None, "headers": list(heads.items()), "payload": payload}
+                full = block + int(heads.get("content-length") or 0)
+                if self._passes(heads):
+                    if self.payload:
+                        while len(text) < full and more(max(8192, full - len(text))):
+                            pass
+                    elif self._needs_block(heads):
+                        while text.find(b"\r\n\r\n", block) < 0 and len(text) < full and more(8192):
+                            pass
+                    yield self._row(heads, bytes(text[block:full]))
+                if size:
+                    break
+                while full > len(text):
+                    full -= len(text)
+                    text.clear()
+                    if not more(1 << 16):
+                        break
+                del text[:full]
             if size:
                 at += size
             else:
@@ -181,8 +241,25 @@ class WarcReader(DataSourceReader):
 
 def parse(block: bytes) -> dict[str, str]:
     """Header lines after the first, names in lower case."""
-    lines = bytes(block).decode("utf-8", "replace").split("\r\n")[1:]
-    return {k.lower(): urllib.parse.unquote(v.strip()) for k, sep, v in (x.partition(":") for x in lines) if sep}
+    pairs = [(k.strip().lower(), v.strip()) for k, sep, v in (x.partition(":") for x in bytes(block).decode("utf-8", "replace").split("\r\n")[1:]) if sep]
+    mark = (ENCODED[0].lower(), ENCODED[1])
+    if mark in pairs:
+        pairs = [(k, urllib.parse.unquote(v)) for k, v in pairs if (k, v) != mark]
+    out: dict[str, str] = {}
+    for k, v in pairs:
+        out[k] = f"{out[k]}\n{v}" if k in out else v
+    return out
+
+
+def manifests(fs: pyarrow.fs.FileSystem, root: str) -> dict[str, dict]:
+    """The manifests of an archive that no later one replaces, by name."""
+    found = {}
+    for x in fs.get_file_info(pyarrow.fs.FileSelector(root)):
+        if MANIFEST.fullmatch(x.base_name):
+            with fs.open_input_stream(x.path) as f:
+                found[x.base_name] = json.loads(f.read())
+    gone = {name for m in found.values() for name in m["replaces"]}
+    return {name: m for name, m in found.items() if name not in gone}
 
 
 @dataclass
@@ -192,13 +269,13 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict):
-        self.path, self.level = options["path"], int(options.get("level", "6"))
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.path, self.level, self.overwrite = options["path"], int(options.get("level", "6")), overwrite
 
     def write(self, iterator):
         fs, root = filesystem(self.path)
         fs.create_dir(root, recursive=True)
-        name, size = f"{uuid.uuid4().hex}.warc.gz", 0
+        name, size = f"part-{uuid.uuid4().hex}.warc.gz", 0
         with fs.open_output_stream(posixpath.join(root, name), compression=None) as f:
             for batch in iterator:
                 for row in batch.to_pylist():
@@ -210,8 +287,13 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages):
         fs, root = filesystem(self.path)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(posixpath.join(root, MANIFEST), compression=None) as f:
-            f.write(json.dumps([[m.name, m.size] for m in messages if m]).encode())
+        before = manifests(fs, root) if self.overwrite else {}
+        # One file says what is there now; whatever happens after it, nothing old is read.
+        with fs.open_output_stream(posixpath.join(root, f"_files-{uuid.uuid4().hex}.json"), compression=None) as f:
+            f.write(json.dumps({"files": [[m.name, m.size] for m in messages if m], "replaces": sorted(before)}).encode())
+        for m in before.values():
+            for name, _ in m["files"]:
+                fs.delete_file(posixpath.join(root, name))
 
     def abort(self, messages):
         fs, root = filesystem(self.path)
@@ -232,7 +314,7 @@ class WarcSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema, overwrite):
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:
