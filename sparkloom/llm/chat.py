@@ -30,7 +30,7 @@ PART = "struct<type:string,text:string,ref:string,size:bigint>"
 #: Tokens that one attachment expands to: fixed, and for each unit of its size (pixels of a
 #: side squared, milliseconds, bytes).
 EXPANDS = {"image": (85, 1 / 784), "audio": (2, 1 / 40), "document": (16, 1 / 4)}
-TRAINED = "assistant"
+TRAINED, PAGE = "assistant", 4096
 
 
 def escape(text: Column) -> Column:
@@ -88,9 +88,16 @@ def chat_read(formatted: DataFrame) -> DataFrame:
         return F.struct(unescape(F.substring(p, head + 1, said - 1 - head)).alias("role"), unescape(F.substring(p, said + len(SAYS), F.length(p))).alias("text"))
 
     out = out.withColumn("turns", F.transform("_pieces", turn))
-    # A span is cut from its own turn: where the turn starts follows from the span's end, as a turn ends with its text.
-    cut = lambda s: F.element_at("_pieces", s["turn"])
-    return out.withColumn("loss", F.transform("loss_spans", lambda s: unescape(F.right(cut(s), (s["end"] - s["start"]).cast("int"))))).drop("_pieces")
+    # Spans are cut out of the whole string by their offsets. Pages of it, so that a cut looks at its own pages and not at all that stands before.
+    out = out.withColumn("_pages", F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0)))
+
+    def cut(s: Column) -> Column:
+        first = (s["start"] / PAGE).cast("int")
+        last = (s["end"] / PAGE).cast("int")
+        pages = F.array_join(F.slice("_pages", first + 1, last - first + 1), "")
+        return F.substring(pages, (s["start"] - first * PAGE + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+
+    return out.withColumn("loss", F.transform("loss_spans", lambda s: unescape(cut(s)))).drop("_pieces", "_pages")
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
