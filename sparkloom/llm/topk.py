@@ -11,10 +11,13 @@ only once that proves that no more than a few vectors can still be among the k b
 scored exactly from their integers. Ties go
 to the smaller id. Blocks give k candidates for each query, and the k best of those are exact.
 
-Queries travel in blocks of their own to each block of vectors. Vectors that are null or hold a
-null or non-finite component take no part; shorter vectors count as zero beyond their end;
-empty vectors score 0; repeated rows are candidates each, but never of a query with their own id;
-an empty table gives an empty result; extra columns are left alone.
+Vectors meet queries in tasks of one block of each, so a task holds ``BLOCK`` vectors and
+``QUERIES`` queries however many there are. Blocks are of vectors of about one length, so a long
+one widens no others than those like it. Vectors that are null or hold a null or non-finite
+component take no part; shorter vectors count as zero beyond their end; empty vectors score 0;
+repeated rows are candidates each, but never of a query with their own id; an empty table gives
+an empty result; extra columns are left alone. Where sums could pass 64 bits they are taken in
+integers of any size; a score beyond a long counts as the nearest long.
 """
 
 from __future__ import annotations
@@ -78,46 +81,73 @@ class ImpactIndex:
 
 
 def integers(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
-    """vec_id and the floors of scale times the components, of vectors that are whole and finite."""
+    """vec_id and v, the floors of scale (a power of two) times the components as doubles that hold them exactly, of vectors that are whole and finite."""
     big = lambda x: F.abs(x.cast("double")) < F.lit(float("inf"))
     sound = F.col(vector_col).isNotNull() & F.forall(vector_col, lambda x: x.isNotNull() & big(x))
-    return vectors.filter(sound).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: F.floor(scale * x.cast("double")).cast("long")).alias("v"))
+    # From 2 ** 53 on a double is an integer already; in between, floor gives a long.
+    whole = lambda y: F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)
+    return vectors.filter(sound).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: whole(scale * x.cast("double"))).alias("v"))
 
 
-def _matrix(lists, dims: int) -> np.ndarray:
-    out = np.zeros((len(lists), dims), np.int64)
+def _matrix(lists: list, dims: int) -> np.ndarray:
+    """Integers of 64 bits, or of any size where 64 bits would not do for all sums of products."""
+    out = np.zeros((len(lists), dims))
     for i, x in enumerate(lists):
         out[i, : len(x)] = x
+    if not len(out) or not dims or np.abs(out).max() ** 2 * dims < 2.0**62:
+        return out.astype(np.int64)
+    return np.array([[int(y) for y in x] for x in out.tolist()], object).reshape(out.shape)
+
+
+def _search(ids: np.ndarray, vectors: np.ndarray, asked: list[tuple[int, list]], k: int) -> tuple[list, list, list]:
+    """Query, vector and score of the k best for each query."""
+    out: tuple[list, list, list] = ([], [], [])
+    queries = _matrix([v for _, v in asked], vectors.shape[1])
+    wide = object in (vectors.dtype, queries.dtype) or (vectors.size and queries.size and float(np.abs(vectors).max()) * float(np.abs(queries).max()) * vectors.shape[1] >= 2.0**62)
+    index = None if wide else ImpactIndex(ids, vectors)
+    for (own, _), q in zip(asked, queries):
+        if index:
+            rows, scores = index.search(own, q, k)
+        else:
+            exact = vectors.astype(object) @ q.astype(object) if vectors.shape[1] else np.zeros(len(ids), object)
+            scores = np.array([max(-(2**63), min(2**63 - 1, int(x))) for x in exact], object)
+            rows = np.array(sorted(np.flatnonzero(ids != own).tolist(), key=lambda i: (-scores[i], ids[i]))[:k], np.int64)
+            scores = scores[rows]
+        out[0].extend([own] * len(rows))
+        out[1].extend(ids[rows].tolist())
+        out[2].extend(scores.tolist())
     return out
 
 
-def exact_top_k(vectors: DataFrame, queries: DataFrame, n_vectors: int, k: int = K) -> DataFrame:
-    """query_id, rank, vec_id, score. Both frames have vec_id and v; n_vectors sets the number of blocks."""
-    blocks = max(1, -(-n_vectors // BLOCK))
-    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int"))
-    # Queries in blocks, each sent to each block of vectors.
-    packed = queries.groupBy(F.pmod(F.xxhash64("vec_id"), F.greatest(F.lit(1), F.lit(n_vectors // (50 * QUERIES) + 1))).alias("part")).agg(F.collect_list(F.struct("vec_id", "v")).alias("asked"))
-    packed = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.col("block").cast("int"))
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
+    """query_id, rank, vec_id, score. Both frames have vec_id and v."""
+    # Blocks of one width, from one power of two to the next: their numbers, a row for each width.
+    width = F.ceil(F.log2(F.size("v") + F.lit(1))).cast("int")
+    sizes = {r["width"]: r["count"] for r in vectors.groupBy(width.alias("width")).count().collect()}
+    parts, blocks, block = max(1, -(-queries.count() // QUERIES)), 0, F.lit(0)
+    for w, n in sorted(sizes.items()):
+        own = -(-n // BLOCK)
+        block = F.when(width == w, F.lit(blocks) + F.pmod(F.xxhash64("vec_id", "v"), F.lit(own))).otherwise(block)
+        blocks += own
+    tasks, every = max(1, blocks) * parts, lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = vectors.withColumn("block", block.cast("int")).withColumn("part", every(parts))
+    asked = queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).withColumn("block", every(max(1, blocks)))
+    rows, asked = (x.repartition(tasks, "block", "part").groupBy("block", "part") for x in (rows, asked))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+        out: tuple[list, list, list] = ([], [], [])
         if left.num_rows and right.num_rows:
-            lists = left["v"].to_pylist()
-            asked = [(q["vec_id"], q["v"]) for part in right["asked"].to_pylist() for q in part]
-            dims = max([len(x) for x in lists] + [len(v) for _, v in asked])
-            index = ImpactIndex(left["vec_id"].to_numpy(), _matrix(lists, dims))
-            for own, q in asked:
-                rows, scores = index.search(own, _matrix([q], dims)[0], k)
-                out["query_id"] += [own] * len(rows)
-                out["vec_id"] += index.ids[rows].tolist()
-                out["score"] += scores.tolist()
-        return pa.table({n: pa.array(x, pa.int64()) for n, x in out.items()})
-
-    found = dealt.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(run, "query_id long, vec_id long, score long")
+            lists, queries = left["v"].to_pylist(), list(zip(right["vec_id"].to_pylist(), right["v"].to_pylist()))
+            # What a query holds beyond the longest vector meets zeros.
+            dims = max(1, *map(len, lists))
+            out = _search(left["vec_id"].to_numpy(), _matrix(lists, dims), [(i, v[:dims]) for i, v in queries], k)
+        return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("query_id", "vec_id", "score"), out)})
+
+    found = rows.cogroup(asked).applyInArrow(run, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = integers(table(spark, sf_dir, "embeddings"))
-    return exact_top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), vectors.count())
+    return exact_top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))

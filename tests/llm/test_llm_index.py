@@ -170,6 +170,23 @@ def test_top_k_few(spark, tmp_path):
     assert [(r.query_id, r.vec_id, r.score) for r in topk.op4_exact_top_k(spark, str(tmp_path)).collect()] == [(0, 1, 256 * 512)]
 
 
+def test_top_k_of_wide_and_long_vectors(spark):
+    """Sums beyond 64 bits, and vectors of very different lengths, in several blocks and parts."""
+    draw = random.Random(3)
+    rows = [(0, [1e17, 2.0]), (1, [1e17, 1.0]), (2, [-1e300, 5.0]), (3, [3.0] * 3000), (4, [float(2**52 + 1), 1.0]), *((i, [float(draw.randint(-9, 9)) for _ in range(draw.choice([0, 1, 5]))]) for i in range(5, 60))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [int(x) * 256 for x in v] for i, v in rows}  # all are whole numbers
+    score = lambda a, b: max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(whole[a], whole[b]))))
+    v = topk.integers(df)
+    want = sorted((q, k + 1, i, -s) for q in whole for k, (s, i) in enumerate(sorted((-score(q, i), i) for i in whole if i != q)[:5]))
+    before = topk.QUERIES
+    try:
+        topk.QUERIES = 16
+        assert sorted(tuple(r) for r in topk.exact_top_k(v, v).collect()) == want
+    finally:
+        topk.QUERIES = before
+
+
 def test_index_is_exact_and_stops():
     draw = np.random.default_rng(2)
     v = draw.integers(-300, 300, (1500, 16))
@@ -495,15 +512,54 @@ def test_warc_reads_and_skips(spark, tmp_path):
     assert [r.payload_length for r in df().filter("record_id in ('<urn:page:4>', '<urn:page:3>')").collect()] == [0, 0]
     bare = lambda: spark.read.format("warc").option("payload", "false").load(path)
     assert bare().filter("payload is not null").count() == 0 and bare().filter("target_uri like 'http://a%'").count() == 3
-    # Without the manifest, and with members that do not carry their length.
+    # Archives of other writers: members that do not carry their length, records that are not compressed, blocks that are no HTTP, headers that look encoded or repeat.
     import gzip
 
-    for f in (tmp_path / "w").iterdir():
-        f.unlink()
+    other = str(tmp_path / "other")
+    (tmp_path / "other").mkdir()
     row = {"record_type": "response", "record_id": "<urn:x>", "target_uri": "u", "record_date": "d", "payload_digest": None, "refers_to": None, "payload_length": None, "headers": [], "payload": b"abc" * 50000}
-    (tmp_path / "w" / "other.warc.gz").write_bytes(gzip.compress(warc.record(row)) + gzip.compress(warc.record(row | {"record_id": "<urn:y>"})))
-    other = lambda: spark.read.format("warc").load(path)
-    assert other().filter("record_id = '<urn:y>'").first().payload == b"abc" * 50000 and other().count() == 2
+    (tmp_path / "other" / "a.warc.gz").write_bytes(gzip.compress(warc.record(row)) + gzip.compress(warc.record(row | {"record_id": "<urn:y>"})))
+    info = b"software: x\r\n\r\nmore"
+    foreign = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:i>\r\nContent-Type: application/warc-fields\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(info), info)
+    http = b"HTTP/1.1 200 OK\r\nX: 1\r\n\r\nbody"
+    foreign += b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:r>\r\nWARC-Target-URI: http://x/a%%20b%%2Fc\r\nWARC-Concurrent-To: <1>\r\nWARC-Concurrent-To: <2>\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(http), http)
+    (tmp_path / "other" / "b.warc").write_bytes(foreign + warc.record(row | {"record_id": "<urn:z>"}))
+    (tmp_path / "other" / "c.warc.gz").write_bytes(gzip.compress(foreign))
+    (tmp_path / "other" / "d.warc").write_bytes(b"")
+    read = lambda **options: spark.read.format("warc").options(path=other, **options).load()
+    assert read().filter("record_id = '<urn:y>'").first().payload == b"abc" * 50000 and read().count() == 7
+    assert [bytes(r.payload) for r in read().filter("record_type = 'warcinfo'").collect()] == [info] * 2
+    for options in ({}, {"payload": "false"}):
+        for r in read(**options).filter("record_id = '<urn:r>'").collect():
+            assert (r.target_uri, r.headers["warc-concurrent-to"], r.payload_length) == ("http://x/a%20b%2Fc", "<1>\n<2>", 4)
+            assert r.payload == (None if options else b"body")
+    # A write beside them adds to what is read.
+    warc.page_records(rows).write.format("warc").mode("append").option("path", other).save()
+    assert read().count() == 7 + len(PAGES)
+
+
+def test_warc_append_and_overwrite(spark, tmp_path):
+    warc.register(spark)
+    path = str(tmp_path / "w")
+    pages = lambda lo, hi: warc.page_records(spark.createDataFrame([(i, f"u{i}", "x" * 200 * i) for i in range(lo, hi)], "page_id long, url string, html string").repartition(2))
+    ids = lambda: sorted(r.record_id for r in spark.read.format("warc").load(path).collect())
+    names = lambda *r: sorted(f"<urn:page:{i}>" for i in r)
+    save = lambda df, mode: df.write.format("warc").mode(mode).option("path", path).save()
+    save(pages(0, 2), "append")
+    save(pages(2, 4), "append")
+    assert ids() == names(0, 1, 2, 3)
+    (tmp_path / "w" / f"part-{'0' * 32}.warc.gz").write_bytes(b"what a lost task left")
+    assert ids() == names(0, 1, 2, 3)
+    save(pages(7, 9), "overwrite")
+    assert ids() == names(7, 8)
+    save(pages(1, 2), "append")
+    assert ids() == names(1, 7, 8)
+
+
+def test_warc_without_ids(spark, tmp_path):
+    spark.createDataFrame([(None, "u", "x" * 150), (3, "u", "x" * 150), (4, None, "x" * 150), (None, "u", "x" * 150)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = [(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.op9_warc(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([(None, 150, "response", None)] * 2 + [(3, 150, "response", None), (4, 150, "revisit", 3)], key=str)
 
 
 def test_warc_empty(spark, tmp_path):
