@@ -9,6 +9,10 @@ each rule only texts with its keyword. Detections are intervals of words; one th
 an interval of a rule with higher priority (or of the same priority, but longer) is
 suppressed. Base phrases and their labels are found beside the rules and never suppressed.
 
+Work grows with the logarithm of a text's length times the length: places are running sums over
+the pieces between matches, and what lies inside what follows from running maxima of ends over
+detections in order of their starts.
+
 Null texts count as empty; a text without words has no labels and score 0; repeated rows are
 scanned one by one; an empty table gives an empty result; extra columns are left alone.
 """
@@ -155,15 +159,52 @@ def _rule_table() -> Column:
     return F.from_json(F.lit(json.dumps(rules())), kind)
 
 
+def _running(values: Column, combine) -> Column:
+    """Running totals of an array under an associative ``combine``: each step joins what lies 1, 2, 4, ... places before."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int"))
+
+    def step(now: Column, k: Column) -> Column:
+        back = F.pow(F.lit(2), k).cast("int")
+        return F.transform(now, lambda x, i: F.when(i >= back, combine(x, F.get(now, i - back))).otherwise(x))
+
+    return F.aggregate(steps, values, step)
+
+
+def _with(value: Column, use) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _places(norm: Column, rule: Column) -> Column:
     """Intervals [start, end) of words at which the rule's pattern stands in norm."""
-    # Each match is marked by a line feed, which norm cannot hold, and the pieces between are counted up.
+    # Each match is marked by a line feed, which norm cannot hold; the spaces of the pieces between are summed up.
     pieces = F.split(F.regexp_replace(norm, F.concat(F.lit("("), rule["pattern"], F.lit(")")), F.lit("\n$1\n")), "\n")
     spaces = F.transform(pieces, lambda p: F.length(p) - F.length(F.replace(p, F.lit(" "), F.lit(""))))
-    start = F.struct(F.lit(0).alias("seen"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
-    step = lambda a, x, i: F.struct((a["seen"] + x).alias("seen"), F.when(i % 2 == 1, F.concat(a["out"], F.array(F.struct(a["seen"].alias("s"), (a["seen"] + x).alias("e"))))).otherwise(a["out"]).alias("out"))
-    numbered = F.transform(spaces, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-    return F.aggregate(numbered, start, lambda a, n: step(a, n["x"], n["i"]), lambda a: a["out"])
+    ends = lambda sums: F.transform(F.sequence(F.lit(1), F.size(sums) - 2, F.lit(2)), lambda i: F.struct(F.get(sums, i - 1).alias("s"), F.get(sums, i).alias("e")))
+    none = F.array().cast("array<struct<s:int,e:int>>")
+    return _with(spaces, lambda x: F.when(F.size(x) > 1, _with(_running(x, lambda a, b: a + b), ends)).otherwise(none))
+
+
+def _outermost(hits: Column, priority: Column) -> Column:
+    """The hits of this priority that lie inside none of a higher priority, nor inside a longer one of their own."""
+    # In order of starts, longer ones first, higher priorities before their own. Equal intervals of one priority don't suppress each other, so each looks at what stands before the first of its kind.
+    row = lambda h: F.struct(h["s"].alias("s"), (-h["e"]).alias("back"), (h["priority"] == priority).alias("own"), h["label"].alias("label"))
+    ordered = F.array_sort(F.transform(F.filter(hits, lambda h: h["priority"] >= priority), row))
+    once = lambda rows: F.filter(rows, lambda x, i: (i == 0) | (x != F.get(rows, i - 1)))
+
+    def judged(rows: Column) -> Column:
+        before = lambda x, i: F.get(rows, i - 1)
+        fresh = F.transform(rows, lambda x, i: F.when((i > 0) & (before(x, i)["s"] == x["s"]) & (before(x, i)["back"] == x["back"]) & (before(x, i)["own"] == x["own"]), F.lit(0)).otherwise(i))
+        reach = _running(F.transform(rows, lambda x: -x["back"]), F.greatest)
+
+        def kept(both: Column) -> Column:
+            place = lambda i: F.get(both["first"], i)
+            alone = lambda x, i: x["own"] & ((place(i) == 0) | (F.get(both["reach"], place(i) - 1) < -x["back"]))
+            return F.transform(F.filter(F.transform(rows, lambda x, i: F.struct(x.alias("x"), alone(x, i).alias("ok"))), lambda y: y["ok"]), lambda y: F.struct(y["x"]["label"].alias("label"), priority.alias("priority"), y["x"]["s"].alias("s"), (-y["x"]["back"]).alias("e")))
+
+        return _with(F.struct(_running(fresh, F.greatest).alias("first"), reach.alias("reach")), kept)
+
+    return _with(_with(ordered, once), judged)
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,9 +241,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tried = F.filter(_rule_table(), lambda r: F.exists(r["keywords"], lambda k: F.contains(F.col("_norm"), k)))
     hits = F.flatten(F.transform(tried, lambda r: F.transform(_places(F.col("_norm"), r), lambda p: F.struct(r["label"].alias("label"), r["priority"].alias("priority"), p["s"].alias("s"), p["e"].alias("e")))))
     out = out.withColumn("_hits", F.when(F.col("_norm") != " ", hits).otherwise(F.array().cast(kinds)))
-    inside = lambda x, y: (y["s"] <= x["s"]) & (y["e"] >= x["e"]) & ((y["priority"] > x["priority"]) | ((y["priority"] == x["priority"]) & (y["e"] - y["s"] > x["e"] - x["s"])))
-    kept = F.filter("_hits", lambda x: ~F.exists("_hits", lambda y: inside(x, y)))
-    out = out.withColumn("detections", F.array_distinct(kept))
+    priorities = F.array_distinct(F.transform("_hits", lambda h: h["priority"]))
+    out = out.withColumn("detections", F.flatten(F.transform(priorities, lambda p: _outermost(F.col("_hits"), p))))
     labels = F.array_sort(F.array_distinct(F.concat("_base_labels", F.transform("detections", lambda x: x["label"]))))
     out = out.withColumn("base_labels", F.array_join("_base_labels", ",")).withColumn("labels", F.array_join(labels, ","))
     covered = F.aggregate(F.transform("detections", lambda x: (x["e"] - x["s"]) * x["priority"] / 100), F.lit(0.0), lambda a, x: a + x) + F.col("n_base")
