@@ -20,6 +20,8 @@ an empty table gives an empty result; extra columns are left alone.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import os
 import random
@@ -251,18 +253,21 @@ def scan(text: str, grammars: Grammars) -> tuple[list[tuple[int, int, str]], lis
     base = base_spans(text)
     spans = [(s, KINDS[k], e) for s, k, e in base]
     order = {k: i for i, k in enumerate((*KINDS, *grammars.kinds))}
+    # Base spans by their starts, and how far those up to each one reach.
+    starts, reach = [s for s, _, _ in base], list(itertools.accumulate((e for _, _, e in base), max))
     for m in CANDIDATE.finditer(text):
-        found: list[tuple[int, int]] = []
-        for a, b in ((0, len(m[0])), *grammars.parts(m[0])) if SEPARATOR.search(m[0]) else ((0, len(m[0])),):
-            token = m[0][a:b].strip(".=-")
-            start = m.start() + a + m[0][a:b].index(token)
-            end = start + len(token)
-            if len(token) < SHORTEST or any(s <= start and end <= e for s, _, e in base) or any(s < end and start < e for s, e in found):
+        run, whole = m[0], m[0].strip(".=-")
+        found: list[tuple[int, int]] = []  # disjoint, sorted
+        for a, b in ((0, len(run)), *grammars.parts(run)) if SEPARATOR.search(run) else ((0, len(run)),):
+            a, b = a + len(run[a:b]) - len(run[a:b].lstrip(".=-")), a + len(run[a:b].rstrip(".=-"))
+            start, end = m.start() + a, m.start() + b
+            i, k = bisect.bisect_right(starts, start), bisect.bisect_left(found, (end, 0))
+            if b - a < SHORTEST or (i and reach[i - 1] >= end) or (k and found[k - 1][1] > start):
                 continue
-            if kind := grammars.kind_of(token):
+            if kind := grammars.kind_of(run[a:b]):
                 spans.append((start, kind, end))
-                found.append((start, end))
-                if end - start == len(m[0].strip(".=-")):
+                found.insert(k, (start, end))
+                if b - a == len(whole):
                     break
     spans.sort(key=lambda x: (x[0], order[x[1]], x[2]))
     return base, spans
