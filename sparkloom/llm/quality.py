@@ -1,7 +1,7 @@
 """Quality rules whose thresholds adapt to each language and source [native].
 
-One pass over the texts makes a small row of features for each document. Mergeable
-quantile sketches (``approx_percentile``: partial sketches on the map side, merged after
+One pass over the texts makes a small row of features for each document, which is written to
+the shared folder. Mergeable quantile sketches (``approx_percentile``: partial sketches on the map side, merged after
 the shuffle) over those rows give the quartiles of each feature for each (lang, source),
 each lang and the whole table. A document fails where a feature lies beyond the Tukey
 fence of its own group; groups of fewer than ``min_group`` documents take the fence of
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut, table, whole_text
+from sparkloom.llm.common import table, whole_text, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
@@ -79,11 +79,11 @@ def _measured(df: DataFrame) -> DataFrame:
     )
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_group: int = 30, reach: float = 3.0) -> DataFrame:
-    """A row for each row of docs: id, text_hash, the features, base_failed, the group's fences and kept."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"))
-    rows = features(rows.withColumn("text_hash", F.xxhash64(whole_text("text")))).drop("text")
-    rows = cut(_measured(rows))
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_group: int = 30, reach: float = 3.0, rest: bool = False) -> DataFrame:
+    """A row for each row of docs: id, the features, base_failed, the group's fences and kept; with ``rest`` also all columns of docs, as a struct. What one pass over the texts has found is written, and the sketches read features alone, so no text is shuffled or read twice."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("rest")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"), *([whole] if rest else []))
+    rows, _ = written(_measured(features(rows).drop("text")), "quality")
     # Documents that the base rules reject would widen the fences of the rest.
     sound = rows.filter(~F.col("base_failed"))
     quartiles = lambda f: F.percentile_approx(f, F.array(F.lit(0.25), F.lit(0.75)), ACCURACY)

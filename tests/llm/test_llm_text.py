@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import string
+import time
 from collections import Counter
 
 import pytest
@@ -210,6 +211,73 @@ def grammars():
     return secrets.Grammars(secrets.labelled_credentials())
 
 
+@pytest.mark.parametrize("kind", ["npm", "gitlab", "sendgrid", "jwt"])
+def test_formats_that_were_never_labelled(kind):
+    """Automata know the formats that were labelled: of a kind left out of the set they find nothing, as README says."""
+    labelled = secrets.labelled_credentials()
+    g, draw = secrets.Grammars([x for x in labelled if x[0] != kind]), random.Random(3)
+    found = sum(bool(secrets.scan(drawn(kind, draw), g)[1]) for _ in range(50)) / 50
+    assert found == 0 and kind not in g.kinds
+
+
+def test_secrets_in_long_texts():
+    """A megabyte full of matches takes seconds."""
+    g, start = grammars(), time.time()
+    for x in ("password=abcdefgh1 " * 50_000, ("a" * 8 + "deadbeef" * 4 + " ") * 25_000, "ghp_a1B2c3D4e5a1B2c3D4e5a1B2c3D4e5abcdef/" * 25_000):
+        base, spans = secrets.scan(x, g)
+        assert len(spans) >= 25_000
+    assert time.time() - start < 60
+
+
+def test_licences_in_long_texts(spark):
+    """A megabyte full of detections takes seconds, and is scanned as a short text is."""
+    start = time.time()
+    text = "creative commons " * 40_000 + "cc by sa 3 0 " * 20_000
+    (r,) = licenses.license_scan(docs(spark, [text])).collect()
+    assert (r.n_detections, r.n_base, r.labels) == (60_000, 20_000, "cc,cc-by,cc-by-sa-3.0") and time.time() - start < 60
+
+
+def spec_suppressed(hits):
+    inside = lambda x, y: y[2] <= x[2] and y[3] >= x[3] and (y[1] > x[1] or (y[1] == x[1] and y[3] - y[2] > x[3] - x[2]))
+    return sorted({x for x in hits if not any(inside(x, y) for y in hits)})
+
+
+def test_suppression_against_all_pairs(spark):
+    draw, kind = random.Random(5), "array<struct<label:string,priority:int,s:int,e:int>>"
+    rows = []
+    for i in range(60):
+        hits = []
+        for _ in range(draw.randint(0, 25)):
+            s = draw.randint(0, 20)
+            hits.append((draw.choice("abc"), draw.choice([10, 20, 30]), s, s + draw.randint(1, 8)))
+        rows.append((i, hits))
+    df = spark.createDataFrame(rows, f"id long, hits {kind}")
+    priorities = F.array_distinct(F.transform("hits", lambda h: h["priority"]))
+    got = df.withColumn("kept", F.flatten(F.transform(priorities, lambda p: licenses._outermost(F.col("hits"), p)))).collect()
+    for r in got:
+        assert sorted(tuple(x) for x in r.kept) == spec_suppressed([tuple(x) for x in r.hits])
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_queries_against_brute_force(spark):
+    """The queries of 5, 7 and 8 as a whole, over all of sf0.001."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(SMALL + "/documents.parquet").select("doc_id", "text").collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    got = licenses.op5_license_scan(spark, SMALL).collect()
+    assert {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got} == {i: spec_base(t) for i, t in texts.items()} and len(got) == len(texts)
+    got = secrets.op7_secret_scan(spark, SMALL).collect()
+    for r in got:
+        base = spec_secrets(texts[r.doc_id])
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == n for _, k, _ in base) for n in range(3))
+        digest = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in base)
+        assert r.base_sha256 == sha(digest) and set(filter(None, digest.split(","))) <= set(r.spans.split(","))
+    assert len(got) == len(texts)
+    got = quality.op8_quality_rules(spark, SMALL).collect()
+    assert {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got} == {i: spec_quality(t) for i, t in texts.items()} and len(got) == len(texts)
+
+
 def test_ordinary_tokens_are_no_secrets():
     plain = ["internationalization", "Donaudampfschifffahrtsgesellschaft", "src/main/java/com/example/FooBarBaz.java", "some_long_snake_case_identifier", "1234567890123456", "2024-01-02T10-00-00Z", "550e8400-e29b-41d4-a716-446655440000", "-" * 40, "A" * 40]
     assert [x for x in plain if secrets.scan(x, grammars())[1]] == []
