@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import fresh, table
+from sparkloom.llm.common import drop, fresh, table
 from sparkloom.llm.jaccard import jaccard_join
 from sparkloom.llm.packing import best_fit
 from sparkloom.llm.quality import quality_rules
@@ -19,10 +19,8 @@ from sparkloom.llm.suffixes import suffix_dedup
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the quality rules reject. Rows with one doc_id and one text stay or go together; a null id is an id like any other."""
-    rejected = quality_rules(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    own = F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("_id")) & (own == F.col("_hash")), "left_anti")
+    """Without the documents that the quality rules reject; each row is judged by itself."""
+    return quality_rules(docs, rest=True).filter("kept").select("rest.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,9 +64,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. What a stage has read is deleted once it is written."""
+    docs, path = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = fresh(spark, "stage-" + name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
+        docs, done, path = stage(spark, docs, sf_dir), path, fresh(spark, "stage-" + name.replace(" ", "-"))
+        docs.write.parquet(path)
+        drop(spark, done)
         docs = spark.read.parquet(path)
     return docs
