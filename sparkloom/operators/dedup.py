@@ -1,6 +1,7 @@
 """Deduplication by key, and the greedy fuzzy merge of names within a type.
 
-Order matters in all of these, so every input has a ``seq`` column that orders its rows.
+Order matters in all of these, so every input has a ``seq`` column that orders its rows: a number,
+or a struct where no number is wide enough.
 """
 
 from __future__ import annotations
@@ -17,17 +18,22 @@ from sparkloom.functions.text import normalize_name, strip
 def _best(df: DataFrame, keys: dict[str, Column], by: Column) -> DataFrame:
     keyed = df.select("*", *(c.alias(f"_k{i}") for i, c in enumerate(keys.values())))
     own = F.struct(*(F.col(f"`{c}`") for c in df.columns))
-    return keyed.groupBy(*(f"_k{i}" for i in range(len(keys)))).agg(F.max_by(own, by).alias("_row")).select("_row.*")
+    return keyed.groupBy(*(f"_k{i}" for i in range(len(keys)))).agg(F.min_by(own, by).alias("_row")).select("_row.*")
+
+
+def _falling(c: Column) -> Column:
+    """An order from the greatest to the smallest; null comes last."""
+    return F.struct(c.isNull(), -c)
 
 
 def first_of(df: DataFrame, **keys: Column) -> DataFrame:
     """Of the rows with equal keys the first by seq. Partial aggregation keeps one row a key and task."""
-    return _best(df, keys, -F.col("seq"))
+    return _best(df, keys, F.col("seq"))
 
 
 def best_of(df: DataFrame, **keys: Column) -> DataFrame:
     """Of the rows with equal keys the one with the highest confidence, then the first."""
-    return _best(df, keys, F.struct(F.col("confidence"), -F.col("seq")))
+    return _best(df, keys, F.struct(_falling(F.col("confidence")), F.col("seq")))
 
 
 def entities_exact(df: DataFrame) -> DataFrame:
@@ -45,7 +51,7 @@ def entities_by_tool(df: DataFrame) -> DataFrame:
     # The first row stands with 0 and loses to any later one above that, and those among themselves by what they hold.
     first = F.row_number().over(_order(F.concat_ws("|", strip(F.col("name")), F.col("type")))) == 1
     ranked = df.withColumn("_c", F.when(first, F.coalesce("confidence", F.lit(0.0))).otherwise(F.coalesce("confidence", F.lit(1.0))))
-    return _best(ranked, {"k": F.concat_ws("|", strip(F.col("name")), F.col("type"))}, F.struct(F.col("_c"), -F.col("seq"))).drop("_c")
+    return _best(ranked, {"k": F.concat_ws("|", strip(F.col("name")), F.col("type"))}, F.struct(_falling(F.col("_c")), F.col("seq"))).drop("_c")
 
 
 def _order(key: Column):

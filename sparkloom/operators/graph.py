@@ -52,8 +52,10 @@ def cooccurrence(found: DataFrame, source: str = "doc_id") -> DataFrame:
     # Sources are counted first, so that no set of them is held in memory.
     keys = ["e1_name", "e1_type", "e2_name", "e2_type"]
     by_source = keyed.groupBy(*keys, "source").agg(F.count(F.lit(1)).alias("n"))
-    ranked = by_source.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("source")))
-    return ranked.groupBy(*keys).agg(F.sum("n").alias("cnt"), F.count(F.lit(1)).alias("n_sources"), F.array_sort(F.collect_list(F.when(F.col("r") <= 3, F.col("source")))).alias("first_sources"))
+    # A limit on ranks goes below the exchange, so a pair of any number of sources sends three rows a task.
+    ranked = by_source.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("source"))).filter(F.col("r") <= 3)
+    first = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list("source")).alias("first_sources"))
+    return by_source.groupBy(*keys).agg(F.sum("n").alias("cnt"), F.count(F.lit(1)).alias("n_sources")).join(first, keys)
 
 
 def weighted(pairs: DataFrame) -> DataFrame:
@@ -174,12 +176,12 @@ def triples(relations: DataFrame, entities: DataFrame, relation_types: DataFrame
     held = F.greatest(F.lit(0.0), F.col("confidence") - F.col("subj_pen") - F.col("obj_pen"))
     out = out.select(
         # Placeholders come after all matched triples, so those win where both make one key.
-        F.when(matched, F.col("seq")).otherwise(F.col("seq") + (1 << 60)).alias("seq"),
+        F.struct((~matched).alias("late"), F.col("seq").alias("at")).alias("seq"),
         F.coalesce("subj_name", "subject").alias("subj_name"), F.when(F.col("subj_name").isNull(), F.lit("Entity")).otherwise(F.col("subj_type")).alias("subj_type"),
         "predicate", F.coalesce("obj_name", "object").alias("obj_name"), F.when(F.col("obj_name").isNull(), F.lit("Entity")).otherwise(F.col("obj_type")).alias("obj_type"),
         F.when(matched, held).otherwise(F.least("confidence", F.lit(0.35))).alias("confidence"), "evidence",
     )
-    return triples_first(out)
+    return triples_first(out).withColumn("seq", F.col("seq.at"))
 
 
 def fast_triples(relations: DataFrame, entities: DataFrame) -> DataFrame:

@@ -32,19 +32,19 @@ def _values(m: Mapped) -> Column:
 
 
 def _entities(m: Mapped, k: int, confidence: float) -> Column:
-    return F.transform(_values(m), lambda v, i: F.struct(v.alias("name"), F.lit(m.entity_type).alias("type"), F.lit(confidence).alias("confidence"), (F.lit(k * 100_000) + i).cast("long").alias("at")))
+    return F.transform(_values(m), lambda v, i: F.struct(v.alias("name"), F.lit(m.entity_type).alias("type"), F.lit(confidence).alias("confidence"), F.lit(k).alias("col"), i.alias("at")))
 
 
 def _objects(m: Mapped, k: int) -> Column:
-    return F.transform(_values(m), lambda v, i: F.struct(v.alias("object"), F.lit(m.relation).alias("predicate"), (F.lit(k * 1000) + i).cast("long").alias("at")))
+    return F.transform(_values(m), lambda v, i: F.struct(v.alias("object"), F.lit(m.relation).alias("predicate"), F.lit(k).alias("col"), i.alias("at")))
 
 
 def structured_entities(rows: DataFrame, mapping: list[Mapped]) -> DataFrame:
-    """(seq, name, type, confidence) of id and reference columns, the first of equal (name, type). rows has a seq column; ids come before references in a row."""
+    """(seq, name, type, confidence) of id and reference columns, the first of equal (name, type). rows has a seq column; ids come before references in a row. seq of the result is the row's, the column's number and the place in the cell."""
     ids, refs = ([m for m in mapping if m.role == r] for r in ("id", "reference"))
     all_ = [(m, ID_CONFIDENCE) for m in ids] + [(m, REFERENCE_CONFIDENCE) for m in refs]
     found = F.flatten(F.array(*(_entities(m, k, c) for k, (m, c) in enumerate(all_))))
-    flat = rows.select("seq", F.explode(found).alias("e")).select((F.col("seq") * 10_000_000 + F.col("e.at")).alias("seq"), "e.name", "e.type", "e.confidence")
+    flat = rows.select("seq", F.explode(found).alias("e")).select(F.struct("seq", "e.col", "e.at").alias("seq"), "e.name", "e.type", "e.confidence")
     return first_of(flat, name=F.col("name"), type=F.col("type"))
 
 
@@ -56,5 +56,5 @@ def structured_relations(rows: DataFrame, mapping: list[Mapped]) -> DataFrame:
     source = F.col("_source") if "_source" in rows.columns else F.lit("")
     flat = rows.select("seq", source.alias("source"), subjects.alias("subjects"), F.explode(objects).alias("o")).select("seq", "source", F.posexplode("subjects").alias("s", "subject"), "o.*")
     flat = flat.filter("subject <> object")
-    out = flat.select((F.col("seq") * 10_000_000 + F.col("at") * 100 + F.col("s")).alias("seq"), "subject", "predicate", "object", F.lit(REFERENCE_CONFIDENCE).alias("confidence"), F.concat(F.lit("Row from "), F.coalesce("source", F.lit(""))).alias("evidence"))
+    out = flat.select(F.struct("seq", "col", "at", "s").alias("seq"), "subject", "predicate", "object", F.lit(REFERENCE_CONFIDENCE).alias("confidence"), F.concat(F.lit("Row from "), F.coalesce("source", F.lit(""))).alias("evidence"))
     return first_of(out, subject=F.col("subject"), predicate=F.col("predicate"), object=F.col("object"))

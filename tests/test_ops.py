@@ -174,3 +174,20 @@ def test_ontology_export(spark, tmp_path):
     sinks.write_ontology(spark, Ontology("o", "", (EntityType("A"),)), str(tmp_path / "o"))
     assert json.loads(spark.read.text(str(tmp_path / "o" / "json")).first().value)["entity_types"][0]["name"] == "A"
     assert "  - **A**: " in [r.value for r in spark.read.text(str(tmp_path / "o" / "markdown")).collect()]
+
+
+@pytest.mark.parametrize(
+    "snippet, fine",
+    [
+        ("x = 1", True), ("", True), ("# only a comment", True), ("import json\nimport re", True), ("from collections import Counter", True), ("s = 'import os; eval(1)'", True),
+        ("import os", False), ("import json, os", False), ("import os.path as p", False), ("from urllib.request import urlopen", False), ("import posix", False), ("import fcntl", False), ("import pwd", False),
+        ("eval('1')", False), ("x.eval('1')", False), ("io.open('x')", False), ("open('x')", False), ("__import__('os')", False), ("breakpoint()", False),
+        ("getattr(o, 'name')", True), ("vars(o)", True), ("dir(o)", True), ("getattr(__builtins__, 'eval')", False), ("vars(__builtins__['x'])", False), ("setattr(globals, 'x', 1)", False),
+        ("globals()", False), ("locals()['x']", False), ("__builtins__['eval']", False), ("__builtins__.__dict__['eval']", False), ("sys.modules['os']", False), ("sys['x']", False), ("os.system('x')", False), ("a.os.b()", False),
+        ("().__class__", False), ("().__class__.__bases__", False), ("().__closure__", False), ("f.__globals__", False), ("self.__class__", True), ("cls.__dict__", True), ("x.__mro__", False), ("def f(:", False), ("x = (", False),
+    ],
+)
+def test_code_rules(snippet, fine):
+    from sparkloom.functions.code import findings
+
+    assert (not findings(snippet)) == fine, findings(snippet)
