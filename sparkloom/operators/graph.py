@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from sparkloom.functions.text import strip
 from sparkloom.lineage import cut
 from sparkloom.operators.dedup import entities_final, first_of, relations_best, triples_first
-from sparkloom.operators.resolve import waterfall
+from sparkloom.operators.occur import holding
+from sparkloom.operators.resolve import RATIO, waterfall
 
 #: Neighbours of a mention, shortest paragraph, most co-occurrences kept.
 NEIGHBOURS, PARAGRAPH, TOP = 9, 50, 5000
@@ -25,14 +26,14 @@ def mentions(paras: DataFrame, names: DataFrame) -> DataFrame:
     """(doc_id, para, name, type, ord) of the names (name, type, ord) that a paragraph holds.
 
     A name of one word must be one of the paragraph's words; these meet in an equi-join on words.
-    Names with a space may stand anywhere in a text, within words as well, so only those are
-    compared with every paragraph, in a join that streams paragraphs past them.
+    Names with a space may stand anywhere in a text, within words as well; texts are read once
+    for all of them (``occur.holding``).
     """
     one = names.filter(~F.contains("name", F.lit(" "))).withColumn("word", F.lower("name"))
     words = paras.select("doc_id", "para", F.explode(F.array_distinct(F.split(F.trim(F.lower("text"), F.lit(" \t\n\x0b\x0c\r")), r"\s+"))).alias("word"))
     single = words.join(one, "word").select("doc_id", "para", "name", "type", "ord")
-    several = names.filter(F.contains("name", F.lit(" ")))
-    whole = paras.join(several, F.contains(F.lower(paras["text"]), F.lower(several["name"]))).select("doc_id", "para", "name", "type", "ord")
+    several = names.filter(F.contains("name", F.lit(" "))).select("name", "type", "ord", F.lower("name").alias("low_name"))
+    whole = holding(paras.select("doc_id", "para", F.lower("text").alias("low")), "low", several, "low_name").select("doc_id", "para", "name", "type", "ord")
     return single.unionByName(whole)
 
 
@@ -116,8 +117,8 @@ def numbered(df: DataFrame, order: str) -> DataFrame:
 
 def entity_prefilter(groups: DataFrame, names: DataFrame, most: int = 100) -> DataFrame:
     """(grp, name, type, ord) of the first names that a group's text holds; names: name, type, ord."""
-    some = names.filter(F.length("name") >= 2)
-    found = groups.join(some, F.contains(F.lower(groups["text"]), F.lower(some["name"])))
+    some = names.filter(F.length("name") >= 2).select("name", "type", "ord", F.lower("name").alias("low_name"))
+    found = holding(groups.select("grp", F.lower("text").alias("low")), "low", some, "low_name")
     return found.withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy("ord"))).filter(F.col("r") <= most).select("grp", "name", "type", "ord")
 
 
@@ -149,7 +150,7 @@ def unmatched_predicates(relations: DataFrame, relation_types: DataFrame) -> Dat
     return relations.select("predicate").filter("predicate <> ''").distinct().join(relation_types.select(F.col("name").alias("predicate")), "predicate", "left_anti")
 
 
-def triples(relations: DataFrame, entities: DataFrame, relation_types: DataFrame | None = None, matches: DataFrame | None = None, placeholders: bool = True) -> DataFrame:
+def triples(relations: DataFrame, entities: DataFrame, relation_types: DataFrame | None = None, matches: DataFrame | None = None, placeholders: bool = True, threshold: float = RATIO) -> DataFrame:
     """Triples of relations (seq, subject, predicate, object, confidence, evidence) over entities (seq, name, type).
 
     Ends resolve by the waterfall. Where the predicate's domain (range) is defined and the end's
@@ -158,7 +159,7 @@ def triples(relations: DataFrame, entities: DataFrame, relation_types: DataFrame
     """
     r = relations.select("seq", strip(F.col("subject")).alias("subject"), "predicate", strip(F.col("object")).alias("object"), "confidence", "evidence").filter("subject <> '' and object <> '' and predicate <> ''")
     if matches is None:
-        matches = waterfall(r.select(F.col("subject").alias("query")).unionByName(r.select(F.col("object").alias("query"))), entities)
+        matches = waterfall(r.select(F.col("subject").alias("query")).unionByName(r.select(F.col("object").alias("query"))), entities, threshold)
     end = lambda p: matches.select(F.col("query").alias(f"{p}_query"), F.col("ename").alias(f"{p}_name"), F.col("etype").alias(f"{p}_type"), F.col("penalty").alias(f"{p}_pen"))
     out = r.join(end("subj"), F.col("subject") == F.col("subj_query"), "left").join(end("obj"), F.col("object") == F.col("obj_query"), "left")
     if relation_types is not None:

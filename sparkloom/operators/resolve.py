@@ -1,11 +1,11 @@
 """Entity resolution: a waterfall of joins from exact names to overlapping letters.
 
 Names that a level finds leave before the next, so the costly levels see only what is left, and
-only distinct names at that. Levels 1 and 2 are equi-joins. The others compare names with names:
-level 3 through blocks that share letters (below), 4 and 6 as theta joins. Entities are a
-dictionary of distinct names. Spark broadcasts it where its measured size allows and sorts and
-merges otherwise; names left over are distinct and few by then. Each level is written before the
-next, so the plan stays as long as one level and a lost executor costs that at most.
+only distinct names at that. Levels 1 and 2 are equi-joins. Level 3 meets in blocks of names of
+about one length, each pair of blocks in a task of its own; level 4 reads each string once for all
+that may stand in it; level 6 joins on the rarest letters, of which names that share enough have
+one in common. No level is a product of all names. Each level is written before the next, so the
+plan stays as long as one level and a lost executor costs that at most.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions.text import normalize_name, strip
 from sparkloom.lineage import cut
 from sparkloom.operators.dedup import first_of
+from sparkloom.operators.occur import holding
 
 #: Penalty and bounds of each level.
 PENALTY = {"exact": 0.0, "normalized": 0.05, "fuzzy": 0.10, "substring": 0.15, "char_overlap": 0.20}
@@ -53,20 +54,41 @@ def _first(found: DataFrame) -> DataFrame:
 
 def substring(queries: DataFrame, names: DataFrame) -> DataFrame:
     """(query, ename) where either holds the other, in lower case and of two letters at least; the first name."""
-    q, e = F.lower("query"), F.lower("ename")
-    return _first(queries.join(names, (F.length("query") >= 2) & (F.length("ename") >= 2) & (F.contains(q, e) | F.contains(e, q))))
+    q = queries.filter(F.length("query") >= 2).select("query", F.lower("query").alias("low_query"))
+    e = names.filter(F.length("ename") >= 2).select("ename", "etype", "eseq", F.lower("ename").alias("low_ename"))
+    columns = ["query", "ename", "etype", "eseq"]
+    within = holding(q, "low_query", e, "low_ename").select(*columns).unionByName(holding(e, "low_ename", q, "low_query").select(*columns))
+    return _first(within)
+
+
+#: Letters of English from rare to common. Any order gives the same names; this one makes few of them meet.
+RARE_FIRST = "zqxjkvbpygfwmucldrhsnioate"
 
 
 def _letters(norm: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(norm, ""), lambda c: c != ""))
+    """The distinct letters of a name, rare ones first (under other names, the same for all)."""
+    renamed = F.translate(norm, RARE_FIRST, "abcdefghijklmnopqrstuvwxyz")
+    return F.array_sort(F.array_distinct(F.filter(F.split(renamed, ""), lambda c: c != "")))
 
 
 def char_overlap(queries: DataFrame, names: DataFrame) -> DataFrame:
-    """(query, ename) of short names that share 0.7 of the letters of the one with more; the first name."""
-    q = queries.withColumn("_n", normalize_name(F.col("query"))).filter((F.length("_n") <= SHORT) & (F.length("_n") > 0)).withColumn("_q", _letters(F.col("_n")))
-    e = names.filter((F.length("enorm") <= SHORT) & (F.length("enorm") > 0)).withColumn("_e", _letters(F.col("enorm")))
+    """(query, ename) of short names that share 0.7 of the letters of the one with more; the first name.
+
+    Sets of n and m letters that share t of them have one of their first n - t + 1 and m - t + 1
+    in common, and t is 0.7 of the larger at least: names meet by one of these letters and the
+    size of the name's set.
+    """
+    short = lambda c: (F.length(c) <= SHORT) & (F.length(c) > 0)
+    q = queries.withColumn("_n", normalize_name(F.col("query"))).filter(short("_n")).withColumn("_q", _letters(F.col("_n")))
+    e = names.filter(short("enorm")).withColumn("_e", _letters(F.col("enorm"))).withColumn("_size", F.size("_e"))
+    share = lambda n, m: F.ceil(OVERLAP * F.greatest(n, m) - 1e-9).cast("int")
+    n = F.size("_q")
+    q = q.withColumn("_size", F.explode(F.sequence(F.ceil(OVERLAP * n - 1e-9).cast("int"), F.floor(n / OVERLAP + 1e-9).cast("int"))))
+    q = q.filter(F.col("_size") > 0).withColumn("_key", F.explode(F.slice("_q", 1, F.greatest(F.lit(1), n - share(n, F.col("_size")) + 1))))
+    # A name's own t is smallest for the queries of fewest letters, so its prefix is cut for its own size.
+    e = e.withColumn("_key", F.explode(F.slice("_e", 1, F.greatest(F.lit(1), F.col("_size") - share(F.col("_size"), F.col("_size")) + 1))))
     shared = F.size(F.array_intersect("_q", "_e"))
-    return _first(q.join(e, shared / F.greatest(F.size("_q"), F.size("_e")) >= OVERLAP))
+    return _first(q.join(e, ["_key", "_size"]).filter(shared / F.greatest(F.size("_q"), F.size("_e")) >= OVERLAP))
 
 
 def best_ratio(query: str, names: list[tuple[int, str, str]], threshold: float) -> tuple[float, int] | None:
@@ -95,7 +117,8 @@ def fuzzy(queries: DataFrame, names: DataFrame, threshold: float = RATIO, block:
     Names are dealt to blocks of about ``block`` by length and hash; each is one row that holds its names and
     meets the queries of its length band: a ratio above t needs lengths within t / (2 - t) of
     one another, so a query of normalised length n only meets names from n * t / (2 - t) to
-    n * (2 - t) / t. Blocks are groups of one task each, queries stream in bounded batches.
+    n * (2 - t) / t. Queries are dealt to blocks as well, and each pair of blocks is a key of its
+    own, so a length that most names have is spread over as many tasks as it has pairs.
     """
     low = threshold / (2 - threshold)
     parts, qparts = (max(1, -(-d.count() // block)) for d in (names, queries))
@@ -105,7 +128,9 @@ def fuzzy(queries: DataFrame, names: DataFrame, threshold: float = RATIO, block:
     e = e.groupBy("band", "part").agg(F.collect_list(F.struct("eseq", "enorm", "ename", "etype")).alias("own"))
     n = F.length(normalize_name(F.col("query"))).cast("double")
     q = queries.withColumn("qnorm", normalize_name(F.col("query"))).withColumn("band", F.explode(F.sequence(band(n * low), band(n / low + 1))))
-    pairs = q.groupBy("band", F.pmod(F.xxhash64("query"), F.lit(qparts)).alias("qpart")).agg(F.collect_list(F.struct("query", "qnorm")).alias("asked")).join(e, "band")
+    pairs = q.groupBy("band", F.pmod(F.xxhash64("query"), F.lit(qparts)).alias("qpart")).agg(F.collect_list(F.struct("query", "qnorm")).alias("asked"))
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    pairs = pairs.withColumn("part", every(parts)).join(e.withColumn("qpart", every(qparts)), ["band", "part", "qpart"])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -124,13 +149,13 @@ def fuzzy(queries: DataFrame, names: DataFrame, threshold: float = RATIO, block:
     return found.groupBy("query").agg(best).select("query", "b.*")
 
 
-def waterfall(queries: DataFrame, entities: DataFrame) -> DataFrame:
+def waterfall(queries: DataFrame, entities: DataFrame, threshold: float = RATIO) -> DataFrame:
     """For each distinct query the entity name it resolves to, by the first level that finds one: query, ename, etype, penalty, method; null where none does."""
     # Each level's rest is the next one's input, twice; without a cut the plan doubles from level to level.
     names = cut(dictionary(entities))
     left = queries.select(strip(F.col("query")).alias("query")).filter("query <> ''").distinct()
     found = None
-    for method, level in (("exact", exact), ("normalized", normalized), ("fuzzy", fuzzy), ("substring", substring), ("char_overlap", char_overlap)):
+    for method, level in (("exact", exact), ("normalized", normalized), ("fuzzy", lambda q, e: fuzzy(q, e, threshold)), ("substring", substring), ("char_overlap", char_overlap)):
         hit = cut(level(left, names).select("query", "ename", "etype", F.lit(PENALTY[method]).alias("penalty"), F.lit(method).alias("method")))
         found = hit if found is None else found.unionByName(hit)
         left = cut(left.join(hit, "query", "left_anti"))

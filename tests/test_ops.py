@@ -114,15 +114,111 @@ def test_pipeline(spark):
     assert {(t.subj_name, t.predicate, t.obj_name) for t in out.triples.collect()} == {("Ann", "near", "Paris"), ("Bob", "near", "Ann")}
 
 
-def test_model_backend(spark):
+def test_answers_are_read_in_spark(spark):
     answer = json.dumps({"entities": [{"name": "Ann", "entity_type": "P"}], "relations": [{"subject": "Ann", "relation": "r", "object": "Bob"}]})
-    parts = pipeline.chunks(spark.createDataFrame([(0, "x"), (1, "y")], "doc_id long, text string"), pipeline.Config())
-    make = lambda: pipeline.ModelBackend(lambda prompt: f"Here:\n```json\n{answer}\n```" if prompt.endswith("x") else "garbage {")
-    answers = pipeline.model_answers(parts, make, "entity_prompt")
+    parts = pipeline.chunks(spark.createDataFrame([(0, "x"), (93_000_000_000_000, "y")], "doc_id long, text string"), pipeline.Config())
+    ask = lambda: lambda prompt: f"Here:\n```json\n{answer}\n```" if prompt.endswith("x") else "garbage {"
+    answers = pipeline.model_answers(parts, ask, lambda text: "Read: " + text)
     assert [(r["name"], r.type) for r in pipeline.answers_to_entities(answers).collect()] == [("Ann", "P")]
     assert [r.predicate for r in pipeline.answers_to_relations(answers).collect()] == ["r"]
 
 
+PEOPLE = Ontology("o", "people", (EntityType("Person"), EntityType("City")), (RelationType("lives_in", "where", "Person", "City"), RelationType("knows", "who", "Person", "Person")))
+
+
+def scripted(log=None):
+    """A model that answers by the shape that a prompt asks for."""
+
+    def ask(prompt):
+        if log is not None:
+            log.append(prompt)
+        say = lambda x: "Sure:\n```json\n" + json.dumps(x) + "\n```"
+        if prompt.startswith("This was to be JSON"):
+            return say({"entities": [{"name": "Zed", "type": "Person"}]})
+        if "broken" in prompt and '"entities"' in prompt and '"relations"' not in prompt and "found already" not in prompt:
+            return "entities: Zed"
+        if prompt.startswith("These entities were found"):
+            return say({"entities": [{"name": "Ann", "type": "Person", "description": "a person who lives in Paris"}, {"name": "Rome", "type": "City"}]})
+        if "every entity of the schema in the text and every relation" in prompt:
+            return say({"entities": [{"name": "Ann", "type": "Person"}], "relations": [{"subject": "Ann", "predicate": "knows", "object": "Ghost"}]})
+        if prompt.startswith("Find every entity"):
+            return say({"entities": [{"name": n, "entity_type": t} for n, t in (("Ann", "Person"), ("Bob", "Person"), ("Paris", "City"), ("Spam", "City")) if n in prompt.split("## Text")[-1]]})
+        if prompt.startswith("Find every relation"):
+            names = prompt.split("## Entities\n")[1].split("\n")[0]
+            assert {"name": "Ann", "type": "Person"} in json.loads(names) and all(x["name"] != "Rome" for x in json.loads(names))
+            return say({"relations": [{"subject": "Ann", "relation": "dwells in", "object": "Paris", "evidence": "e"}, {"subject": "Bob", "predicate": "knows", "object": "Ann"}, {"subject": "Spam", "predicate": "knows", "object": "Ann"}]})
+        if prompt.startswith("For each predicate"):
+            return say({"mappings": {"dwells in": "A", "unheard": "B", "knows": "NONE"}})
+        if prompt.startswith("Check these"):
+            return say({"rejected_entities": [{"name": "Spam", "type": "City"}], "rejected_relations": [{"subject": "Spam", "predicate": "knows", "object": "Ann"}], "corrections": [{"name": "Bob", "type": "Person", "new_type": "City"}], "quality_score": 0.8})
+        if prompt.startswith("Say what each column"):
+            return say({"columns": [{"column": "who", "role": "id", "entity_type": "Person"}, {"column": "town", "role": "reference", "entity_type": "City", "relation": "lives_in"}, {"column": "no", "role": "id"}]})
+        raise RuntimeError("unknown prompt")
+
+    return ask
+
+
+def test_model_pipeline(spark):
+    """A model behind every call: entities, gleaning, relations with candidates, canonical predicates, judgements, mappings."""
+    docs = spark.createDataFrame([("a", "Ann lives in Paris. Bob knows Ann."), ("b", "Spam is spam."), ("c", "broken")], "doc_id string, text string")
+    rows = spark.createDataFrame([("Cid", "Oslo"), ("Dan", "Oslo")], "who string, town string")
+    heard, ask = [], scripted()
+    out = pipeline.run(spark, docs, PEOPLE, lambda: pipeline.ModelBackend(ask), pipeline.Config(cooccurrence=False), tables={"towns": rows}, listen=lambda e, d: heard.append((e, d.get("phase"))))
+    entities = {(r["name"], r.type): r for r in out.entities.collect()}
+    assert set(entities) == {("Ann", "Person"), ("Bob", "City"), ("Paris", "City"), ("Rome", "City"), ("Zed", "Person"), ("Cid", "Person"), ("Dan", "Person"), ("Oslo", "City")}
+    assert entities["Ann", "Person"].description == "a person who lives in Paris" and entities["Rome", "City"].confidence == 0.7
+    assert {(r.subject, r.predicate, r.object) for r in out.relations.collect()} == {("Ann", "lives_in", "Paris"), ("Bob", "knows", "Ann"), ("Cid", "lives_in", "Oslo"), ("Dan", "lives_in", "Oslo")}
+    assert {(t.subj_name, t.subj_type, t.predicate, t.obj_name) for t in out.triples.collect()} == {("Ann", "Person", "lives_in", "Paris"), ("Bob", "City", "knows", "Ann"), ("Cid", "Person", "lives_in", "Oslo"), ("Dan", "Person", "lives_in", "Oslo")}
+    assert out.metadata["quality_score"] == 0.8 and heard[0][0] == "workflow_start" and ("phase_complete", "triples") in heard and heard[-1][0] == "workflow_complete"
+
+
+def test_strategies(spark):
+    docs = spark.createDataFrame([(1, "Ann lives in Paris."), (2, None)], "doc_id long, text string")
+    ask = scripted()
+    make = lambda: pipeline.ModelBackend(ask)
+    out = pipeline.run(spark, docs, PEOPLE, make, pipeline.Config(strategy="auto"))  # few and short: fast
+    assert out.metadata["strategy"] == "fast" and [(t.subj_name, t.predicate, t.obj_name, t.obj_type) for t in out.triples.collect()] == [("Ann", "knows", "Ghost", "Entity")]
+    rows = spark.createDataFrame([(f"P{i}", f"T{i}") for i in range(12)], "who string, town string")
+    out = pipeline.run(spark, docs.filter("doc_id = 1").withColumn("is_tabular", docs["doc_id"] > 0), PEOPLE, make, pipeline.Config(strategy="auto", cooccurrence=False), tables={"t": rows})
+    assert out.metadata == {"strategy": "code", "stages": pipeline.Config().stages, "quality_score": 0.8, "texts_skipped": True} and out.triples.count() == 12
+    with pytest.raises(ValueError):
+        pipeline.run(spark, docs, PEOPLE, make, pipeline.Config(strategy="none"))
+
+
+def test_backend_repairs_and_retries():
+    asked = []
+    answers = iter([None, "no json", "still none", "x", '[{"name": "A"}]'])
+
+    def ask(prompt):
+        asked.append(prompt)
+        a = next(answers)
+        if a is None:
+            raise OSError("down")
+        return a
+
+    b = pipeline.ModelBackend(ask, tries=3)
+    assert b.entities("t") == [{"name": "A"}] and b.calls == 5 and asked[2].startswith("This was to be JSON")
+    assert pipeline.parse_answer('a {"x": 1} b') == {"x": 1} and pipeline.parse_answer("[1]") == [1] and pipeline.parse_answer("7") is None and pipeline.parse_answer(None) is None
+
+
+def test_config(tmp_path):
+    (tmp_path / "c.json").write_text('{"chunk_size": 1234, "gleaning": false, "stages": ["entities"]}')
+    c = pipeline.Config.load(str(tmp_path / "c.json"), {"SPARKLOOM_CHUNK_SIZE": "99", "SPARKLOOM_COOCCURRENCE": "no"})
+    assert (c.chunk_size, c.gleaning, c.stages, c.cooccurrence, c.chunk_overlap) == (99, False, ("entities",), False, 300)
+
+
+def test_holding_in_parts(spark):
+    """A dictionary that is dealt to parts finds what one that is sent finds."""
+    texts = spark.createDataFrame([(i, f"alpha beta{i} gamma" if i % 3 else None) for i in range(40)], "id long, text string")
+    names = spark.createDataFrame([(k, x) for k, x in enumerate(["alpha", "beta1", "a", "", None, "zeta", "eta2", "alpha"])], "k long, name string")
+    from sparkloom.operators.occur import holding
+
+    words = names.collect()
+    want = sorted((r.id, n.k) for r in texts.collect() for n in words if r.text and n.name and n.name in r.text)
+    for options in ({}, {"sent": 8, "share": 7}):
+        assert sorted((r.id, r.k) for r in holding(texts, "text", names, "name", **options).collect()) == want
+
+
 def test_regex_backend():
     b = pipeline.RegexBackend({"Year": r"\b\d{4}\b"}, {"born": r"(?P<subject>\w+) was born in (?P<object>\d{4})"})
     assert [e["name"] for e in b.entities("1999 and 2000, 1999")] == ["1999", "2000"]

@@ -117,3 +117,23 @@ def test_entity_match(spark):
     pairs = [("Acme", "acme!", True), ("New York", "York", True), ("kitten", "sittin", True), ("abcdefgh", "zyxwvuts", False), ("", "a", False)]
     df = spark.createDataFrame(pairs, "a string, b string, y boolean")
     assert df.filter(resolve.entity_match(F.col("a"), F.col("b")) != F.col("y")).count() == 0
+
+
+def test_no_level_is_a_product(spark):
+    """Without broadcasts, no level compares all names with all, nor do mentions and prefilters."""
+    from sparkloom.operators import graph
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        queries = spark.createDataFrame([("New York",), ("abc def",)], "query string")
+        names = resolve.dictionary(spark.createDataFrame([(1, "York", "City"), (2, "abcd ef", "X")], "seq long, name string, type string"))
+        texts = spark.createDataFrame([(1, 0, "New York is a town")], "doc_id long, para int, text string")
+        own = names.select(F.col("ename").alias("name"), F.col("etype").alias("type"), F.col("eseq").alias("ord"))
+        groups = texts.select(F.col("doc_id").alias("grp"), "text")
+        plans = [resolve.exact(queries, names), resolve.normalized(queries, names), resolve.fuzzy(queries, names), resolve.substring(queries, names), resolve.char_overlap(queries, names), graph.mentions(texts, own), graph.entity_prefilter(groups, own)]
+        for df in plans:
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "Cartesian" not in plan and "NestedLoop" not in plan, plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
