@@ -1,10 +1,11 @@
-"""Queries that run the whole pipeline."""
+"""Queries that run the whole pipeline, by each of its strategies."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from sparkloom.operators.ontology import EntityType, Ontology, RelationType
+from sparkloom.operators.structured import Mapped
 from sparkloom.plans import pipeline
 from sparkloom.plans.base import Queries, table
 
@@ -12,10 +13,55 @@ Q = Queries()
 #: A small gazetteer of the most common English words of documents, as two types.
 NAMES = {"that": "A", "this": "B", "with": "A", "from": "B", "they": "A"}
 ONTOLOGY = Ontology("words", "two kinds of words", (EntityType("A"), EntityType("B")), (RelationType("meets", domain="A", range="B"),))
+WHOLE = 1 << 30
+
+
+def _triples(out: pipeline.Result):
+    return out.triples.select("subj_name", "subj_type", "predicate", "obj_name", "obj_type", F.col("confidence"))
 
 
 @Q.add()
 def kg_pipeline(spark, d):
+    """The standard strategy over whole documents: entities, groups with candidates, relations, canonical predicates, co-occurrences, triples."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    out = pipeline.run(spark, docs, ONTOLOGY, lambda: pipeline.GazetteerBackend(NAMES, "near"), pipeline.Config(paragraph_separator="\n"))
-    return out.triples.select("subj_name", "subj_type", "predicate", "obj_name", "obj_type", F.col("confidence"))
+    return _triples(pipeline.run(spark, docs, ONTOLOGY, lambda: pipeline.GazetteerBackend(NAMES, "near"), pipeline.Config(paragraph_separator="\n", chars_per_doc=WHOLE)))
+
+
+#: Sentences end where white space follows a full stop or its like; each name counts where its first word of a sentence stands.
+FAST_SQL = r"""
+WITH s AS (SELECT unnest(string_split(regexp_replace(text, '([.!?。！？])[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', '\1' || chr(1), 'g'), chr(1))) AS sentence FROM documents WHERE text IS NOT NULL),
+     w AS (SELECT row_number() OVER () AS id, regexp_extract_all(sentence, '[\p{L}\p{N}_]+') AS words FROM s),
+     n AS (SELECT * FROM (VALUES ('that', 'A'), ('this', 'B'), ('with', 'A'), ('from', 'B'), ('they', 'A')) AS t(name, type)),
+     p AS (SELECT id, name, type, list_position(words, name) AS place FROM w, n WHERE list_contains(words, name)),
+     x AS (SELECT name AS subj_name, type AS subj_type, lead(name) OVER (PARTITION BY id ORDER BY place) AS obj_name, lead(type) OVER (PARTITION BY id ORDER BY place) AS obj_type FROM p)
+SELECT DISTINCT subj_name, subj_type, 'near' AS predicate, obj_name, obj_type, 1.0::DOUBLE AS confidence FROM x WHERE obj_name IS NOT NULL
+"""
+
+
+@Q.add(FAST_SQL)
+def kg_fast(spark, d):
+    """The fast strategy: entities and relations of each whole document in one call, triples by name."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return _triples(pipeline.run(spark, docs, ONTOLOGY, lambda: pipeline.GazetteerBackend(NAMES, "near"), pipeline.Config(strategy="fast", fast_chars=WHOLE)))
+
+
+class TableBackend(pipeline.Backend):
+    """Says what the columns of the query's tables hold."""
+
+    COLUMNS = {"c_name": Mapped("c_name", "id", "Customer"), "s_name": Mapped("s_name", "id", "Supplier"), "n_name": Mapped("n_name", "reference", "Nation", "located_in")}
+
+    def mapping(self, columns, rows, guide=""):
+        return [self.COLUMNS[c] for c in columns if c in self.COLUMNS]
+
+
+@Q.add("""
+SELECT c_name AS subj_name, 'Customer' AS subj_type, 'located_in' AS predicate, n_name AS obj_name, 'Nation' AS obj_type, 0.9::DOUBLE AS confidence FROM customer JOIN nation ON c_nationkey = n_nationkey
+UNION SELECT s_name, 'Supplier', 'located_in', n_name, 'Nation', 0.9 FROM supplier JOIN nation ON s_nationkey = n_nationkey
+""")
+def kg_structured(spark, d):
+    """The code strategy: tables under the mapping that a backend gives for their columns; they say enough, so texts are not asked."""
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("key"), "n_name")
+    tables = {"customer": table(spark, d, "customer").join(nations, F.col("c_nationkey") == F.col("key")).select("c_name", "n_name"), "supplier": table(spark, d, "supplier").join(nations, F.col("s_nationkey") == F.col("key")).select("s_name", "n_name")}
+    schema = Ontology("places", "", (EntityType("Customer"), EntityType("Supplier"), EntityType("Nation")), (RelationType("located_in", range="Nation"),))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return _triples(pipeline.run(spark, docs, schema, TableBackend, pipeline.Config(strategy="code", cooccurrence=False), tables=tables))

@@ -9,7 +9,7 @@ from sparkloom.functions.code import is_safe
 from sparkloom.operators import cluster, graph, ontology, ops
 from sparkloom.plans import prompts
 from sparkloom.plans.base import Queries, table
-from sparkloom.sources.readers import jsonl_text
+from sparkloom.sources.readers import jsonl_text, row_text
 
 Q = Queries()
 NORM = r"""lower(regexp_replace(coalesce({0}, ''), '[\s\p{{Z}}，,。．.、；;：:！!？?"''「」『』【】（）()\[\]{{}}《》<>]', '', 'g'))"""
@@ -53,8 +53,7 @@ def load_jsonl(spark, d):
 @Q.add("SELECT n_nationkey, concat_ws(' | ', 'n_nationkey: ' || n_nationkey, CASE WHEN n_nationkey % 3 <> 0 THEN 'n_name: ' || n_name END, 'n_regionkey: ' || n_regionkey) AS line FROM nation")
 def tabular_to_text(spark, d):
     n = table(spark, d, "nation").withColumn("n_name", F.when(F.col("n_nationkey") % 3 != 0, F.col("n_name")).otherwise(""))
-    named = [F.when(F.col(c).cast("string") != "", F.concat(F.lit(f"{c}: "), F.col(c).cast("string"))) for c in ("n_nationkey", "n_name", "n_regionkey")]
-    return n.select("n_nationkey", F.concat_ws(" | ", *named).alias("line"))
+    return n.select("n_nationkey", row_text("n_nationkey", "n_name", "n_regionkey").alias("line"))
 
 
 @Q.add()
@@ -220,11 +219,15 @@ def type_list_detect(spark, d):
     return table(spark, d, "documents").select("doc_id", ontology.is_type_list(F.col("text")).alias("is_list"))
 
 
-@Q.add()
+#: Snippets of code and whether they may run.
+SNIPPETS = {"import json\nprint(json.dumps({}))": True, "import os": False, "from subprocess import run": False, "eval('1')": False, "().__class__.__bases__": False, "x = [i * 2 for i in range(3)]": True, "__builtins__['open']": False, "def f(:": False, "getattr(o, 'name')": True, "io.open('x')": False, "import json, posix": False}
+SNIPPET_ROWS = ", ".join("({}, '{}', {})".format(i, code.replace("'", "''"), fine) for i, (code, fine) in enumerate(SNIPPETS.items()))
+
+
+@Q.add(f"SELECT event_id, code, safe FROM events JOIN (VALUES {SNIPPET_ROWS}) AS s(i, code, safe) ON event_id % {len(SNIPPETS)} = i")
 def code_safety(spark, d):
     """Snippets of code, some of which reach for what they must not."""
-    snippets = ["import json\nprint(json.dumps({}))", "import os", "from subprocess import run", "eval('1')", "().__class__.__bases__", "x = [i * 2 for i in range(3)]", "__builtins__['open']", "def f(:"]
-    rows = table(spark, d, "events").select("event_id", F.get(F.array(*map(F.lit, snippets)), (F.col("event_id") % len(snippets)).cast("int")).alias("code"))
+    rows = table(spark, d, "events").select("event_id", F.get(F.array(*map(F.lit, SNIPPETS)), (F.col("event_id") % len(SNIPPETS)).cast("int")).alias("code"))
     return rows.select("event_id", "code", is_safe("code").alias("safe"))
 
 

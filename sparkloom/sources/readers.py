@@ -16,7 +16,7 @@ from fnmatch import fnmatch
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import html_to_text
@@ -112,6 +112,12 @@ def table_text(headers: list[str], rows: list[list[str]], shown: int) -> list[st
     return [" | ".join(f"{h}: {v}" for h, v in zip(headers, r) if v) for r in rows[:shown]]
 
 
+def row_text(*columns: str) -> Column:
+    """The same for rows that are in a table already."""
+    named = (F.when(F.col(c).cast("string") != "", F.concat(F.lit(f"{c}: "), F.col(c).cast("string"))) for c in columns)
+    return F.concat_ws(" | ", *named)
+
+
 def csv_rows(data: bytes, delimiter: str = ",") -> tuple[list[str], list[list[str]]]:
     rows = [r for r in csv.reader(io.StringIO(data.decode("utf-8-sig", "replace")), delimiter=delimiter) if r]
     return (rows[0], rows[1:]) if rows else ([], [])

@@ -259,9 +259,120 @@ def test_presets(spark):
 
     lines = spark.createDataFrame([('{"relations": [{"predicate": {"surfaceform": "born in"}}, {"predicate": {"surfaceform": "born in"}}, {"predicate": {"surfaceform": ""}}]}',), ("broken {",), ('{"relations": [{"predicate": {"surfaceform": "a"}}]}',)], ["value"])
     o = presets.from_predicates(presets.nested_predicates(lines), "p")
-    assert [(r.name, r.description) for r in o.relation_types] == [("a", "a (appears 1 times, 33.3%)"), ("born in", "born in (appears 2 times, 66.7%)")]
-    presets.register(presets.Preset("p", "P", "en", lambda: o))
-    assert presets.list_presets() == ["p"] and presets.build_ontology("p") == o and presets.get_preset("q") is None
+    assert [(r.name, r.description) for r in o.relation_types] == [("a", "P: a (appears 1 times, 33.3%)"), ("born in", "P: born in (appears 2 times, 66.7%)")]
+    presets.register(presets.Preset("p", "P", relation_types=o.relation_types))
+    assert "p" in presets.list_presets() and presets.build_ontology("p").relation_types == o.relation_types and presets.get_preset("q") is None and presets.build_ontology("q") is None
+
+
+def test_built_in_presets(spark, tmp_path):
+    from sparkloom.plans import presets
+
+    assert {"kochet", "nyt", "nyt_star", "rebel", "sredfm", "webnlg", "webnlg_repo", "webnlg_star", "wiki_nre"} <= set(presets.list_presets())
+    o = presets.build_ontology("kochet")
+    assert len(o.entity_types) == 12 and len(o.relation_types) == 14 and o.is_structured and o.relation_types[0].domain == "Entity"
+    assert len(presets.build_ontology("sredfm").entity_types) == 13 and presets.build_ontology("nyt").relation_types == ()
+    (tmp_path / "s.csv").write_text('birthPlace,"Where, in short, one was born"\n,none\nx,\n')
+    assert [(r.name, r.description) for r in presets.build_ontology("webnlg", spark, str(tmp_path / "s.csv")).relation_types] == [("birthPlace", "Where, in short, one was born")]
+    (tmp_path / "r.json").write_text(json.dumps([{"0": "x"}, {"/people/b": 1, "/people/a": 0}]))
+    assert [(r.name, r.description) for r in presets.build_ontology("nyt", spark, str(tmp_path / "r.json")).relation_types] == [("/people/a", "NYT: a (/people/a)"), ("/people/b", "NYT: b (/people/b)")]
+    assert [r.description for r in presets.build_ontology("webnlg_star", spark, str(tmp_path / "r.json")).relation_types][0] == "Relation: /people/a"
+
+
+def build_result(spark):
+    e = spark.createDataFrame([(i, f"n{i}", "P" if i % 3 else "Q", i / 30) for i in range(30)], "seq long, name string, type string, confidence double")
+    r = spark.createDataFrame([(1, "n1", "knows", "n2", 0.5), (2, "n2", "knows", "n3", 0.9)], "seq long, subject string, predicate string, object string, confidence double")
+    return pipeline.Result(e, r, r.select("seq"))
+
+
+def test_refinement(spark):
+    from sparkloom.plans import refine
+    from sparkloom.operators.ontology import Change
+
+    docs = spark.createDataFrame([("abc", ".txt"), (None, ".md")], "text string, ext string")
+    facts = refine.facts(build_result(spark), docs, "standard", 0.7)
+    assert facts["entity_types"] == [["P", 20], ["Q", 10]] and facts["relations"] == 2 and facts["doc_count"] == 2 and facts["total_chars"] == 3
+    assert len(facts["unsure_entities"]) == 10 and facts["unsure_entities"][0]["name"] == "n0" and [x["subject"] for x in facts["unsure_relations"]] == ["n1"]
+    seen = []
+    answer = {"rationale": "r", "ontology_changes": [{"action": "add", "target": "entity_type", "name": "Z", "reason": "x"}, "bad", {"action": "remove"}], "suggested_strategy": "fast", "enable_gleaning": False, "enable_co_occurrence": None, "suggested_chunk_size": 900, "prompt_additions": ["more"]}
+    plan = refine.analyze(pipeline.ModelBackend(lambda p: seen.append(p) or json.dumps(answer)), build_result(spark), PEOPLE, docs, "names are missing")
+    assert plan.changes == (Change("add", "entity_type", "Z"),) and "names are missing" in seen[0]
+    onto, config, done = refine.apply(plan, PEOPLE, pipeline.Config())
+    assert [e.name for e in onto.entity_types] == ["Person", "City", "Z"] and (config.strategy, config.gleaning, config.cooccurrence, config.chunk_size) == ("fast", False, True, 900)
+    assert done == {"ontology_updated": True, "strategy_changed": True, "gleaning_toggled": True, "co_occurrence_toggled": False, "chunk_size_changed": True, "tips_added": True}
+    assert refine.analyze(pipeline.ModelBackend(lambda p: "x"), build_result(spark), PEOPLE, docs, "  ") == refine.Plan()
+    assert refine.apply(refine.Plan(strategy="nonsense"), PEOPLE, pipeline.Config())[1] == pipeline.Config()
+
+
+SCHEMA = {"entity_types": [{"name": "person", "description": "d"}, {"name": "famous person"}, {"name": " 1. city "}, {"name": "person"}], "relation_types": [{"name": "lives_in", "domain": "Person", "range": "City"}, {"name": ""}]}
+
+
+@pytest.mark.parametrize("mode", ["text-to-ontology", "relation-to-ontology", "ht-relation-to-ontology", "dense-ontology", "auto", "unknown"])
+def test_induction(spark, mode):
+    from sparkloom.plans import induce
+
+    docs = spark.createDataFrame([("a", "Ann lives in Paris."), ("b", None)], "doc_id string, text string")
+    o = induce.induce(docs, pipeline.ModelBackend(lambda p: json.dumps(SCHEMA)), mode)
+    assert [(e.name, e.parent) for e in o.entity_types] == [("Person", None), ("Famous Person", "Person"), ("City", None)]
+    assert [(r.name, r.domain, r.range) for r in o.relation_types] == [("lives_in", "Person", "City")]
+    assert induce.induce(docs, pipeline.ModelBackend(lambda p: "nothing"), mode) is None
+    assert induce.induce(docs.filter("doc_id = 'z'"), pipeline.ModelBackend(lambda p: json.dumps(SCHEMA)), mode) is None
+
+
+def test_induction_by_clusters(spark):
+    from sparkloom.plans import induce
+
+    words = ["Red Apple", "Green Apple", "Sour Apple", "Sweet Apple", "Fast Car", "Slow Car", "Old Car", "New Car"]
+    docs = spark.createDataFrame([(str(i), f"The {w} is here. We saw the {w}.") for i, w in enumerate(words)], "doc_id string, text string")
+
+    class Namer(pipeline.Backend):
+        def name_clusters(self, groups, samples):
+            return [{"name": "kind " + "abcdefgh"[i], "description": g[0]} for i, g in enumerate(groups)]
+
+        def merge_clusters(self, pairs):
+            return [{"keep": pairs[0]["a"], "remove": pairs[0]["b"]}] if len(pairs) > 3 else []
+
+    o = induce.induce(docs, Namer(), "affinity-clustering")
+    assert len(o.entity_types) >= 2 and {r.name for r in o.relation_types} == {"related_to"}
+    pairs = induce.candidates([{"name": str(i), "members": [str(i)]} for i in range(8)])
+    assert len(pairs) == 10 and all(int(p["a"]) < int(p["b"]) < int(p["a"]) + 5 for p in pairs)
+
+
+def test_registry(tmp_path):
+    from sparkloom.plans import registry
+
+    assert {"search_in_text", "parse_json", "validate_against_ontology", "deduplicate_entities", "read_file", "write_file", "list_files", "analyze_file_format", "check_code"} <= {t.name for t in registry.tools()}
+    path = str(tmp_path / "a.txt")
+    assert registry.execute("write_file", {"path": path, "content": "one\ntwo\nthree"}).data == {"path": path, "chars": 13}
+    assert registry.execute("read_file", {"path": path, "max_lines": 2}).data == "one\ntwo\n... (1 more lines)"
+    assert registry.execute("read_file", {"file": path}).data == "one\ntwo\nthree"  # one argument by another name
+    assert registry.execute("list_files", {"path": str(tmp_path), "pattern": "*.txt"}).data == [path]
+    assert registry.execute("search_in_text", {"text": "abcabc", "query": "bc", "context": 1}).data == [{"position": 1, "context": "abca"}, {"position": 4, "context": "abc"}]
+    assert registry.execute("parse_json", {"text": "```json\n{\"a\": 1}\n```"}).data == {"a": 1}
+    assert not registry.execute("nothing", {}).success and not registry.execute("read_file", {"path": path + "x"}).success
+    assert registry.execute("validate_against_ontology", {"entities": [{"name": "a", "type": "Z"}, {"name": "b", "type": "P"}], "types": ["P"]}).data == [{"name": "a", "type": "Z"}]
+    assert registry.execute("deduplicate_entities", {"entities": [{"name": "a", "type": "P", "confidence": 0.5}, {"name": "a", "type": "P", "confidence": 0.9}]}).data == [{"name": "a", "type": "P", "confidence": 0.9}]
+    assert registry.execute("check_code", {"code": "import os"}).data == ["import os"]
+
+    @registry.skill(registry.SkillMeta("shout", "louder"))
+    class Shout(registry.Skill):
+        def system_prompt(self):
+            return "SHOUT"
+
+        def post_process(self, out, context):
+            return {k: v.upper() for k, v in out.items()}
+
+    assert registry.get_skill("shout").post_process({"a": "x"}, {}) == {"a": "X"} and registry.get_skill("none") is None
+    assert registry.default_skills() == ["ontology_analyzer", "entity_extractor", "relation_extractor", "quality_checker", "triple_constructor"]
+    (tmp_path / "own.py").write_text("from sparkloom.plans import registry\n@registry.skill(registry.SkillMeta('own', 'd'))\nclass Own(registry.Skill):\n    def system_prompt(self):\n        return 'o'\n")
+    (tmp_path / "broken.py").write_text("raise ValueError")
+    assert registry.discover(str(tmp_path)) == ["broken.py"] and registry.get_skill("own").system_prompt() == "o"
+    events = registry.Events()
+    heard = []
+    events.on(lambda e, d: heard.append(e))
+    events.on(lambda e, d: 1 / 0)  # one that fails holds up no other
+    events.on(lambda e, d: heard.append(d["x"]))
+    events("start", {"x": 5})
+    assert heard == ["start", 5] and events.log[0][0] == "start"
 
 
 def test_ontology_export(spark, tmp_path):
