@@ -102,6 +102,20 @@ class Result:
     triples: DataFrame
     metadata: dict = field(default_factory=dict)
 
+    def all_entities(self, *more: DataFrame) -> DataFrame:
+        """The entities with those that other phases (a chat, an earlier build) have found: one for each name and type, the most confident; of equal ones this build's."""
+        total = self.entities.withColumn("seq", F.struct(F.lit(0).alias("phase"), F.col("seq").cast(NUMBER).alias("at")))
+        for i, e in enumerate(more, 1):
+            total = total.unionByName(e.withColumn("seq", F.struct(F.lit(i).alias("phase"), F.col("seq").cast(NUMBER).alias("at"))), allowMissingColumns=True)
+        return dedup.entities_final(total).withColumn("seq", F.col("seq.at"))
+
+    def all_triples(self, *more: DataFrame) -> DataFrame:
+        """The triples with those of other phases, the first of equal ones."""
+        total = self.triples.withColumn("seq", F.struct(F.lit(0).alias("phase"), F.col("seq").cast(NUMBER).alias("at")))
+        for i, t in enumerate(more, 1):
+            total = total.unionByName(t.withColumn("seq", F.struct(F.lit(i).alias("phase"), F.col("seq").cast(NUMBER).alias("at"))), allowMissingColumns=True)
+        return dedup.triples_first(total).withColumn("seq", F.col("seq.at"))
+
 
 def _ordered(docs: DataFrame) -> DataFrame:
     """docs with ``at``, a number that orders them: their own ids where these are numbers, else places by id."""

@@ -85,9 +85,11 @@ def list_files(path: str = ".", pattern: str = "*") -> list[str]:
 
 @tool("analyze_file_format", "What the first bytes of a file say of its format.")
 def analyze_file_format(path: str) -> dict:
+    from pyspark.sql import SparkSession
+
     from sparkloom.sources import readers
 
-    return readers.sniff(path)
+    return readers.sniff(SparkSession.getActiveSession(), path).first().asDict()
 
 
 @tool("search_in_text", "Places of a string in a text, with what stands around them.")

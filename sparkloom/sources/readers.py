@@ -188,11 +188,20 @@ def load_xlsx(data: bytes):
     return text, {"sheets": str(len(book)), "rows": str(total)}, True
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    return found is not None and len(found) > 0
+
+
 def read_documents(spark: SparkSession, path: str | list[str], recursive: bool = True, exclude: tuple[str, ...] = (), unknown_as_text: bool = False) -> DataFrame:
-    """Documents of all files below a path whose extension has a loader; files that fail to parse are left out.
+    """Documents of all files below the paths, folders or files, whose extension has a loader; paths that don't exist and files that fail to parse are left out.
 
     Excluded are paths that match any of the patterns, as a whole or by their last parts.
     """
+    path = [p for p in ([path] if isinstance(path, str) else path) if _exists(spark, p)]
+    if not path:
+        return spark.createDataFrame([], DOCUMENT)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     loaders = dict(_loaders)
 
@@ -250,9 +259,10 @@ def jsonl_text(lines: DataFrame, key: str) -> DataFrame:
 
 
 def jsonl_value(line):
-    """What a line of JSON lines says."""
-    parsed = F.try_parse_json(line)
-    return F.when(parsed.isNull(), line).otherwise(F.coalesce(F.get_json_object(line, "$.data"), F.get_json_object(line, "$.text"), F.lit("")))
+    """What a line of JSON lines says: of an object its data, and its text only where it has no data; empty values say nothing."""
+    parsed, field = F.try_parse_json(line), lambda k: F.coalesce(F.get_json_object(line, f"$.{k}"), F.lit(""))
+    found = F.when(F.array_contains(F.json_object_keys(line), "data"), field("data")).otherwise(field("text"))
+    return F.when(parsed.isNull(), line).when(found.isin("0", "0.0", "false", "[]", "{}"), F.lit("")).otherwise(found)
 
 
 def sniff(spark: SparkSession, path: str, sample: int = 4096) -> DataFrame:
@@ -284,6 +294,18 @@ def sniff(spark: SparkSession, path: str, sample: int = 4096) -> DataFrame:
     return out.withColumn("suggested_loader", F.coalesce(by_ext, by_text))
 
 
+def save_manifest(files: DataFrame, path: str) -> None:
+    """Keeps what data_files saw, for the next build to compare with."""
+    files.write.mode("overwrite").parquet(path)
+
+
+def load_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest at a path, empty where there is none yet."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], "path string, content_hash string, size bigint, mtime timestamp")
+    return spark.read.parquet(path)
+
+
 def data_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, content_hash, size, mtime) of all files, without tool folders: what change detection compares."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

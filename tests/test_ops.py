@@ -5,6 +5,7 @@ import zipfile
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.operators import cluster, ops
 from sparkloom.operators.ontology import EntityType, Ontology, RelationType
@@ -337,7 +338,29 @@ def test_induction_by_clusters(spark):
     assert len(pairs) == 10 and all(int(p["a"]) < int(p["b"]) < int(p["a"]) + 5 for p in pairs)
 
 
-def test_registry(tmp_path):
+def test_phases_together(spark):
+    out = build_result(spark)
+    more = spark.createDataFrame([(0, " n1 ", "P", 0.99), (1, "new", "P", 0.1), (2, "n2", "P", 2 / 30)], "seq long, name string, type string, confidence double")
+    got = {(r["name"].strip(), r.type): r.confidence for r in out.all_entities(more).collect()}
+    assert len(got) == 31 and got["n1", "P"] == 0.99 and got["new", "P"] == 0.1
+    t = spark.createDataFrame([(5, "a", "A", "p", "b", "B", 0.5)], "seq long, subj_name string, subj_type string, predicate string, obj_name string, obj_type string, confidence double")
+    assert pipeline.Result(out.entities, out.relations, t).all_triples(t, t.withColumn("predicate", F.lit("q"))).count() == 2
+
+
+def test_manifest_and_missing_paths(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one")
+    kept = str(tmp_path / "kept")
+    assert readers.load_manifest(spark, kept).count() == 0
+    readers.save_manifest(readers.data_files(spark, str(tmp_path / "a.txt")), kept)
+    assert ops.manifest_diff(readers.load_manifest(spark, kept), readers.data_files(spark, str(tmp_path / "a.txt"))).first().state == "unchanged"
+    assert [r.text for r in readers.read_documents(spark, [str(tmp_path / "a.txt"), str(tmp_path / "none")]).collect()] == ["one"]
+    assert readers.read_documents(spark, str(tmp_path / "none")).count() == 0
+    lines = ['{"data": null, "text": "x"}', '{"data": "d", "text": "x"}', '{"text": "t"}', '{"data": 0}', "plain", '{"a": 1}']
+    by_row = readers.jsonl_text(spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "k long, at long, line string"), "k").first().text
+    assert by_row == readers.load_jsonl("\n".join(lines).encode())[0] == "d\nt\nplain"
+
+
+def test_registry(spark, tmp_path):
     from sparkloom.plans import registry
 
     assert {"search_in_text", "parse_json", "validate_against_ontology", "deduplicate_entities", "read_file", "write_file", "list_files", "analyze_file_format", "check_code"} <= {t.name for t in registry.tools()}
@@ -351,7 +374,7 @@ def test_registry(tmp_path):
     assert not registry.execute("nothing", {}).success and not registry.execute("read_file", {"path": path + "x"}).success
     assert registry.execute("validate_against_ontology", {"entities": [{"name": "a", "type": "Z"}, {"name": "b", "type": "P"}], "types": ["P"]}).data == [{"name": "a", "type": "Z"}]
     assert registry.execute("deduplicate_entities", {"entities": [{"name": "a", "type": "P", "confidence": 0.5}, {"name": "a", "type": "P", "confidence": 0.9}]}).data == [{"name": "a", "type": "P", "confidence": 0.9}]
-    assert registry.execute("check_code", {"code": "import os"}).data == ["import os"]
+    assert registry.execute("check_code", {"code": "import os"}).data == ["import os"] and registry.execute("analyze_file_format", {"path": path}).data["extension"] == ".txt"
 
     @registry.skill(registry.SkillMeta("shout", "louder"))
     class Shout(registry.Skill):
