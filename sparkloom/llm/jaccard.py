@@ -10,7 +10,7 @@ pairs lie.
 Groups are then verified on full n-gram sets. A group of at most ``BLOCK`` texts is verified
 whole, several to a task. A larger one is cut into the buckets that hold it together, so texts
 that only a chain of others connects never meet, and a pair counts in the first band that it
-agrees in; or it is taken whole where that sends fewer rows, as in a group of near copies that
+agrees in (of buckets with the same texts only the first is sent); or it is taken whole where that sends fewer rows, as in a group of near copies that
 meet in every band. What has more than ``BLOCK`` texts is dealt to blocks, each pair of blocks
 by itself, so no task holds more than two blocks. Tasks return the number of links of each text
 and the components of the links they found, never pairs. A class is a component of proven links.
@@ -187,6 +187,12 @@ def _blocks(size: str):
     return F.ceil(F.col(size) / BLOCK).cast("int")
 
 
+def _members(col: str) -> list:
+    """What tells sets of numbers apart: their ends and the exact sums of two hashes of each."""
+    sums = (F.sum(F.xxhash64(col, F.lit(k)).cast("decimal(38,0)")).alias(a) for k, a in enumerate("xy"))
+    return [F.min(col).alias("least"), F.max(col).alias("most"), *sums]
+
+
 def slots(members: DataFrame) -> DataFrame:
     """members (node, comp, bands, ...) with the groups in which each text is verified: an array of (group, its size, the band of a bucket or NO_BAND)."""
     kind = "array<struct<group:bigint,size:bigint,band:int>>"
@@ -197,8 +203,10 @@ def slots(members: DataFrame) -> DataFrame:
     if not large.limit(1).count():
         return members.join(_salted(sizes), ["comp", "salt"]).select(*(c for c in members.columns if c != "salt"), whole)
     # What the buckets of a large group would send, against what the group as a whole does.
-    of_large = members.join(large.select("comp"), "comp", "left_semi").select("comp", F.posexplode("bands").alias("band", "bucket"))
-    buckets = of_large.groupBy("comp", "band", "bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    of_large = members.join(large.select("comp"), "comp", "left_semi").select("comp", "node", F.posexplode("bands").alias("band", "bucket"))
+    buckets = of_large.groupBy("comp", "band", "bucket").agg(F.count(F.lit(1)).alias("size"), *_members("node")).filter("size > 1")
+    # Buckets of the same texts find the same pairs: the first one does.
+    buckets = buckets.groupBy("comp", "size", "least", "most", "x", "y").agg(F.min(F.struct("band", "bucket")).alias("first")).select("comp", "first.*", "size")
     cost = buckets.groupBy("comp").agg(F.sum(F.col("size") * _blocks("size")).alias("cost"))
     plan = cut(sizes.join(cost, "comp", "left").select("comp", "size", (F.coalesce("cost", F.lit(0)) < F.col("size") * _blocks("size")).alias("parted")).withColumn("parted", F.col("parted") & (F.col("size") > BLOCK)))
     # Sizes come back over salted keys, as one group or bucket may hold most of the rows.
