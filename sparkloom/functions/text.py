@@ -40,9 +40,9 @@ def normalize_type_name(name: Column) -> Column:
     return F.when(shown == "", F.lit("Unknown")).otherwise(shown)
 
 
-def window_chunks(text: Column, size: int, step: int, most: int) -> Column:
-    """Windows of ``size`` characters every ``step``, as structs (chunk_idx, start, text); a text that fits is one chunk."""
-    starts = F.when(F.length(text) <= size, F.array(F.lit(0))).otherwise(F.slice(F.sequence(F.lit(0), F.length(text) - 1, F.lit(step)), 1, most))
+def window_chunks(text: Column, size: int, step: int) -> Column:
+    """Windows of ``size`` characters every ``step`` over the whole text, as structs (chunk_idx, start, text); a text that fits is one chunk."""
+    starts = F.when(F.length(text) <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.length(text) - 1, F.lit(step)))
     return F.transform(starts, lambda s, i: F.struct(i.alias("chunk_idx"), s.alias("start"), F.substr(text, s + 1, F.lit(size)).alias("text")))
 
 
@@ -164,14 +164,14 @@ def html_text(html: pd.Series) -> pd.Series:
 def chunk_text(text: str, size: int = 4000, overlap: int = 300, most: int = 200) -> list[str]:
     """A text as chunks at paragraph and sentence ends; each but the first begins with the end of the one before.
 
-    A text of one line is cut into windows. Paragraphs longer than a chunk are cut at sentence ends.
-    More chunks than ``most`` are joined, the pair of neighbours with the smallest sum first.
+    A text of one line is cut into windows, as many as it takes, so none of it is lost. Paragraphs longer than a
+    chunk are cut at sentence ends. More chunks of paragraphs than ``most`` are joined, the pair of neighbours with the smallest sum first.
     """
     size, overlap = max(size, 1000), max(overlap, 100)
     if "\n" not in text.strip("\n"):
         if len(text) <= size:
             return [text]
-        return [text[i : i + size] for i in range(0, len(text), size - overlap)][:most]
+        return [text[i : i + size] for i in range(0, len(text), size - overlap)]
     pieces: list[str] = []
     for para in filter(None, map(str.strip, re.split(r"\n\s*\n", text))):
         pieces += [para] if len(para) <= size else [s.strip() for s in _packed(re.split(r"(?<=[。！？.!?])\s*", para), size)]

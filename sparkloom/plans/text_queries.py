@@ -63,7 +63,7 @@ def html_text(spark, d):
 
 CHUNK_SQL = """
 WITH t AS (SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents),
-     s AS (SELECT doc_id, text, unnest(CASE WHEN length(text) <= 1000 THEN [0] ELSE range(0, length(text), 900)[1:200] END) AS start FROM t)
+     s AS (SELECT doc_id, text, unnest(CASE WHEN length(text) <= 1000 THEN [0] ELSE range(0, length(text), 900) END) AS start FROM t)
 SELECT doc_id, CAST(start / 900 AS BIGINT) AS chunk_idx, CAST(start AS BIGINT) AS start, substr(text, CAST(start AS INTEGER) + 1, 1000) AS text FROM s
 """
 
@@ -71,12 +71,13 @@ SELECT doc_id, CAST(start / 900 AS BIGINT) AS chunk_idx, CAST(start AS BIGINT) A
 @Q.add(CHUNK_SQL)
 def chunk_window(spark, d):
     t = table(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
-    c = t.select("doc_id", F.explode(X.window_chunks(F.col("text"), 1000, 900, 200)).alias("c"))
+    c = t.select("doc_id", F.explode(X.window_chunks(F.col("text"), 1000, 900)).alias("c"))
     return c.select("doc_id", F.col("c.chunk_idx").cast("long").alias("chunk_idx"), F.col("c.start").cast("long").alias("start"), "c.text")
 
 
 @Q.add()
 def chunk_paragraph(spark, d):
+    """Whole texts, those of one line included."""
     t = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"\.\n", ".\n\n").alias("text"))
     return t.select("doc_id", F.posexplode(X.paragraph_chunks()("text")).alias("chunk_idx", "text"))
 
@@ -117,44 +118,31 @@ def parse_llm_json(spark, d):
     return e.select("event_id", F.get_json_object(X.json_ladder(raw), "$.k").cast("long").alias("k"))
 
 
+#: RE2 has no look-around, so each word gets a mark before and one behind it first; a text's own marks are neither word nor space.
 NOUN_SQL = r"""
-WITH m AS (SELECT doc_id, unnest(list_concat(regexp_extract_all(text, '\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b', 1), regexp_extract_all(text, '\b([a-z]{3,})\b', 1))) AS w FROM documents WHERE lang = 'en' AND text = regexp_replace(text, '[^\x00-\x7F]', '', 'g'))
-SELECT lower(w) AS noun, count(DISTINCT doc_id) AS n_docs FROM m GROUP BY 1
+WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[\x01\x02]', '|', 'g'), '([\p{L}\p{N}_]+)', chr(1) || '\1' || chr(2), 'g') AS text FROM documents),
+     m AS (SELECT doc_id, unnest(list_concat(regexp_extract_all(text, '\x01([A-Z][a-z]+(?:\x02[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+\x01[A-Z][a-z]+)*)\x02', 1), regexp_extract_all(text, '\x01([a-z]{3,})\x02', 1))) AS w FROM t)
+SELECT lower(regexp_replace(w, '[\x01\x02]', '', 'g')) AS noun, count(DISTINCT doc_id) AS n_docs FROM m GROUP BY 1
 """
 
 
 @Q.add(NOUN_SQL)
 def noun_candidates(spark, d):
-    return _nouns(table(spark, d, "documents").filter("lang = 'en'").filter(F.col("text") == F.regexp_replace("text", r"[^\x00-\x7F]", "")))
-
-
-@Q.add()
-def noun_candidates_all(spark, d):
     """Of all documents, whatever their language and letters."""
-    return _nouns(table(spark, d, "documents"))
-
-
-def _nouns(t):
-    words = t.select("doc_id", F.explode(F.array_distinct(F.transform(X.noun_matches(F.col("text")), F.lower))).alias("noun"))
+    words = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.transform(X.noun_matches(F.col("text")), F.lower))).alias("noun"))
     return words.groupBy("noun").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 TRI_SQL = """
-WITH n AS (SELECT DISTINCT p_brand || ' ' || p_type AS name FROM part WHERE p_partkey <= 60),
-     t AS (SELECT name, list_distinct(list_transform(range(1, len('  ' || lower(name) || '  ') - 1), lambda i: substr('  ' || lower(name) || '  ', CAST(i AS INTEGER), 3))) AS g FROM n)
-SELECT a.name AS a, b.name AS b, len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) AS similarity FROM t a JOIN t b ON a.name < b.name
+WITH n AS (SELECT DISTINCT concat_ws(' ', p_brand, p_type) AS name FROM part),
+     t AS (SELECT name, list_distinct(list_transform(range(1, len('  ' || lower(name) || '  ') - 1), lambda i: substr('  ' || lower(name) || '  ', CAST(i AS INTEGER), 3))) AS g FROM n),
+     e AS (SELECT name, len(g) AS n, unnest(g) AS gram FROM t)
+SELECT a.name AS a, b.name AS b, count(*) / (a.n + b.n - count(*)) AS similarity FROM e a JOIN e b ON a.gram = b.gram AND a.name < b.name GROUP BY a.name, b.name, a.n, b.n
 """
 
 
 @Q.add(TRI_SQL)
 def trigram_similarity(spark, d):
-    n = table(spark, d, "part").filter("p_partkey <= 60").select(F.concat_ws(" ", "p_brand", "p_type").alias("name")).distinct().withColumn("g", X.trigrams(F.col("name")))
-    a, b = n.select(F.col("name").alias("a"), F.col("g").alias("ga")), n.select(F.col("name").alias("b"), F.col("g").alias("gb"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", X.trigram_similarity(F.col("ga"), F.col("gb")).alias("similarity"))
-
-
-@Q.add()
-def trigram_similarity_all(spark, d):
     """All pairs of distinct names that share a trigram, over the whole table; that of any other pair is 0."""
     names = table(spark, d, "part").select(F.concat_ws(" ", "p_brand", "p_type").alias("name")).distinct()
     return X.similar_by_trigrams(names, "name")

@@ -38,12 +38,13 @@ def test_chunks():
     assert len(X.chunk_text(text, 1000, 100, most=3)) == 3
     long = "句子很长。" * 600 + "\n\nend"
     assert len(X.chunk_text(long, 1000, 100)) > 2
+    assert "".join(c[100:] if i else c for i, c in enumerate(X.chunk_text("a" * 5000, 1000, 100, most=2))) == "a" * 5000
     assert X.chunk_text("\n\n \n") == ["\n\n \n"]
 
 
 def test_window_chunks(spark):
     df = spark.createDataFrame([(0, "abc" * 700), (1, "short"), (2, "")], ["i", "t"])
-    got = {r.i: r.c for r in df.select("i", X.window_chunks(F.col("t"), 1000, 900, 200).alias("c")).collect()}
+    got = {r.i: r.c for r in df.select("i", X.window_chunks(F.col("t"), 1000, 900).alias("c")).collect()}
     assert [c.start for c in got[0]] == [0, 900, 1800] and got[0][1].text == ("abc" * 700)[900:1900]
     assert got[1][0].text == "short" and got[2][0].text == ""
 
@@ -100,7 +101,7 @@ def test_trigram_pairs_of_the_whole_table(spark, tmp_path):
 
     names = sorted({f"{b} {t}" for _, b, t in rows})
     want = {(a, b): len(grams(a) & grams(b)) / len(grams(a) | grams(b)) for a in names for b in names if a < b and grams(a) & grams(b)}
-    assert {(r.a, r.b): r.similarity for r in text_queries.Q["trigram_similarity_all"][0](spark, str(tmp_path)).collect()} == want
+    assert {(r.a, r.b): r.similarity for r in text_queries.Q["trigram_similarity"][0](spark, str(tmp_path)).collect()} == want
 
 
 LETTERS = ["The Quick Fox ran home", "Le Café Noir près d'Été", "naïve words über “quoted nouns” it’s", None, "", "x_y abc_def Abc1 New\u00a0York ²abc", "中文 word中文 plain", "New\n York aé bcd"]
@@ -114,7 +115,7 @@ def test_noun_candidates_of_all_documents(spark, tmp_path):
     want = Counter()
     for x in filter(None, LETTERS):
         want.update({w.lower() for w in re.findall(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b", x) + re.findall(r"\b([a-z]{3,})\b", x)})
-    assert {r.noun: r.n_docs for r in text_queries.Q["noun_candidates_all"][0](spark, str(tmp_path)).collect()} == want
+    assert {r.noun: r.n_docs for r in text_queries.Q["noun_candidates"][0](spark, str(tmp_path)).collect()} == want
 
 
 def test_kg_pipeline_reads_all_documents(spark, tmp_path):
@@ -128,10 +129,10 @@ def test_kg_pipeline_reads_all_documents(spark, tmp_path):
 
 
 def test_chunk_paragraph_of_one_long_line(spark, tmp_path):
-    """Chunks as by the reference's defaults: 200 of 4000 characters, 300 of them shared."""
+    """Chunks of 4000 characters, 300 of them shared, to the end of the text."""
     from sparkloom.plans import text_queries
 
-    text = "".join(random.Random(1).choices("abc ", k=700_000))
+    text = "".join(random.Random(1).choices("abc ", k=900_000))
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = [r.text for r in text_queries.Q["chunk_paragraph"][0](spark, str(tmp_path)).orderBy("chunk_idx").collect()]
     assert got == [text[i : i + 4000] for i in range(0, len(text), 3700)]
