@@ -56,3 +56,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def whole_text(col: str | Column = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
+
+
+SALTS = 8
+
+
+def salt(*cols: str) -> Column:
+    """The share of its key that a row belongs to."""
+    return F.pmod(F.xxhash64(*cols), F.lit(SALTS)).cast("int")
+
+
+def salted(df: DataFrame) -> DataFrame:
+    """df once for each salt, to meet rows whose key may hold any share of all rows."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

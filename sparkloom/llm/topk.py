@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import table
@@ -80,13 +80,13 @@ class ImpactIndex:
         return members[best], scores[best]
 
 
-def integers(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
-    """vec_id and v, the floors of scale (a power of two) times the components as doubles that hold them exactly, of vectors that are whole and finite."""
+def integers(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, keep: tuple[Column, ...] = ()) -> DataFrame:
+    """vec_id, v, the floors of scale (a power of two) times the components as doubles that hold them exactly, and what else is kept, of vectors that are whole and finite. Rows without an id take no part."""
     big = lambda x: F.abs(x.cast("double")) < F.lit(float("inf"))
     sound = F.col(vector_col).isNotNull() & F.forall(vector_col, lambda x: x.isNotNull() & big(x))
     # From 2 ** 53 on a double is an integer already; in between, floor gives a long.
     whole = lambda y: F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)
-    return vectors.filter(sound).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: whole(scale * x.cast("double"))).alias("v"))
+    return vectors.filter(sound & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: whole(scale * x.cast("double"))).alias("v"), *keep)
 
 
 def _matrix(lists: list, dims: int) -> np.ndarray:
