@@ -30,3 +30,16 @@ def cut(df: DataFrame) -> DataFrame:
 def fresh(spark: SparkSession, kind: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, kind: str = "rows") -> tuple[DataFrame, str]:
+    """The rows of df as a table in the shared folder, and its path."""
+    path = fresh(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes what was written to a path that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import normalize_name, strip
+from sparkloom.lineage import cut
+from sparkloom.operators.components import components
+from sparkloom.operators.ratio import ratio, ratio_join
 
 
 def _best(df: DataFrame, keys: dict[str, Column], by: Column) -> DataFrame:
@@ -78,11 +81,7 @@ def triples_first(df: DataFrame) -> DataFrame:
 
 def ratio_above(a: str, b: str, threshold: float) -> bool:
     """Whether difflib's ratio of a and b exceeds the threshold, with its upper bounds first."""
-    la, lb = len(a), len(b)
-    if 2.0 * min(la, lb) <= threshold * (la + lb):
-        return la == lb == 0  # two empty strings have ratio 1
-    m = difflib.SequenceMatcher(None, a, b)
-    return m.quick_ratio() > threshold and m.ratio() > threshold
+    return ratio(difflib.SequenceMatcher(None, "", ""), a, b, threshold) > threshold
 
 
 def merge_names(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -105,19 +104,29 @@ def merge_names(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame(out, columns=rows.columns)
 
 
-def entities_fuzzy(df: DataFrame, threshold: float = 0.85, most: int = 20_000) -> DataFrame:
+def entities_fuzzy(df: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Merges close names within each type (seq, name, type, confidence, attributes).
 
-    The merge is a fold over a type's rows in order, so a type is one task's work; exact copies
-    should be merged before. A type of more than ``most`` rows is refused rather than left to
-    run for ever: the merge is quadratic, and cutting it into blocks would change its result.
+    The merge is a fold over a type's rows in order. A row is only ever taken in by one that it is
+    close to, so all of a group lies in one component of the graph of close names; the fold of a type is
+    that of its components, each by itself, in order. Close names are found by a join
+    without loss; rows that resemble none other are not touched. A component is one task's work, so exact copies should be merged before,
+    as the dedup by key does.
     """
-    sizes = df.groupBy("type").count().filter(F.col("count") > most).limit(1).collect()
-    if sizes:
-        raise ValueError(f"type {sizes[0]['type']!r} has {sizes[0]['count']} names, more than {most}")
     rows = df.select("seq", "name", "type", F.coalesce("confidence", F.lit(1.0)).alias("confidence"), "attributes", normalize_name(F.col("name")).alias("norm"))
-    merged = rows.groupBy("type").applyInPandas(lambda g: merge_names(g, threshold), rows.schema)
-    return merged.drop("norm")
+    rows = rows.withColumn("node", F.xxhash64("type", "norm"))
+    names = cut(rows.select("type", "norm", "node").distinct())
+    # A null type is one of its own; for the join it has a name that no type can have.
+    left = names.select(F.coalesce(F.concat(F.lit("t"), "type"), F.lit("")).alias("of"), F.col("norm").alias("x"), F.col("node").alias("a"))
+    right = left.select("of", F.col("x").alias("y"), F.col("a").alias("b"))
+    close = ratio_join(left, "x", right, "y", threshold, on=("of",), either=True).filter("a < b").select("a", "b")
+    labels = components(close)
+    rows = rows.join(labels, "node", "left").withColumn("group", F.coalesce("label", "node")).drop("label", "node")
+    sizes = rows.groupBy("type", "group").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("type").alias("_type"), F.col("group").alias("_group"), "_n")
+    sized = rows.join(sizes, F.col("type").eqNullSafe(F.col("_type")) & (F.col("group") == F.col("_group")), "left").drop("_type", "_group")
+    alone, several = sized.filter("_n is null").drop("_n"), sized.filter("_n is not null").drop("_n")
+    merged = several.groupBy("type", "group").applyInPandas(lambda g: merge_names(g, threshold), several.schema)
+    return alone.unionByName(merged).drop("norm", "group")
 
 
 def gleaning_merge(existing: DataFrame, gleaned: DataFrame) -> DataFrame:

@@ -4,6 +4,10 @@ A dictionary of strings becomes an automaton that reads a text once, whatever th
 strings. Up to ``SENT`` characters of it are sent to all tasks, which is checked first, and texts
 stream past without a shuffle. A larger one is dealt to parts of about that size and the texts
 to shares; each pair of part and share is a task of its own.
+
+``holding`` gives every pair. ``first_held`` gives each text the first string in it, and ``first_holder`` each string the
+first text that has it: tasks keep the first only, so one row a text or string leaves a task, however
+many pairs there are.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,51 +32,38 @@ class Finder:
         for i, x in enumerate(strings):
             if x:
                 self.by[x].append(i)
-        try:
-            import ahocorasick
-        except ImportError:
-            self.automaton = None
-        else:
-            self.automaton = ahocorasick.Automaton()
-            for x in self.by:
-                self.automaton.add_word(x, x)
-            if self.by:
-                self.automaton.make_automaton()
+        self.automaton = ahocorasick.Automaton()
+        for x, places in self.by.items():
+            self.automaton.add_word(x, places)
+        if self.by:
+            self.automaton.make_automaton()
 
     def find(self, text: str) -> list[int]:
         if not self.by:
             return []
-        if self.automaton is None:
-            held = [x for x in self.by if x in text]
-        else:
-            held = {x for _, x in self.automaton.iter(text)}
-        return sorted(i for x in held for i in self.by[x])
+        held = {places[0]: places for _, places in self.automaton.iter(text)}
+        return sorted(i for places in held.values() for i in places)
 
 
-def holding(texts: DataFrame, text: str, strings: DataFrame, string: str, sent: int = SENT, share: int = SHARE) -> DataFrame:
-    """texts joined with strings wherever text contains string; both frames' columns have different names. Null and empty strings stand nowhere, null texts hold nothing."""
+def _meet(texts: DataFrame, text: str, strings: DataFrame, string: str, sent: int, share: int, pairs) -> DataFrame:
+    """Rows of both where ``pairs`` says so: a function of the batches of texts of a task (tables), the strings (a table) and a Finder of them, that yields places in the first and the second for each batch, or tables."""
     texts, strings = texts.filter(F.col(text).isNotNull()), strings.filter(F.length(string) > 0)
     size = strings.agg(F.sum(F.length(string).cast("long"))).first()[0] or 0
     names, more = texts.columns, strings.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (*texts.schema, *strings.schema))
-    here, there = names.index(text), more.index(string)
+    there = more.index(string)
 
-    def joined(left: pa.Table, right: pa.Table, finder: Finder) -> pa.Table:
-        rows, found = [], []
-        for i, x in enumerate(left.column(here).to_pylist()):
-            own = finder.find(x)
-            rows += [i] * len(own)
-            found += own
-        a, b = left.take(pa.array(rows, pa.int64())), right.take(pa.array(found, pa.int64()))
-        return pa.table([*a.columns, *b.columns], names=[*names, *more])
+    def joined(batches: Iterator[pa.Table], right: pa.Table) -> Iterator[pa.Table]:
+        for left, rows, found in pairs(batches, right, Finder(right.column(there).to_pylist())):
+            a, b = left.take(pa.array(rows, pa.int64())), right.take(pa.array(found, pa.int64()))
+            yield pa.table([*a.columns, *b.columns], names=[*names, *more])
 
     if size <= sent:
         right = strings.toArrow()
 
         def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            finder = Finder(right.column(there).to_pylist())
-            for b in batches:
-                yield from joined(pa.Table.from_batches([b]), right, finder).to_batches()
+            for t in joined((pa.Table.from_batches([b]) for b in batches), right):
+                yield from t.to_batches()
 
         return texts.mapInArrow(stream, kinds)
     parts, shares = -(-size // sent), max(1, -(-texts.count() // share))
@@ -81,6 +73,75 @@ def holding(texts: DataFrame, text: str, strings: DataFrame, string: str, sent:
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         a, b = a.select(names), b.select(more)
-        return joined(a, b, Finder(b.column(there).to_pylist()))
+        found = list(joined(iter([a]), b))
+        return pa.concat_tables(found) if found else pa.table([*a.slice(0, 0).columns, *b.slice(0, 0).columns], names=[*names, *more])
 
     return left.groupBy("_part", "_share").cogroup(right.groupBy("_part", "_share")).applyInArrow(meet, kinds)
+
+
+def holding(texts: DataFrame, text: str, strings: DataFrame, string: str, sent: int = SENT, share: int = SHARE) -> DataFrame:
+    """texts joined with strings wherever text contains string; both frames' columns have different names. Null and empty strings stand nowhere, null texts hold nothing."""
+    here = texts.columns.index(text)
+
+    def every(batches, right: pa.Table, finder: Finder):
+        for left in batches:
+            rows, found = [], []
+            for i, x in enumerate(left.column(here).to_pylist()):
+                own = finder.find(x)
+                rows += [i] * len(own)
+                found += own
+            yield left, rows, found
+
+    return _meet(texts, text, strings, string, sent, share, every)
+
+
+def _places(column: pa.ChunkedArray) -> list:
+    """Values that compare as Spark orders them; structs as tuples."""
+    return [tuple(x.values()) if isinstance(x, dict) else x for x in column.to_pylist()]
+
+
+def first_held(texts: DataFrame, text: str, strings: DataFrame, string: str, order: str, sent: int = SENT, share: int = SHARE) -> DataFrame:
+    """Each text with a string that stands in it, the first by strings' ``order``. A dictionary of several parts gives one row for each part that has one."""
+    here, at = texts.columns.index(text), strings.columns.index(order)
+
+    def first(batches, right: pa.Table, finder: Finder):
+        place = _places(right.column(at))
+        # The places of equal strings in order, so that a node's first is the first of all that it stands for.
+        for places in finder.by.values():
+            places.sort(key=lambda i: place[i])
+        for left in batches:
+            rows, found = [], []
+            for i, x in enumerate(left.column(here).to_pylist()):
+                own = {p[0] for _, p in finder.automaton.iter(x)} if finder.by else ()
+                if own:
+                    rows.append(i)
+                    found.append(min(own, key=lambda j: place[j]))
+            yield left, rows, found
+
+    return _meet(texts, text, strings, string, sent, share, first)
+
+
+def first_holder(texts: DataFrame, text: str, strings: DataFrame, string: str, order: str, sent: int = SENT, share: int = SHARE) -> DataFrame:
+    """Each string with a text that holds it, the first of its task by texts' ``order``; the first of all is the first of these."""
+    here, at = texts.columns.index(text), texts.columns.index(order)
+
+    def first(batches, right: pa.Table, finder: Finder):
+        best: dict[int, tuple] = {}  # place and values of a text, one at most for each string
+        shape = None
+        for left in batches:
+            shape = left.schema
+            place, new = _places(left.column(at)), {}
+            for i, x in enumerate(left.column(here).to_pylist()):
+                for j in {p[0] for _, p in finder.automaton.iter(x)} if finder.by else ():
+                    if j not in best or place[i] < best[j][0]:
+                        best[j] = (place[i], None)
+                        new[j] = i
+            values = left.take(pa.array(list(new.values()), pa.int64())).to_pylist()
+            for j, row in zip(new, values):
+                best[j] = (best[j][0], row)
+        if best:
+            same = {p[0]: p for p in finder.by.values()}
+            rows = [k for k, j in enumerate(best) for _ in same[j]]
+            yield pa.Table.from_pylist([row for _, row in best.values()], shape), rows, [i for j in best for i in same[j]]
+
+    return _meet(texts, text, strings, string, sent, share, first)

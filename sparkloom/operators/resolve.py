@@ -1,33 +1,29 @@
 """Entity resolution: a waterfall of joins from exact names to overlapping letters.
 
 Names that a level finds leave before the next, so the costly levels see only what is left, and
-only distinct names at that. Levels 1 and 2 are equi-joins. Level 3 meets in blocks of names of
-about one length, each pair of blocks in a task of its own; level 4 reads each string once for all
-that may stand in it; level 6 joins on the rarest letters, of which names that share enough have
-one in common. No level is a product of all names. Each level is written before the next, so the
-plan stays as long as one level and a lost executor costs that at most.
+only distinct names at that. Levels 1 and 2 are equi-joins. Level 3 meets by rare bigrams of which close
+names share one; level 4 reads each string once for all that may stand in it and keeps the first;
+level 6 joins distinct sets of letters on their rarest ones. No level is a product of all names. Each level is written before the
+next, so the plan stays as long as one level and a lost executor costs that at most; levels after the one that
+leaves nothing are not run.
 """
 
 from __future__ import annotations
 
-import difflib
-from collections import Counter
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import normalize_name, strip
 from sparkloom.lineage import cut
 from sparkloom.operators.dedup import first_of
-from sparkloom.operators.occur import holding
+from sparkloom.operators.occur import first_held, first_holder
+from sparkloom.operators.ratio import ratio_join
 
 #: Penalty and bounds of each level.
 PENALTY = {"exact": 0.0, "normalized": 0.05, "fuzzy": 0.10, "substring": 0.15, "char_overlap": 0.20}
 RATIO, SHORT, OVERLAP = 0.85, 15, 0.7
-#: Names, or queries, that one task holds at a time.
-BLOCK = 20_000
+#: Letters of a key by which sets of letters meet.
+TOGETHER = 3
 
 
 def dictionary(entities: DataFrame) -> DataFrame:
@@ -53,12 +49,12 @@ def _first(found: DataFrame) -> DataFrame:
 
 
 def substring(queries: DataFrame, names: DataFrame) -> DataFrame:
-    """(query, ename) where either holds the other, in lower case and of two letters at least; the first name."""
+    """(query, ename) where either holds the other, in lower case and of two letters at least; the first name. A task keeps the first name of each query, so what leaves it grows with the queries and not with all that they stand in."""
     q = queries.filter(F.length("query") >= 2).select("query", F.lower("query").alias("low_query"))
     e = names.filter(F.length("ename") >= 2).select("ename", "etype", "eseq", F.lower("ename").alias("low_ename"))
     columns = ["query", "ename", "etype", "eseq"]
-    within = holding(q, "low_query", e, "low_ename").select(*columns).unionByName(holding(e, "low_ename", q, "low_query").select(*columns))
-    return _first(within)
+    within = first_held(q, "low_query", e, "low_ename", "eseq").select(*columns)
+    return _first(within.unionByName(first_holder(e, "low_ename", q, "low_query", "eseq").select(*columns)))
 
 
 #: Letters of English from rare to common. Any order gives the same names; this one makes few of them meet.
@@ -71,94 +67,81 @@ def _letters(norm: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.split(renamed, ""), lambda c: c != "")))
 
 
+def _share(n: Column, m: Column) -> Column:
+    """Letters that sets of n and m share at least."""
+    return F.ceil(OVERLAP * F.greatest(n, m) - 1e-9).cast("int")
+
+
+def _keys(letters: Column, shared: Column) -> Column:
+    """All combinations of r = min(shared, TOGETHER) letters from the first n - shared + r ones: sets that share so many have one of these in common."""
+    r = F.least(shared, F.lit(TOGETHER))
+    first = F.slice(letters, F.lit(1), F.size(letters) - shared + r)
+    rest = lambda i: F.slice(first, i + 2, F.size(first))
+    pairs = F.flatten(F.transform(first, lambda x, i: F.transform(rest(i), lambda y: F.concat(x, y))))
+    after = lambda p: F.filter(first, lambda z: z > F.substring(p, -1, 1))
+    triples = F.flatten(F.transform(pairs, lambda p: F.transform(after(p), lambda z: F.concat(p, z))))
+    return F.when(r == 1, first).when(r == 2, pairs).otherwise(triples)
+
+
+def letter_sets(queries: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct sets of letters of short queries (_q, asked: the queries), and of short names with the first that has it (_e, b)."""
+    short = lambda c: (F.length(c) <= SHORT) & (F.length(c) > 0)
+    q = queries.withColumn("_n", normalize_name(F.col("query"))).filter(short("_n")).select("query", _letters(F.col("_n")).alias("_q"))
+    e = names.filter(short("enorm")).withColumn("_e", _letters(F.col("enorm")))
+    return q, e.groupBy("_e").agg(F.min_by(F.struct("ename", "etype", "eseq"), "eseq").alias("b"))
+
+
+def set_pairs(q: DataFrame, e: DataFrame) -> DataFrame:
+    """Distinct sets _q and _e that meet, once or more."""
+    n, m = F.size("_q"), F.size("_e")
+    sizes = F.sequence(F.ceil(OVERLAP * n - 1e-9).cast("int"), F.floor(n / OVERLAP + 1e-9).cast("int"))
+    # The key has both sizes, so either side cuts its prefix for just what that pair of sizes must share.
+    q = q.select("_q", n.alias("_n"), F.explode(sizes).alias("_m")).filter("_m > 0")
+    q = q.withColumn("_key", F.explode(_keys(F.col("_q"), _share(F.col("_n"), F.col("_m")))))
+    sizes = F.sequence(F.ceil(OVERLAP * m - 1e-9).cast("int"), F.floor(m / OVERLAP + 1e-9).cast("int"))
+    e = e.select("_e", "b", m.alias("_m"), F.explode(sizes).alias("_n")).filter("_n > 0")
+    e = e.withColumn("_key", F.explode(_keys(F.col("_e"), _share(F.col("_n"), F.col("_m")))))
+    return q.join(e, ["_key", "_n", "_m"])
+
+
 def char_overlap(queries: DataFrame, names: DataFrame) -> DataFrame:
     """(query, ename) of short names that share 0.7 of the letters of the one with more; the first name.
 
-    Sets of n and m letters that share t of them have one of their first n - t + 1 and m - t + 1
-    in common, and t is 0.7 of the larger at least: names meet by one of these letters and the
-    size of the name's set.
+    Names are collapsed to distinct sets of letters with the first name of each, so the work grows with the
+    sets and not with the names. Sets of n and m letters that share t of them have r of their first n - t + r and
+    m - t + r in common, and t is 0.7 of the larger at least: sets meet by three such letters and both sizes.
     """
-    short = lambda c: (F.length(c) <= SHORT) & (F.length(c) > 0)
-    q = queries.withColumn("_n", normalize_name(F.col("query"))).filter(short("_n")).withColumn("_q", _letters(F.col("_n")))
-    e = names.filter(short("enorm")).withColumn("_e", _letters(F.col("enorm"))).withColumn("_size", F.size("_e"))
-    share = lambda n, m: F.ceil(OVERLAP * F.greatest(n, m) - 1e-9).cast("int")
-    n = F.size("_q")
-    q = q.withColumn("_size", F.explode(F.sequence(F.ceil(OVERLAP * n - 1e-9).cast("int"), F.floor(n / OVERLAP + 1e-9).cast("int"))))
-    q = q.filter(F.col("_size") > 0).withColumn("_key", F.explode(F.slice("_q", 1, F.greatest(F.lit(1), n - share(n, F.col("_size")) + 1))))
-    # A name's own t is smallest for the queries of fewest letters, so its prefix is cut for its own size.
-    e = e.withColumn("_key", F.explode(F.slice("_e", 1, F.greatest(F.lit(1), F.col("_size") - share(F.col("_size"), F.col("_size")) + 1))))
+    q, e = letter_sets(queries, names)
     shared = F.size(F.array_intersect("_q", "_e"))
-    return _first(q.join(e, ["_key", "_size"]).filter(shared / F.greatest(F.size("_q"), F.size("_e")) >= OVERLAP))
-
-
-def best_ratio(query: str, names: list[tuple[int, str, str]], threshold: float) -> tuple[float, int] | None:
-    """The greatest ratio above the threshold and the first place that has it; names: (place, normalised, letters counted)."""
-    best, at = threshold, None
-    m = difflib.SequenceMatcher(None, "", "")
-    m.set_seq1(query)
-    own, n = Counter(query), len(query)
-    for place, norm, count in names:
-        k = len(norm)
-        if n + k == 0:
-            r = 1.0
-        elif 2.0 * min(n, k) <= best * (n + k) or 2.0 * sum((own & count).values()) <= best * (n + k):
-            continue  # a bound of the ratio says that it can't be greater
-        else:
-            m.set_seq2(norm)
-            r = m.ratio()
-        if r > best:
-            best, at = r, place
-    return None if at is None else (best, at)
-
-
-def fuzzy(queries: DataFrame, names: DataFrame, threshold: float = RATIO, block: int = BLOCK) -> DataFrame:
-    """(query, ename) with difflib's greatest ratio above the threshold, the first of equals.
-
-    Names are dealt to blocks of about ``block`` by length and hash; each is one row that holds its names and
-    meets the queries of its length band: a ratio above t needs lengths within t / (2 - t) of
-    one another, so a query of normalised length n only meets names from n * t / (2 - t) to
-    n * (2 - t) / t. Queries are dealt to blocks as well, and each pair of blocks is a key of its
-    own, so a length that most names have is spread over as many tasks as it has pairs.
-    """
-    low = threshold / (2 - threshold)
-    parts, qparts = (max(1, -(-d.count() // block)) for d in (names, queries))
-    # Bands of lengths that grow by a fifth; a query's range meets few of them.
-    band = lambda n: F.floor(F.log(1.2, F.greatest(n, F.lit(1)))).cast("int")
-    e = names.withColumn("band", band(F.length("enorm").cast("double"))).withColumn("part", F.pmod(F.xxhash64("ename"), F.lit(parts)))
-    e = e.groupBy("band", "part").agg(F.collect_list(F.struct("eseq", "enorm", "ename", "etype")).alias("own"))
-    n = F.length(normalize_name(F.col("query"))).cast("double")
-    q = queries.withColumn("qnorm", normalize_name(F.col("query"))).withColumn("band", F.explode(F.sequence(band(n * low), band(n / low + 1))))
-    pairs = q.groupBy("band", F.pmod(F.xxhash64("query"), F.lit(qparts)).alias("qpart")).agg(F.collect_list(F.struct("query", "qnorm")).alias("asked"))
-    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
-    pairs = pairs.withColumn("part", every(parts)).join(e.withColumn("qpart", every(qparts)), ["band", "part", "qpart"])
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for asked, own in zip(b["asked"], b["own"]):
-                rows = sorted((r["eseq"], r["enorm"], r["ename"], r["etype"]) for r in own)
-                known = [(i, r[1], Counter(r[1])) for i, r in enumerate(rows)]
-                for x in asked:
-                    if hit := best_ratio(x["qnorm"], known, threshold):
-                        out.append((x["query"], hit[0], *rows[hit[1]][:1], *rows[hit[1]][2:]))
-            yield pd.DataFrame(out, columns=["query", "ratio", "eseq", "ename", "etype"])
-
-    kinds = f"query string, ratio double, eseq {names.schema['eseq'].dataType.simpleString()}, ename string, etype string"
-    found = pairs.mapInPandas(score, kinds)
-    best = F.max_by(F.struct("ename", "etype", "ratio"), F.struct(F.col("ratio"), -F.col("eseq"))).alias("b")
+    found = set_pairs(q.select("_q").distinct(), e).filter(shared / F.greatest("_n", "_m") >= OVERLAP)
+    best = found.groupBy("_q").agg(F.min_by("b", "b.eseq").alias("b"))
+    return q.join(best, "_q").select("query", "b.ename", "b.etype")
+
+
+def fuzzy(queries: DataFrame, names: DataFrame, threshold: float = RATIO) -> DataFrame:
+    """(query, ename) with difflib's greatest ratio above the threshold, the first of equals."""
+    q = queries.select("query", normalize_name(F.col("query")).alias("qnorm"))
+    found = ratio_join(q, "qnorm", names.select("eseq", "ename", "etype", "enorm"), "enorm", threshold)
+    best = F.min_by(F.struct("ename", "etype", "ratio"), F.struct(-F.col("ratio"), F.col("eseq"))).alias("b")
     return found.groupBy("query").agg(best).select("query", "b.*")
 
 
+LEVELS = {"exact": exact, "normalized": normalized, "fuzzy": fuzzy, "substring": substring, "char_overlap": char_overlap}
+
+
 def waterfall(queries: DataFrame, entities: DataFrame, threshold: float = RATIO) -> DataFrame:
     """For each distinct query the entity name it resolves to, by the first level that finds one: query, ename, etype, penalty, method; null where none does."""
     # Each level's rest is the next one's input, twice; without a cut the plan doubles from level to level.
     names = cut(dictionary(entities))
     left = queries.select(strip(F.col("query")).alias("query")).filter("query <> ''").distinct()
     found = None
-    for method, level in (("exact", exact), ("normalized", normalized), ("fuzzy", lambda q, e: fuzzy(q, e, threshold)), ("substring", substring), ("char_overlap", char_overlap)):
-        hit = cut(level(left, names).select("query", "ename", "etype", F.lit(PENALTY[method]).alias("penalty"), F.lit(method).alias("method")))
+    for method, level in LEVELS.items():
+        hits = level(left, names, threshold) if level is fuzzy else level(left, names)
+        hit = cut(hits.select("query", "ename", "etype", F.lit(PENALTY[method]).alias("penalty"), F.lit(method).alias("method")))
         found = hit if found is None else found.unionByName(hit)
         left = cut(left.join(hit, "query", "left_anti"))
+        if not left.limit(1).count():
+            return found
     none = left.select("query", F.lit(None).cast("string").alias("ename"), F.lit(None).cast("string").alias("etype"), F.lit(0.0).alias("penalty"), F.lit("no_match").alias("method"))
     return found.unionByName(none)
 

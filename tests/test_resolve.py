@@ -1,13 +1,14 @@
 """Resolution and deduplication against slow specifications in plain Python."""
 
 import difflib
+import functools
 import random
 import re
 
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import NAME_MARKS
-from sparkloom.operators import dedup, resolve
+from sparkloom.operators import components, dedup, occur, ratio, resolve
 
 MARKS = re.compile("[\\s" + re.escape(NAME_MARKS) + "]")
 
@@ -92,6 +93,120 @@ def test_greedy_merge(spark):
     assert got == want
 
 
+def bent(draw, words, n, most=4):
+    out = []
+    for _ in range(n):
+        w = list(" ".join(draw.choices(words, k=draw.randint(1, 4))))
+        for _ in range(draw.randint(0, most)):
+            i = draw.randrange(len(w) or 1)
+            w[i : i + draw.randint(0, 2)] = draw.choice(["", "x", "aa", "é", "zq"])
+        out.append("".join(w))
+    return out
+
+
+def test_ratio_join_loses_nothing(spark):
+    """All pairs above the threshold, in few candidates, for bigrams and for letters."""
+    draw = random.Random(11)
+    words = ["aaaaaa", "ab", "q", "新しい山", *("".join(draw.choices("eeeetttaaooiinnsshhrrdlucmfwypvbgk", k=draw.randint(3, 9))) for _ in range(60))]
+    names = sorted({"", "a", "ab", "aba", "abab", *(n for x in bent(draw, words, 130) for n in {norm(x), norm(x)[:-1], norm(x) + "s"})})
+    left = spark.createDataFrame([(x,) for x in names], "x string").repartition(3)
+    right = spark.createDataFrame([(x,) for x in names], "y string")
+    for threshold, share in ((0.85, 0.03), (0.95, 0.01), (0.5, 0.7)):
+        if threshold == 0.5:  # most pairs of letters meet
+            names = names[::6]
+            left, right = left.filter(F.col("x").isin(names)), right.filter(F.col("y").isin(names))
+        want = {(a, b) for a in names for b in names if difflib.SequenceMatcher(None, a, b).ratio() > threshold}
+        some = [(r.x, r.y) for r in ratio.candidates(left, "x", right, "y", threshold).collect()]
+        assert len(some) == len(set(some)) and len(some) <= share * len(names) ** 2, (threshold, len(some))
+        got = {(r.x, r.y): r.ratio for r in ratio.ratio_join(left, "x", right, "y", threshold).collect()}
+        assert set(got) == want and all(v == difflib.SequenceMatcher(None, *k).ratio() for k, v in got.items())
+
+
+def test_shared_grams_bound():
+    """The bound on shared grams holds for difflib's own blocks."""
+    draw = random.Random(3)
+    for _ in range(3000):
+        a = "".join(draw.choices("abc", k=draw.randint(1, 14)))
+        b = list(a)
+        for _ in range(draw.randint(0, 3)):
+            i = draw.randrange(len(b) + 1)
+            b[i : i + draw.randint(0, 1)] = draw.choice("abcd")
+        b = "".join(b)
+        for t in (0.82, 0.85, 0.9):
+            if difflib.SequenceMatcher(None, a, b).ratio() > t and len(a) > 1:
+                q = ratio.gram_size(t)
+                shared = len(set(ratio.tokens(a, q)) & set(ratio.tokens(b, q)))
+                assert q == 2 and shared >= ratio.least_shared(len(a), t, q), (a, b)
+
+
+def test_first_holders(spark, monkeypatch):
+    """One row a query leaves a task, whatever stands in what; the same when the dictionary is dealt to parts."""
+    draw = random.Random(4)
+    names = list(dict.fromkeys("".join(draw.choices("abAB ", k=draw.randint(2, 9))) for _ in range(150)))
+    e = resolve.dictionary(spark.createDataFrame([(i, n, "T") for i, n in enumerate(names)], "seq long, name string, type string").repartition(3))
+    known = [r.ename for r in e.orderBy("eseq").collect()]
+    queries = sorted({"".join(draw.choices("abAB", k=draw.randint(1, 8))) for _ in range(60)})
+    q = spark.createDataFrame([(x,) for x in queries], "query string")
+    want = {x: n for x in queries if len(x) > 1 and (n := next((n for n in known if len(n) > 1 and (n.lower() in x.lower() or x.lower() in n.lower())), None))}
+    assert {r.query: r.ename for r in resolve.substring(q, e).collect()} == want
+    held = occur.first_holder(e.coalesce(1), "ename", q, "query", "eseq").count()
+    assert held <= len(queries) < occur.holding(e, "ename", q, "query").count()
+    for name in ("first_held", "first_holder"):
+        monkeypatch.setattr(resolve, name, functools.partial(getattr(occur, name), sent=40, share=7))
+    assert {r.query: r.ename for r in resolve.substring(q, e).collect()} == want
+
+
+def test_letter_sets(spark):
+    """Names of one set of letters are one row of the join, and few sets meet."""
+    draw = random.Random(6)
+    names = ["".join(draw.choices("etaoinshrdlucmzq", k=draw.randint(1, 15))) for _ in range(300)]
+    names += ["".join(draw.sample(n, len(n))) for n in names]
+    e = resolve.dictionary(spark.createDataFrame([(i, n, "T") for i, n in enumerate(names)], "seq long, name string, type string"))
+    known = [r.ename for r in e.orderBy("eseq").collect()]
+    queries = sorted({"".join(draw.choices("etaoinshrdlucmzq", k=draw.randint(1, 15))) for _ in range(80)})
+    q = spark.createDataFrame([(x,) for x in queries], "query string")
+    near = lambda a, b: len(set(a) & set(b)) / max(len(set(a)), len(set(b))) >= 0.7
+    want = {x: n for x in queries if (n := next((n for n in known if near(norm(x), norm(n))), None))}
+    assert {r.query: r.ename for r in resolve.char_overlap(q, e).collect()} == want
+    asked, sets = resolve.letter_sets(q, e)
+    met = resolve.set_pairs(asked.select("_q").distinct(), sets).select("_q", "_e").distinct().count()
+    assert sets.count() <= 300 and met < 0.35 * len(queries) * sets.count()
+
+
+def test_waterfall_stops(spark, monkeypatch):
+    """Levels after the one that leaves nothing are not run."""
+    ran = []
+    monkeypatch.setattr(resolve, "LEVELS", {k: lambda q, e, *t, k=k, f=f: (ran.append(k), f(q, e, *t))[1] for k, f in resolve.LEVELS.items()})
+    e = spark.createDataFrame([(0, "Acme Corp", "T")], "seq long, name string, type string")
+    got = resolve.waterfall(spark.createDataFrame([("Acme Corp",), ("acme corp!",)], ["query"]), e).collect()
+    assert ran == ["exact", "normalized"] and {r.method for r in got} == {"exact", "normalized"}
+
+
+def test_greedy_merge_of_any_size(spark):
+    """Components are folded by themselves: the same as a fold of all, types without a name and lone rows included."""
+    draw = random.Random(21)
+    rows = [(i, x, draw.choice(["A", "B", None]), draw.randint(0, 5) / 5, {"k": str(i)} if draw.random() < 0.7 else None) for i, x in enumerate(bent(draw, ["mountain", "river", "harbour", "ab"], 220, 2))]
+    df = spark.createDataFrame(rows, "seq long, name string, type string, confidence double, attributes map<string,string>").repartition(3)
+    got = sorted(((r.type or "", r.name, r.confidence) for r in dedup.entities_fuzzy(df).collect()))
+    want = sorted((t or "", n, c) for t in ("A", "B", None) for n, c in spec_fuzzy([(n, c) for _, n, k, c, _ in rows if k == t]))
+    assert got == want and len(got) < len(rows)
+
+
+def test_components(spark):
+    """Chains, stars and grids, in rounds and at once."""
+    draw = random.Random(9)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 540)] + [(900 + i, 900 + i + d) for i in range(20) for d in (1, 5)] + [(7, 7), (100, 101)]
+    draw.shuffle(edges)
+    df = spark.createDataFrame(edges, "a long, b long")
+    whole = [set(range(100, 161)), set(range(500, 540)), set(range(900, 925))]
+    for small in (1_000_000, 10):
+        found = {}
+        for r in components.components(df, small).collect():
+            found.setdefault(r.label, set()).add(r.node)
+        assert sorted(map(sorted, found.values())) == sorted(map(sorted, whole))
+    assert components.components(df.filter("a < 0")).count() == 0
+
+
 def test_exact_dedup(spark):
     df = spark.createDataFrame([(0, "A", "T", 0.9), (1, "A", "T", 0.5), (2, "B", "T", 0.1), (3, "A ", "T", 0.95), (4, "B", "T", 0.1)], "seq long, name string, type string, confidence double")
     assert sorted((r.seq, r.name) for r in dedup.entities_exact(df).collect()) == [(0, "A"), (2, "B"), (3, "A ")]
