@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import table, whole_text, written
+from sparkloom.llm.common import salt, salted, table, whole_text, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
@@ -29,6 +29,8 @@ FEATURES = (*FLOORS, "word_length")
 #: Bounds of the group's fence for the mean word length: never narrower than these.
 WORD_LENGTH = (2.0, 15.0)
 ACCURACY = 1000
+#: Pairs of language and source whose fences are sent to all tasks; more are joined over salted keys.
+GROUPS = 100_000
 
 
 def _length_without(text: Column, chars) -> Column:
@@ -84,32 +86,45 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("rest")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"), *([whole] if rest else []))
     rows, _ = written(_measured(features(rows).drop("text")), "quality")
+    limits = fences(rows, min_group, reach)
+    keys = ["_lang", "_source"]
+    limits = limits.withColumnsRenamed({k: "_of" + k for k in keys})
+    same = F.col("_lang").eqNullSafe(F.col("_of_lang")) & F.col("_source").eqNullSafe(F.col("_of_source"))
+    if limits.limit(GROUPS + 1).count() <= GROUPS:
+        # A row of a few hundred bytes for each (lang, source), counted before it is sent to all tasks: no text moves.
+        out = rows.join(F.broadcast(limits), same, "left")
+    else:
+        out = rows.withColumn("salt", salt("doc_id", "n_words", "word_chars")).join(salted(limits).withColumnRenamed("salt", "_salt"), same & (F.col("salt") == F.col("_salt")), "left").drop("salt")
+    ok = F.col("word_length") >= F.col("_min_word_length")
+    for f in FEATURES:
+        ok = ok & (F.col(f) <= F.col(f"max_{f}"))
+    out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(ok, F.lit(True)))
+    return out.drop(*(c for c in out.columns if c.startswith("_")))
+
+
+def fences(rows: DataFrame, min_group: int, reach: float) -> DataFrame:
+    """_lang, _source, max_ of each feature and _min_word_length for every (lang, source) of rows: by its own quartiles, those of its language where it has fewer than ``min_group`` sound documents, those of the table where the language has."""
     # Documents that the base rules reject would widen the fences of the rest.
-    sound = rows.filter(~F.col("base_failed"))
-    quartiles = lambda f: F.percentile_approx(f, F.array(F.lit(0.25), F.lit(0.75)), ACCURACY)
+    sound = lambda f: F.when(~F.col("base_failed"), F.col(f))
+    quartiles = lambda f: F.percentile_approx(sound(f), F.array(F.lit(0.25), F.lit(0.75)), ACCURACY)
 
     def sketched(prefix: str, *keys: str) -> DataFrame:
-        """The quartiles of each group that is large enough, with its keys renamed for a join."""
-        groups = sound.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *(quartiles(f).alias(f"{prefix}_{f}") for f in FEATURES))
-        return groups.filter(F.col("_n") >= min_group).drop("_n").withColumnsRenamed({k: prefix + k for k in keys})
-
-    same = lambda prefix, k: F.col(k).eqNullSafe(F.col(prefix + k))
-    out = rows.join(sketched("_own", "_lang", "_source"), same("_own", "_lang") & same("_own", "_source"), "left").join(sketched("_tongue", "_lang"), same("_tongue", "_lang"), "left")
-    at_all = sound.agg(*(quartiles(f).alias(f) for f in FEATURES)).first()  # one row
-    ok = F.lit(True)
+        groups = rows.groupBy(*keys).agg(F.count(sound("n_words")).alias("_n"), *(quartiles(f).alias(f"{prefix}_{f}") for f in FEATURES))
+        return groups.select(*keys, *(F.when(F.col("_n") >= min_group, F.col(f"{prefix}_{f}")).alias(f"{prefix}_{f}") for f in FEATURES))
+
+    # The groups are written: joins and counts below read them and not the features again.
+    groups, _ = written(sketched("_own", "_lang", "_source"), "fences")
+    tongues = sketched("_tongue", "_lang").withColumnRenamed("_lang", "_of_lang")
+    at_all = rows.agg(*(quartiles(f).alias(f) for f in FEATURES)).first()  # one row
+    out = groups.join(tongues, F.col("_lang").eqNullSafe(F.col("_of_lang")), "left")
+    limits = []
     for f in FEATURES:
         q = F.coalesce(F.col(f"_own_{f}"), F.col(f"_tongue_{f}"), F.array(*map(F.lit, at_all[f] or [0.0, 0.0])))
         spread = q[1] - q[0]
-        top = q[1] + reach * spread
-        if f in FLOORS:
-            top = F.greatest(F.lit(FLOORS[f]), top)
-        else:
-            top = F.greatest(F.lit(WORD_LENGTH[1]), top)
-            ok = ok & (F.col(f) >= F.least(F.lit(WORD_LENGTH[0]), q[0] - reach * spread))
-        out = out.withColumn(f"max_{f}", top)
-        ok = ok & (F.col(f) <= F.col(f"max_{f}"))
-    out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(ok, F.lit(True)))
-    return out.drop(*(c for c in out.columns if c.startswith("_")))
+        limits.append(F.greatest(F.lit(FLOORS.get(f, WORD_LENGTH[1])), q[1] + reach * spread).alias(f"max_{f}"))
+        if f not in FLOORS:
+            limits.append(F.least(F.lit(WORD_LENGTH[0]), q[0] - reach * spread).alias(f"_min_{f}"))
+    return out.select("_lang", "_source", *limits)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
