@@ -90,22 +90,24 @@ class Gaps:
         return first
 
 
-def sweeps(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, number, first sequence, offset): ``number`` pieces from that rank on go to as many sequences in order."""
+def sweeps(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[int, int, int, int, int, int]]:
+    """(length, first rank, number, first sequence, offset, times): ``number`` pieces from that rank on go to sequences in order, ``times`` to each, one behind the other.
+
+    Just what best-fit does with pieces in falling order, one by one: equal pieces fill the smallest gap that
+    holds one until it holds no more, for it stays the smallest, and then the next.
+    """
     gaps, out = Gaps(limit), []
     for length in sorted(counts, reverse=True):
         rank, left = 0, counts[length]
         while left:
             size = gaps.successor(length)
-            if size is None:
-                # As many new sequences as these pieces fill when set one behind the other; the next supersteps fill them.
-                n = -(-left // (limit // length)) if limit // length > 1 else left
-                first, size = gaps.open(n), limit
-            else:
-                first, n = gaps.take(size, left)
-            out.append((length, rank, n, first, limit - size))
-            gaps.add(size - length, first, n)
-            rank, left = rank + n, left - n
+            times = min(left, (limit if size is None else size) // length)
+            most = left // times
+            first, n = (gaps.open(most), most) if size is None else gaps.take(size, most)
+            size = limit if size is None else size
+            out.append((length, rank, n * times, first, limit - size, times))
+            gaps.add(size - times * length, first, n)
+            rank, left = rank + n * times, left - n * times
     return out
 
 
@@ -125,8 +127,8 @@ def pack(cut_pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
         before[r["_part"], r["length"]] = counts[r["length"]] - r["row"]
         counts[r["length"]] += r["n"]
     plan: dict[int, list[np.ndarray]] = {}
-    for length, rank, _, first, offset in sweeps(counts, limit):
-        plan.setdefault(length, []).append((rank, first, offset))
+    for length, rank, _, first, offset, times in sweeps(counts, limit):
+        plan.setdefault(length, []).append((rank, first, offset, times))
     plan = {k: np.array(v, np.int64) for k, v in plan.items()}
     names = cut_pieces.columns
 
@@ -139,8 +141,9 @@ def pack(cut_pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
                 rank = row[own] + before[int(part[own[0]]), int(size)]
                 steps = plan[int(size)]
                 at = np.searchsorted(steps[:, 0], rank, "right") - 1
-                sequence[own] = steps[at, 1] + rank - steps[at, 0]
-                offset[own] = steps[at, 2]
+                nth = rank - steps[at, 0]
+                sequence[own] = steps[at, 1] + nth // steps[at, 3]
+                offset[own] = steps[at, 2] + nth % steps[at, 3] * size
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut_pieces.schema)

@@ -137,18 +137,22 @@ def spec_best_fit(sizes, limit):
 
 
 def test_sweeps_are_best_fit():
+    """As many sequences as best-fit over pieces in falling order, lengths that repeat included."""
     draw = random.Random(1)
-    for limit in (10, 50, 2048):
-        for _ in range(20):
-            sizes = [draw.randint(1, limit) for _ in range(draw.randint(1, 200))]
-            steps = packing.sweeps(dict(Counter(sizes)), limit)
-            assert sum(s[2] for s in steps) == len(sizes)
-            used = Counter()
-            for length, _, n, first, offset in steps:
-                for b in range(first, first + n):
-                    assert used[b] == offset
-                    used[b] += length
-            assert max(used.values()) <= limit and len(used) <= spec_best_fit(sizes, limit)
+    cases = [(2048, [600] * 4 + [480] * 3), (10, [10] * 5), (10, [1])]
+    cases += [(limit, [draw.randint(1, limit) for _ in range(draw.randint(1, 200))]) for limit in (10, 50, 2048) for _ in range(20)]
+    cases += [(limit, [x for x in draw.sample(range(1, limit + 1), draw.randint(2, 6)) for _ in range(draw.randint(1, 12))]) for limit in (10, 100, 2048) for _ in range(400)]
+    for limit, sizes in cases:
+        steps = packing.sweeps(dict(Counter(sizes)), limit)
+        assert sum(s[2] for s in steps) == len(sizes)
+        used, ranks = Counter(), Counter()
+        for length, rank, n, first, offset, times in steps:
+            assert rank == ranks[length] and n % times == 0
+            ranks[length] += n
+            for b in range(first, first + n // times):
+                assert used[b] == offset
+                used[b] += times * length
+        assert max(used.values()) <= limit and len(used) == spec_best_fit(sizes, limit), sizes
 
 
 def test_top_k(spark, tmp_path):
@@ -165,6 +169,44 @@ def test_top_k(spark, tmp_path):
     assert got == sorted(want)
 
 
+def test_top_k_ids(spark):
+    """Rows without an id take no part, and ids stay integers beside them."""
+    df = spark.createDataFrame([(None, [2.0, 0.0]), (2**53 + 1, [1.0, 0.0]), (2**53, [0.5, 0.0]), (50, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    v = topk.integers(df)
+    got = sorted(tuple(r) for r in topk.exact_top_k(v, v.filter("vec_id % 50 = 0")).collect())
+    assert got == [(50, 1, 2**53 + 1, 65536), (50, 2, 2**53, 32768)]
+
+
+def test_top_k_sends_vectors_once_and_thresholds_on(spark):
+    """Rows exchanged grow with the vectors and the queries' blocks; later blocks know the k-th score of the first one and prune by it."""
+    draw = np.random.default_rng(3)
+    sent, pruned = [], []
+    for n in (600, 1200):
+        rows = [(i, [float(x) for x in np.floor(256 * draw.normal(size=8))]) for i in range(n)]
+        v = spark.createDataFrame(rows, "vec_id long, v array<double>").cache()
+        stats = {}
+        got = topk.exact_top_k(v, v.filter("vec_id % 50 = 0"), block=100, stats=stats).collect()
+        m = np.array([x for _, x in rows])
+        for q in range(0, n, 50):
+            want = sorted((-int(m[q] @ m[i]), i) for i in range(n) if i != q)[:5]
+            assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
+        sent.append(stats["vectors"])
+        pruned.append(stats["queries"])
+    assert sent == [600, 1200] and pruned == [12 * 6, 24 * 12]
+
+
+def test_index_prunes_by_a_threshold():
+    draw = np.random.default_rng(4)
+    v = np.floor(256 * draw.standard_normal((4000, 32))).astype(np.int64)
+    index, q = topk.ImpactIndex(np.arange(4000), v), np.floor(256 * draw.standard_normal(32)).astype(np.int64)
+    scores = np.sort(v @ q)[::-1]
+    rows, found = index.search(-1, q, 5)
+    assert found.tolist() == scores[:5].tolist()
+    rows, found = index.search(-1, q, 5, floor=int(scores[2]))
+    assert found.tolist() == scores[:3].tolist() and index.segments < index.levels * 32
+    assert index.search(-1, q, 5, floor=int(scores[0]) + 1)[0].size == 0
+
+
 def test_top_k_few(spark, tmp_path):
     spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     assert [(r.query_id, r.vec_id, r.score) for r in topk.op4_exact_top_k(spark, str(tmp_path)).collect()] == [(0, 1, 256 * 512)]
