@@ -11,9 +11,10 @@ only once that proves that no more than a few vectors can still be among the k b
 scored exactly from their integers. Ties go
 to the smaller id. Blocks give k candidates for each query, and the k best of those are exact.
 
-Vectors meet queries in tasks of one block of each, so a task holds ``BLOCK`` vectors and
-``QUERIES`` queries however many there are. Blocks are of vectors of about one length, so a long
-one widens no others than those like it. Vectors that are null or hold a null or non-finite
+Every query first meets one block, which gives it a k-th best score; the other blocks then leave
+out at once what can't reach that. A task reads a block's vectors, then its queries as they come, so it holds one block and one
+batch of queries, and vectors are sent once for each ``QUERIES`` queries. Blocks are of vectors of about one length, so a long
+one widens no others than those like it. Rows without an id and vectors that are null or hold a null or non-finite
 component take no part; shorter vectors count as zero beyond their end; empty vectors score 0;
 repeated rows are candidates each, but never of a query with their own id; an empty table gives
 an empty result; extra columns are left alone. Where sums could pass 64 bits they are taken in
@@ -22,15 +23,16 @@ integers of any size; a score beyond a long counts as the nearest long.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import table
+from sparkloom.llm.common import table, written
 
-BLOCK, QUERIES, LEVELS, K = 8192, 1024, 64, 5
+BLOCK, QUERIES, LEVELS, K = 8192, 65_536, 64, 5
 #: Shares of the segments after which the proof is tried.
 SHARES = (0.65, 0.8, 0.9, 1.0)
 
@@ -48,8 +50,8 @@ class ImpactIndex:
         self.level = np.take_along_axis(level, self.docs, 1).astype(np.float64)
         self.first = np.stack([np.searchsorted(x, np.arange(levels + 1)) for x in self.level])
 
-    def search(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The rows of the k best vectors with another id, and their scores."""
+    def search(self, own: int, query: np.ndarray, k: int, floor: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of the k best vectors with another id and a score of at least ``floor``, and their scores. ``segments`` counts what was read of the last query."""
         n, levels = len(self.ids), self.levels
         unit = np.abs(query) * self.width  # what one level of a dimension is worth
         used = np.flatnonzero(unit)
@@ -58,12 +60,16 @@ class ImpactIndex:
         allowed = self.ids != own
         members, few = np.flatnonzero(allowed), max(8 * k, n // 32)
         got, done = np.zeros(n), np.full(len(unit), levels)
+        # What the least possible vector scores: what a vector has got is beyond that.
+        base = float((self.low * query).sum() + np.minimum(query * self.width * levels, 0).sum())
+        self.segments = 0
         for share in SHARES if len(members) > few and len(used) else ():
-            floor = greatest[min(int(share * len(greatest)), len(greatest) - 1)] if share < 1 else 0.0
+            impact = greatest[min(int(share * len(greatest)), len(greatest) - 1)] if share < 1 else 0.0
             docs, impacts = [], []
             for d in used:
-                # Segments of levels [to, done) have a greatest impact above the floor and come now.
-                to = min(int(floor / unit[d]), done[d])
+                # Segments of levels [to, done) have a greatest impact above that and come now.
+                to = min(int(impact / unit[d]), done[d])
+                self.segments += int(done[d] - to)
                 a, b = (self.first[d, to], self.first[d, done[d]]) if query[d] > 0 else (self.first[d, levels - done[d]], self.first[d, levels - to])
                 docs.append(self.docs[d, a:b])
                 impacts.append((self.level[d, a:b] if query[d] > 0 else levels - 1 - self.level[d, a:b]) * unit[d])
@@ -72,10 +78,14 @@ class ImpactIndex:
             # What a vector may have beyond this: the next segment of a dimension that it has not been met in, and no more than a level where it has.
             left = (np.maximum(done, 1) * unit).sum() * (1 + 1e-9)
             least = np.partition(got[members], -k)[-k]
+            if floor is not None:
+                least = max(least, (floor - base) * (1 - 1e-9) - 1e-6 * abs(base) - 1)
             members = members[got[members] + left >= least]
             if len(members) <= few:
                 break
         scores = self.vectors[members] @ query
+        if floor is not None:
+            members, scores = members[scores >= floor], scores[scores >= floor]
         best = np.lexsort((self.ids[members], -scores))[:k]
         return members[best], scores[best]
 
@@ -99,53 +109,87 @@ def _matrix(lists: list, dims: int) -> np.ndarray:
     return np.array([[int(y) for y in x] for x in out.tolist()], object).reshape(out.shape)
 
 
-def _search(ids: np.ndarray, vectors: np.ndarray, asked: list[tuple[int, list]], k: int) -> tuple[list, list, list]:
-    """Query, vector and score of the k best for each query."""
-    out: tuple[list, list, list] = ([], [], [])
-    queries = _matrix([v for _, v in asked], vectors.shape[1])
-    wide = object in (vectors.dtype, queries.dtype) or (vectors.size and queries.size and float(np.abs(vectors).max()) * float(np.abs(queries).max()) * vectors.shape[1] >= 2.0**62)
-    index = None if wide else ImpactIndex(ids, vectors)
-    for (own, _), q in zip(asked, queries):
-        if index:
-            rows, scores = index.search(own, q, k)
-        else:
-            exact = vectors.astype(object) @ q.astype(object) if vectors.shape[1] else np.zeros(len(ids), object)
-            scores = np.array([max(-(2**63), min(2**63 - 1, int(x))) for x in exact], object)
-            rows = np.array(sorted(np.flatnonzero(ids != own).tolist(), key=lambda i: (-scores[i], ids[i]))[:k], np.int64)
-            scores = scores[rows]
-        out[0].extend([own] * len(rows))
-        out[1].extend(ids[rows].tolist())
-        out[2].extend(scores.tolist())
-    return out
-
-
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """query_id, rank, vec_id, score. Both frames have vec_id and v."""
+class Block:
+    """The vectors of a block, with their index once a query asks for it."""
+
+    def __init__(self, ids: np.ndarray, lists: list):
+        # What a query holds beyond the longest vector meets zeros.
+        self.ids, self.dims = ids, max(1, *map(len, lists))
+        self.vectors = _matrix(lists, self.dims)
+        self.most = float(np.abs(self.vectors).max())
+        self.index: ImpactIndex | None = None
+
+    def search(self, own: int, query: list, k: int, floor: int | None) -> tuple[list, list]:
+        """Ids and scores of the k best."""
+        q = _matrix([query[: self.dims]], self.dims)[0]
+        if object in (self.vectors.dtype, q.dtype) or self.most * float(np.abs(q).max(initial=0)) * self.dims >= 2.0**62:
+            exact = self.vectors.astype(object) @ q.astype(object)
+            scores = [max(-(2**63), min(2**63 - 1, int(x))) for x in exact]
+            rows = sorted(np.flatnonzero(self.ids != own).tolist(), key=lambda i: (-scores[i], self.ids[i]))[:k]
+            return self.ids[rows].tolist(), [scores[i] for i in rows]
+        self.index = self.index or ImpactIndex(self.ids, self.vectors)
+        rows, scores = self.index.search(own, q, k, floor)
+        return self.ids[rows].tolist(), scores.tolist()
+
+
+def _scan(vectors: DataFrame, asked: DataFrame, k: int, tasks: int) -> DataFrame:
+    """query_id, vec_id, score of the k best of each block for each query. vectors: block, part, vec_id, v; asked: also floor, a score that results must reach."""
+    both = vectors.select("block", "part", F.lit(0).alias("kind"), "vec_id", "v", F.lit(None).cast("long").alias("floor"))
+    both = both.unionByName(asked.select("block", "part", F.lit(1).alias("kind"), "vec_id", "v", "floor"))
+    stream = both.repartition(tasks, "block", "part").sortWithinPartitions("block", "part", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, waiting, block = None, [], None
+        for b in batches:
+            keys = list(zip(b["block"].to_pylist(), b["part"].to_pylist(), b["kind"].to_pylist()))
+            cuts = [i for i, x in enumerate(keys) if i == 0 or x != keys[i - 1]] + [len(keys)]
+            out: tuple[list, list, list] = ([], [], [])
+            for s, e in zip(cuts, cuts[1:]):
+                key, kind, rows = keys[s][:2], keys[s][2], b.slice(s, e - s)
+                if key != now:
+                    now, waiting, block = key, [], None
+                if kind == 0:
+                    waiting.append(rows.select(["vec_id", "v"]))
+                    continue
+                if waiting:
+                    held = pa.Table.from_batches(waiting)
+                    block, waiting = Block(held["vec_id"].to_numpy(), held["v"].to_pylist()), []
+                for own, v, floor in zip(rows["vec_id"].to_pylist(), rows["v"].to_pylist(), rows["floor"].to_pylist()) if block else ():
+                    ids, scores = block.search(own, v, k, floor)
+                    for c, x in zip(out, ([own] * len(ids), ids, scores)):
+                        c.extend(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["query_id", "vec_id", "score"])
+
+    return stream.mapInArrow(run, "query_id long, vec_id long, score long")
+
+
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK, stats: dict | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score. Both frames have vec_id and v; a query's id is its own. ``stats`` gets the rows sent."""
     # Blocks of one width, from one power of two to the next: their numbers, a row for each width.
     width = F.ceil(F.log2(F.size("v") + F.lit(1))).cast("int")
     sizes = {r["width"]: r["count"] for r in vectors.groupBy(width.alias("width")).count().collect()}
-    parts, blocks, block = max(1, -(-queries.count() // QUERIES)), 0, F.lit(0)
+    parts, blocks, of = max(1, -(-queries.count() // QUERIES)), 0, F.lit(0)
     for w, n in sorted(sizes.items()):
-        own = -(-n // BLOCK)
-        block = F.when(width == w, F.lit(blocks) + F.pmod(F.xxhash64("vec_id", "v"), F.lit(own))).otherwise(block)
+        own = -(-n // block)
+        of = F.when(width == w, F.lit(blocks) + F.pmod(F.xxhash64("vec_id", "v"), F.lit(own))).otherwise(of)
         blocks += own
-    tasks, every = max(1, blocks) * parts, lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = vectors.withColumn("block", block.cast("int")).withColumn("part", every(parts))
-    asked = queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).withColumn("block", every(max(1, blocks)))
-    rows, asked = (x.repartition(tasks, "block", "part").groupBy("block", "part") for x in (rows, asked))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
-        if left.num_rows and right.num_rows:
-            lists, queries = left["v"].to_pylist(), list(zip(right["vec_id"].to_pylist(), right["v"].to_pylist()))
-            # What a query holds beyond the longest vector meets zeros.
-            dims = max(1, *map(len, lists))
-            out = _search(left["vec_id"].to_numpy(), _matrix(lists, dims), [(i, v[:dims]) for i, v in queries], k)
-        return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("query_id", "vec_id", "score"), out)})
-
-    found = rows.cogroup(asked).applyInArrow(run, "query_id long, vec_id long, score long")
+    blocks = max(1, blocks)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = vectors.withColumn("block", of.cast("int")).withColumn("part", every(parts))
+    asked = queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).withColumn("first", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    top = lambda df: df.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    first = _scan(rows, asked.select("vec_id", "v", "part", F.col("first").alias("block"), F.lit(None).cast("long").alias("floor")), k, blocks * parts)
+    if blocks == 1:
+        return top(first).select("query_id", "rank", "vec_id", "score")
+    first, _ = written(top(first).drop("rank"), "first")
+    # Rows of one id ask alike, so a floor is the k-th of all their candidates only where there is one of them.
+    kth = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("floor"))
+    rest = asked.join(kth, F.col("vec_id") == F.col("query_id"), "left").withColumn("block", every(blocks)).filter(F.col("block") != F.col("first"))
+    if stats is not None:
+        stats |= {"vectors": rows.count(), "queries": asked.count() + rest.count()}
+    found = first.unionByName(_scan(rows, rest, k, blocks * parts))
+    return top(found).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
