@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkloom.operators import ontology, ops
+from sparkloom.lineage import fresh
+from sparkloom.operators import dedup, ontology, ops
 from sparkloom.plans.base import Queries, table
+from sparkloom.streaming import deltas
 from sparkloom.streaming import events as stream
 
 Q = Queries()
@@ -139,3 +141,51 @@ def preset_top_relations(spark, d):
 def event_windows(spark, d):
     """An extension: hourly windows, the same transformation in batch as on the stream."""
     return stream.windowed(table(spark, d, "events"), "1 hour").select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+#: Words of ten letters or more as entities, and each with the next one of its document as a pair, over the documents that are left.
+FACTS_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]{10,}') AS w FROM documents WHERE doc_id % 7 <> 3),
+     e AS (SELECT DISTINCT doc_id, unnest(w) AS name FROM d),
+     p AS (SELECT doc_id, unnest(range(1, len(w))) AS i, w FROM d)
+"""
+
+
+def _facts(docs):
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]{10,}"), 0)
+    own = docs.select("doc_id", words.alias("w"))
+    entity = F.transform(F.array_distinct("w"), lambda x: F.struct(F.lit("entity").alias("kind"), x.alias("a"), F.concat(F.lit("W"), (F.length(x) % 3).cast("string")).alias("b"), (F.col("doc_id") % 10 / 10.0).alias("confidence"), F.col("doc_id").alias("seq")))
+    null = lambda kind: F.lit(None).cast(kind)
+    pair = F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.struct(F.lit("pair").alias("kind"), x.alias("a"), F.get("w", i + 1).alias("b"), null("double").alias("confidence"), null("long").alias("seq")))
+    return own.select("doc_id", F.explode(F.concat(entity, pair)).alias("f")).select("doc_id", "f.*")
+
+
+def _best(totals):
+    own = totals.filter("kind = 'entity'").select(F.col("a").alias("name"), F.col("b").alias("type"), "confidence", "seq", "n")
+    docs = own.groupBy("name", "type").agg(F.sum("n").alias("docs"))
+    return dedup.best_of(own, name=F.col("name"), type=F.col("type")).drop("n").join(docs, ["name", "type"]).withColumnsRenamed({"name": "a", "type": "b"})
+
+
+def _incremental(spark, d):
+    """A build of three quarters of the documents, some with another text; then all texts as they are, more documents, and every seventh gone."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    first = docs.filter("doc_id % 4 <> 1").withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.reverse("text")).otherwise(F.col("text")))
+    columns = ["kind", "a", "b", "confidence", "seq"]
+    pairs = lambda totals: totals.filter("kind = 'pair'").groupBy("a", "b").agg(F.sum("n").alias("cnt"))
+    build = deltas.IncrementalBuild(spark, fresh(spark, "build"), _facts, columns, {"entities": (["a", "b"], _best), "pairs": (["a", "b"], pairs)})
+    build.update("first", first)
+    build.update("second", docs.filter("doc_id % 7 <> 3"))
+    return build
+
+
+@Q.add(FACTS_SQL + """, f AS (SELECT name, 'W' || (length(name) % 3) AS type, doc_id % 10 / 10.0::DOUBLE AS confidence, doc_id AS seq, count(*) OVER (PARTITION BY name) AS docs FROM e)
+SELECT name, type, confidence, seq, docs FROM f QUALIFY row_number() OVER (PARTITION BY name, type ORDER BY confidence DESC, seq) = 1""")
+def incremental_entities(spark, d):
+    """The best entity of each name, kept through an update that adds, changes and removes documents."""
+    return _incremental(spark, d).read("entities").select(F.col("a").alias("name"), F.col("b").alias("type"), "confidence", "seq", "docs")
+
+
+@Q.add(FACTS_SQL + "SELECT w[i] AS a, w[i + 1] AS b, count(*) AS cnt FROM p GROUP BY 1, 2")
+def incremental_pairs(spark, d):
+    """Weights of pairs, kept through the same update."""
+    return _incremental(spark, d).read("pairs").select("a", "b", "cnt")

@@ -4,7 +4,7 @@ Strategies are ``standard`` (entities from chunks, relations from groups of docu
 entities and relation types that fit them), ``fast`` (both in one call for each document),
 ``code`` (tables under a column mapping; texts only where too little is known) and ``auto``, by
 number, length and kind of documents. What a backend says is written before it is used, so a
-retry never asks twice. Calls that concern the whole build (gleaning, mappings, canonical
+retry never asks twice. Gleaning looks at every chunk again, with the entities that stand in it. Calls that concern the whole build (mappings, canonical
 predicates, quality) see bounded samples, whose sizes are fields of ``Config``.
 """
 
@@ -18,13 +18,13 @@ from dataclasses import dataclass, field
 from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.functions import text as X
 from sparkloom.lineage import cut
-from sparkloom.operators import dedup, graph, ops, structured
+from sparkloom.operators import dedup, graph, occur, ops, structured
 from sparkloom.operators.ontology import Ontology
 from sparkloom.plans.backends import Backend, GazetteerBackend, ModelBackend, RegexBackend, guide_of, parse_answer  # noqa: F401
 
@@ -46,6 +46,8 @@ class Config:
     text_strategy: str = "chunks"
     truncate_chars: int = 8000
     gleaning: bool = True
+    #: One look at the head of the corpus instead of one at each chunk.
+    glean_head: bool = False
     glean_chars: int = 12_000
     glean_known: int = 300
     guide_chars: int = 2000
@@ -229,14 +231,40 @@ def _head(docs: DataFrame, each: int, total: int) -> str:
     return "\n\n".join(shown)[:total]
 
 
-def gleaned(entities: DataFrame, docs: DataFrame, backend: Backend, guide: str, config: Config) -> DataFrame:
-    """entities, with what a second look at a bounded sample of the texts adds."""
-    spark = entities.sparkSession
-    known = [r.asDict() for r in entities.orderBy("seq").limit(config.glean_known).select("name", "type").collect()]
-    if not known:
-        return entities
-    rows = [x for x in map(_entity, backend.glean(_head(docs, config.glean_chars, config.glean_chars), known, guide[: config.guide_chars])) if x]
-    more = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], f"i long, {ENTITY}").withColumn("seq", _number(GLEANED, F.col("i"))).drop("i")
+def glean_calls(parts: DataFrame, entities: DataFrame, most: int) -> DataFrame:
+    """parts (at, chunk_idx, text) with ``names``, the first entities that stand in each, as a model is told what is known already."""
+    known = entities.filter(F.length("name") >= 2).select("name", "type", F.col("seq").alias("ord"), F.lower("name").alias("low_name"))
+    keys = parts.select("at", "chunk_idx", F.lower("text").alias("low"))
+    held = occur.holding(keys, "low", known, "low_name").select("at", "chunk_idx", "name", "type", "ord")
+    # A rank below the exchange keeps a chunk's first names in each task.
+    first = held.withColumn("r", F.row_number().over(Window.partitionBy("at", "chunk_idx").orderBy("ord", "name", "type"))).filter(F.col("r") <= most)
+    names = first.groupBy("at", "chunk_idx").agg(F.array_sort(F.collect_list(F.struct("r", "name", "type"))).alias("names"))
+    return parts.join(names, ["at", "chunk_idx"], "left")
+
+
+def extract_gleaned(calls: DataFrame, make: Callable[[], Backend], guide: str = "") -> DataFrame:
+    """(seq, entity columns) of what a second look at every chunk finds beside what is known there."""
+
+    def say(backend: Backend, row: dict):
+        known = [{"name": x["name"], "type": x["type"]} for x in (row["names"] if row["names"] is not None else [])]
+        return map(_entity, backend.glean(row["text"], known, guide))
+
+    found = _placed(_spoken(calls, make, say, ENTITY, ENTITY_COLUMNS))
+    return found.withColumn("seq", (F.lit(Decimal(GLEANED)).cast(NUMBER) + F.col("seq")).cast(NUMBER))
+
+
+def gleaned(entities: DataFrame, docs: DataFrame, make: Callable[[], Backend], guide: str, config: Config) -> DataFrame:
+    """entities, with what a second look at every chunk adds; with ``glean_head`` only the head of the first documents is looked at, in one call."""
+    parts = chunks(docs, config)
+    if config.glean_head:
+        head = _head(docs, config.glean_chars, config.glean_chars)
+        parts = entities.sparkSession.createDataFrame([(0, 0, head)], "at long, chunk_idx int, text string")
+        first = entities.orderBy("seq").limit(config.glean_known).select("name", "type", "seq")
+        names = first.agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "name", "type"))), lambda x: F.struct(x["name"].alias("name"), x["type"].alias("type"))).alias("names"))
+        calls = parts.join(F.broadcast(names)).filter(F.size("names") > 0)  # one row each
+    else:
+        calls = glean_calls(parts, entities, config.glean_known)
+    more = dedup.best_of(cut(extract_gleaned(calls, make, guide[: config.guide_chars])), name=F.col("name"), type=F.col("type"))
     both = dedup.gleaning_merge(entities, more)
     rest = dedup.first_of(entities.unionByName(more), name=F.col("name"), type=F.col("type")).select("name", "type", "mention", "attributes")
     return both.join(rest, ["name", "type"]).select(*entities.columns)
@@ -338,7 +366,7 @@ def run(
     found = none_e if skip or "entities" not in config.stages else extract_entities(chunks(docs, config), make, guide)
     entities = stage("entities", lambda: dedup.entities_exact(found.unionByName(table_entities)))
     if config.gleaning and not skip and "entities" in config.stages:
-        entities = stage("gleaning", lambda: gleaned(entities, docs, here, guide, config))
+        entities = stage("gleaning", lambda: gleaned(entities, docs, make, guide, config))
     spoken = none_r
     if "relations" in config.stages and not skip:
         groups = write("groups", graph.doc_groups(docs, config.docs_per_group, config.chars_per_doc))

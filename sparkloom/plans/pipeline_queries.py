@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from sparkloom.lineage import cut
 from sparkloom.operators.ontology import EntityType, Ontology, RelationType
 from sparkloom.operators.structured import Mapped
 from sparkloom.plans import pipeline
@@ -27,6 +30,32 @@ def kg_pipeline(spark, d):
     return _triples(pipeline.run(spark, docs, ONTOLOGY, lambda: pipeline.GazetteerBackend(NAMES, "near"), pipeline.Config(paragraph_separator="\n", chars_per_doc=WHOLE)))
 
 
+class LongWords(pipeline.Backend):
+    """Says that words of twelve letters or more are entities, unless it is told that they are known."""
+
+    def glean(self, text, known, guide=""):
+        told = {x["name"] for x in known}
+        words = dict.fromkeys(re.findall("[a-z]{12,}", text.lower()))
+        return [{"name": w, "type": "Word", "confidence": 0.7, "description": w[:3]} for w in words if not any(w == k or k in w for k in told)]
+
+
+@Q.add(r"""
+WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{12,}'))) AS name FROM documents),
+     k AS (SELECT name FROM (SELECT name, count(*) AS n FROM w GROUP BY name) WHERE n >= 3),
+     g AS (SELECT DISTINCT name FROM w WHERE NOT EXISTS (SELECT 1 FROM k WHERE contains(w.name, k.name)))
+SELECT name, 'Word' AS type, 0.7::DOUBLE AS confidence, substr(name, 1, 3) AS description FROM g UNION ALL SELECT name, 'Known', 0.5::DOUBLE, '' FROM k
+""")
+def gleaning_chunks(spark, d):
+    """A second look at every chunk of all documents, told which known entities stand in it, merged with these. Known are long words of three documents or more."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]{12,}"), 0))).alias("name"))
+    known = words.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).filter("n >= 3")
+    entities = known.select("name", F.lit("Known").alias("type"), F.lit(None).cast("string").alias("mention"), F.lit("").alias("description"), F.lit(0.5).alias("confidence"), F.lit(None).cast("map<string,string>").alias("attributes"), F.xxhash64("name").cast(pipeline.NUMBER).alias("seq"))
+    # A document is one chunk here, so that no long word is cut in two.
+    config = pipeline.Config(text_strategy="truncate", truncate_chars=WHOLE, glean_known=WHOLE)
+    return pipeline.gleaned(cut(entities), docs, LongWords, "", config).select("name", "type", "confidence", "description")
+
+
 #: Sentences end where white space follows a full stop or its like; each name counts where its first word of a sentence stands.
 FAST_SQL = r"""
 WITH s AS (SELECT unnest(string_split(regexp_replace(text, '([.!?。！？])[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', '\1' || chr(1), 'g'), chr(1))) AS sentence FROM documents WHERE text IS NOT NULL),

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,38 +73,136 @@ def write_jsonl(triples: DataFrame, path: str) -> None:
 def write_ontology(spark: SparkSession, ontology, path: str) -> None:
     """The schema as one JSON object and as text."""
     import dataclasses
-    import json
 
     shown = json.dumps(dataclasses.asdict(ontology), ensure_ascii=False)
     for name, text in (("json", shown), ("markdown", ontology.raw or ontology.guide())):
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}/{name}")
 
 
+class Conflict(RuntimeError):
+    """Another writer has committed since this one began."""
+
+
+class Writer:
+    """A version that is being written: nobody sees its tables before ``commit``."""
+
+    def __init__(self, log: Snapshots, build_id: str, base: int, tables: dict[str, str]):
+        self.log, self.build_id, self.base, self.tables = log, build_id, base, dict(tables)
+        self.folder = f"build_id={build_id}-{uuid.uuid4().hex[:12]}"
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        """The table, read back from where it was written."""
+        self.tables[name] = f"{self.folder}/{name}"
+        df.write.parquet(f"{self.log.path}/{self.tables[name]}")
+        return self.log.spark.read.schema(df.schema).parquet(f"{self.log.path}/{self.tables[name]}")
+
+    def leave_out(self, *names: str) -> None:
+        """Tables that were a help in writing and are no part of the version."""
+        for n in names:
+            self.tables.pop(n, None)
+
+    def commit(self, summary: str = "") -> str:
+        self.log._put(self.base + 1, {"build_id": self.build_id, "at": time.time(), "summary": summary, "tables": self.tables})
+        return self.build_id
+
+
 class Snapshots:
-    """Versions of a graph: folders build_id=... below a path, each written once; CURRENT names the one in use, so a rollback only moves that."""
+    """Versions of a graph under a commit log.
+
+    Each commit is one small file of the log, named by its number and put there only if no such
+    file exists, with the folder of each table in it. Tables are written before, to folders of their
+    own that are never written again; so a reader sees the last commit whole or the one before it, there is no
+    pointer that could be missing, and of two writers that began at one number the second gets a
+    ``Conflict`` and nothing else of it is seen. A rollback is a commit of an earlier one's tables.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _files(self):
+        jvm = self.spark._jvm
+        place = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_log")
+        return jvm, place, place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def last(self) -> int:
+        """The number of the last commit, 0 where there is none: what a writer begins from."""
+        _, place, fs = self._files()
+        names = [x.getPath().getName() for x in fs.listStatus(place)] if fs.exists(place) else []
+        return max((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), default=0)
+
+    def _entry(self, number: int) -> dict:
+        jvm, place, fs = self._files()
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(place, f"{number:020d}.json"))
+        try:
+            return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _put(self, number: int, entry: dict) -> None:
+        """Writes a file under another name and renames it; a rename never replaces what is there."""
+        from py4j.protocol import Py4JJavaError
+
+        jvm, place, fs = self._files()
+        path = jvm.org.apache.hadoop.fs.Path
+        draft, final = path(place, f".{uuid.uuid4().hex}"), path(place, f"{number:020d}.json")
+        out = fs.create(draft, False)
+        out.write(bytearray(json.dumps(entry, ensure_ascii=False).encode()))
+        out.close()
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(fs.makeQualified(draft), fs.makeQualified(final), none)
+        except Py4JJavaError as e:
+            fs.delete(draft, False)
+            if "FileAlreadyExists" in str(e.java_exception):
+                raise Conflict(f"commit {number} is there already") from None
+            raise
+
+    def begin(self, build_id: str, keep: bool = False) -> Writer:
+        """A writer of the next version; with ``keep`` the last version's other tables stay in it."""
+        base = self.last()
+        return Writer(self, build_id, base, self._entry(base)["tables"] if keep and base else {})
+
     def commit(self, build_id: str, summary: str = "", **tables: DataFrame) -> str:
+        """The tables as a new version of their own."""
+        w = self.begin(build_id)
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.path}/build_id={build_id}/{name}")
-        row = self.spark.sql("SELECT current_timestamp() AS at").withColumn("build_id", F.lit(build_id)).withColumn("summary", F.lit(summary))
-        row.write.mode("append").parquet(f"{self.path}/history")
-        self.rollback(build_id)
-        return build_id
+            w.write(name, df)
+        return w.commit(summary)
+
+    def upsert(self, build_id: str, summary: str = "", **phases: DataFrame) -> str:
+        """The last version with these tables (a build's phases) in place of those of their names, the others as they are."""
+        w = self.begin(build_id, keep=True)
+        for name, df in phases.items():
+            w.write(name, df)
+        return w.commit(summary)
 
     def history(self, n: int = 10) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/history").orderBy(F.col("at").desc(), F.col("build_id").desc()).limit(n)
+        """(number, at, build_id, summary) of the last commits."""
+        numbers = range(self.last(), max(0, self.last() - n), -1)
+        rows = [(k, float(e["at"]), e["build_id"], e["summary"]) for k in numbers for e in [self._entry(k)]]
+        return self.spark.createDataFrame(rows, "number long, at double, build_id string, summary string").withColumn("at", F.timestamp_micros((F.col("at") * 1e6).cast("long"))).orderBy(F.col("number").desc())
 
     def current(self) -> str:
-        return self.spark.read.parquet(f"{self.path}/CURRENT").first()["build_id"]
+        return self._entry(self.last())["build_id"]
+
+    def _of(self, build_id: str) -> dict:
+        for k in range(self.last(), 0, -1):
+            if (e := self._entry(k))["build_id"] == build_id:
+                return e
+        raise KeyError(build_id)
 
     def rollback(self, build_id: str) -> None:
-        self.spark.createDataFrame([(build_id,)], "build_id string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/CURRENT")
+        e = self._of(build_id)
+        self._put(self.last() + 1, e | {"summary": f"rollback: {e['summary']}"})
+
+    def names(self, build_id: str | None = None) -> list[str]:
+        """The tables of a version."""
+        return sorted((self._of(build_id) if build_id else self._entry(self.last()))["tables"]) if self.last() else []
 
     def read(self, name: str, build_id: str | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/build_id={build_id or self.current()}/{name}")
+        e = self._of(build_id) if build_id else self._entry(self.last())
+        return self.spark.read.parquet(f"{self.path}/{e['tables'][name]}")
 
 
 def write_trace(events: DataFrame, path: str, most: int = 50_000) -> None:

@@ -7,10 +7,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sparkloom.operators.ops import manifest_diff
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
 
 def windowed(events: DataFrame, width: str, late: str = "10 minutes") -> DataFrame:
     """(window, event_type, n); on a stream events up to ``late`` behind are counted."""
@@ -26,20 +28,55 @@ def sessions(events: DataFrame, gap: str, late: str = "10 minutes") -> DataFrame
     return events.groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def running_tokens(usage: DataFrame) -> DataFrame:
-    """(agent, tokens) after each batch of a stream of counters (agent, at, counter): rises are summed, a fall starts anew."""
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, total = state.get if state.exists else (0, 0)
-        rows = pd.concat(batches).sort_values("at")
-        for counter in rows["counter"].tolist():
+class _Account(StatefulProcessor):
+    """Counters of one agent in order of event time, whatever the order they arrive in."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.done = handle.getValueState("done", "last bigint, total bigint")
+        # Rows that the watermark has not passed: an earlier one may still come.
+        self.waiting = handle.getListState("waiting", "at bigint, id bigint, counter bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  names of Spark's interface
+        for b in rows:
+            for at, i, counter in zip(b["at"].tolist(), b["id"].tolist(), b["counter"].tolist()):
+                self.waiting.appendValue((at, i, counter))
+                self.handle.registerTimer(at)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        until = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(tuple(r) for r in self.waiting.get())
+        ready = [r for r in rows if r[0] <= until]
+        if not ready:  # an earlier timer of this batch has taken them
+            return iter(())
+        last, total = self.done.get() if self.done.exists() else (0, 0)
+        for _, _, counter in ready:
             total += max(0, counter - last)
             last = counter
-        state.update((last, total))
-        yield pd.DataFrame({"agent": [key[0]], "tokens": [total]})
-
+        self.done.update((last, total))
+        self.waiting.clear()
+        if len(rows) > len(ready):
+            self.waiting.put(rows[len(ready) :])
+        return iter([pd.DataFrame({"agent": [key[0]], "tokens": [total]})])
+
+    def close(self) -> None:
+        pass
+
+
+def running_tokens(usage: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """(agent, tokens) as the watermark passes counters (agent, ts, id, counter) of a stream: rises are summed in order of ts and id, a fall starts anew.
+
+    Rows wait in state until no earlier one can come, so the accounts are those of ``ops.token_usage`` over all
+    rows that are at most ``late`` behind, in whatever order they arrive; later ones are left out. State is one pair of numbers an
+    agent and what arrived within ``late``. Needs the RocksDB state store, which is set where another is not.
+    """
+    conf = usage.sparkSession.conf
+    if "RocksDB" not in conf.get(STORE, ""):
+        conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     kind = usage.schema["agent"].dataType.simpleString()
-    return usage.groupBy("agent").applyInPandasWithState(update, f"agent {kind}, tokens bigint", "last bigint, total bigint", "update", GroupStateTimeout.NoTimeout)
+    rows = usage.withWatermark("ts", late).select("agent", "ts", F.unix_millis("ts").alias("at"), F.col("id").cast("long").alias("id"), F.col("counter").cast("long").alias("counter"))
+    return rows.groupBy("agent").transformWithStateInPandas(_Account(), f"agent {kind}, tokens bigint", "update", "eventTime")
 
 
 def changed_only(current: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -226,20 +226,6 @@ def test_regex_backend():
     assert b.relations("Ann was born in 1999", [])[0]["object"] == "1999"
 
 
-def test_running_tokens(spark, tmp_path):
-    def put(i, rows):
-        pd.DataFrame(rows, columns=["agent", "at", "counter"]).to_parquet(tmp_path / f"{i}.parquet")
-
-    put(0, [("a", 0, 10), ("a", 1, 15)])
-    src = spark.readStream.schema("agent string, at long, counter long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
-    q = stream.running_tokens(src).writeStream.format("memory").queryName("tok").outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).start()
-    q.processAllAvailable()
-    put(1, [("a", 2, 5), ("b", 0, 3)])
-    q.processAllAvailable()
-    q.stop()
-    assert spark.sql("select agent, max(tokens) t from tok group by agent order by agent").collect() == [("a", 15), ("b", 3)]
-
-
 def test_windows_on_a_stream(spark, tmp_path):
     rows = spark.sql("SELECT timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,id * 10) AS ts, 'x' AS event_type FROM range(30)")
     rows.write.parquet(str(tmp_path / "in"))
