@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +15,6 @@ from sparkloom.operators.resolve import RATIO, waterfall
 
 #: Neighbours of a mention, shortest paragraph, most co-occurrences kept.
 NEIGHBOURS, PARAGRAPH, TOP = 9, 50, 5000
-#: Relation types that a schema may have where every group of documents meets all of them.
-SCHEMA_MOST = 10_000
 
 
 def paragraphs(docs: DataFrame, separator: str = r"\n\s*\n", least: int = PARAGRAPH) -> DataFrame:
@@ -128,13 +128,21 @@ def relation_type_filter(groups: DataFrame, relation_types: DataFrame, seen_type
     seen = seen_types.select(F.col("type")).distinct()
     typed = relation_types.withColumn("words", words)
     typed = typed.join(seen.select(F.col("type").alias("domain"), F.lit(True).alias("d")), "domain", "left").join(seen.select(F.col("type").alias("range"), F.lit(True).alias("g")), "range", "left")
-    typed = typed.select("ord", "name", "words", (F.coalesce("d", F.lit(False)) | F.coalesce("g", F.lit(False))).alias("typed"))
-    # Each group sees every relation type. A schema is small, which is checked before it is sent to all tasks.
-    if relation_types.limit(SCHEMA_MOST + 1).count() > SCHEMA_MOST:
-        raise ValueError(f"more than {SCHEMA_MOST} relation types")
-    pairs = groups.withColumn("low", F.lower("text")).join(F.broadcast(typed), F.lit(True))
-    matched = F.col("typed") | F.exists("words", lambda w: F.contains(F.col("low"), w))
-    ranked = pairs.select("grp", "ord", "name", matched.alias("m")).withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy(F.col("m").desc(), "ord")))
+    typed = cut(typed.select("ord", "name", "words", (F.coalesce("d", F.lit(False)) | F.coalesce("g", F.lit(False))).alias("typed")))
+    # Texts are read once for all keywords; a type counts once for a group, however many of its words stand there.
+    keywords = typed.filter(~F.col("typed")).select("ord", "name", F.explode(F.array_distinct("words")).alias("word"))
+    held = holding(groups.select("grp", F.lower("text").alias("low")), "low", keywords, "word").select("grp", "ord", "name").distinct()
+    held = held.withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy("ord", "name"))).filter(F.col("r") <= most).drop("r")
+    # Beside these a group gets the same rows as all others: of those with a seen type the first ``most``, and of the rest
+    # twice as many, for a text that matches fewer than ``most`` of them leaves as many. They are few, so they are a constant.
+    first = lambda df, n: df.select("ord", "name").orderBy("ord", "name").limit(n)
+    fixed = first(typed.filter("typed"), most).withColumn("m", F.lit(True)).unionByName(first(typed.filter(~F.col("typed")), 2 * most).withColumn("m", F.lit(False)))
+    shown = json.dumps([r.asDict() for r in fixed.collect()], ensure_ascii=False)
+    kind = f"array<struct<ord:{typed.schema['ord'].dataType.simpleString()},name:string,m:boolean>>"
+    every = groups.select("grp", F.explode(F.from_json(F.lit(shown), kind)).alias("t")).select("grp", "t.*")
+    # What a keyword matches may be among the rest as well: a match wins.
+    both = held.withColumn("m", F.lit(True)).unionByName(every)
+    ranked = both.groupBy("grp", "ord", "name").agg(F.max("m").alias("m")).withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy(F.col("m").desc(), "ord", "name")))
     return ranked.filter(F.col("r") <= most).select("grp", "ord", "name", F.col("m").alias("matched"))
 
 
@@ -150,11 +158,12 @@ def unmatched_predicates(relations: DataFrame, relation_types: DataFrame) -> Dat
     return relations.select("predicate").filter("predicate <> ''").distinct().join(relation_types.select(F.col("name").alias("predicate")), "predicate", "left_anti")
 
 
-def triples(relations: DataFrame, entities: DataFrame, relation_types: DataFrame | None = None, matches: DataFrame | None = None, placeholders: bool = True, threshold: float = RATIO) -> DataFrame:
+def triples(relations: DataFrame, entities: DataFrame, relation_types: DataFrame | None = None, matches: DataFrame | None = None, placeholders: bool = True, threshold: float = RATIO, ancestors: DataFrame | None = None) -> DataFrame:
     """Triples of relations (seq, subject, predicate, object, confidence, evidence) over entities (seq, name, type).
 
     Ends resolve by the waterfall. Where the predicate's domain (range) is defined and the end's
-    own name exists with that type, that entity is taken instead. Relations with an end that
+    own name exists with that type, that entity is taken instead; with ``ancestors`` (type, ancestor, depth: ``ontology.hierarchy``) a
+    type below it will do, the nearest one, and stays what it is. Relations with an end that
     nothing matches get a placeholder of type Entity and a confidence of 0.35 at most.
     """
     r = relations.select("seq", strip(F.col("subject")).alias("subject"), "predicate", strip(F.col("object")).alias("object"), "confidence", "evidence").filter("subject <> '' and object <> '' and predicate <> ''")
@@ -166,8 +175,13 @@ def triples(relations: DataFrame, entities: DataFrame, relation_types: DataFrame
         rt = first_of(relation_types.withColumn("seq", F.col("ord")), n=F.col("name")).select(F.col("name").alias("_rt"), "domain", "range")
         own = entities.select(strip(F.col("name")).alias("_n"), F.col("type").alias("_t")).distinct()
         out = out.join(rt, F.col("predicate") == F.col("_rt"), "left")
-        out = out.join(own.select(F.col("_n").alias("_sn"), F.col("_t").alias("_st")), (F.col("subject") == F.col("_sn")) & (F.col("domain") == F.col("_st")), "left")
-        out = out.join(own.select(F.col("_n").alias("_on"), F.col("_t").alias("_ot")), (F.col("object") == F.col("_on")) & (F.col("range") == F.col("_ot")), "left")
+        own = own.withColumn("_a", F.col("_t"))
+        if ancestors is not None:
+            above = ancestors.select(F.col("type").alias("_t"), F.col("ancestor").alias("_a"), "depth")
+            reached = own.drop("_a").join(above, "_t").unionByName(own.select("_n", "_t", "_a", F.lit(0).alias("depth")))
+            own = reached.groupBy("_n", "_a").agg(F.min_by("_t", F.struct("depth", "_t")).alias("_t"))
+        out = out.join(own.select(F.col("_n").alias("_sn"), F.col("_t").alias("_st"), F.col("_a").alias("_sa")), (F.col("subject") == F.col("_sn")) & (F.col("domain") == F.col("_sa")), "left")
+        out = out.join(own.select(F.col("_n").alias("_on"), F.col("_t").alias("_ot"), F.col("_a").alias("_oa")), (F.col("object") == F.col("_on")) & (F.col("range") == F.col("_oa")), "left")
         both = F.col("subj_name").isNotNull() & F.col("obj_name").isNotNull()
         out = out.withColumn("subj_name", F.when(both, F.coalesce("_sn", "subj_name")).otherwise(F.col("subj_name"))).withColumn("subj_type", F.when(both, F.coalesce("_st", "subj_type")).otherwise(F.col("subj_type")))
         out = out.withColumn("obj_name", F.when(both, F.coalesce("_on", "obj_name")).otherwise(F.col("obj_name"))).withColumn("obj_type", F.when(both, F.coalesce("_ot", "obj_type")).otherwise(F.col("obj_type")))

@@ -5,6 +5,7 @@ A schema is bounded and small; it is a driver-side value that becomes a DataFram
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
@@ -93,6 +94,26 @@ class Ontology:
         return replace(out, raw="\n".join([f"# Ontology: {out.name}", "", *out._lists()]))
 
 
+def hierarchy(entity_types: DataFrame) -> DataFrame:
+    """(type, ancestor, depth) of every type (name, parent) with itself and all types above it, by a recursive query. Parents that are no types count; a type on a circle has each of its circle once, at the least depth."""
+    spark = entity_types.sparkSession
+    name = f"types_{uuid.uuid4().hex}"
+    edges = entity_types.select(F.col("name").alias("type"), "parent").filter("type is not null").distinct()
+    edges.createOrReplaceTempView(name)
+    try:
+        # The path stops a walk at a type that it has met, so circles end.
+        found = spark.sql(f"""
+            WITH RECURSIVE up (type, ancestor, depth, path) AS (
+                SELECT DISTINCT type, type, 0, array(type) FROM {name}
+                UNION ALL
+                SELECT u.type, e.parent, u.depth + 1, array_append(u.path, e.parent) FROM up u JOIN {name} e ON e.type = u.ancestor WHERE e.parent IS NOT NULL AND e.parent <> '' AND NOT array_contains(u.path, e.parent)
+            ) SELECT type, ancestor, min(depth) AS depth FROM up GROUP BY type, ancestor""")
+        found.schema  # resolved while the view is there
+    finally:
+        spark.catalog.dropTempView(name)
+    return found
+
+
 def guide_lines(entity_types: DataFrame, relation_types: DataFrame) -> DataFrame:
     """(section, ord, line) of a schema that is held as DataFrames."""
     opt = lambda before, c, after: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(before), F.col(c), F.lit(after))).otherwise(F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.lineage import fresh
-from sparkloom.operators import dedup, ontology, ops
+from sparkloom.operators import dedup, graph, ontology, ops
 from sparkloom.plans.base import Queries, table
 from sparkloom.streaming import deltas
 from sparkloom.streaming import events as stream
@@ -189,3 +189,34 @@ def incremental_entities(spark, d):
 def incremental_pairs(spark, d):
     """Weights of pairs, kept through the same update."""
     return _incremental(spark, d).read("pairs").select("a", "b", "cnt")
+
+
+@Q.add("""
+WITH RECURSIVE t AS (SELECT DISTINCT p_type || ' ' || p_brand AS type, p_type AS parent FROM part UNION SELECT DISTINCT p_type, 'Part' FROM part UNION SELECT 'Part', NULL),
+     up AS (SELECT type, type AS ancestor, 0 AS depth FROM t UNION SELECT u.type, t.parent, u.depth + 1 FROM up u JOIN t ON t.type = u.ancestor WHERE t.parent IS NOT NULL)
+SELECT type, ancestor, min(depth) AS depth FROM up GROUP BY type, ancestor
+""")
+def type_hierarchy(spark, d):
+    """Brands below kinds of parts below parts: each type with all types above it."""
+    return ontology.hierarchy(_part_types(spark, d)).select("type", "ancestor", "depth")
+
+
+def _part_types(spark, d):
+    p = table(spark, d, "part").select("p_type", "p_brand").distinct()
+    own = p.select(F.concat_ws(" ", "p_type", "p_brand").alias("name"), F.col("p_type").alias("parent"))
+    return own.union(p.select("p_type", F.lit("Part")).distinct()).union(spark.sql("SELECT 'Part', cast(null AS string)"))
+
+
+@Q.add("""
+SELECT DISTINCT p_name AS subj_name, min(p_type || ' ' || p_brand) OVER (PARTITION BY p_name, p_type) AS subj_type, 'of_' || lower(p_type) AS predicate, p_brand AS obj_name, 'Brand' AS obj_type, 0.9::DOUBLE AS confidence FROM part
+""")
+def triples_subtypes(spark, d):
+    """Domains that name a kind of part, which brands of that kind satisfy as types below it."""
+    p = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("seq"), "p_name", "p_type", "p_brand")
+    brands = p.groupBy("p_brand").agg(F.min("seq").alias("seq")).select((F.col("seq") + 10**9).alias("seq"), F.col("p_brand").alias("name"), F.lit("Brand").alias("type"))
+    entities = p.select("seq", F.col("p_name").alias("name"), F.concat_ws(" ", "p_type", "p_brand").alias("type")).unionByName(brands)
+    predicate = F.concat(F.lit("of_"), F.lower("p_type"))
+    relations = p.select("seq", F.col("p_name").alias("subject"), predicate.alias("predicate"), F.col("p_brand").alias("object"), F.lit(0.9).alias("confidence"), F.lit("").alias("evidence"))
+    kinds = p.select(predicate.alias("name"), F.col("p_type").alias("domain")).distinct().select(F.xxhash64("name").alias("ord"), "name", "domain", F.lit(None).cast("string").alias("range"))
+    out = graph.triples(relations, entities, kinds, ancestors=ontology.hierarchy(_part_types(spark, d)))
+    return out.select("subj_name", "subj_type", "predicate", "obj_name", "obj_type", "confidence")

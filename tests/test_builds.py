@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import ops
+from sparkloom.operators import graph, ontology, ops
 from sparkloom.plans import pipeline
 from sparkloom.sources import sinks
 from sparkloom.streaming import deltas
@@ -142,3 +142,34 @@ def test_gleaning_looks_at_every_chunk(spark):
     head = pipeline.gleaned(known, docs, second(), "", pipeline.Config(glean_head=True))
     assert {r["name"] for r in head.collect()} == {"KNOWN", "AB", "cd", "EF"}
     assert pipeline.gleaned(known.limit(0), docs, second(), "", pipeline.Config(glean_head=True)).count() == 0
+
+
+def test_hierarchy_and_subtypes(spark):
+    """A type below a domain satisfies it, the nearest one; circles and unknown parents do no harm."""
+    types = spark.createDataFrame([("City", "Place"), ("Place", None), ("Town", "City"), ("X", "Y"), ("Y", "X"), ("Z", "Gone"), ("Z", "Gone")], "name string, parent string")
+    above = ontology.hierarchy(types)
+    assert {(r.type, r.ancestor, r.depth) for r in above.collect()} == {("City", "City", 0), ("City", "Place", 1), ("Place", "Place", 0), ("Town", "Town", 0), ("Town", "City", 1), ("Town", "Place", 2), ("X", "X", 0), ("X", "Y", 1), ("Y", "Y", 0), ("Y", "X", 1), ("Z", "Z", 0), ("Z", "Gone", 1)}
+    e = spark.createDataFrame([(0, "Bath", "Thing"), (1, "Bath", "Town"), (2, "Bath", "City"), (3, "Ann", "Person")], "seq long, name string, type string")
+    r = spark.createDataFrame([(0, "Ann", "lives_in", "Bath", 0.9, ""), (1, "Bath", "near", "Bath", 0.8, "")], "seq long, subject string, predicate string, object string, confidence double, evidence string")
+    kinds = spark.createDataFrame([(0, "lives_in", None, "Place"), (1, "near", "Town", "Nowhere")], "ord long, name string, domain string, range string")
+    got = {(t.subj_type, t.predicate, t.obj_type) for t in graph.triples(r, e, kinds, ancestors=above).collect()}
+    assert got == {("Person", "lives_in", "City"), ("Town", "near", "Thing")}
+    assert {t.obj_type for t in graph.triples(r, e, kinds).collect()} == {"Thing"}
+
+
+def test_relation_types_without_a_product(spark):
+    """The same as comparing each text with each type, for more types than any list could be broadcast with, and no cross join."""
+    draw = random.Random(5)
+    words = ["alpha", "beta", "gamma", "delta", "kappa", "of", "in"]
+    types = [(i, "_".join(draw.choices(words, k=2)) + f"_{i % 7}", draw.choice(["T0", "T1", None]), draw.choice(["T1", None])) for i in range(60)]
+    texts = [(g, " ".join(draw.choices([*words, "other"], k=draw.randint(0, 3)))) for g in range(12)]
+    frame = spark.createDataFrame(types, "ord long, name string, domain string, range string")
+    for seen, most in ((("T0",), 9), ((), 9), (("T1", "T0"), 30)):
+        got = graph.relation_type_filter(spark.createDataFrame(texts, "grp long, text string"), frame, spark.createDataFrame([(t,) for t in seen], "type string"), most)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Cartesian" not in plan and "NestedLoop" not in plan
+        want = set()
+        for g, text in texts:
+            matched = lambda t: (t[2] in seen) or (t[3] in seen) or any(len(w) > 3 and w in text for w in t[1].split("_"))  # noqa: B023, E731
+            want |= {(g, t[0], matched(t)) for t in sorted(types, key=lambda t: (not matched(t), t[0]))[:most]}
+        assert {(r.grp, r.ord, r.matched) for r in got.collect()} == want
