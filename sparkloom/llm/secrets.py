@@ -3,10 +3,10 @@
 From labelled credentials, one prefix tree for each kind is built and statistically
 compatible states are merged (ALERGIA: Hoeffding's test on the frequencies of ends and
 symbols, applied to the states below as well, blue states in order against red ones, the
-latest first), which leaves a probabilistic automaton for each kind and one of ordinary
-strings. Every candidate token of every text is then scored: the mean log-likelihood of its
+latest first), which leaves a probabilistic automaton for each kind and some of ordinary
+strings. One kind is generic: random characters of no published format, for credentials that nobody has labelled. Every candidate token of every text is then scored: the mean log-likelihood of its
 characters under the automaton that explains it best, and how much better that is than under
-the automaton of ordinary strings. Bounds for both come from labelled credentials that were
+those of ordinary strings. Bounds for both come from labelled credentials that were
 held out; neither length nor the characters a token holds rule it out beforehand. A candidate
 is a run of 16 or more characters of tokens; where the whole run is none, its parts are scored
 (see ``Grammars.parts``). The base patterns are searched beside this and always reported.
@@ -63,9 +63,16 @@ FORMATS = (
     ("sendgrid", "SG.", (URL64, 22, 22)),
     ("npm", "npm_", (ALNUM, 36, 36)),
     ("digest", (HEXES, 40, 40)),
+    # No published format: what tokens of formats that nobody has labelled look like, with a short name before them or none.
+    ("generic", (string.ascii_lowercase, 2, 6), "_", (ALNUM, 24, 48)),
+    ("generic", (string.ascii_lowercase, 2, 6), "-", (URL64, 20, 48)),
+    ("generic", (ALNUM, 24, 64)),
     *(("jwt", "eyJ", (URL64, 17, 120), ".eyJ", (URL64, 20, 600), ".", (URL64, n, n)) for n in (43, 64, 86, 342)),
 )
 LABELLED, HELD_OUT, SEED = 120, 40, 11
+#: Ordinary strings of one make have an automaton of their own, and the best of these stands against a credential.
+MAKES = (re.compile(r"[0-9]+"), re.compile(r"[A-Za-z]+"), re.compile(r"[A-Za-z-]+"))
+GENERIC = "generic"
 
 
 def labelled_credentials(each: int = LABELLED + HELD_OUT, seed: int = SEED) -> list[tuple[str, str]]:
@@ -80,6 +87,11 @@ def labelled_credentials(each: int = LABELLED + HELD_OUT, seed: int = SEED) -> l
     for _ in range(6 * each):
         parts = ["".join(draw.choices(words, k=draw.randint(1, 4))) + (str(draw.randint(0, 2100)) if draw.random() < 0.4 else "") for _ in range(draw.randint(1, 4))]
         found.append(("", draw.choice("-_./=").join(parts)))
+    # Words of any language that has these letters: long ones are as ordinary as short ones.
+    letters = "".join(c * n for c, n in zip("etaoinshrdlucmfwypvbgkjqxz", (12, 9, 8, 8, 7, 7, 6, 6, 6, 4, 4, 3, 3, 3, 2, 2, 2, 2, 1, 2, 2, 1, 1, 1, 1, 1)))
+    for _ in range(6 * each):
+        word = "-".join("".join(draw.choices(letters, k=draw.randint(6, 24))) for _ in range(draw.choice((1, 1, 1, 2, 3))))
+        found.append(("", word.capitalize() if draw.random() < 0.2 else word))
     found += [("", fill((string.digits, 16, 24))) for _ in range(4 * each)]  # numbers of records, times
     return found
 
@@ -188,11 +200,16 @@ class Grammars:
         by: dict[str, list[str]] = {}
         for kind, x in labelled:
             by.setdefault(kind, []).append(x)
-        self.plain = Automaton(by.pop("", ["a"]))
+        ordinary: dict[int, list[str]] = {}
+        for x in by.pop("", ["a"]):
+            ordinary.setdefault(next((i for i, m in enumerate(MAKES) if m.fullmatch(x)), -1), []).append(x)
+        self.ordinary = [Automaton(xs) for xs in ordinary.values()]
         self.kinds = {}
         for kind, xs in by.items():
             model, rest = Automaton(xs[held_out:]), xs[:held_out]
-            self.kinds[kind] = (model, min(map(model.score, rest)) - 0.15, min(model.score(x) - self.plain.score(x) for x in rest) * 0.5)
+            # A kind that begins as nothing else does may be told from ordinary strings by half of what held-out ones are; one without such a beginning has only that.
+            share = 0.5 if len(os.path.commonprefix(xs)) >= 2 else 0.9
+            self.kinds[kind] = (model, min(map(model.score, rest)) - 0.15, min(model.score(x) - self.plain(x) for x in rest) * share)
         xs = [x for kind, own in by.items() for x in own]
         held = set("".join(xs))
         # What a run may hold and no labelled credential does ends a part for certain; dots do unless the formats have them.
@@ -202,12 +219,20 @@ class Grammars:
         heads = sorted((h for h in heads if len(h) >= 3), key=len, reverse=True)
         self.heads = re.compile("(?<=[-_])(?:" + "|".join(map(re.escape, heads)) + ")") if heads else None
 
-    def kind_of(self, x: str) -> str | None:
-        """The kind that explains x best among those whose bounds x reaches."""
+    def plain(self, x: str) -> float:
+        """How well x goes as an ordinary string."""
+        return max(m.score(x) for m in self.ordinary)
+
+    def kind_of(self, x: str, generic: bool | None = None) -> str | None:
+        """The kind that explains x best among those whose bounds x reaches: a published one (False), the generic one (True), or that where there is no other."""
+        if generic is None:
+            return self.kind_of(x, False) or self.kind_of(x, True)
         plain, best = None, None
         for kind, (model, least, gain) in self.kinds.items():
+            if (kind == GENERIC) != generic:
+                continue
             if (s := model.score(x, least=least)) >= least:
-                plain = self.plain.score(x) if plain is None else plain
+                plain = self.plain(x) if plain is None else plain
                 if s - plain >= max(gain, 0.5) and (best is None or s > best[0]):
                     best = (s, kind)
         return best and best[1]
@@ -258,17 +283,23 @@ def scan(text: str, grammars: Grammars) -> tuple[list[tuple[int, int, str]], lis
     for m in CANDIDATE.finditer(text):
         run, whole = m[0], m[0].strip(".=-")
         found: list[tuple[int, int]] = []  # disjoint, sorted
-        for a, b in ((0, len(run)), *grammars.parts(run)) if SEPARATOR.search(run) else ((0, len(run)),):
-            a, b = a + len(run[a:b]) - len(run[a:b].lstrip(".=-")), a + len(run[a:b].rstrip(".=-"))
-            start, end = m.start() + a, m.start() + b
-            i, k = bisect.bisect_right(starts, start), bisect.bisect_left(found, (end, 0))
-            if b - a < SHORTEST or (i and reach[i - 1] >= end) or (k and found[k - 1][1] > start):
-                continue
-            if kind := grammars.kind_of(run[a:b]):
-                spans.append((start, kind, end))
-                found.insert(k, (start, end))
-                if b - a == len(whole):
-                    break
+        parts = [(0, len(run)), *grammars.parts(run)] if SEPARATOR.search(run) else [(0, len(run))]
+        # What is of no published format is looked for where none was found, and only between separators that no credential holds.
+        pieces = parts[1:] if grammars.hard and grammars.hard.search(run) else parts
+        for generic, some in ((False, parts), (True, pieces if GENERIC in grammars.kinds else ())):
+            for a, b in some:
+                a, b = a + len(run[a:b]) - len(run[a:b].lstrip(".=-")), a + len(run[a:b].rstrip(".=-"))
+                start, end = m.start() + a, m.start() + b
+                i, k = bisect.bisect_right(starts, start), bisect.bisect_left(found, (end, 0))
+                if b - a < SHORTEST or (i and reach[i - 1] >= end) or (k and found[k - 1][1] > start):
+                    continue
+                if kind := grammars.kind_of(run[a:b], generic):
+                    spans.append((start, kind, end))
+                    found.insert(k, (start, end))
+                    if b - a == len(whole):
+                        break
+            if found and found[0][1] - found[0][0] == len(whole):
+                break
     spans.sort(key=lambda x: (x[0], order[x[1]], x[2]))
     return base, spans
 
