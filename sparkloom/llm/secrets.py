@@ -71,7 +71,7 @@ FORMATS = (
 )
 LABELLED, HELD_OUT, SEED = 120, 40, 11
 #: Ordinary strings of one make have an automaton of their own, and the best of these stands against a credential.
-MAKES = (re.compile(r"[0-9]+"), re.compile(r"[A-Za-z]+"), re.compile(r"[A-Za-z-]+"))
+MAKES = (re.compile(r"[0-9]+"), re.compile(r"[A-Z-]+"), re.compile(r"[A-Za-z]+"), re.compile(r"[A-Za-z-]+"))
 GENERIC = "generic"
 
 
@@ -91,7 +91,7 @@ def labelled_credentials(each: int = LABELLED + HELD_OUT, seed: int = SEED) -> l
     letters = "".join(c * n for c, n in zip("etaoinshrdlucmfwypvbgkjqxz", (12, 9, 8, 8, 7, 7, 6, 6, 6, 4, 4, 3, 3, 3, 2, 2, 2, 2, 1, 2, 2, 1, 1, 1, 1, 1)))
     for _ in range(6 * each):
         word = "-".join("".join(draw.choices(letters, k=draw.randint(6, 24))) for _ in range(draw.choice((1, 1, 1, 2, 3))))
-        found.append(("", word.capitalize() if draw.random() < 0.2 else word))
+        found.append(("", draw.choice((word, word, word, word.capitalize(), word.upper()))))
     found += [("", fill((string.digits, 16, 24))) for _ in range(4 * each)]  # numbers of records, times
     return found
 
@@ -204,12 +204,15 @@ class Grammars:
         for x in by.pop("", ["a"]):
             ordinary.setdefault(next((i for i, m in enumerate(MAKES) if m.fullmatch(x)), -1), []).append(x)
         self.ordinary = [Automaton(xs) for xs in ordinary.values()]
+        # A kind's beginning tells it from words, even where no digit does: it stands against strings of several parts and numbers.
+        self.mixed = Automaton([x for i, xs in ordinary.items() if i <= 0 for x in xs] or ["a"])
         self.kinds = {}
         for kind, xs in by.items():
             model, rest = Automaton(xs[held_out:]), xs[:held_out]
             # A kind that begins as nothing else does may be told from ordinary strings by half of what held-out ones are; one without such a beginning has only that.
-            share = 0.5 if len(os.path.commonprefix(xs)) >= 2 else 0.9
-            self.kinds[kind] = (model, min(map(model.score, rest)) - 0.15, min(model.score(x) - self.plain(x) for x in rest) * share)
+            headed = len(os.path.commonprefix(xs)) >= 2
+            plain = self.mixed.score if headed else self.plain
+            self.kinds[kind] = (model, plain, min(map(model.score, rest)) - 0.15, min(model.score(x) - plain(x) for x in rest) * (0.5 if headed else 0.6))
         xs = [x for kind, own in by.items() for x in own]
         held = set("".join(xs))
         # What a run may hold and no labelled credential does ends a part for certain; dots do unless the formats have them.
@@ -227,13 +230,12 @@ class Grammars:
         """The kind that explains x best among those whose bounds x reaches: a published one (False), the generic one (True), or that where there is no other."""
         if generic is None:
             return self.kind_of(x, False) or self.kind_of(x, True)
-        plain, best = None, None
-        for kind, (model, least, gain) in self.kinds.items():
+        best = None
+        for kind, (model, plain, least, gain) in self.kinds.items():
             if (kind == GENERIC) != generic:
                 continue
             if (s := model.score(x, least=least)) >= least:
-                plain = self.plain(x) if plain is None else plain
-                if s - plain >= max(gain, 0.5) and (best is None or s > best[0]):
+                if s - plain(x) >= max(gain, 0.5) and (best is None or s > best[0]):
                     best = (s, kind)
         return best and best[1]
 
