@@ -2,7 +2,10 @@
 
 Every reader is DataFrame -> DataFrame over ``binaryFile`` or ``text`` scans, so files are read by
 executors, and returns doc_id, text, source, filename, ext, size, is_tabular, content_hash,
-metadata. Formats that need a parser are read by mapInPandas with the standard library.
+metadata and error. Formats that need a parser are read by mapInPandas with the standard library.
+Which files are read is decided on their paths, by a filter that prunes the scan's list of files: what is
+excluded or of no known format is never opened. A file that its parser fails on is in the result as
+raw text with the error beside it.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
-from fnmatch import fnmatch
+from fnmatch import translate
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.text import html_to_text
 
-DOCUMENT = "doc_id string, text string, source string, filename string, ext string, size bigint, is_tabular boolean, content_hash string, metadata map<string,string>"
+DOCUMENT = "doc_id string, text string, source string, filename string, ext string, size bigint, is_tabular boolean, content_hash string, metadata map<string,string>, error string"
 #: Rows of a table shown as text.
 CSV_ROWS, SHEET_ROWS = 500, 200
 #: Folders that a scan for data files leaves out.
@@ -194,40 +197,60 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def document_files(spark: SparkSession, path: str | list[str], recursive: bool = True, exclude: tuple[str, ...] = (), unknown_as_text: bool = False) -> DataFrame | None:
+    """path, modificationTime, length and content of the files that ``read_documents`` reads; None where no path exists. The filter is on the scan's metadata, so it prunes files before any is opened, and content is read only where it is selected."""
+    paths = [p for p in ([path] if isinstance(path, str) else path) if _exists(spark, p)]
+    if not paths:
+        return None
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(paths)
+    # Metadata has paths as URIs.
+    place = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    wanted = F.lower(F.regexp_extract(place, r"(\.[^./]*)$", 1)).isin(*_loaders)
+    for p in paths:
+        # A path that is a file itself is read whatever its name.
+        wanted = wanted | F.endswith(place, F.lit("/" + p.rstrip("/").split("://")[-1].lstrip("/"))) if _is_file(spark, p) else wanted
+    keep = F.lit(True) if unknown_as_text else wanted
+    for pattern in exclude:
+        # The pattern matches the last parts of a path, as many as it has, or from some part on to the end.
+        body = translate(pattern).removeprefix("(?s:").removesuffix(")\\Z").removesuffix(")\\z")
+        keep = keep & ~F.rlike(place, F.lit(f"(?s)(^|/)({body})$"))
+    return files.filter(keep)
+
+
+def _is_file(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(place) and fs.getFileStatus(place).isFile()
+
+
 def read_documents(spark: SparkSession, path: str | list[str], recursive: bool = True, exclude: tuple[str, ...] = (), unknown_as_text: bool = False) -> DataFrame:
-    """Documents of all files below the paths, folders or files, whose extension has a loader; paths that don't exist and files that fail to parse are left out.
+    """Documents of all files below the paths whose extension has a loader, and of paths that are files themselves; paths that don't exist are left out.
 
-    Excluded are paths that match any of the patterns, as a whole or by their last parts.
+    Excluded are paths that match any of the patterns, as a whole or by their last parts. A file that fails to parse has its raw
+    text and ``error``; files of no known format are raw text with ``unknown_as_text`` or where they are named themselves.
+    doc_id tells files apart by path and content, so equal files at two places are two documents.
     """
-    path = [p for p in ([path] if isinstance(path, str) else path) if _exists(spark, p)]
-    if not path:
+    files = document_files(spark, path, recursive, exclude, unknown_as_text)
+    if files is None:
         return spark.createDataFrame([], DOCUMENT)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     loaders = dict(_loaders)
 
-    def left_out(source: str) -> bool:
-        parts = source.split("/")
-        return any(fnmatch("/".join(parts[-(p.count("/") + 1) :]), p) or fnmatch(source, "*/" + p) for p in exclude)
-
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for source, size, data, digest in zip(b["path"], b["length"], b["content"], b["content_hash"]):
+            for source, size, data, digest, own in zip(b["path"], b["length"], b["content"], b["content_hash"], b["id"]):
                 name = source.rsplit("/", 1)[-1]
                 ext = "." + name.rsplit(".", 1)[-1] if "." in name else ""
-                f = loaders.get(ext.lower()) or (load_text if unknown_as_text else None)
-                if f is None or left_out(source):
-                    continue
+                error = None
                 try:
-                    text, meta, tabular = f(bytes(data))
+                    text, meta, tabular = (loaders.get(ext.lower()) or load_text)(bytes(data))
                 except Exception as e:  # noqa: BLE001  a broken file must not end the scan
-                    print(f"left out {source}: {e}")
-                    continue
-                out.append((digest[:12], text, source, name, ext, size, tabular, digest, meta))
-            yield pd.DataFrame(out, columns=["doc_id", "text", "source", "filename", "ext", "size", "is_tabular", "content_hash", "metadata"])
+                    (text, meta, tabular), error = load_text(bytes(data)), f"{type(e).__name__}: {e}"[:500]
+                out.append((own[:16], text, source, name, ext, size, tabular, digest, meta, error))
+            yield pd.DataFrame(out, columns=["doc_id", "text", "source", "filename", "ext", "size", "is_tabular", "content_hash", "metadata", "error"])
 
-    rows = files.withColumn("content_hash", F.md5("content")).select("path", "length", "content", "content_hash")
-    return rows.mapInPandas(parse, DOCUMENT)
+    rows = files.select("path", "length", "content", F.md5("content").alias("content_hash"))
+    return rows.withColumn("id", F.md5(F.concat_ws("|", "path", "content_hash"))).mapInPandas(parse, DOCUMENT)
 
 
 def read_texts(spark: SparkSession, texts: list[str]) -> DataFrame:

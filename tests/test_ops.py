@@ -22,6 +22,39 @@ def test_manifest(spark):
     assert sorted(r.path for r in todo.collect()) == ["b", "d"] and [r.path for r in gone.collect()] == ["c"]
 
 
+def test_files_are_pruned_before_they_are_opened(spark, tmp_path):
+    """Excluded and unknown files are never opened, broken ones appear with their error, equal ones are two documents."""
+    for name, text in {"a.txt": "same", "sub/b.txt": "same", "sub/c d+e.md": "x", "sub/skip/d.txt": "no", "old/e.txt": "no", "f.bin": "unknown", "g.xlsx": "broken", "node_modules/x/y.txt": "no", "h.TXT": "upper"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    exclude = ("skip/*", "old/**", "node_modules/*")
+    files = readers.document_files(spark, str(tmp_path), exclude=exclude)
+    files.select(F.max(F.length("content"))).collect()
+    scan = files.select("path")
+    scan.collect()
+    plan = scan._jdf.queryExecution().executedPlan()
+    opened = next(p.metrics().apply("numFiles").value() for p in _nodes(plan) if p.metrics().contains("numFiles"))
+    assert opened == files.count() == 5
+    assert "content" not in plan.toString().split("ReadSchema")[-1]
+    docs = {r.filename: r for r in readers.read_documents(spark, str(tmp_path), exclude=exclude).collect()}
+    assert set(docs) == {"a.txt", "b.txt", "c d+e.md", "g.xlsx", "h.TXT"}
+    assert docs["g.xlsx"].text == "broken" and "BadZipFile" in docs["g.xlsx"].error and docs["a.txt"].error is None
+    assert docs["a.txt"].content_hash == docs["b.txt"].content_hash and docs["a.txt"].doc_id != docs["b.txt"].doc_id
+    named = readers.read_documents(spark, [str(tmp_path / "f.bin"), str(tmp_path / "sub")], exclude=exclude).collect()
+    assert {r.filename for r in named} == {"f.bin", "b.txt", "c d+e.md"}
+    assert {r.filename for r in readers.read_documents(spark, str(tmp_path), exclude=exclude, unknown_as_text=True).collect()} == {*docs, "f.bin"}
+    assert {r.filename for r in readers.read_documents(spark, str(tmp_path), recursive=False).collect()} == {"a.txt", "g.xlsx", "h.TXT"}
+
+
+def _nodes(plan):
+    out, todo = [], [plan]
+    while todo:
+        p = todo.pop()
+        out.append(p)
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return out
+
+
 def test_strategy(spark):
     def pick(n, chars, tabular=0):
         rows = [("x" * chars, i < tabular, "txt") for i in range(n)]
