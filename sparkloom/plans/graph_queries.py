@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import rdf
+from sparkloom.lineage import cut
 from sparkloom.operators import dedup, graph, ontology, resolve
 from sparkloom.operators.structured import Mapped, structured_entities as entities_of, structured_relations as relations_of
 from sparkloom.plans.base import Queries, table
@@ -324,7 +325,8 @@ WITH w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(trim(lower(text), E
 
 def gazetteer(spark, d, most: int = 40):
     words = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.trim(F.lower("text"), F.lit(" \t\n\x0b\x0c\r")), r"\s+"))).alias("name"))
-    top = words.filter(F.length("name") >= 4).groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "name").limit(most)
+    # Written, as every use would read all texts again.
+    top = cut(words.filter(F.length("name") >= 4).groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "name").limit(most))
     # The few top rows are numbered by how many stand before each.
     other = top.select(F.col("name").alias("_m"), F.col("n").alias("_n"))
     before = top.join(F.broadcast(other), (F.col("_n") > F.col("n")) | ((F.col("_n") == F.col("n")) & (F.col("_m") < F.col("name"))), "left")

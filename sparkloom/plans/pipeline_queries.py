@@ -23,11 +23,33 @@ def _triples(out: pipeline.Result):
     return out.triples.select("subj_name", "subj_type", "predicate", "obj_name", "obj_type", F.col("confidence"))
 
 
-@Q.add()
+#: Sentences end where white space follows a full stop or its like; each name counts where its first word of a sentence stands.
+SENTENCES = r"""
+     s AS (SELECT unnest(string_split(regexp_replace(text, '([.!?。！？])[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', '\1' || chr(1), 'g'), chr(1))) AS sentence FROM t WHERE text IS NOT NULL),
+     w AS (SELECT row_number() OVER () AS id, regexp_extract_all(sentence, '[\p{L}\p{N}_]+') AS words FROM s),
+     p AS (SELECT id, name, type, list_position(words, name) AS place FROM w, n WHERE list_contains(words, name)),
+     x AS (SELECT name AS subj_name, type AS subj_type, lead(name) OVER (PARTITION BY id ORDER BY place) AS obj_name, lead(type) OVER (PARTITION BY id ORDER BY place) AS obj_type FROM p)
+SELECT DISTINCT subj_name, subj_type, 'near' AS predicate, obj_name, obj_type, 1.0::DOUBLE AS confidence FROM x WHERE obj_name IS NOT NULL
+"""
+#: The forty words of four letters or more that most documents hold, as three types; documents in groups of eight.
+PIPELINE_SQL = r"""
+WITH v AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{4,}')) AS name FROM documents),
+     n AS (SELECT name, 'T' || ((row_number() OVER (ORDER BY count(*) DESC, name) - 1) % 3) AS type FROM v GROUP BY name ORDER BY count(*) DESC, name LIMIT 40),
+     d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, coalesce(text, '') AS text FROM documents),
+     t AS (SELECT string_agg('[Doc ' || place || '] ' || text, chr(10) || chr(10) ORDER BY place) AS text FROM d GROUP BY place // 8),
+""" + SENTENCES
+
+
+@Q.add(PIPELINE_SQL)
 def kg_pipeline(spark, d):
-    """The standard strategy over whole documents: entities, groups with candidates, relations, canonical predicates, co-occurrences, triples."""
+    """The standard strategy over whole documents and a gazetteer from them: entities, groups with candidates, relations, canonical predicates, co-occurrences, triples."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return _triples(pipeline.run(spark, docs, ONTOLOGY, lambda: pipeline.GazetteerBackend(NAMES, "near"), pipeline.Config(paragraph_separator="\n", chars_per_doc=WHOLE)))
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]{4,}"), 0))).alias("name"))
+    top = words.groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "name").limit(40).collect()
+    names = {r["name"]: f"T{i % 3}" for i, r in enumerate(top)}
+    schema = Ontology("words", "three kinds of words", tuple(EntityType(f"T{i}") for i in range(3)), (RelationType("meets", domain="T0", range="T1"),))
+    config = pipeline.Config(paragraph_separator="\n", chars_per_doc=WHOLE, max_chunks=WHOLE)
+    return _triples(pipeline.run(spark, docs, schema, lambda: pipeline.GazetteerBackend(names, "near"), config))
 
 
 class LongWords(pipeline.Backend):
@@ -56,15 +78,9 @@ def gleaning_chunks(spark, d):
     return pipeline.gleaned(cut(entities), docs, LongWords, "", config).select("name", "type", "confidence", "description")
 
 
-#: Sentences end where white space follows a full stop or its like; each name counts where its first word of a sentence stands.
 FAST_SQL = r"""
-WITH s AS (SELECT unnest(string_split(regexp_replace(text, '([.!?。！？])[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', '\1' || chr(1), 'g'), chr(1))) AS sentence FROM documents WHERE text IS NOT NULL),
-     w AS (SELECT row_number() OVER () AS id, regexp_extract_all(sentence, '[\p{L}\p{N}_]+') AS words FROM s),
-     n AS (SELECT * FROM (VALUES ('that', 'A'), ('this', 'B'), ('with', 'A'), ('from', 'B'), ('they', 'A')) AS t(name, type)),
-     p AS (SELECT id, name, type, list_position(words, name) AS place FROM w, n WHERE list_contains(words, name)),
-     x AS (SELECT name AS subj_name, type AS subj_type, lead(name) OVER (PARTITION BY id ORDER BY place) AS obj_name, lead(type) OVER (PARTITION BY id ORDER BY place) AS obj_type FROM p)
-SELECT DISTINCT subj_name, subj_type, 'near' AS predicate, obj_name, obj_type, 1.0::DOUBLE AS confidence FROM x WHERE obj_name IS NOT NULL
-"""
+WITH t AS (SELECT text FROM documents), n AS (SELECT * FROM (VALUES ('that', 'A'), ('this', 'B'), ('with', 'A'), ('from', 'B'), ('they', 'A')) AS t(name, type)),
+""" + SENTENCES
 
 
 @Q.add(FAST_SQL)
