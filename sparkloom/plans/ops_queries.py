@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sparkloom.lineage import fresh
 from sparkloom.operators import dedup, graph, ontology, ops
 from sparkloom.plans.base import Queries, table
+from sparkloom.sources import sinks
 from sparkloom.streaming import deltas
 from sparkloom.streaming import events as stream
 
@@ -66,17 +67,28 @@ def message_compaction(spark, d):
     return ops.compact(m, 4)
 
 
-PHASES = "SELECT * FROM VALUES (0, 'entities', 40.0D), (1, 'relations', 20.0D), (2, 'quality', 15.0D), (3, 'triples', 25.0D) AS t(ord, phase, weight)"
-
-
-@Q.add("WITH p(ord, phase, weight) AS (VALUES (0, 'entities', 40.0), (1, 'relations', 20.0), (2, 'quality', 15.0), (3, 'triples', 25.0)) SELECT ord, phase, least(98.0, 100.0 * sum(weight) OVER (ORDER BY ord) / sum(weight) OVER ())::DOUBLE AS done_share FROM p")
+@Q.add("WITH p AS (SELECT min(event_id) AS ord, event_type AS phase, count(*)::DOUBLE AS weight FROM events GROUP BY event_type) SELECT ord, phase, least(98.0, 100.0 * sum(weight) OVER (ORDER BY ord) / sum(weight) OVER ())::DOUBLE AS done_share FROM p")
 def phase_progress(spark, d):
-    return ops.phase_progress(spark.sql(PHASES))
+    """Kinds of events as phases, in order of their first event, weighted by how many there are."""
+    e = table(spark, d, "events").groupBy(F.col("event_type").alias("phase")).agg(F.min("event_id").alias("ord"), F.count(F.lit(1)).cast("double").alias("weight"))
+    return ops.phase_progress(e)
 
 
-@Q.add("SELECT o_orderkey AS build_id, o_orderdate AS at FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 10")
+@Q.add("""
+WITH b AS (SELECT row_number() OVER (ORDER BY r_regionkey) AS number, r_name AS build_id, count(n_nationkey) AS n_rows FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name)
+SELECT number, build_id, 'build ' || number AS summary, n_rows FROM b ORDER BY number DESC LIMIT 3
+""")
 def build_history(spark, d):
-    return ops.history(table(spark, d, "orders").select(F.col("o_orderkey").alias("build_id"), F.col("o_orderdate").alias("at")))
+    """A build for each region under a commit log, the last three of its history, and what each version holds."""
+    log, nations = sinks.Snapshots(spark, fresh(spark, "history")), table(spark, d, "nation")
+    regions = table(spark, d, "region").orderBy("r_regionkey").limit(100).collect()  # one commit each
+    for i, r in enumerate(regions, 1):
+        log.commit(r["r_name"], f"build {i}", nations=nations.filter(F.col("n_regionkey") == r["r_regionkey"]))
+    sizes = None
+    for r in regions:
+        own = log.read("nations", r["r_name"]).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("build_id", F.lit(r["r_name"]))
+        sizes = own if sizes is None else sizes.unionByName(own)
+    return log.history(3).join(sizes, "build_id").select("number", "build_id", "summary", "n_rows")
 
 
 PARENT_SQL = """

@@ -176,9 +176,10 @@ def strategy_auto(spark, d):
     return ops.strategy(_stats(spark, d))
 
 
-@Q.add(STATS + "SELECT *, CASE WHEN n_text = 0 OR (n_text = 1 AND avg_chars < 5000) THEN 'text-to-ontology' WHEN 40 / greatest(1, total_chars / 100) > 5 AND n_text >= 3 THEN 'affinity-clustering' WHEN avg_chars > 10000 AND n_text <= 3 THEN 'ht-relation-to-ontology' WHEN avg_chars > 3000 THEN 'relation-to-ontology' ELSE 'text-to-ontology' END AS mode FROM s")
+@Q.add(STATS + ", nn AS (SELECT count(*) AS nouns FROM (" + NOUN_SQL + ")) SELECT s.*, CASE WHEN n_text = 0 OR (n_text = 1 AND avg_chars < 5000) THEN 'text-to-ontology' WHEN nouns / greatest(1, total_chars / 100) > 5 AND n_text >= 3 THEN 'affinity-clustering' WHEN avg_chars > 10000 AND n_text <= 3 THEN 'ht-relation-to-ontology' WHEN avg_chars > 3000 THEN 'relation-to-ontology' ELSE 'text-to-ontology' END AS mode FROM s, nn")
 def ontology_mode_auto(spark, d):
-    return ops.ontology_mode(_stats(spark, d), spark.sql("SELECT 40 AS n"))
+    """By number and length of documents and the nouns that they hold."""
+    return ops.ontology_mode(_stats(spark, d), noun_candidates(spark, d).agg(F.count(F.lit(1)).alias("n")))
 
 
 @Q.add("SELECT doc_id, CAST(floor(length(coalesce(text, '')) / 4) AS BIGINT) AS tokens FROM documents")
