@@ -50,25 +50,21 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     out = out.withColumn("_lines", F.when(F.contains("_text", F.lit("\n")), lines).otherwise(F.array().cast("array<string>")))
     out = out.withColumn("_n_lines", F.size("_lines").cast("long"))
     out = out.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-    # Three words joined by a space, which no word holds, are equal where the words are.
-    out = out.withColumn(
-        "_grams",
-        F.when(F.col("n_words") < 4, F.array().cast("array<string>")).otherwise(
-            F.transform(F.sequence(F.lit(0), (F.col("n_words") - 3).cast("int")), lambda i: F.concat_ws(" ", F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)))
-        ),
-    )
-    out = out.withColumn("_ids", F.transform("_grams", lambda g: F.xxhash64(g)))
+    # Windows are hashes; words are compared where hashes are equal.
+    ids = F.transform(F.sequence(F.lit(0), (F.col("n_words") - 3).cast("int")), lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)))
+    out = out.withColumn("_ids", F.when(F.col("n_words") < 4, F.array().cast("array<bigint>")).otherwise(ids))
     out = out.withColumn("_any", F.size("_ids") > F.size(F.array_distinct("_ids")))
-    # Windows in order of their words, then place: an equal neighbour makes one repeated.
-    empty = F.array().cast("array<struct<g:string,i:int>>")
-    out = out.withColumn("_sorted", F.when(F.col("_any"), F.sort_array(F.transform("_grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))).otherwise(empty))
-    here = lambda i: F.get("_sorted", i)["g"]
-    out = out.withColumn("_places", F.sort_array(F.transform(F.filter(F.transform("_sorted", lambda s, i: F.struct(s["i"].alias("at"), ((s["g"] == F.coalesce(here(i + 1), F.lit(""))) | (s["g"] == F.coalesce(here(i - 1), F.lit("")))).alias("same"))), lambda s: s["same"]), lambda s: s["at"])))
+    # In order of their hashes, then places: an equal neighbour makes a window repeated.
+    empty = F.array().cast("array<struct<h:bigint,i:int>>")
+    out = out.withColumn("_sorted", F.when(F.col("_any"), F.sort_array(F.transform("_ids", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(empty))
+    word = lambda s, k: F.get("_words", s["i"] + k)
+    equal = lambda s, t: F.coalesce((s["h"] == t["h"]) & (word(s, 0) == word(t, 0)) & (word(s, 1) == word(t, 1)) & (word(s, 2) == word(t, 2)), F.lit(False))
+    out = out.withColumn("_places", F.sort_array(F.transform(F.filter("_sorted", lambda s, i: equal(s, F.get("_sorted", i + 1)) | equal(s, F.get("_sorted", i - 1))), lambda s: s["i"])))
     # Each place covers three words, less those that the next place covers as well.
     covered = F.aggregate(F.transform("_places", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("_places", i + 1) - p, F.lit(3)))), F.lit(0).cast("long"), lambda a, x: a + x)
     out = out.withColumn("n_repeat_words", covered)
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    return out.drop("_text", "_words", "_lines", "_grams", "_ids", "_any", "_sorted", "_places")
+    return out.drop("_text", "_words", "_lines", "_ids", "_any", "_sorted", "_places")
 
 
 def _measured(df: DataFrame) -> DataFrame:
@@ -112,8 +108,7 @@ def fences(rows: DataFrame, min_group: int, reach: float) -> DataFrame:
         groups = rows.groupBy(*keys).agg(F.count(sound("n_words")).alias("_n"), *(quartiles(f).alias(f"{prefix}_{f}") for f in FEATURES))
         return groups.select(*keys, *(F.when(F.col("_n") >= min_group, F.col(f"{prefix}_{f}")).alias(f"{prefix}_{f}") for f in FEATURES))
 
-    # The groups are written: joins and counts below read them and not the features again.
-    groups, _ = written(sketched("_own", "_lang", "_source"), "fences")
+    groups = sketched("_own", "_lang", "_source")
     tongues = sketched("_tongue", "_lang").withColumnRenamed("_lang", "_of_lang")
     at_all = rows.agg(*(quartiles(f).alias(f) for f in FEATURES)).first()  # one row
     out = groups.join(tongues, F.col("_lang").eqNullSafe(F.col("_of_lang")), "left")
