@@ -26,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut, table
+from sparkloom.llm.common import cut, drop, table, written
 from sparkloom.llm.tokens import encode_whole, encoder
 
 LIMIT, END_ID = 2048, 0
@@ -156,3 +156,63 @@ def best_fit(docs: DataFrame, vocabulary: str | None = None, added_tokens: bool
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(table(spark, sf_dir, "documents"), added_tokens=True)
+
+
+def sweep(pieces: DataFrame, gaps: DataFrame) -> DataFrame:
+    """(piece_id, sequence_id): each gap with the largest piece that it holds and no smaller gap has taken, each piece once. pieces: piece_id, length; gaps: sequence_id, room.
+
+    Both are range-sorted by size in one table, where a piece opens and a gap closes a bracket: brackets that belong
+    together have one depth and nothing of that depth between them. Depths are running sums, of which one number a
+    partition goes to the driver; conflicts for a gap are settled by rank within a depth.
+    """
+    both = pieces.select("length", F.lit(0).alias("kind"), F.col("piece_id").alias("id")).unionByName(gaps.select(F.col("room").alias("length"), F.lit(1).alias("kind"), F.col("sequence_id").alias("id")))
+    keys = ["length", "kind", "id"]
+    rows = both.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id())
+    rows, path = written(rows.withColumn("part", F.shiftright("at", 33)), "brackets")
+    sums = {r["part"]: r["d"] for r in rows.groupBy("part").agg(F.sum(F.when(F.col("kind") == 0, 1).otherwise(-1)).alias("d")).collect()}
+    before, total = [], 0
+    for k in range(max(sums, default=0) + 1):
+        before.append(total)
+        total += sums.get(k, 0)
+    step = F.when(F.col("kind") == 0, 1).otherwise(-1)
+    depth = F.sum(step).over(Window.partitionBy("part").orderBy("at")) + F.get(F.lit(before), F.col("part").cast("int")) - F.when(F.col("kind") == 0, 1).otherwise(0)
+    same = Window.partitionBy("depth").orderBy("at")
+    rows = rows.withColumn("depth", depth).withColumn("next", F.lead(F.struct("kind", "id")).over(same))
+    found, _ = written(rows.filter((F.col("kind") == 0) & (F.col("next.kind") == 1)).select(F.col("id").alias("piece_id"), F.col("next.id").alias("sequence_id")), "matched")
+    drop(pieces.sparkSession, path)
+    return found
+
+
+def pack_by_sweeps(pieces: DataFrame, limit: int = LIMIT, stats: dict | None = None, most: int | None = None) -> DataFrame:
+    """(piece_id, sequence_id, offset) of pieces (piece_id, length) by sweeps over tables of pieces and of gaps: sizes from one half of the limit to the next at a time, the largest first; where no gap holds a piece that is left, as many sequences are opened as the rest would fill. ``most`` bounds the sweeps, for measuring.
+
+    README has what this costs beside ``pack``: a gap takes one piece a sweep, so small pieces take many.
+    """
+    spark = pieces.sparkSession
+    pieces = cut(pieces.select("piece_id", "length"))
+    gaps, opened, done, sweeps_made = spark.createDataFrame([], "sequence_id long, room long"), 0, None, 0
+    high = limit
+    while high:
+        low = high // 2
+        rest = pieces.filter((F.col("length") > low) & (F.col("length") <= high))
+        while (left := rest.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("s")).first())["n"]:
+            if most is not None and sweeps_made >= most:
+                high = 0
+                break
+            sweeps_made += 1
+            found = sweep(rest, gaps.filter(F.col("room") > low))
+            n = found.count()
+            if not n:
+                more = -(-left["s"] // limit)
+                new = spark.range(opened, opened + more).select(F.col("id").alias("sequence_id"), F.lit(limit).cast("long").alias("room"))
+                gaps, opened = cut(gaps.unionByName(new)), opened + more
+                continue
+            placed = rest.join(found, "piece_id").join(gaps, "sequence_id").select("piece_id", "sequence_id", "length", (F.lit(limit) - F.col("room")).alias("offset"))
+            placed = cut(placed)
+            done = placed if done is None else done.unionByName(placed)
+            gaps = cut(gaps.join(placed.select("sequence_id", "length"), "sequence_id", "left").select("sequence_id", (F.col("room") - F.coalesce("length", F.lit(0))).alias("room")))
+            rest = cut(rest.join(found, "piece_id", "left_anti"))
+        high = low if high else 0
+    if stats is not None:
+        stats |= {"sweeps": sweeps_made, "sequences": opened}
+    return done.select("piece_id", "sequence_id", "offset") if done is not None else spark.createDataFrame([], "piece_id long, sequence_id long, offset long")

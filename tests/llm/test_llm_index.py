@@ -155,6 +155,33 @@ def test_sweeps_are_best_fit():
         assert max(used.values()) <= limit and len(used) == spec_best_fit(sizes, limit), sizes
 
 
+def test_sweeps_over_tables(spark):
+    """Every piece once, no overlap, nothing beyond the limit, and not many more sequences than best-fit takes."""
+    draw = random.Random(4)
+    sizes = [draw.choice([draw.randint(60, 128), draw.randint(20, 60), draw.randint(9, 20)]) for _ in range(60)] + [128, 128, 64, 64]
+    stats = {}
+    rows = packing.pack_by_sweeps(spark.createDataFrame(list(enumerate(sizes)), "piece_id long, length long"), 128, stats).collect()
+    assert sorted(r.piece_id for r in rows) == list(range(len(sizes)))
+    by = defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append((r.offset, sizes[r.piece_id]))
+    for own in by.values():
+        end = 0
+        for offset, n in sorted(own):
+            assert offset == end
+            end += n
+        assert end <= 128
+    assert len(by) <= 1.15 * spec_best_fit(sizes, 128) and stats["sweeps"] < 60
+
+
+def test_a_sweep_matches_by_rank(spark):
+    """Of several pieces a gap takes the largest that it holds; each of equal gaps takes one."""
+    pieces = spark.createDataFrame([(1, 5), (2, 5), (3, 9), (4, 3), (5, 20)], "piece_id long, length long").repartition(3)
+    gaps = spark.createDataFrame([(10, 5), (11, 6), (12, 10), (13, 2)], "sequence_id long, room long").repartition(2)
+    got = {r.sequence_id: r.piece_id for r in packing.sweep(pieces, gaps).collect()}
+    assert got[12] == 3 and {got[10], got[11]} == {1, 2} and set(got) == {10, 11, 12}
+
+
 def test_top_k(spark, tmp_path):
     draw = np.random.default_rng(5)
     rows = [(i, [float(x) for x in draw.normal(size=8)]) for i in range(200)]
