@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,9 +31,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as Spark reads it: without one it lies in the default file system, which on a cluster is none of one machine."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    return re.sub("^file:/(?=[^/])", "file:///", found)
+
+
 def fresh(spark: SparkSession, kind: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, with its scheme."""
+    return qualified(spark, f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}")
 
 
 def written(df: DataFrame, kind: str = "rows") -> tuple[DataFrame, str]:

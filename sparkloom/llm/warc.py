@@ -55,7 +55,7 @@ GZIP = struct.Struct("<2sBBIBBH2sHI")
 
 
 def filesystem(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """The store of a path with or without a scheme, and the path in it."""
+    """The store of a path and the path in it. A path without a scheme is local here; ``common.qualified`` gives it the one that Spark would."""
     return pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
 
 

@@ -631,6 +631,22 @@ def test_warc_without_ids(spark, tmp_path):
     assert sorted(got, key=str) == sorted([(None, 150, "response", None)] * 2 + [(3, 150, "response", None), (4, 150, "revisit", 3)], key=str)
 
 
+def test_paths_are_those_of_spark(spark):
+    """Without a scheme a path lies in Spark's default file system; new paths carry theirs."""
+    from sparkloom.llm import common
+
+    assert common.qualified(spark, "/a/b") == "file:///a/b" and common.qualified(spark, "file:///a b") == "file:///a b"
+    assert "://" in common.fresh(spark, "x") and warc.filesystem(common.fresh(spark, "x"))[1].startswith("/")
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "viewfs://store/")
+    conf.set("fs.viewfs.mounttable.store.link./in", "file:///tmp")
+    try:
+        assert common.qualified(spark, "/in/x") == "viewfs://store/in/x"
+    finally:
+        conf.set("fs.defaultFS", before)
+
+
 def test_warc_empty(spark, tmp_path):
     warc.register(spark)
     none = spark.createDataFrame([], "page_id long, url string, html string")
