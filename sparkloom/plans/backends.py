@@ -10,8 +10,10 @@ unreadable is tried again.
 from __future__ import annotations
 
 import difflib
+import hashlib
 import json
 import re
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
@@ -200,6 +202,38 @@ class ModelBackend(Backend):
         return found if isinstance(found, dict) else {}
 
 
+class Ledger:
+    """A model's answers by prompt under a folder that all executors share: what has been asked once, by whichever task, is read and not asked again.
+
+    A task that is lost and comes again pays only for prompts that had no answer yet. An answer is one file, named by a hash
+    of ``version`` and the prompt, so another model or setting has answers of its own; a file that was not written to its end counts as none. The path
+    has a scheme unless it is local.
+    """
+
+    def __init__(self, ask: Callable[[str], str], path: str, version: str = ""):
+        self.ask, self.path, self.version = ask, path.rstrip("/"), version
+
+    def __call__(self, prompt: str) -> str:
+        import pyarrow.fs
+
+        key = hashlib.sha256(f"{self.version}\n{prompt}".encode()).hexdigest()
+        fs, root = pyarrow.fs.FileSystem.from_uri(self.path) if "://" in self.path else (pyarrow.fs.LocalFileSystem(), self.path)
+        folder, name = f"{root}/{key[:2]}", f"{key}.json"
+        if fs.get_file_info(f"{folder}/{name}").type == pyarrow.fs.FileType.File:
+            with fs.open_input_stream(f"{folder}/{name}") as f:
+                try:
+                    return json.loads(f.read())["answer"]
+                except (ValueError, KeyError):
+                    pass
+        answer = self.ask(prompt)
+        fs.create_dir(folder, recursive=True)
+        draft = f"{folder}/.{uuid.uuid4().hex}"
+        with fs.open_output_stream(draft) as f:
+            f.write(json.dumps({"answer": answer}, ensure_ascii=False).encode())
+        fs.move(draft, f"{folder}/{name}")
+        return answer
+
+
 def guide_of(ontology: Ontology | None, names: Iterable[str] | None = None, most: int | None = None) -> str:
     """The schema as text, with only the relation types that are named where they are."""
     if ontology is None:

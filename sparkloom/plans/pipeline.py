@@ -69,6 +69,8 @@ class Config:
     #: Entities that make text extraction needless where tables are the main matter.
     enough: int = 10
     mapping_rows: int = 5
+    #: Calls of a model in flight at most, each in a task of its own; 0 is no bound.
+    calls: int = 0
 
     @classmethod
     def load(cls, path: str | None = None, env: dict[str, str] | None = None, prefix: str = "SPARKLOOM_") -> Config:
@@ -174,8 +176,10 @@ def _relation(r: dict) -> tuple | None:
 ENTITY_COLUMNS, RELATION_COLUMNS = ([c.split()[0] for c in s.split(", ")] for s in (ENTITY, RELATION))
 
 
-def _spoken(parts: DataFrame, make: Callable[[], Backend], say: Callable[[Backend, dict], Iterable[tuple | None]], kind: str, names: list[str]) -> DataFrame:
-    """(at, chunk_idx, pos, columns): what the backend says of each row of parts, which are given as dictionaries."""
+def _spoken(parts: DataFrame, make: Callable[[], Backend], say: Callable[[Backend, dict], Iterable[tuple | None]], kind: str, names: list[str], calls: int = 0) -> DataFrame:
+    """(at, chunk_idx, pos, columns): what the backend says of each row of parts, which are given as dictionaries; in ``calls`` tasks at most where that is given."""
+    if calls:
+        parts = parts.repartition(calls)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         backend = make()
@@ -190,9 +194,9 @@ def _placed(found: DataFrame) -> DataFrame:
     return found.withColumn("seq", _seq("at", "chunk_idx", "pos")).drop("at", "chunk_idx", "pos")
 
 
-def extract_entities(parts: DataFrame, make: Callable[[], Backend], guide: str = "") -> DataFrame:
+def extract_entities(parts: DataFrame, make: Callable[[], Backend], guide: str = "", calls: int = 0) -> DataFrame:
     """(seq, entity columns) of all chunks."""
-    return _placed(_spoken(parts, make, lambda backend, row: map(_entity, backend.entities(row["text"], guide)), ENTITY, ENTITY_COLUMNS))
+    return _placed(_spoken(parts, make, lambda backend, row: map(_entity, backend.entities(row["text"], guide)), ENTITY, ENTITY_COLUMNS, calls))
 
 
 def relation_calls(groups: DataFrame, entities: DataFrame, ontology: Ontology, config: Config) -> DataFrame:
@@ -210,14 +214,14 @@ def relation_calls(groups: DataFrame, entities: DataFrame, ontology: Ontology, c
     return out.select(F.col("grp").cast("long").alias("at"), F.lit(0).alias("chunk_idx"), "text", "names", "types")
 
 
-def extract_relations(calls: DataFrame, make: Callable[[], Backend], ontology: Ontology) -> DataFrame:
+def extract_relations(calls: DataFrame, make: Callable[[], Backend], ontology: Ontology, most: int = 0) -> DataFrame:
     """(seq, relation columns) of all groups."""
 
     def say(backend: Backend, row: dict):
         known = [{"name": x["name"], "type": x["type"]} for x in (row["names"] if row["names"] is not None else [])]
         return map(_relation, backend.relations(row["text"], known, guide_of(ontology, row["types"])))
 
-    return _placed(_spoken(calls, make, say, RELATION, RELATION_COLUMNS))
+    return _placed(_spoken(calls, make, say, RELATION, RELATION_COLUMNS, most))
 
 
 def _head(docs: DataFrame, each: int, total: int) -> str:
@@ -242,14 +246,14 @@ def glean_calls(parts: DataFrame, entities: DataFrame, most: int) -> DataFrame:
     return parts.join(names, ["at", "chunk_idx"], "left")
 
 
-def extract_gleaned(calls: DataFrame, make: Callable[[], Backend], guide: str = "") -> DataFrame:
+def extract_gleaned(calls: DataFrame, make: Callable[[], Backend], guide: str = "", most: int = 0) -> DataFrame:
     """(seq, entity columns) of what a second look at every chunk finds beside what is known there."""
 
     def say(backend: Backend, row: dict):
         known = [{"name": x["name"], "type": x["type"]} for x in (row["names"] if row["names"] is not None else [])]
         return map(_entity, backend.glean(row["text"], known, guide))
 
-    found = _placed(_spoken(calls, make, say, ENTITY, ENTITY_COLUMNS))
+    found = _placed(_spoken(calls, make, say, ENTITY, ENTITY_COLUMNS, most))
     return found.withColumn("seq", (F.lit(Decimal(GLEANED)).cast(NUMBER) + F.col("seq")).cast(NUMBER))
 
 
@@ -264,7 +268,7 @@ def gleaned(entities: DataFrame, docs: DataFrame, make: Callable[[], Backend], g
         calls = parts.join(F.broadcast(names)).filter(F.size("names") > 0)  # one row each
     else:
         calls = glean_calls(parts, entities, config.glean_known)
-    more = dedup.best_of(cut(extract_gleaned(calls, make, guide[: config.guide_chars])), name=F.col("name"), type=F.col("type"))
+    more = dedup.best_of(cut(extract_gleaned(calls, make, guide[: config.guide_chars], config.calls)), name=F.col("name"), type=F.col("type"))
     both = dedup.gleaning_merge(entities, more)
     rest = dedup.first_of(entities.unionByName(more), name=F.col("name"), type=F.col("type")).select("name", "type", "mention", "attributes")
     return both.join(rest, ["name", "type"]).select(*entities.columns)
@@ -326,7 +330,7 @@ def run_fast(docs: DataFrame, make: Callable[[], Backend], guide: str, config: C
             yield (*[None] * len(ENTITY_COLUMNS), *r)
 
     own = lambda c: c.replace("confidence", "sure")
-    said = write("combined", _placed(_spoken(heads, make, say, f"{ENTITY}, {own(RELATION)}", [*ENTITY_COLUMNS, *map(own, RELATION_COLUMNS)])))
+    said = write("combined", _placed(_spoken(heads, make, say, f"{ENTITY}, {own(RELATION)}", [*ENTITY_COLUMNS, *map(own, RELATION_COLUMNS)], config.calls)))
     entities = dedup.entities_exact(said.filter("name is not null").select(*ENTITY_COLUMNS, "seq"))
     relations = said.filter("subject is not null").withColumn("confidence", F.col("sure")).select(*RELATION_COLUMNS, "seq")
     relations = dedup.best_of(relations, **{c: F.col(c) for c in ("subject", "predicate", "object")})
@@ -363,14 +367,14 @@ def run(
         table_entities = table_entities.unionByName(known, allowMissingColumns=True)
     # Where tables are the main matter and say enough, texts are not asked.
     skip = kind == "code" and table_entities.limit(config.enough + 1).count() > config.enough
-    found = none_e if skip or "entities" not in config.stages else extract_entities(chunks(docs, config), make, guide)
+    found = none_e if skip or "entities" not in config.stages else extract_entities(chunks(docs, config), make, guide, config.calls)
     entities = stage("entities", lambda: dedup.entities_exact(found.unionByName(table_entities)))
     if config.gleaning and not skip and "entities" in config.stages:
         entities = stage("gleaning", lambda: gleaned(entities, docs, make, guide, config))
     spoken = none_r
     if "relations" in config.stages and not skip:
         groups = write("groups", graph.doc_groups(docs, config.docs_per_group, config.chars_per_doc))
-        spoken = extract_relations(relation_calls(groups, entities, ontology, config), make, ontology)
+        spoken = extract_relations(relation_calls(groups, entities, ontology, config), make, ontology, config.calls)
     relations = stage("relations", lambda: dedup.relations_first(spoken.unionByName(table_relations)))
     types = ontology.relation_frame(spark)
     if canonical is None and ontology.relation_types:

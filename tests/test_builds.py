@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.operators import graph, ontology, ops
-from sparkloom.plans import pipeline
+from sparkloom.plans import backends, pipeline
 from sparkloom.sources import sinks
 from sparkloom.streaming import deltas
 from sparkloom.streaming import events as stream
@@ -173,3 +173,23 @@ def test_relation_types_without_a_product(spark):
             matched = lambda t: (t[2] in seen) or (t[3] in seen) or any(len(w) > 3 and w in text for w in t[1].split("_"))  # noqa: B023, E731
             want |= {(g, t[0], matched(t)) for t in sorted(types, key=lambda t: (not matched(t), t[0]))[:most]}
         assert {(r.grp, r.ord, r.matched) for r in got.collect()} == want
+
+
+def test_a_ledger_asks_once(spark, tmp_path):
+    """A second run over the same chunks asks nothing; half-written answers count as none; a bound on calls is a bound on tasks."""
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def ask(prompt, folder=str(asked)):
+        import uuid
+
+        open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+        return '[{"name": "A", "type": "T"}]'
+
+    parts = spark.createDataFrame([(i, 0, f"text {i % 7}") for i in range(20)], "at long, chunk_idx int, text string").repartition(1)
+    make = lambda: pipeline.ModelBackend(backends.Ledger(ask, f"file://{tmp_path}/ledger", "m1"))
+    assert pipeline.extract_entities(parts, make).count() == 20 and len(list(asked.iterdir())) == 7
+    assert pipeline.extract_entities(parts.repartition(4), make).count() == 20 and len(list(asked.iterdir())) == 7
+    next((tmp_path / "ledger").glob("*/*.json")).write_text('{"ans')
+    assert pipeline.extract_entities(parts, make, calls=3).rdd.getNumPartitions() == 3
+    assert pipeline.extract_entities(parts, make).count() == 20 and len(list(asked.iterdir())) == 8
