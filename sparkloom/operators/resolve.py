@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions.text import normalize_name, strip
 from sparkloom.lineage import cut
 from sparkloom.operators.dedup import first_of
-from sparkloom.operators.occur import first_held, first_holder
+from sparkloom.operators.occur import first_held, first_holder, holding
 from sparkloom.operators.ratio import ratio_join
 
 #: Penalty and bounds of each level.
@@ -152,3 +152,36 @@ def entity_match(a: Column, b: Column) -> Column:
     inside = ((F.length(na) >= 2) & F.contains(nb, na)) | ((F.length(nb) >= 2) & F.contains(na, nb))
     near = (F.length(na) <= 20) & (F.length(nb) <= 20) & (F.levenshtein(na, nb, 3) >= 0)
     return (na != "") & (nb != "") & ((na == nb) | inside | near)
+
+
+#: Names up to so many letters are close within so many edits.
+CLOSE, EDITS = 20, 3
+
+
+def within_edits(norms: DataFrame) -> DataFrame:
+    """(x, y) of different strings n of at most ``CLOSE`` letters that are ``EDITS`` edits apart at most, in both orders.
+
+    A string cut into EDITS + 1 pieces keeps one of them whole under so many edits, shifted by no more than these; so
+    strings meet by length, number and letters of a piece, and no two are compared that share none.
+    """
+    short = norms.filter(F.length("n") <= CLOSE).select("n", F.length("n").alias("size"))
+    pieces = EDITS + 1
+    start = lambda size, i: F.floor(i * size / pieces).cast("int")
+    cuts = short.select(F.col("n").alias("y"), "size", F.explode(F.sequence(F.lit(0), F.lit(EDITS))).alias("i"))
+    cuts = cuts.select("y", "size", "i", F.substring(F.col("y"), start(F.col("size"), F.col("i")) + 1, start(F.col("size"), F.col("i") + 1) - start(F.col("size"), F.col("i"))).alias("piece"))
+    asked = short.select(F.col("n").alias("x"), F.col("size").alias("own"), F.explode(F.sequence(F.greatest(F.lit(1), F.col("size") - EDITS), F.col("size") + EDITS)).alias("size"))
+    asked = asked.select("x", "own", "size", F.explode(F.sequence(F.lit(0), F.lit(EDITS))).alias("i"))
+    at, n = start(F.col("size"), F.col("i")), start(F.col("size"), F.col("i") + 1) - start(F.col("size"), F.col("i"))
+    asked = asked.select("x", "own", "size", "i", n.alias("n"), F.explode(F.sequence(at - EDITS, at + EDITS)).alias("at")).filter("at >= 0 AND at + n <= own")
+    asked = asked.select("x", "size", "i", F.substring(F.col("x"), F.col("at") + 1, F.col("n")).alias("piece")).distinct()
+    return asked.join(cuts, ["size", "i", "piece"]).filter((F.col("x") != F.col("y")) & (F.levenshtein("x", "y", EDITS) >= 0)).select("x", "y").distinct()
+
+
+def match_pairs(names: DataFrame) -> DataFrame:
+    """(a, b) of all names (name) that ``entity_match`` holds for, a before b: by equal normalised names, by containment and by edits, each a join on what such names share."""
+    own = names.select("name").distinct().select("name", normalize_name(F.col("name")).alias("n")).filter("n <> ''")
+    norms = cut(own.select("n").distinct())
+    inside = holding(norms.select(F.col("n").alias("x")), "x", norms.filter(F.length("n") >= 2).select(F.col("n").alias("y")), "y")
+    pairs = inside.unionByName(inside.select(F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(within_edits(norms)).unionByName(norms.select(F.col("n").alias("x"), F.col("n").alias("y"))).distinct()
+    a, b = own.select(F.col("name").alias("a"), F.col("n").alias("x")), own.select(F.col("name").alias("b"), F.col("n").alias("y"))
+    return pairs.join(a, "x").join(b, "y").filter("a < b").select("a", "b")

@@ -285,8 +285,7 @@ SELECT a.name AS a, b.name AS b FROM m a JOIN m b ON a.name < b.name WHERE a.n <
 def entity_match_pairs(spark, d):
     n = table(spark, d, "nation").select("n_name")
     names = table(spark, d, "part").select(F.col("p_brand").alias("name")).union(n).union(n.select(F.concat(F.lower("n_name"), F.lit("s")))).distinct()
-    a, b = names.select(F.col("name").alias("a")), names.select(F.col("name").alias("b"))
-    return a.join(b, (F.col("a") < F.col("b")) & resolve.entity_match(F.col("a"), F.col("b")))
+    return resolve.match_pairs(names)
 
 
 PLACE_SQL = """

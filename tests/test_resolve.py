@@ -234,6 +234,20 @@ def test_entity_match(spark):
     assert df.filter(resolve.entity_match(F.col("a"), F.col("b")) != F.col("y")).count() == 0
 
 
+def test_match_pairs_without_a_product(spark):
+    """All pairs that entity_match holds for, by joins on what such names share."""
+    draw = random.Random(8)
+    names = sorted({"", "a", "ab", "abc", "abcd", "A B", "x" * 25, "x" * 26, *bent(draw, ["kitten", "mountain", "ab", "é", "stonework hall"], 90)})
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    both = spark.createDataFrame(pairs, "a string, b string")
+    want = {tuple(r) for r in both.filter(resolve.entity_match(F.col("a"), F.col("b"))).collect()}
+    out = resolve.match_pairs(df)
+    got = [tuple(r) for r in out.collect()]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert len(got) == len(set(got)) and set(got) == want and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
 def test_no_level_is_a_product(spark):
     """Without broadcasts, no level compares all names with all, nor do mentions and prefilters."""
     from sparkloom.operators import graph
