@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import re
 import zipfile
 from collections.abc import Callable, Iterator
@@ -144,20 +145,33 @@ def load_tsv(data: bytes):
     return _csv(data, "\t")
 
 
-def sheets(data: bytes) -> list[tuple[str, list[list[str]]]]:
-    """(name, rows of strings) of each sheet of a workbook."""
+def sheets(data: bytes) -> Iterator[tuple[str, Iterator[list[str]]]]:
+    """(name, rows of strings) of each sheet of a workbook. Rows are parsed as they are asked for and forgotten after, so memory does not grow with a sheet; those of one sheet are read before the next is asked for."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = set(z.namelist())
         shared = []
         if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in si.iter(SHEET + "t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(SHEET + "si")]
+            with z.open("xl/sharedStrings.xml") as f:
+                shared = ["".join(t.text or "" for t in si.iter(SHEET + "t")) for si in _elements(f, SHEET + "si")]
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        out = []
         for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(SHEET + "sheet"):
             target = targets[s.get(RELATION)].lstrip("/")
-            root = ElementTree.fromstring(z.read(target if target.startswith("xl/") else "xl/" + target))
-            out.append((s.get("name"), [_cells(r, shared) for r in root.iter(SHEET + "row")]))
-        return out
+            with z.open(target if target.startswith("xl/") else "xl/" + target) as f:
+                yield s.get("name"), (_cells(r, shared) for r in _elements(f, SHEET + "row"))
+
+
+def _elements(file, tag: str) -> Iterator[ElementTree.Element]:
+    """The elements of a name, each dropped from the tree once the next is asked for."""
+    path: list[ElementTree.Element] = []
+    for event, e in ElementTree.iterparse(file, ("start", "end")):
+        if event == "start":
+            path.append(e)
+            continue
+        path.pop()
+        if e.tag == tag:
+            yield e
+            if path:
+                path[-1].remove(e)
 
 
 def _cells(row, shared: list[str]) -> list[str]:
@@ -180,15 +194,45 @@ def _cells(row, shared: list[str]) -> list[str]:
 
 @register_loader(".xlsx", ".xls")
 def load_xlsx(data: bytes):
-    lines, total, book = [], 0, sheets(data)
-    for name, rows in book:
-        if rows:
-            lines += [f"Sheet: {name}", f"Columns: {', '.join(rows[0])}", f"Rows: {len(rows) - 1}", "", *table_text(rows[0], rows[1:], SHEET_ROWS), ""]
-            total += len(rows) - 1
+    lines, total, n_sheets = [], 0, 0
+    for name, rows in sheets(data):
+        n_sheets += 1
+        headers = next(rows, None)
+        if headers is not None:
+            first = list(itertools.islice(rows, SHEET_ROWS))
+            n = len(first) + sum(1 for _ in rows)
+            lines += [f"Sheet: {name}", f"Columns: {', '.join(headers)}", f"Rows: {n}", "", *table_text(headers, first, SHEET_ROWS), ""]
+            total += n
     text = "\n".join(lines)
     if total > SHEET_ROWS:
         text += f"\n... ({total - SHEET_ROWS} more rows)"
-    return text, {"sheets": str(len(book)), "rows": str(total)}, True
+    return text, {"sheets": str(n_sheets), "rows": str(total)}, True
+
+
+def read_workbooks(spark: SparkSession, path: str | list[str], recursive: bool = True, exclude: tuple[str, ...] = (), batch: int = 10_000) -> DataFrame:
+    """source, sheet, row (from 0, the headers), cells and error of all workbooks below the paths: a row of a sheet is a row here, so a workbook of any number of them is no one value. A workbook that breaks off has the rows before that and one row with the error."""
+    kind = "source string, sheet string, row bigint, cells array<string>, error string"
+    files = document_files(spark, path, recursive, exclude)
+    if files is None:
+        return spark.createDataFrame([], kind)
+    names = ["source", "sheet", "row", "cells", "error"]
+
+    def rows_of(source: str, data: bytes) -> Iterator[tuple]:
+        try:
+            for sheet, rows in sheets(data):
+                yield from ((source, sheet, i, cells, None) for i, cells in enumerate(rows))
+        except Exception as e:  # noqa: BLE001  a broken file must not end the scan
+            yield source, None, None, None, f"{type(e).__name__}: {e}"[:500]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for source, data in zip(b["path"], b["content"]):
+                rows = rows_of(source, bytes(data))
+                while some := list(itertools.islice(rows, batch)):
+                    yield pd.DataFrame(some, columns=names).astype({"row": "Int64"})
+
+    books = files.filter(F.rlike(F.lower("path"), F.lit(r"\.xlsx?$")))
+    return books.select("path", "content").mapInPandas(run, kind)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -46,6 +46,28 @@ def test_files_are_pruned_before_they_are_opened(spark, tmp_path):
     assert {r.filename for r in readers.read_documents(spark, str(tmp_path), recursive=False).collect()} == {"a.txt", "g.xlsx", "h.TXT"}
 
 
+def test_workbooks_as_rows(spark, tmp_path):
+    """Rows of workbooks stream by; memory does not grow with a sheet, and a broken one shows its error."""
+    import tracemalloc
+
+    _xlsx(tmp_path / "big.xlsx", [["id", "name"], *([i, f"n{i}"] for i in range(25_000))])
+    _xlsx(tmp_path / "gap.xlsx", [["a", "b", "c"], [1, None, "x"]])
+    (tmp_path / "bad.xlsx").write_bytes(b"PK no zip")
+    (tmp_path / "a.txt").write_text("text")
+    got = readers.read_workbooks(spark, str(tmp_path)).collect()
+    of = lambda n: sorted((r.row, r.cells) for r in got if r.source.endswith(n) and r.error is None)
+    assert of("gap.xlsx") == [(0, ["a", "b", "c"]), (1, ["1", "", "x"])] and of("big.xlsx")[-1] == (25_000, ["24999", "n24999"]) and len(of("big.xlsx")) == 25_001
+    assert [r.sheet for r in got if r.source.endswith("bad.xlsx")] == [None] and "BadZipFile" in next(r.error for r in got if r.error)
+    text, meta, tabular = readers.load_xlsx((tmp_path / "big.xlsx").read_bytes())
+    assert tabular and meta == {"sheets": "1", "rows": "25000"} and text.count("\n") < 220 and text.endswith("... (24800 more rows)")
+    data = (tmp_path / "big.xlsx").read_bytes()
+    tracemalloc.start()
+    for _, rows in readers.sheets(data):
+        assert sum(1 for _ in rows) == 25_001
+    assert tracemalloc.get_traced_memory()[1] < 4_000_000
+    tracemalloc.stop()
+
+
 def _nodes(plan):
     out, todo = [], [plan]
     while todo:
