@@ -74,6 +74,11 @@ def salt(*cols: str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(SALTS)).cast("int")
 
 
-def salted(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is shuffled and sorted, never sent whole through the driver. Spark takes an exploded side for as small as what it was exploded from, and Parquet for as small as its files, so either was broadcast at many times the threshold."""
+    return df.hint("merge")
+
+
+def salted(df: DataFrame, salts: int = SALTS) -> DataFrame:
     """df once for each salt, to meet rows whose key may hold any share of all rows."""
-    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return spread(df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))

@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import drop, written
+from sparkloom.llm.common import drop, salted, written
 
 
 SALTS = 16
@@ -15,7 +15,7 @@ SALTS = 16
 
 def _with_least(edges: DataFrame) -> DataFrame:
     """edges (a, b) with m, the smallest of a and its neighbours. Minima are reduced before the shuffle and come back over salted keys, so a node may have any share of the edges."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    least = salted(edges.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), SALTS)
     return edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(least, ["a", "salt"]).drop("salt")
 
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut, table
+from sparkloom.llm.common import cut, salted, spread, table
 from sparkloom.llm.components import components
 
 N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
@@ -176,7 +176,7 @@ def linked(copies: np.ndarray, sets: list[np.ndarray], side: np.ndarray, thresho
 
 def _salted(df: DataFrame) -> DataFrame:
     """df once for each salt, for rows of one key that are dealt to so many shares."""
-    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted(df, SALTS)
 
 
 def _salt(*cols: str):
@@ -214,7 +214,7 @@ def slots(members: DataFrame) -> DataFrame:
     own = planned.filter("parted").select("node", "comp", "salt", F.posexplode("bands").alias("band", "bucket")).join(_salted(buckets), ["comp", "band", "bucket", "salt"])
     own = own.groupBy("node").agg(F.collect_list(F.struct(F.xxhash64("comp", "band", "bucket").alias("group"), "size", "band")).cast(kind).alias("slots"))
     names = [c for c in members.columns if c != "salt"]
-    return planned.filter(~F.col("parted")).select(*names, whole).unionByName(planned.filter("parted").select(*names).join(own, "node"))
+    return planned.filter(~F.col("parted")).select(*names, whole).unionByName(planned.filter("parted").select(*names).join(spread(own), "node"))
 
 
 def dealt(rows: DataFrame, bins: int) -> DataFrame:
@@ -274,11 +274,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Numbers of distinct texts: places in what is written, so they are the same whenever it is read.
     reps = reps.withColumn("node", F.monotonically_increasing_id())
     groups = cut(components(bucket_links(reps.select("node", F.explode("bands").alias("bucket")))))
-    members = groups.withColumnRenamed("label", "comp").join(reps.drop("key"), "node")
+    members = groups.withColumnRenamed("label", "comp").join(spread(reps.drop("key")), "node")
     found = cut(verify(members, texts, n, threshold, groups.count()))
     links = found.groupBy("node").agg(F.sum("n_links").alias("n"))
     classes = components(found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    known = reps.drop("bands").join(links, "node", "left").join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    known = reps.drop("bands").join(spread(links), "node", "left").join(spread(classes), "node", "left").withColumn("label", F.coalesce("label", "node"))
     firsts = known.groupBy("label").agg(F.min(F.struct("rep", "rep_hash")).alias("least"))
     known = known.withColumn("salt", _salt("node")).join(_salted(firsts), ["label", "salt"]).select("key", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     # A text may have any number of copies: its class meets them over salted keys.

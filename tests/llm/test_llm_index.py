@@ -411,6 +411,24 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_nothing_that_grows_is_broadcast(spark, monkeypatch):
+    """Sides exploded over salts count as small as before to Spark, so the driver got many times the threshold."""
+    plans = []
+
+    def seen(f):
+        return lambda df, *more: (plans.append(df._jdf.queryExecution().executedPlan().toString()), f(df, *more))[1]
+
+    monkeypatch.setattr(components, "written", seen(components.written))
+    components.components(spark.createDataFrame([(1, 2), (2, 3), (5, 6)], "a long, b long"))
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+    plans.clear()
+    monkeypatch.setattr(jaccard, "cut", seen(jaccard.cut))
+    words = " ".join(f"w{i}" for i in range(40))
+    out = jaccard.jaccard_join(spark.createDataFrame([(1, words), (2, words + " x"), (3, "y")], "doc_id long, text string"))
+    out = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in out and "Broadcast" not in out
+
+
 def spec_suffix(rows):
     first = {}
     rows = sorted((i, (t or "").encode()) for i, t in rows)
