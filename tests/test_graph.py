@@ -1,6 +1,8 @@
 """Graph building on small hand-made inputs."""
 
 
+from pyspark.sql import functions as F
+
 from sparkloom.operators import graph, ontology
 from sparkloom.operators.structured import Mapped, structured_entities, structured_relations
 from sparkloom.sources import sinks
@@ -120,3 +122,23 @@ def test_canonical(spark):
     r = frame(spark, [("x", "is_in")], "subject string, predicate string")
     out = graph.canonicalize(r, frame(spark, [("is_in", "located_in")], "predicate string, canonical string")).first()
     assert (out.predicate, out.original_predicate) == ("located_in", "is_in")
+
+
+def test_pairs_leave_without_their_texts(spark, monkeypatch):
+    """A text is not sent back with each name that it holds, and pairs leave in pieces, all of them."""
+    from sparkloom.operators import occur
+
+    made = []
+    monkeypatch.setattr(graph, "holding", lambda *a, **k: made.append(occur.holding(*a, **k)) or made[-1])
+    names = spark.createDataFrame([(f"name{i:03d}", "T", i) for i in range(50)], "name string, type string, ord int")
+    groups = spark.createDataFrame([(i, " ".join(f"Name{k:03d}" for k in range(i, 50))) for i in range(50)], "grp long, text string")
+    got = {tuple(r) for r in graph.entity_prefilter(groups, names, 100).select("grp", "ord").collect()}
+    assert got == {(i, k) for i in range(50) for k in range(i, 50)}
+    types = graph.relation_type_filter(groups, names.drop("type").withColumns({"domain": F.lit(None).cast("string"), "range": F.lit(None).cast("string")}), names.select("type"), 60)
+    assert types.filter("matched").count() == len(got)
+    assert len(made) == 2 and not any("low" in x.columns for x in made)
+    texts, held = groups.select("grp", F.lower("text").alias("low")), names.select("name", "ord")
+    for sent in (occur.SENT, 100):
+        for k, n in {"PAIRS": 7, "PAIR_CHARS": 1000, "PIECE": 1, "SHARE_CHARS": 500}.items():
+            monkeypatch.setattr(occur, k, n)
+        assert {tuple(r) for r in occur.holding(texts, "low", held, "name", sent=sent).select("grp", "ord").collect()} == got
