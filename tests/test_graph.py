@@ -142,3 +142,19 @@ def test_pairs_leave_without_their_texts(spark, monkeypatch):
         for k, n in {"PAIRS": 7, "PAIR_CHARS": 1000, "PIECE": 1, "SHARE_CHARS": 500}.items():
             monkeypatch.setattr(occur, k, n)
         assert {tuple(r) for r in occur.holding(texts, "low", held, "name", sent=sent).select("grp", "ord").collect()} == got
+
+
+def test_what_a_backend_says_leaves_in_pieces():
+    """A long text with any number of relations does not gather them all in its task."""
+    import pandas as pd
+
+    from sparkloom.plans import pipeline
+
+    class Parts:
+        def mapInPandas(self, run, kind):  # noqa: N802  Spark's name
+            return list(run(iter([pd.DataFrame({"at": [7, 8], "chunk_idx": [0, 0], "text": ["a", "b"]})])))
+
+    n = 3 * pipeline.SAID
+    out = pipeline._spoken(Parts(), lambda: None, lambda _, row: ((row["text"],) if k % 2 else None for k in range(n)), "x string", ["x"])
+    assert max(map(len, out)) <= pipeline.SAID
+    assert [tuple(r) for b in out for r in b.itertuples(index=False)] == [(at, 0, k, x) for at, x in ((7, "a"), (8, "b")) for k in range(1, n, 2)]
