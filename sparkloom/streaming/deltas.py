@@ -33,9 +33,14 @@ def fold(totals: DataFrame, delta: DataFrame, columns: list[str]) -> DataFrame:
     return both.groupBy(*columns).agg(F.sum("n").alias("n")).filter("n <> 0")
 
 
-def refreshed(view: DataFrame, totals: DataFrame, delta: DataFrame, keys: list[str], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """A view of totals, made again for the keys that the delta touches."""
-    touched = delta.select(*keys).distinct().select(*(F.col(k).alias(f"_{k}") for k in keys))
+def touched_keys(delta: DataFrame, keys: list[str]) -> DataFrame:
+    return delta.select(*keys).distinct()
+
+
+def refreshed(view: DataFrame, totals: DataFrame, touched: DataFrame, keys: list[str], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A view of totals, made again for the keys that a delta touches."""
+    # Shuffled on both sides: repeated words make small files of it, by which Spark would send it whole through the driver.
+    touched = touched.select(*(F.col(k).alias(f"_{k}") for k in keys)).hint("merge")
     same = _all(F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys)
     return view.join(touched, same, "left_anti").unionByName(make(totals.join(touched, same, "left_semi")))
 
@@ -77,10 +82,19 @@ class IncrementalBuild:
         delta = w.write("delta", signed(before, gone, self.facts(todo).select("doc_id", *self.columns)))
         w.write("facts", before.join(gone, "doc_id", "left_anti").unionByName(delta.filter("n > 0").select(*before.columns)))
         new = w.write("totals", fold(totals, delta, self.columns))
+        touched: dict[tuple, tuple[str, DataFrame]] = {}
         for name, (keys, make) in self.views.items():
-            w.write(name, refreshed(last(name, lambda: make(totals)), new, delta, keys, make))  # noqa: B023
+            if name not in known and "totals" not in known:
+                # All totals are of this delta, so it touches every key.
+                w.write(name, make(new))
+                continue
+            # Views by the same keys share one pass over the delta.
+            if tuple(keys) not in touched:
+                made = f"touched_{len(touched)}"
+                touched[tuple(keys)] = made, w.write(made, touched_keys(delta, keys))
+            w.write(name, refreshed(last(name, lambda: make(totals)), new, touched[tuple(keys)][1], keys, make))  # noqa: B023
         w.write("manifest", now)
-        w.leave_out("changed", "delta")
+        w.leave_out("changed", "delta", *(made for made, _ in touched.values()))
         return w.commit()
 
     def read(self, name: str) -> DataFrame:

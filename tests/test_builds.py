@@ -193,3 +193,21 @@ def test_a_ledger_asks_once(spark, tmp_path):
     next((tmp_path / "ledger").glob("*/*.json")).write_text('{"ans')
     assert pipeline.extract_entities(parts, make, calls=3).rdd.getNumPartitions() == 3
     assert pipeline.extract_entities(parts, make).count() == 20 and len(list(asked.iterdir())) == 8
+
+
+def test_views_of_a_first_build_are_made_once(spark, tmp_path, monkeypatch):
+    """A first build makes its views from all totals without asking which keys it touches; a later one asks once for views by the same keys."""
+    asked, made = [], deltas.refreshed
+    monkeypatch.setattr(deltas, "refreshed", lambda view, totals, touched, keys, make: asked.append(touched.columns) or made(view, totals, touched, keys, make))
+    facts = lambda docs: docs.select("doc_id", F.explode(F.split("text", " ")).alias("w"))
+    count = lambda totals: totals.groupBy("w").agg(F.sum("n").alias("c"))
+    build = deltas.IncrementalBuild(spark, str(tmp_path / "b"), facts, ["w"], {"one": (["w"], count), "two": (["w"], count)})
+    frame = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, text string")
+    build.update("1", frame((1, "a b b"), (2, "b c")))
+    assert asked == []
+    assert {tuple(r) for r in build.read("one").collect()} == {("a", 1), ("b", 3), ("c", 1)}
+    build.update("2", frame((1, "a b b"), (3, "d")))
+    assert asked == [["w"], ["w"]]
+    for name in ("one", "two"):
+        assert {tuple(r) for r in build.read(name).collect()} == {("a", 1), ("b", 2), ("d", 1)}
+    assert not any(n.startswith("touched") for n in build.log.names())
