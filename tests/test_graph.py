@@ -158,3 +158,15 @@ def test_what_a_backend_says_leaves_in_pieces():
     out = pipeline._spoken(Parts(), lambda: None, lambda _, row: ((row["text"],) if k % 2 else None for k in range(n)), "x string", ["x"])
     assert max(map(len, out)) <= pipeline.SAID
     assert [tuple(r) for b in out for r in b.itertuples(index=False)] == [(at, 0, k, x) for at, x in ((7, "a"), (8, "b")) for k in range(1, n, 2)]
+
+
+def test_gleaning_gets_names_without_texts(spark, monkeypatch):
+    """The pairs of chunks and known names hold no chunk's text."""
+    from sparkloom.plans import pipeline
+
+    made, holding = [], pipeline.occur.holding
+    monkeypatch.setattr(pipeline.occur, "holding", lambda *a, **k: made.append(holding(*a, **k)) or made[-1])
+    parts = frame(spark, [(1, 0, "Ann met Bob"), (2, 0, "nobody")], "at long, chunk_idx int, text string")
+    known = frame(spark, [("Ann", "P", 1), ("Bob", "P", 2)], "name string, type string, seq long")
+    got = {r.at: [x.name for x in r.names or []] for r in pipeline.glean_calls(parts, known, 9).collect()}
+    assert got == {1: ["Ann", "Bob"], 2: []} and "low" not in made[0].columns
