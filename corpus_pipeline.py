@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import drop, fresh, table
+from sparkloom.llm.common import drop, fresh, spread, table
 from sparkloom.llm.jaccard import jaccard_join
 from sparkloom.llm.packing import best_fit
 from sparkloom.llm.quality import quality_rules
@@ -27,7 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each class, that with the smallest doc_id; of rows that repeat its id and text the smallest one. Rows of one id and different texts are different documents. Rows without an id are not compared and stay."""
     own = F.xxhash64(F.coalesce("text", F.lit("")))
     first = jaccard_join(docs.filter(F.col("doc_id").isNotNull())).filter("first").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count(F.lit(1)).alias("_rows"))
-    kept = docs.join(first, (F.col("doc_id") == F.col("_id")) & (own == F.col("_hash")))
+    kept = docs.join(spread(first), (F.col("doc_id") == F.col("_id")) & (own == F.col("_hash")))
     once, again = kept.filter("_rows = 1").select(*docs.columns), kept.filter("_rows > 1")
     row = F.struct(*docs.columns)
     again = again.groupBy("_id", "_hash").agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*")

@@ -229,7 +229,7 @@ def dealt(rows: DataFrame, bins: int) -> DataFrame:
 
 def verify(members: DataFrame, texts: DataFrame, n: int, threshold: float, n_members: int) -> DataFrame:
     """(node, n_links, root) of each text and task: members (node, rep, rep_hash, copies, comp, bands), texts (doc_id, text_hash, text)."""
-    rows = slots(members).join(texts, (F.col("rep") == F.col("doc_id")) & (F.col("rep_hash") == F.col("text_hash"))).select("node", "copies", "bands", "slots", "text")
+    rows = spread(slots(members)).join(texts, (F.col("rep") == F.col("doc_id")) & (F.col("rep_hash") == F.col("text_hash"))).select("node", "copies", "bands", "slots", "text")
     names = ["node", "copies", "bands", "slots"]
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

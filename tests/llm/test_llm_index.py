@@ -429,6 +429,24 @@ def test_nothing_that_grows_is_broadcast(spark, monkeypatch):
     assert "SortMergeJoin" in out and "Broadcast" not in out
 
 
+def test_second_stage_broadcasts_nothing_while_it_runs(spark, monkeypatch):
+    """Once it knew a side's size, Spark sent members of groups and kept documents through the driver, as hash tables of twice the threshold."""
+    plans = []
+
+    def seen(df, cut=jaccard.cut):
+        out = cut(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(jaccard, "cut", seen)
+    words = " ".join(f"w{i}" for i in range(40))
+    out = corpus_pipeline.near_duplicates(spark, docs(spark, [(1, words), (2, words + " x"), (3, "y"), (None, "z")]), "")
+    assert sorted((r.doc_id for r in out.collect()), key=str) == [1, 3, None]
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    joined = [p for p in plans if "SortMergeJoin" in p]
+    assert len(joined) > 2 and all("isFinalPlan=true" in p and "Broadcast" not in p for p in joined) and not any("Broadcast" in p for p in plans)
+
+
 def spec_suffix(rows):
     first = {}
     rows = sorted((i, (t or "").encode()) for i, t in rows)
