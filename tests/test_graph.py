@@ -170,3 +170,39 @@ def test_gleaning_gets_names_without_texts(spark, monkeypatch):
     known = frame(spark, [("Ann", "P", 1), ("Bob", "P", 2)], "name string, type string, seq long")
     got = {r.at: [x.name for x in r.names or []] for r in pipeline.glean_calls(parts, known, 9).collect()}
     assert got == {1: ["Ann", "Bob"], 2: []} and "low" not in made[0].columns
+
+
+def test_names_reach_a_backend_compact(spark, monkeypatch):
+    """Known names come to a task as one string a row, not as objects for each, and to a backend as they were."""
+    from sparkloom.plans import pipeline
+
+    class Told(pipeline.Backend):
+        def glean(self, text, known, guide=""):
+            return [{"name": f"{text}:{x['name']}", "type": x["type"]} for x in known]
+
+        def relations(self, text, known, guide=""):
+            return [{"subject": x["name"], "predicate": str(x["type"]), "object": text} for x in known]
+
+    kinds, spoken = [], pipeline._spoken
+    monkeypatch.setattr(pipeline, "_spoken", lambda parts, *a: kinds.append(dict(parts.dtypes)["names"]) or spoken(parts, *a))
+    names = "array<struct<name:string,type:string>>"
+    calls = frame(spark, [(1, 0, "a", [("Zoë \"x\"\n\\", "P"), ("b", None)], None), (2, 0, "c", None, None), (3, 0, "d", [], None)], f"at long, chunk_idx int, text string, names {names}, types array<string>")
+    assert {(r.name, r.type) for r in pipeline.extract_gleaned(calls, Told).collect()} == {("a:Zoë \"x\"\n\\", "P"), ("a:b", "")}
+    assert {(r.subject, r.predicate, r.object) for r in pipeline.extract_relations(calls, Told, ontology.Ontology("o", "", (), ())).collect()} == {("Zoë \"x\"\n\\", "P", "a"), ("b", "None", "a")}
+    assert kinds == ["string", "string"]
+
+
+def test_a_dictionary_holds_numbers():
+    """No list and no string of Python stands for each name in a task; equal names are found as before."""
+    import ahocorasick
+
+    from sparkloom.operators.occur import Finder
+
+    names = ["bc", "", "abc", "bc", "c", "x", "c", "c"]
+    finder = Finder(names)
+    assert finder.automaton.store == ahocorasick.STORE_INTS and not any(isinstance(x, dict) for x in vars(finder).values())
+    for text in ("abc", "bc", "", "zzx", "ccc", "ab"):
+        assert finder.find(text) == [i for i, x in enumerate(names) if x and x in text]
+    finder.sort(lambda i: -i)
+    assert sorted(list(finder.run(k)) for k in finder.runs("abcx")) == [[2], [3, 0], [5], [7, 6, 4]]
+    assert Finder([]).find("a") == Finder(["", ""]).find("a") == []
