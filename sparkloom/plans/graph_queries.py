@@ -387,9 +387,16 @@ GROUPS = """, gt AS (SELECT CAST(floor((row_number() OVER (ORDER BY doc_id) - 1)
 """
 
 
-@Q.add(GAZETTEER + GROUPS + "SELECT grp, name, type FROM gr JOIN g ON contains(gr.text, g.name) QUALIFY row_number() OVER (PARTITION BY grp ORDER BY ord) <= 30")
+#: Groups of whole texts.
+WHOLE_GROUPS = """, gt AS (SELECT CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 8) AS BIGINT) AS grp, '[Doc ' || (row_number() OVER (ORDER BY doc_id) - 1) || '] ' || coalesce(text, '') AS t FROM documents),
+     gr AS (SELECT grp, lower(string_agg(t, chr(10) || chr(10))) AS text FROM gt GROUP BY grp)
+"""
+
+
+@Q.add(GAZETTEER + WHOLE_GROUPS + "SELECT grp, name, type FROM gr JOIN g ON contains(gr.text, g.name)")
 def entity_prefilter(spark, d):
-    return graph.entity_prefilter(graph.doc_groups(table(spark, d, "documents")), gazetteer(spark, d), 30).select("grp", "name", "type")
+    """Every name that a group's whole texts hold."""
+    return graph.entity_prefilter(graph.doc_groups(table(spark, d, "documents")), gazetteer(spark, d)).select("grp", "name", "type")
 
 
 @Q.add(GAZETTEER + GROUPS + """, rt AS (SELECT ord, 'rel_' || name || 'x' AS name, CASE WHEN ord % 4 = 0 THEN 'T0' END AS domain FROM g UNION ALL SELECT ord + 40, 'has_' || name, NULL FROM g UNION ALL SELECT ord + 80, 'of_' || name, 'T9' FROM g)
@@ -400,7 +407,7 @@ def relation_type_filter(spark, d):
     kind = lambda before, after, k, domain: g.select((F.col("ord") + k).alias("ord"), F.concat(F.lit(before), "name", F.lit(after)).alias("name"), domain.alias("domain"), F.lit(None).cast("string").alias("range"))
     none = F.lit(None).cast("string")
     types = kind("rel_", "x", 0, F.when(F.col("ord") % 4 == 0, "T0")).union(kind("has_", "", 40, none)).union(kind("of_", "", 80, F.lit("T9")))
-    out = graph.relation_type_filter(graph.doc_groups(table(spark, d, "documents")), types, spark.sql("SELECT 'T0' AS type"), 80)
+    out = graph.relation_type_filter(graph.doc_groups(table(spark, d, "documents"), chars=4000), types, spark.sql("SELECT 'T0' AS type"), 80)
     return out.select("grp", F.col("ord").cast("long").alias("ord"), "name")
 
 

@@ -90,7 +90,7 @@ SELECT CAST(floor(place / 8) AS BIGINT) AS grp, string_agg('[Doc ' || place || '
 
 @Q.add(GROUP_SQL)
 def doc_groups(spark, d):
-    return graph.doc_groups(table(spark, d, "documents")).select(F.col("grp").cast("long").alias("grp"), "text")
+    return graph.doc_groups(table(spark, d, "documents"), chars=4000).select(F.col("grp").cast("long").alias("grp"), "text")
 
 
 @Q.add("SELECT doc_id, least(10, (length(text) - length(replace(text, 'tion', ''))) // 4) AS n, position('tion' IN text) - 1 AS first_position, substr(text, greatest(1, CAST(position('tion' IN text) AS INTEGER) - 20), CAST(position('tion' IN text) AS INTEGER) + 3 + 20 - greatest(1, CAST(position('tion' IN text) AS INTEGER) - 20) + 1) AS first_context FROM documents WHERE contains(text, 'tion')")

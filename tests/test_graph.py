@@ -71,6 +71,24 @@ def test_doc_groups(spark):
     assert graph.doc_groups(docs.filter("doc_id < 0")).count() == 0
 
 
+def test_groups_are_read_whole_and_keep_all_names(spark, tmp_path):
+    """A name that stands beyond a document's first 4000 characters is found, and a group keeps more than thirty names, as in the query's SQL."""
+    import duckdb
+
+    from sparkloom.plans import catalog
+
+    late, words = "word " * 1000, [f"name{i:02d}" for i in range(35)]
+    docs = frame(spark, [(1, late + "overdue"), (2, " ".join(words)), (3, None)] + [(k, f"Text{k} overdue " + " ".join(words)) for k in range(4, 12)], "doc_id long, text string")
+    assert graph.doc_groups(docs, 1).filter(F.contains("text", F.lit("overdue"))).count() == 9
+    assert graph.doc_groups(docs, 1, chars=4000).filter(F.contains("text", F.lit("overdue"))).count() == 8
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in catalog.queries()["entity_prefilter"](spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(got) == sorted(con.sql(catalog.oracle_sql()["entity_prefilter"]).fetchall())
+    assert {(0, x) for x in ("overdue", *words)} <= {(g, x) for g, x, _ in got}
+
+
 def test_backfill(spark):
     few, extra = frame(spark, [(i,) for i in range(3)], "a int"), frame(spark, [(9,)], "a int")
     assert graph.backfill(few, extra).count() == 4
