@@ -322,15 +322,20 @@ WITH w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(trim(lower(text), E
 """
 
 
-def gazetteer(spark, d, most: int = 40):
+def gazetteer(spark, d, most: int | None = 40):
+    """(name, type, ord) of the most frequent words of documents, or of all words."""
     words = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.trim(F.lower("text"), F.lit(" \t\n\x0b\x0c\r")), r"\s+"))).alias("name"))
+    counted = words.filter(F.length("name") >= 4).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    kind = F.concat(F.lit("T"), (F.col("ord") % 3).cast("string")).alias("type")
+    if most is None:
+        return graph.numbered(counted, F.col("n").desc(), "name").select("name", F.col("place").alias("ord")).select("name", kind, "ord")
     # Written, as every use would read all texts again.
-    top = cut(words.filter(F.length("name") >= 4).groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "name").limit(most))
+    top = cut(counted.orderBy(F.col("n").desc(), "name").limit(most))
     # The few top rows are numbered by how many stand before each.
     other = top.select(F.col("name").alias("_m"), F.col("n").alias("_n"))
     before = top.join(F.broadcast(other), (F.col("_n") > F.col("n")) | ((F.col("_n") == F.col("n")) & (F.col("_m") < F.col("name"))), "left")
     named = before.groupBy("name").agg(F.count("_m").cast("int").alias("ord"))
-    return named.select("name", F.concat(F.lit("T"), (F.col("ord") % 3).cast("string")).alias("type"), "ord")
+    return named.select("name", kind, "ord")
 
 
 def _mentions(spark, d):
@@ -387,16 +392,23 @@ GROUPS = """, gt AS (SELECT CAST(floor((row_number() OVER (ORDER BY doc_id) - 1)
 """
 
 
-#: Groups of whole texts.
-WHOLE_GROUPS = """, gt AS (SELECT CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 8) AS BIGINT) AS grp, '[Doc ' || (row_number() OVER (ORDER BY doc_id) - 1) || '] ' || coalesce(text, '') AS t FROM documents),
-     gr AS (SELECT grp, lower(string_agg(t, chr(10) || chr(10))) AS text FROM gt GROUP BY grp)
+#: All words of documents as a gazetteer, and groups of whole texts. A name has no white space, so it stands within a word of a text: one of the word's substrings.
+PREFILTER = r"""
+WITH w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(trim(lower(text), E' \t\n\x0b\x0c\r'), '\s+')) AS name FROM documents),
+     g AS (SELECT name, 'T' || ((row_number() OVER (ORDER BY count(*) DESC, name) - 1) % 3) AS type FROM w WHERE length(name) >= 4 GROUP BY name),
+     gt AS (SELECT CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 8) AS BIGINT) AS grp, '[Doc ' || (row_number() OVER (ORDER BY doc_id) - 1) || '] ' || coalesce(text, '') AS t FROM documents),
+     gw AS (SELECT DISTINCT grp, unnest(string_split_regex(lower(t), '\s+')) AS word FROM gt),
+     s AS (SELECT word, unnest(range(1, length(word) - 2)) AS i FROM (SELECT DISTINCT word FROM gw WHERE length(word) >= 4)),
+     part AS (SELECT word, substr(word, i, n) AS name FROM (SELECT word, i, unnest(range(4, length(word) - i + 2)) AS n FROM s)),
+     held AS (SELECT DISTINCT word, name, type FROM part JOIN g USING (name))
+SELECT DISTINCT grp, name, type FROM gw JOIN held USING (word)
 """
 
 
-@Q.add(GAZETTEER + WHOLE_GROUPS + "SELECT grp, name, type FROM gr JOIN g ON contains(gr.text, g.name)")
+@Q.add(PREFILTER)
 def entity_prefilter(spark, d):
-    """Every name that a group's whole texts hold."""
-    return graph.entity_prefilter(graph.doc_groups(table(spark, d, "documents")), gazetteer(spark, d)).select("grp", "name", "type")
+    """Every name that a group's whole texts hold, of a gazetteer of all words."""
+    return graph.entity_prefilter(graph.doc_groups(table(spark, d, "documents")), gazetteer(spark, d, None)).select("grp", "name", "type")
 
 
 @Q.add(GAZETTEER + GROUPS + """, rt AS (SELECT ord, 'rel_' || name || 'x' AS name, CASE WHEN ord % 4 = 0 THEN 'T0' END AS domain FROM g UNION ALL SELECT ord + 40, 'has_' || name, NULL FROM g UNION ALL SELECT ord + 80, 'of_' || name, 'T9' FROM g)

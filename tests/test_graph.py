@@ -86,7 +86,31 @@ def test_groups_are_read_whole_and_keep_all_names(spark, tmp_path):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert sorted(got) == sorted(con.sql(catalog.oracle_sql()["entity_prefilter"]).fetchall())
-    assert {(0, x) for x in ("overdue", *words)} <= {(g, x) for g, x, _ in got}
+    assert {(0, x) for x in ("word", "overdue", *words)} <= {(g, x) for g, x, _ in got}
+
+
+def test_large_dictionaries_meet_words(spark, monkeypatch):
+    """Each text with each string in it, as from holding, where strings meet words first: several parts and shares, strings within words, with spaces, equal ones, long words."""
+    import random
+
+    from sparkloom.operators import occur
+
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abé") for _ in range(n))
+    texts = [(i, rng.choice(" \n\t\x0b").join(word(rng.randint(1, 9)) for _ in range(30))) for i in range(60)] + [(60, None), (61, ""), (62, word(3000)), (62, "ab ab"), (62, "ab ab")]
+    strings = sorted({word(rng.randint(2, 7)) for _ in range(400)} | {"a b", "é\na", word(40), "nowhere"})
+    names = frame(spark, [(x, i) for i, x in enumerate([*strings, strings[3], strings[9], "", None])], "name string, ord int")
+    df = frame(spark, texts, "id long, low string")
+    want = sorted((i, n) for i, t in texts for n, x in enumerate([*strings, strings[3], strings[9]]) if t and x in t)
+    monkeypatch.setattr(occur, "PART_CHARS", 300)
+    monkeypatch.setattr(occur, "WORDS_CHARS", 60)  # more than 64 shares
+    assert sorted(map(tuple, occur.holding_words(df, "low", names, "name", ["id", "ord"]).collect())) == want
+    for some in ("name rlike ' '", "name = 'nowhere'", "name = ''"):
+        few = names.filter(some)
+        assert sorted(map(tuple, occur.holding_words(df, "low", few, "name", ["id", "ord"]).collect())) == sorted(map(tuple, occur.holding(df, "low", few, "name", keep=["id", "ord"]).collect()))
+    monkeypatch.setattr(graph, "SENT", 100)
+    groups, typed = df.filter("low is not null").select(F.col("id").alias("grp"), F.col("low").alias("text")), names.withColumn("type", F.lit("T"))
+    assert sorted((r.grp, r.ord) for r in graph.entity_prefilter(groups, typed).collect()) == want
 
 
 def test_backfill(spark):
